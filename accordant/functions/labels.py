@@ -31,11 +31,11 @@ LABEL_PATTERNS = [
         r"\bbelongs\s+to\b",
     ]),
     ("Disjoint", [
-        r"(?=[\s\S]*∩)(?=[\s\S]*(∅|= 0))", r"\bdis[-\s]?joint\b", r"\bno\s+(overlap|intersection)\b",
+        r"\A(?=[\s\S]*∩)(?=[\s\S]*(∅|= 0))", r"\bdis[-\s]?joint\b", r"\bno\s+(overlap|intersection)\b",
         r"\bmutual(ly)?\s+exclusive\b", r"\bnon[-\s]?overlap(ping)?\b",
     ]),
     ("Overlap", [
-        r"(?=[\s\S]*∩)(?=[\s\S]*(≠|!= ))", r"\boverlap(ping)?\b", r"\bintersect(s|ion)?\b",
+        r"\A(?=[\s\S]*∩)(?=[\s\S]*(≠|!= ))", r"\boverlap(ping)?\b", r"\bintersect(s|ion)?\b",
         r"\b(non[-\s]?empty|some)\s+intersection\b", r"\bshare(s)?\s+(elements|items|members)\b",
     ]),
     ("Unknown", ["unknown"]),

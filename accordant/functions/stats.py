@@ -10,17 +10,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` to a name inside an expression, so that it is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ln_factorial(n: Column) -> Column:
     """ln n!: a plain sum below 32, Stirling's series above (error below 1e-15)."""
-    x = n.cast("double")
-    small = F.aggregate(
-        F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(32)).cast("int")),
-        F.lit(0.0),
-        lambda acc, i: acc + F.log(i.cast("double")),
-    )
-    series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
-    large = (x + 0.5) * F.log(x) - x + F.lit(0.5 * math.log(2 * math.pi)) + series
-    return F.when(n < 32, small).otherwise(large)
+
+    def value(x: Column) -> Column:
+        small = F.aggregate(
+            F.sequence(F.lit(1), F.least(F.greatest(x, F.lit(1.0)), F.lit(32.0)).cast("int")),
+            F.lit(0.0),
+            lambda acc, i: acc + F.log(i.cast("double")),
+        )
+        inv = 1 / (x * x)
+        series = (F.lit(1 / 12) - inv * (F.lit(1 / 360) - inv * (F.lit(1 / 1260) - inv / 1680))) / x
+        return F.when(x < 32, small).otherwise(
+            (x + 0.5) * F.log(x) - x + F.lit(0.5 * math.log(2 * math.pi)) + series
+        )
+
+    return _let(n.cast("double"), value)
 
 
 def binomial_upper_tail(k: Column, n: Column) -> Column:
@@ -30,30 +40,36 @@ def binomial_upper_tail(k: Column, n: Column) -> Column:
     terms fall at least as fast as exp(-2 j^2 / n), so 5 * sqrt(n) of them give full precision
     and the cost of one cell grows with the square root of the count.
     """
-    k = k.cast("long")
-    n = n.cast("long")
-    upper = 2 * k > n
-    start = F.when(upper, k).otherwise(n - k + 1)
-    first = F.exp(ln_factorial(n) - ln_factorial(start) - ln_factorial(n - start) - n * F.lit(math.log(2.0)))
-    length = F.least(n - start, F.ceil(5 * F.sqrt(n.cast("double"))) + 50)
-    steps = F.when(length >= 1, F.sequence(F.lit(1).cast("long"), F.greatest(length, F.lit(1)))).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    total = F.aggregate(
-        steps,
-        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
-        lambda acc, j: _next_term(acc, (n - start - j + 1).cast("double") / (start + j).cast("double")),
-        lambda acc: acc["total"],
-    )
-    tail = F.least(F.lit(1.0), first * total)
-    return F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0)).when(upper, tail).otherwise(
-        F.greatest(F.lit(0.0), F.lit(1.0) - tail)
-    )
-
 
-def _next_term(acc: Column, ratio: Column) -> Column:
-    term = acc["term"] * ratio
-    return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+    def from_start(v: Column) -> Column:
+        n, start = v["n"], v["start"]
+        first = F.exp(ln_factorial(n) - ln_factorial(start) - ln_factorial(n - start) - n * F.lit(math.log(2.0)))
+        length = F.least(n - start, F.ceil(5 * F.sqrt(n)) + 50).cast("long")
+        steps = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(length, F.lit(0))), lambda j: j > 0)
+        total = F.aggregate(
+            steps,
+            F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
+            lambda acc, j: _let(
+                acc["term"] * ((n - start - j + 1) / (start + j)),
+                lambda term: F.struct(term.alias("term"), (acc["total"] + term).alias("total")),
+            ),
+            lambda acc: acc["total"],
+        )
+        return F.least(F.lit(1.0), first * total)
+
+    def from_pair(v: Column) -> Column:
+        k, n = v["k"], v["n"]
+        upper = 2 * k > n
+        tail = from_start_of(F.when(upper, k).otherwise(n - k + 1), n)
+        return (
+            F.when(k <= 0, F.lit(1.0)).when(k > n, F.lit(0.0))
+            .otherwise(_let(tail, lambda t: F.when(upper, t).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - t))))
+        )
+
+    def from_start_of(start: Column, n: Column) -> Column:
+        return _let(F.struct(start.alias("start"), n.alias("n")), from_start)
+
+    return _let(F.struct(k.cast("double").alias("k"), n.cast("double").alias("n")), from_pair)
 
 
 def mcnemar_one_sided(n10: Column, n01: Column) -> Column:

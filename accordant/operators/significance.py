@@ -29,6 +29,11 @@ def _bit(code: Column, i: int, wrong: bool) -> Column:
     return code.bitwiseAND((2 if wrong else 1) << (2 * i)) != 0
 
 
+def rounded_p(p: Column) -> Column:
+    """Four decimals, half to even; the last float bits are cut first so that ties are seen as ties."""
+    return round4(F.round(p, 12))
+
+
 def paired_counts(
     analysis: DataFrame,
     actions: list[str] = names.ACTIONS,
@@ -74,15 +79,15 @@ def action_p_values(
     One-sided values are rounded to 4 decimals; two-sided ones are left as they are.
     """
     counts = paired_counts(analysis, actions, baseline, tested)
-    return counts.select(
-        "dataset", "llm", "action",
-        *[
-            (
-                stats.mcnemar_two_sided(F.col(f"n10_{f}"), F.col(f"n01_{f}")) if two_sided
-                else round4(stats.mcnemar_one_sided(F.col(f"n10_{f}"), F.col(f"n01_{f}")))
-            ).alias(f"p_{f}")
-            for f in tested
-        ],
+    pairs = F.array(*[F.struct(F.col(f"n10_{f}").alias("n10"), F.col(f"n01_{f}").alias("n01")) for f in tested])
+
+    def test(s: Column) -> Column:
+        if two_sided:
+            return stats.mcnemar_two_sided(s["n10"], s["n01"])
+        return rounded_p(stats.mcnemar_one_sided(s["n10"], s["n01"]))
+
+    return counts.withColumn("p", F.transform(pairs, test)).select(
+        "dataset", "llm", "action", *[F.col("p")[i].alias(f"p_{f}") for i, f in enumerate(tested)]
     )
 
 
@@ -210,7 +215,7 @@ def _both_directions(sums: DataFrame, models: list[str], tested: list[str]) -> D
 def pairwise_p_values(analysis: DataFrame, models: list[str], actions: list[str] = names.ACTIONS, **kw) -> DataFrame:
     """Long p-value matrix; the diagonal and pairs without common questions are 1."""
     counts = pairwise_counts(analysis, models, actions, **kw)
-    p = round4(stats.mcnemar_one_sided(F.col("n10"), F.col("n01")))
+    p = rounded_p(stats.mcnemar_one_sided(F.col("n10"), F.col("n01")))
     return counts.withColumn("p", F.when(F.col("llm_i") == F.col("llm_j"), F.lit(1.0)).otherwise(p))
 
 
