@@ -1,0 +1,274 @@
+"""Round trips through files: Spark writes what it derives from the tables and reads it back.
+
+Files go to fresh folders below ``spark.checkpoint.dir``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from accordant.operators import reshape, rollup, scores
+from accordant.operators import relations as rel
+from accordant.plans.answer_queries import (
+    _PHRASES, ANSWERS, ELEMENTS, FROM_LINES, LINES, MATRIX_CTES, SUMMARY_CTES, _PAIRS, _labels_cte, line_analysis,
+    line_matrix, mean4,
+)
+from accordant.plans.catalog import query, with_ctes
+from accordant.plans.result_queries import MODELS
+from accordant.session import scratch_path
+from accordant.sources import readers, tables, writers
+
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+P = tables.PRIORITIES
+
+
+@query("question_files", """
+SELECT c_mktsegment AS dataset, 'en' AS lang, c_name AS "Q1", 'say "' || c_name || '"' AS "Q2", c_mktsegment AS "Q3",
+  CASE WHEN c_nationkey = 3 THEN NULL ELSE 'x' END AS "Q4", count(*) OVER (PARTITION BY c_mktsegment) AS in_file
+FROM customer""")
+def question_files(spark, root):
+    """Question TSVs; row positions must number every file from 0 without gaps."""
+    c = tables.load(spark, root, "customer")
+    path = scratch_path(spark, "questions")
+    rows = c.select(
+        F.col("c_name").alias("Q1"), F.concat(F.lit('say "'), "c_name", F.lit('"')).alias("Q2"),
+        F.col("c_mktsegment").alias("Q3"), F.when(F.col("c_nationkey") != 3, "x").alias("Q4"),
+        F.col("c_mktsegment").alias("segment"),
+    )
+    rows.write.partitionBy("segment").option("header", "true").option("sep", "\t").option("escape", '"').option(
+        "quoteAll", "false"
+    ).csv(path)
+    back = (
+        spark.read.schema(readers.QUESTION_SCHEMA).option("sep", "\t").option("header", "true").option("escape", '"')
+        .option("recursiveFileLookup", "true").csv(path)
+        .select(*readers.QUESTION_SCHEMA.fieldNames(), F.col("_metadata.file_path").alias("file_path"),
+                F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
+    )
+    numbered = readers.number_rows(back).withColumn("dataset", F.regexp_extract("file_path", "segment=([^/]+)/", 1))
+    per_file = numbered.groupBy("dataset").agg(
+        F.count("*").alias("n"), F.countDistinct("file_path", "q_index").alias("ids"),
+    )
+    return numbered.join(per_file.filter("n = ids"), "dataset").select(
+        "dataset", F.lit("en").alias("lang"), "Q1", "Q2", "Q3", "Q4", F.col("n").alias("in_file")
+    )
+
+
+@query("answer_files", with_ctes(
+    [LINES, ELEMENTS, ANSWERS],
+    "SELECT q_id, q_serie, action, task, dataset, CAST(NULL AS VARCHAR) AS lang, llm, array_to_string(answer, ',') AS answer FROM answers",
+))
+def answer_files(spark, root):
+    """Answer documents in a directory tree, scanned by path keys."""
+    path = scratch_path(spark, "answers")
+    writers.write_answer_documents(tables.answers(spark, root), path, ids_per_file=500)
+    back = readers.read_answer_documents(spark, path, P, datasets=SEGMENTS)
+    return back.select(
+        "q_id", "q_serie", "action", "task", "dataset", "lang", "llm",
+        F.array_join(F.array_sort("answer"), ",").alias("answer"),
+    )
+
+
+@query("answer_table", with_ctes(
+    [LINES, ELEMENTS, ANSWERS],
+    """SELECT q_id, llm, array_to_string(answer, ',') AS answer FROM answers
+       WHERE action = 'fixing' AND dataset = 'BUILDING' AND task = 'minus' AND q_serie = 'Q4'""",
+))
+def answer_table(spark, root):
+    """Native answer table; the filter prunes its directories."""
+    path = scratch_path(spark, "answer-table")
+    writers.write_answers(tables.answers(spark, root).drop("lang"), path)
+    t = spark.read.parquet(path).filter(
+        "action = 'fixing' AND dataset = 'BUILDING' AND task = 'minus' AND q_serie = 'Q4'"
+    )
+    return t.select("q_id", "llm", F.array_join("answer", ",").alias("answer"))
+
+
+def _write_documents(rows, keys, value, path, name):
+    """``{id: value}`` documents of at most 500 ids in directories named by ``keys``."""
+    shard = F.floor(F.col("q_id").cast("long") / 500).alias("shard")
+    docs = rows.groupBy(*keys, shard).agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("q_id"), value)))).alias("value")
+    )
+    docs.withColumn("name", F.lit(name)).drop("shard").write.partitionBy("name", *keys).text(path)
+
+
+@query("relation_files", with_ctes(
+    [_PHRASES, _PAIRS, _labels_cte("found", 0, "phrase", tables.RELATION_COLUMNS)], "SELECT * FROM found",
+))
+def relation_files(spark, root):
+    """Documents of five labels per question."""
+    path = scratch_path(spark, "relations")
+    _write_documents(
+        tables.order_relations(spark, root), ["dataset", "llm"], F.array(*tables.RELATION_COLUMNS), path, "Relation"
+    )
+    docs = readers.read_documents(spark, path, "*.txt", one_per_line=True).withColumn("file_path", F.concat("file_path", F.lit("/Relation.json")))
+    return readers.parse_relations(docs, P, SEGMENTS).drop("file_path")
+
+
+@query("classification_files", with_ctes(
+    [_PHRASES, _PAIRS, _labels_cte("found", 5, "canonical", ["r_12", "r_13", "r_134"])],
+    "SELECT q_id, dataset, llm, r_12, r_13, r_134, 'classification' AS action FROM found",
+))
+def classification_files(spark, root):
+    """One label document per task, plain strings or lists, merged to one row per question."""
+    path = scratch_path(spark, "classification")
+    r = tables.order_relations(spark, root, 5)
+    cells = F.explode(F.array(
+        F.struct(F.lit("equal").alias("task"), F.col("r_12").alias("label")),
+        F.struct(F.lit("sup-sub").alias("task"), F.col("r_13").alias("label")),
+        F.struct(F.lit("minus").alias("task"), F.col("r_134").alias("label")),
+    )).alias("c")
+    long = r.select("q_id", "dataset", "llm", cells).select("q_id", "dataset", "llm", "c.*")
+    as_list = long.filter("task = 'minus'").withColumn("label", F.array(F.coalesce("label", F.lit("unknown"))))
+    plain = long.filter("task <> 'minus'").withColumn("label", F.coalesce("label", F.lit("unknown")))
+    _write_documents(as_list, ["dataset", "llm", "task"], F.col("label"), path + "/a", "Containment")
+    _write_documents(plain, ["dataset", "llm", "task"], F.col("label"), path + "/b", "Containment")
+    docs = readers.read_documents(spark, path, "*.txt", one_per_line=True)
+    return readers.parse_classified_relations(docs, P, SEGMENTS)
+
+
+@query("score_files", """
+SELECT c_mktsegment AS dataset, round_even(avg(CASE c_custkey % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE END), 4) AS average_score,
+  count(*) FILTER (WHERE c_custkey % 3 = 0) AS count_ones, count(*) AS size FROM customer GROUP BY c_mktsegment""")
+def score_files(spark, root):
+    """Score documents; a list value counts towards the size only."""
+    path = scratch_path(spark, "scores")
+    c = tables.load(spark, root, "customer").select(
+        F.col("c_custkey").cast("string").alias("q_id"), F.col("c_mktsegment").alias("dataset"),
+        F.when(F.col("c_custkey") % 3 == 0, "1").when(F.col("c_custkey") % 3 == 1, "0.5").otherwise('["x"]').alias("raw"),
+    )
+    shard = F.floor(F.col("q_id").cast("long") / 500).alias("shard")
+    docs = c.groupBy("dataset", shard).agg(F.concat(
+        F.lit("{"), F.array_join(F.collect_list(F.concat(F.lit('"'), "q_id", F.lit('": '), "raw")), ", "), F.lit("}")
+    ).alias("value"))
+    docs.drop("shard").write.partitionBy("dataset").text(path)
+    back = readers.parse_scores(readers.read_documents(spark, path, "*.txt", one_per_line=True))
+    named = back.withColumn("dataset", F.regexp_extract("file_path", "dataset=([^/]+)/", 1))
+    return scores.summarise_score_files(named, ["dataset"])
+
+
+@query("score_table_files", with_ctes(
+    FROM_LINES,
+    f"""SELECT dataset AS task, llm AS model, action,
+          {mean4('CAST(sum(CAST(round(jac_a1_a2 * 10000) AS BIGINT)) AS BIGINT)', 'count(*)')} AS average_all,
+          {mean4('(10000 * count(*) FILTER (WHERE eq_a1_a2 = 1))', 'count(*)')} AS binary_rate,
+          CAST(sum(disj_a3_a4) AS BIGINT) AS disjoint_count
+        FROM analysis GROUP BY dataset, llm, action""",
+))
+def score_table_files(spark, root):
+    """Per-question score TSVs; task, model and action come back from the file path."""
+    path = scratch_path(spark, "score-tables")
+    a = line_analysis(spark, root)
+    rows = a.select(
+        F.col("q_id").cast("int").alias("QuestionID"), F.col("jac_a1_a2").alias("JaccardSimilarity"),
+        F.col("idk_a1").alias("IsEmptySet"), F.col("eq_a1_a2").alias("BinaryEqual"),
+        F.col("disj_a3_a4").alias("B_Intersected_C_EmptyCount"),
+        F.concat_ws("_", "dataset", "llm", F.lit(""), "action").alias("name"),
+    )
+    rows.write.partitionBy("name").option("header", "true").option("sep", "\t").csv(path)
+    back = readers.read_score_tables(spark, path, "*.csv")
+    keyed = back.select(
+        *readers.SCORE_TABLE_SCHEMA.fieldNames(),
+        *[v.alias(k) for k, v in readers.name_parts(F.regexp_extract("file_path", "name=([^/]+)/", 1)).items()],
+    )
+    s = scores.summarise_score_tables(keyed)
+    return s.select("task", "model", "action", "average_all", "binary_rate", "disjoint_count")
+
+
+@query("model_files", with_ctes([MODELS], "SELECT llm, id, score, release_date, company, size FROM model_rows"))
+def model_files(spark, root):
+    path = scratch_path(spark, "models")
+    m = tables.models(spark, root)
+    info = F.struct(F.col("id").alias("ID"), "score", "release_date", "company", "size")
+    m.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("llm", info)))).alias("value")).write.text(path)
+    return readers.parse_models(readers.read_documents(spark, path, "*.txt"))
+
+
+@query("question_bank_files", """
+SELECT CASE WHEN c_custkey % 2 = 0 THEN 'u' || c_custkey ELSE 'no_uid_' || CASE WHEN c_nationkey < 12 THEN 1 ELSE 0 END END AS uid,
+  c_name AS question, CASE WHEN c_nationkey < 12 THEN NULL ELSE 'select ' || c_custkey END AS sparql FROM customer""")
+def question_bank_files(spark, root):
+    """Documents that are a list (its first item has no question) or one item."""
+    c = tables.load(spark, root, "customer")
+    uid = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("u"), "c_custkey"))
+    one = F.struct(uid.alias("uid"), F.col("c_name").alias("question"), F.concat(F.lit("select "), "c_custkey").alias("sparql"))
+    pair = F.array(
+        F.struct(F.lit("z").alias("uid"), F.lit(None).cast("string").alias("question")),
+        F.struct(uid.alias("uid"), F.col("c_name").alias("question")),
+    )
+    path = scratch_path(spark, "bank")
+    docs = c.select(F.when(F.col("c_nationkey") < 12, F.to_json(pair)).otherwise(F.to_json(one)).alias("value"))
+    docs.write.text(path)
+    lines = spark.read.text(path).select(F.lit(path).alias("file_path"), "value")
+    return readers.parse_question_bank(lines).drop("file_path")
+
+
+@query("summary_files", with_ctes(
+    SUMMARY_CTES, "SELECT dataset, action, llm, n, eq_a1_a2, eq_a1_p, jac_a4_diff, idk FROM summary",
+))
+def summary_files(spark, root):
+    """CSV sink and typed scan under the symbol names of the result table."""
+    from accordant.names import to_ascii, to_symbols
+
+    s = rollup.summarise(line_analysis(spark, root)).select(
+        "dataset", "action", "llm", "n", "eq_a1_a2", "eq_a1_p", "jac_a4_diff", "idk"
+    )
+    out = to_symbols(s)
+    path = scratch_path(spark, "summary")
+    writers.write_table(out, path, "csv")
+    return to_ascii(readers.read_result_table(spark, path, out.schema))
+
+
+@query("appended_files", """
+SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 1""")
+def appended_files(spark, root):
+    """Two appends to one TSV folder; headers are not read as rows."""
+    c = tables.load(spark, root, "customer")
+    path = scratch_path(spark, "appended")
+    writers.append_tsv(c.filter("c_custkey % 2 = 0").select("c_custkey", "c_name"), path)
+    writers.append_tsv(c.filter("c_custkey % 2 = 1").select("c_custkey", F.col("c_mktsegment").alias("c_name")), path)
+    return readers.read_result_table(spark, path, "c_custkey long, c_name string", sep="\t")
+
+
+@query("action_files", with_ctes(
+    [*SUMMARY_CTES, MODELS],
+    """SELECT id AS "ID", dataset, action, llm, eq_a1_a2 FROM summary JOIN model_rows USING (llm)
+       WHERE dataset = 'overall' AND action IN ('zero-shot', 'classification', 'fixing')""",
+))
+def action_files(spark, root):
+    """One CSV folder per action."""
+    s = rollup.summarise(line_analysis(spark, root), ["eq_a1_a2"]).select("dataset", "action", "llm", "eq_a1_a2")
+    path = scratch_path(spark, "by-action")
+    writers.write_by_action(s, tables.models(spark, root), path)
+    schema = "ID int, dataset string, llm string, eq_a1_a2 double, action string"
+    return readers.read_result_table(spark, path, schema)
+
+
+@query("heatmap_files", with_ctes(
+    MATRIX_CTES,
+    """SELECT predicate, CAST(left(llm_i, 1) AS INTEGER) AS i, CAST(left(llm_j, 1) AS INTEGER) AS j, p AS val,
+         chr(64 + CAST(left(llm_i, 1) AS INTEGER)) AS letter FROM p_matrix
+       WHERE action = 'zero-shot' AND dataset = 'overall'""",
+))
+def heatmap_files(spark, root):
+    """One CSV folder per predicate plus the index map."""
+    path = scratch_path(spark, "heatmaps")
+    writers.write_heatmaps(reshape.widen_matrix(line_matrix(spark, root), P), P, path, "zero-shot", "overall")
+    cells = readers.read_result_table(spark, f"{path}/heatmaps", "i int, j int, val double, predicate string")
+    index = readers.read_result_table(spark, f"{path}/model_index_map", "idx int, letter string, llm string")
+    return cells.join(index.select(F.col("idx").alias("i"), "letter"), "i")
+
+
+@query("confusion_files", with_ctes(
+    [_PHRASES, """long AS (SELECT p_brand AS llm, (SELECT phrase FROM phrases WHERE i = p_partkey % 20) AS r FROM part)"""],
+    """SELECT llm, printf('%.4f(%d)', round_even(count(*) FILTER (WHERE r = 'Equivalence') / count(*)::DOUBLE, 4),
+         count(*) FILTER (WHERE r = 'Equivalence')) AS accuracy, count(*) AS size FROM long GROUP BY llm""",
+))
+def confusion_files(spark, root):
+    """Relation summary written as CSV and read back."""
+    t = rel.confusion_table(tables.part_relations(spark, root), columns=["r_12"])
+    path = scratch_path(spark, "confusion")
+    writers.write_table(t, path, "csv")
+    back = readers.read_result_table(spark, path, t.schema)
+    return back.filter("dataset = 'overall'").select("llm", "accuracy", "size")
+

@@ -16,19 +16,21 @@ def decoded(path: Column) -> Column:
     return path
 
 
-def path_elements(path: Column) -> Column:
-    """Path parts, where an underscore separates like a slash; the .json suffix is dropped.
+def path_text(path: Column) -> Column:
+    """Path as ``/part/part/``, where an underscore separates like a slash; .json is dropped.
 
     The equals sign of a partition directory separates too, so ``task=equal`` yields ``equal``.
     """
-    return F.split(F.replace(F.translate(path, "_=", "//"), F.lit(".json"), F.lit("")), "/")
+    parts = F.replace(F.translate(path, "_=", "//"), F.lit(".json"), F.lit(""))
+    return F.concat(F.lit("/"), parts, F.lit("/"))
 
 
-def key_from_path(elements: Column, vocabulary: list[str], default: str | None = None) -> Column:
-    """First vocabulary entry, in vocabulary order, that is a path part; case matters."""
-    words = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
-    hit = F.try_element_at(F.filter(words, lambda w: F.array_contains(elements, w)), F.lit(1))
-    return F.coalesce(hit, F.lit(default)) if default is not None else hit
+def key_from_path(text: Column, vocabulary: list[str], default: str | None = None) -> Column:
+    """First vocabulary entry, in vocabulary order, that is a part of ``path_text``; case matters."""
+    out = F.lit(default).cast("string")
+    for word in reversed([w for w in vocabulary if "/" not in w]):
+        out = F.when(text.contains(f"/{word}/"), F.lit(word)).otherwise(out)
+    return out
 
 
 def file_name(path: Column) -> Column:

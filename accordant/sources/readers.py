@@ -16,7 +16,7 @@ from accordant.functions import sets
 from accordant.functions.labels import classified_label
 from accordant.functions.numbers import to_number
 from accordant.operators.relations import with_canonical_labels
-from accordant.sources.paths import decoded, file_name, key_from_path, name_parts, path_elements
+from accordant.sources.paths import decoded, file_name, key_from_path, name_parts, path_text
 
 QUESTION_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in names.SERIES])
 SCORE_TABLE_SCHEMA = T.StructType([
@@ -29,18 +29,21 @@ SCORE_TABLE_SCHEMA = T.StructType([
 MODEL_TYPE = "map<string,struct<ID:int,score:double,release_date:string,company:string,size:string>>"
 
 
-def read_documents(spark: SparkSession, path: str | list[str], glob: str = "*.json") -> DataFrame:
+def read_documents(
+    spark: SparkSession, path: str | list[str], glob: str = "*.json", one_per_line: bool = False
+) -> DataFrame:
     """One row per file below ``path``: ``file_path``, ``value`` (the whole text).
 
-    The options make the local file system accept names with a colon; other file systems
-    ignore them.
+    ``one_per_line`` reads files in which every line is a document; such files can be split.
+    The options make the local file system accept names with a colon; other file systems ignore
+    them.
     """
     return (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
         .option("fs.file.impl.disable.cache", "true")
-        .text(path, wholetext=True)
+        .text(path, wholetext=not one_per_line)
         .select(decoded(F.col("_metadata.file_path")).alias("file_path"), "value")
     )
 
@@ -70,7 +73,7 @@ def parse_answers(
     A value that is no list gives an empty answer.  Files whose keys cannot be resolved are
     dropped before their text is parsed.
     """
-    e = path_elements(F.col("file_path"))
+    e = path_text(F.col("file_path"))
     keyed = (
         documents.filter(file_name(F.col("file_path")).startswith(name_prefix))
         .withColumns({
@@ -98,12 +101,18 @@ def read_answers(spark: SparkSession, path: str | list[str], llms: list[str], **
     return parse_answers(read_documents(spark, path), llms, **vocabulary)
 
 
+def read_answer_documents(spark: SparkSession, path: str | list[str], llms: list[str], **vocabulary) -> DataFrame:
+    """Scan the JSON-lines documents of :func:`accordant.sources.writers.write_answer_documents`."""
+    lines = read_documents(spark, path, "*.txt", one_per_line=True)
+    return parse_answers(lines, llms, name_prefix="", **vocabulary)
+
+
 # -- relation labels -------------------------------------------------------------------------
 
 
 def parse_relations(documents: DataFrame, llms: list[str], datasets: list[str] = names.DATASETS) -> DataFrame:
     """``{id: [five labels]}`` documents to one row per (q_id, dataset, llm)."""
-    e = path_elements(F.col("file_path"))
+    e = path_text(F.col("file_path"))
     keyed = (
         documents.filter(file_name(F.col("file_path")).startswith("Relation"))
         .withColumns({"dataset": key_from_path(e, datasets), "llm": key_from_path(e, llms)})
@@ -137,7 +146,7 @@ def parse_classified_relations(
     Labels are mapped to the canonical ones.  Where two files give the same cell, the file with
     the larger path wins.
     """
-    e = path_elements(F.col("file_path"))
+    e = path_text(F.col("file_path"))
     keyed = (
         documents.filter(~file_name(F.col("file_path")).startswith("Q"))
         .withColumns({
@@ -199,6 +208,25 @@ def read_score_tables(spark: SparkSession, path: str | list[str], glob: str = "*
 # -- questions -------------------------------------------------------------------------------
 
 
+def number_rows(rows: DataFrame) -> DataFrame:
+    """Add ``q_index``, the 0-based row position within a file.
+
+    ``rows`` carry ``file_path``, ``block`` (start of the file split) and ``pos``
+    (``monotonically_increasing_id`` of the scan).  The position is the row's place within its
+    split plus the number of rows in the splits before it, so no file is ever pulled into one task
+    to be numbered; only one row per split is shuffled.
+    """
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        rows.groupBy("file_path", "block")
+        .agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"))
+        .select("file_path", "block", "first_pos", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    )
+    return rows.join(blocks, ["file_path", "block"]).withColumn(
+        "q_index", F.col("offset") + F.col("pos") - F.col("first_pos")
+    ).drop("block", "pos", "first_pos", "offset")
+
+
 def read_questions(
     spark: SparkSession,
     path: str | list[str],
@@ -209,9 +237,8 @@ def read_questions(
 ) -> DataFrame:
     """Question TSVs ``.../<lang>/<dataset>.tsv`` as ``q_index, Q1.., dataset, lang``.
 
-    ``q_index`` is the 0-based row position within the file.  It comes from the row's place
-    within its file split plus the number of rows in the splits before it, so no file is ever
-    pulled into one task to be numbered.  ``multiline=False`` lets large files be split.
+    ``q_index`` is the 0-based row position within the file.  ``multiline=False`` lets large files
+    be split.
     """
     rows = (
         spark.read.schema(schema)
@@ -228,16 +255,10 @@ def read_questions(
             F.monotonically_increasing_id().alias("pos"),
         )
     )
-    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        rows.groupBy("file_path", "block")
-        .agg(F.min("pos").alias("first_pos"), F.count("*").alias("n"))
-        .select("file_path", "block", "first_pos", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    )
+    numbered = number_rows(rows)
     parts = F.split("file_path", "/")
-    out = rows.join(blocks, ["file_path", "block"]).select(
-        (F.col("offset") + F.col("pos") - F.col("first_pos")).cast("long").alias("q_index"),
-        *schema.fieldNames(),
+    out = numbered.select(
+        "q_index", *schema.fieldNames(),
         F.regexp_replace(F.element_at(parts, -1), r"\.tsv\z", "").alias("dataset"),
         F.try_element_at(parts, F.lit(-2)).alias("lang"),
         "file_path",

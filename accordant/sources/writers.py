@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordant.functions.text import file_safe_predicate
-from accordant.operators.reshape import heatmap_cells
+from accordant.operators.reshape import heatmap_cells, index_map, split_by_action
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error", partition_by: list[str] | None = None) -> None:
@@ -23,6 +23,11 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     (out.partitionBy(*partition_by) if partition_by else out).csv(path)
 
 
+def _by_directory(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Bring the rows of a directory together, so it gets few files; a large one is split."""
+    return df.hint("rebalance", *keys)
+
+
 def append_tsv(df: DataFrame, path: str) -> None:
     """Append rows; every part file carries the header once."""
     write_table(df, path, fmt="tsv", mode="append")
@@ -31,7 +36,7 @@ def append_tsv(df: DataFrame, path: str) -> None:
 def write_answers(answers: DataFrame, path: str, mode: str = "error") -> None:
     """Answers as parquet, one directory per (action, dataset, task, q_serie, llm)."""
     keys = ["action", "dataset", "task", "q_serie", "llm"]
-    answers.write.mode(mode).partitionBy(*keys).parquet(path)
+    _by_directory(answers, keys).write.mode(mode).partitionBy(*keys).parquet(path)
 
 
 def answer_documents(answers: DataFrame, ids_per_file: int = 1000) -> DataFrame:
@@ -49,14 +54,13 @@ def answer_documents(answers: DataFrame, ids_per_file: int = 1000) -> DataFrame:
 
 def write_answer_documents(answers: DataFrame, path: str, ids_per_file: int = 1000, mode: str = "error") -> None:
     """Answer documents as JSON lines below ``action=/dataset=/task=/q_serie=/llm=``."""
+    keys = ["action", "dataset", "task", "q_serie", "llm"]
     docs = answer_documents(answers, ids_per_file).drop("shard")
-    docs.write.mode(mode).partitionBy("action", "dataset", "task", "q_serie", "llm").text(path)
+    _by_directory(docs, keys).write.mode(mode).partitionBy(*keys).text(path)
 
 
 def write_by_action(summary: DataFrame, models: DataFrame, path: str, actions: list[str] | None = None, mode: str = "error") -> None:
     """Overall rows of a summary, one CSV directory per action, sorted by model ID."""
-    from accordant.operators.reshape import split_by_action
-
     split_by_action(summary, models, actions).write.mode(mode).option("header", "true").partitionBy("action").csv(path)
 
 
@@ -68,11 +72,9 @@ def write_heatmaps(
     cells = heatmap_cells(matrix, models, action, dataset)
     (
         cells.withColumn("predicate", file_safe_predicate(F.col("predicate")))
-        .repartition("predicate").sortWithinPartitions("predicate", "i", "j")
+        .hint("rebalance", "predicate").sortWithinPartitions("predicate", "i", "j")
         .write.mode(mode).option("header", "true").partitionBy("predicate").csv(f"{path}/heatmaps")
     )
-    from accordant.operators.reshape import index_map
-
     index_map(matrix.sparkSession, models).coalesce(1).write.mode(mode).option("header", "true").csv(
         f"{path}/model_index_map"
     )

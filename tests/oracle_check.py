@@ -42,8 +42,12 @@ def table(columns, rows):
 
 def compare(spark, con, fn, sql, root):
     """(ok, message, rows)"""
+    t = time.time()
     df = fn(spark, root)
-    got_cols, got = table(df.columns, df.collect())
+    built = time.time() - t
+    rows = df.collect()
+    spent = f"(plan {built:.2f}s run {time.time() - t - built:.2f}s)"
+    got_cols, got = table(df.columns, rows)
     if sql is None:
         return True, "rows only", len(got)
     rel = con.execute(sql)
@@ -55,7 +59,7 @@ def compare(spark, con, fn, sql, root):
     bad = [(g, w) for g, w in zip(got, want) if g != w or [type(x) for x in g] != [type(x) for x in w]]
     if bad:
         return False, f"{len(bad)} rows differ, first {bad[0]}", len(got)
-    return True, "ok", len(got)
+    return True, spent, len(got)
 
 
 def main(argv):
@@ -79,7 +83,7 @@ def main(argv):
             ok, msg, n = compare(spark, con, qs[name], sqls.get(name), root)
         except Exception as ex:  # noqa: BLE001
             ok, msg, n = False, f"{type(ex).__name__}: {str(ex)[:600]}", -1
-        print(f"{'PASS' if ok else 'FAIL'} {name} rows={n} {time.time() - t:.2f}s {'' if ok and msg == 'ok' else msg}", flush=True)
+        print(f"{'PASS' if ok else 'FAIL'} {name} rows={n} {time.time() - t:.2f}s {msg}", flush=True)
         if not ok:
             failed.append(name)
     print(f"{len(failed)} failed: {failed}")
