@@ -50,13 +50,11 @@ def _path_files(spark, root):
 def path_keys(spark, root):
     """Keys of answer files from their paths; files with an unknown key are dropped."""
     files = _path_files(spark, root).filter(paths.file_name(F.col("file_path")).startswith("Q"))
-    e = paths.path_text(F.col("file_path"))
-    return files.select(
-        "o_orderkey", paths.key_from_path(e, names.SERIES).alias("q_serie"),
-        paths.key_from_path(e, names.ACTIONS, "zero-shot").alias("action"),
-        paths.key_from_path(e, names.TASKS).alias("task"), paths.key_from_path(e, _SEGMENTS).alias("dataset"),
-        paths.key_from_path(e, tables.PRIORITIES).alias("llm"),
-    ).dropna()
+    vocabularies = {
+        "q_serie": names.SERIES, "action": names.ACTIONS, "task": names.TASKS, "dataset": _SEGMENTS, "llm": tables.PRIORITIES,
+    }
+    k = paths.path_keys(F.col("file_path"), vocabularies, list(vocabularies), {"action": "zero-shot"})
+    return files.select("o_orderkey", k.alias("k")).filter(F.col("k").isNotNull()).select("o_orderkey", "k.*")
 
 
 @query("file_name_keys", """
@@ -219,7 +217,7 @@ def answers_of_documents(spark, root):
     from accordant.sources.writers import answer_documents
 
     docs = answer_documents(tables.answers(spark, root), ids_per_file=100)
-    path = F.concat_ws("/", F.lit("/data/answers"), "action", "dataset", "task", F.concat_ws("_", "q_serie", "task", "llm"))
+    path = F.concat_ws("/", F.lit("/data/answers"), "action", "dataset", "task", F.concat_ws("_", "q_serie", "task", "llm", "n_ids"))
     packed = docs.select(F.concat(path, F.lit(".json")).alias("file_path"), "value")
     segments = [*_SEGMENTS, "MACHINERY"]
     back = readers.parse_answers(packed, tables.PRIORITIES, datasets=segments)

@@ -19,12 +19,27 @@ def get_session(app: str = "accordant", master: str | None = None, **conf) -> Sp
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Plans here are built from thousands of small expressions; recording the Python call
+        # site of each one would cost more than running a small query.
+        "spark.sql.dataFrameQueryContext.enabled": "false",
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
     return b.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least one partition per core.
+
+    A few small files, or files of one row group, come as a few tasks, and everything up to the
+    first shuffle would run on as many cores.  A scan that already has half as many splits as
+    there are cores is returned as it is, so no large input is ever shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if 2 * splits > cores else df.repartition(cores)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for materialised intermediates: ``spark.checkpoint.dir`` of the session.
 

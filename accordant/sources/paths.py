@@ -33,6 +33,29 @@ def key_from_path(text: Column, vocabulary: list[str], default: str | None = Non
     return out
 
 
+def path_keys(
+    path: Column, vocabularies: dict[str, list[str]], required: list[str], defaults: dict[str, str] | None = None
+) -> Column:
+    """All keys of a path as one struct; NULL if a required key is absent.
+
+    The path text is bound once and looked up for every word, whatever the optimizer does with
+    the expression around it.
+    """
+    defaults = defaults or {}
+    found = F.transform(
+        F.array(path_text(path)),
+        lambda t: F.struct(*[key_from_path(t, v, defaults.get(k)).alias(k) for k, v in vocabularies.items()]),
+    )
+
+    def complete(s: Column) -> Column:
+        ok = F.lit(True)
+        for k in required:
+            ok = ok & s[k].isNotNull()
+        return ok
+
+    return F.try_element_at(F.filter(found, complete), F.lit(1))
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -16,7 +16,7 @@ from accordant.functions import sets
 from accordant.functions.labels import classified_label
 from accordant.functions.numbers import to_number
 from accordant.operators.relations import with_canonical_labels
-from accordant.sources.paths import decoded, file_name, key_from_path, name_parts, path_text
+from accordant.sources.paths import decoded, file_name, name_parts, path_keys
 
 QUESTION_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in names.SERIES])
 SCORE_TABLE_SCHEMA = T.StructType([
@@ -55,6 +55,21 @@ def entries(documents: DataFrame) -> DataFrame:
     )
 
 
+def _keyed(
+    documents: DataFrame, vocabularies: dict[str, list[str]], required: list[str], defaults: dict[str, str] | None = None
+) -> DataFrame:
+    """Entries of the documents whose paths hold all required keys, with the keys as columns.
+
+    Paths are checked before any text is parsed.
+    """
+    keys = path_keys(F.col("file_path"), vocabularies, required, defaults)
+    return (
+        documents.withColumn("k", keys).filter(F.col("k").isNotNull())
+        .select("file_path", "k", F.explode(F.from_json("value", "map<string,string>")).alias("q_id", "raw"))
+        .select("file_path", "k.*", "q_id", "raw")
+    )
+
+
 # -- answers ---------------------------------------------------------------------------------
 
 
@@ -73,26 +88,17 @@ def parse_answers(
     A value that is no list gives an empty answer.  Files whose keys cannot be resolved are
     dropped before their text is parsed.
     """
-    e = path_text(F.col("file_path"))
-    keyed = (
-        documents.filter(file_name(F.col("file_path")).startswith(name_prefix))
-        .withColumns({
-            "q_serie": key_from_path(e, questions),
-            "action": key_from_path(e, actions, "zero-shot"),
-            "task": key_from_path(e, tasks),
-            "dataset": key_from_path(e, datasets),
-            "lang": key_from_path(e, languages),
-            "llm": key_from_path(e, llms),
-        })
-        .dropna(subset=["q_serie", "action", "task", "dataset", "llm"])
-    )
-    return keyed.select(
-        "file_path", "q_serie", "action", "task", "dataset", "lang", "llm",
-        F.explode(F.from_json("value", "map<string,string>")).alias("q_id", "raw"),
-    ).select(
-        "q_id", "q_serie", "action", "task", "dataset", "lang", "llm",
-        sets.or_empty(F.from_json("raw", "array<string>")).alias("answer"),
-        "file_path",
+    vocabularies = {
+        "q_serie": questions, "action": actions, "task": tasks, "dataset": datasets, "lang": languages, "llm": llms,
+    }
+    named = documents.filter(file_name(F.col("file_path")).startswith(name_prefix))
+    return (
+        _keyed(named, vocabularies, ["q_serie", "action", "task", "dataset", "llm"], {"action": "zero-shot"})
+        .select(
+            "q_id", "q_serie", "action", "task", "dataset", "lang", "llm",
+            sets.or_empty(F.from_json("raw", "array<string>")).alias("answer"),
+            "file_path",
+        )
     )
 
 
@@ -112,13 +118,9 @@ def read_answer_documents(spark: SparkSession, path: str | list[str], llms: list
 
 def parse_relations(documents: DataFrame, llms: list[str], datasets: list[str] = names.DATASETS) -> DataFrame:
     """``{id: [five labels]}`` documents to one row per (q_id, dataset, llm)."""
-    e = path_text(F.col("file_path"))
-    keyed = (
-        documents.filter(file_name(F.col("file_path")).startswith("Relation"))
-        .withColumns({"dataset": key_from_path(e, datasets), "llm": key_from_path(e, llms)})
-        .dropna(subset=["dataset", "llm"])
-        .select("file_path", "dataset", "llm", F.explode(F.from_json("value", "map<string,string>")).alias("q_id", "raw"))
-        .withColumn("labels", F.from_json("raw", "array<string>"))
+    named = documents.filter(file_name(F.col("file_path")).startswith("Relation"))
+    keyed = _keyed(named, {"dataset": datasets, "llm": llms}, ["dataset", "llm"]).withColumn(
+        "labels", F.from_json("raw", "array<string>")
     )
     return keyed.select(
         "q_id", "dataset", "llm",
@@ -146,21 +148,9 @@ def parse_classified_relations(
     Labels are mapped to the canonical ones.  Where two files give the same cell, the file with
     the larger path wins.
     """
-    e = path_text(F.col("file_path"))
-    keyed = (
-        documents.filter(~file_name(F.col("file_path")).startswith("Q"))
-        .withColumns({
-            "dataset": key_from_path(e, datasets),
-            "llm": key_from_path(e, llms),
-            "task": key_from_path(e, tasks),
-        })
-        .filter(F.col("dataset").isNotNull() & F.col("llm").isNotNull() & F.col("task").isin(list(TASK_RELATION)))
-        .select(
-            "file_path", "dataset", "llm", "task",
-            F.explode(F.from_json("value", "map<string,string>")).alias("q_id", "raw"),
-        )
-        .withColumn("label", classified_label(F.col("raw")))
-    )
+    named = documents.filter(~file_name(F.col("file_path")).startswith("Q"))
+    vocabularies = {"dataset": datasets, "llm": llms, "task": [t for t in tasks if t in TASK_RELATION]}
+    keyed = _keyed(named, vocabularies, list(vocabularies)).withColumn("label", classified_label(F.col("raw")))
     labelled = with_canonical_labels(keyed, {"label": "label"})
     cells = [
         F.max_by(F.when(F.col("task") == t, F.col("label")), F.when(F.col("task") == t, F.col("file_path"))).alias(c)

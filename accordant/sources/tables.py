@@ -11,12 +11,18 @@ from pyspark.sql import functions as F
 
 from accordant.operators.analysis import slot_mask
 from accordant.operators.answers import SLOTS
+from accordant.session import spread
 
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def load_spread(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
+    """Chosen columns of a table whose rows feed costly expressions."""
+    return spread(load(spark, root, name).select(*columns))
+
+
 # Which order lines put their element into which answer set.
 SLOT_RULES = {
     "e1": "l_quantity <= 45",
@@ -32,8 +38,8 @@ SLOT_RULES = {
 
 def order_lines(spark: SparkSession, root: str) -> DataFrame:
     """Order lines as question, dataset, model, action and element, with the rule columns."""
-    lines = load(spark, root, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag",
+    lines = load_spread(
+        spark, root, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag",
         "l_linestatus", "l_extendedprice", "l_linenumber",
     )
     orders = load(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -88,16 +94,23 @@ def answer_elements(spark: SparkSession, root: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, root: str) -> DataFrame:
-    """Array-valued answers with a file path; a set has at most the three possible elements."""
+    """Array-valued answers with a file path; a set has at most the three possible elements.
+
+    The sets are gathered as bits of a number, which hash aggregation can combine before the
+    shuffle, and become arrays at the end.
+    """
     keys = ["q_id", "q_serie", "action", "task", "dataset", "llm"]
-    return (
-        answer_elements(spark, root).groupBy(*keys)
-        .agg(F.array_sort(F.collect_set("element")).alias("answer"))
-        .withColumns({
-            "lang": F.lit(None).cast("string"),
-            "file_path": F.concat_ws("/", F.lit("/data/answers"), "action", "dataset", "task", "q_serie", "llm"),
-        })
-    )
+    domain = F.array(*[F.lit(e) for e in ("1", "2", "idk")])
+    bit = F.lit(0)
+    for i, e in enumerate(("1", "2", "idk")):
+        bit = F.when(F.col("element") == e, F.lit(1 << i)).otherwise(bit)
+    sets = answer_elements(spark, root).groupBy(*keys).agg(F.bit_or(bit).alias("bits"))
+    answer = F.filter(domain, lambda e, i: F.getbit(F.col("bits"), i) == 1)
+    return sets.withColumns({
+        "answer": answer,
+        "lang": F.lit(None).cast("string"),
+        "file_path": F.concat_ws("/", F.lit("/data/answers"), "action", "dataset", "task", "q_serie", "llm"),
+    }).drop("bits")
 
 
 def questions(spark: SparkSession, root: str) -> DataFrame:

@@ -48,14 +48,15 @@ def answer_documents(answers: DataFrame, ids_per_file: int = 1000) -> DataFrame:
     keys = ["action", "dataset", "task", "q_serie", "llm"]
     shard = F.floor(F.col("q_id").cast("long") / ids_per_file).alias("shard")
     return answers.groupBy(*keys, shard).agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("q_id", "answer"))))).alias("value")
+        F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("q_id", "answer"))))).alias("value"),
+        F.count("*").alias("n_ids"),
     )
 
 
 def write_answer_documents(answers: DataFrame, path: str, ids_per_file: int = 1000, mode: str = "error") -> None:
     """Answer documents as JSON lines below ``action=/dataset=/task=/q_serie=/llm=``."""
     keys = ["action", "dataset", "task", "q_serie", "llm"]
-    docs = answer_documents(answers, ids_per_file).drop("shard")
+    docs = answer_documents(answers, ids_per_file).drop("shard", "n_ids")
     _by_directory(docs, keys).write.mode(mode).partitionBy(*keys).text(path)
 
 
