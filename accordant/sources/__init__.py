@@ -1,0 +1 @@
+"""Readers, writers, path keys and table adapters."""
