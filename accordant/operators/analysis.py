@@ -115,6 +115,23 @@ def analyse_elements(elements: DataFrame, star_series: str = "Q1") -> DataFrame:
     return analyse_masks(rows)
 
 
+def role_bits() -> str:
+    """Membership bits by role: what ``roles`` does to sets, done to the mask of one element.
+
+    For actions that ask once, c1 and m1 are e1, m3 is c3 and the repeat is the star answer; for
+    the others the repeat is c1.
+    """
+    b = _SLOT_BITS
+    once = ", ".join(f"'{a}'" for a in SINGLE_ACTIONS)
+    keep = b["e1"] | b["e2"] | b["c3"] | b["m4"] | b["star"]
+    repeat = (b["star"] - 1, b["star"] // b["c1"])
+    return (
+        f"CASE WHEN action IN ({once}) THEN (mask & {keep}) "
+        f"| ((mask & {b['e1']}) * {(b['c1'] | b['m1']) // b['e1']}) | ((mask & {b['c3']}) * {b['m3'] // b['c3']}) "
+        f"ELSE (mask & {repeat[0]}) | ((mask & {b['c1']}) * {repeat[1]}) END"
+    )
+
+
 def analyse_masks(rows: DataFrame) -> DataFrame:
     """Analysis table of rows ``q_id, action, dataset, llm, element, mask, seen``.
 
@@ -126,85 +143,65 @@ def analyse_masks(rows: DataFrame) -> DataFrame:
     """
     per_element = rows.groupBy(*GROUP_KEYS, "element").agg(
         F.bit_or("mask").alias("mask"), F.bit_or("seen").alias("seen")
-    )
-    once = F.col("action").isin(SINGLE_ACTIONS)
-
-    def has(slot: str) -> Column:
-        return F.col("mask").bitwiseAND(_SLOT_BITS[slot]) != 0
-
-    def pick(a: str, b: str) -> Column:
-        return F.when(once, has(a)).otherwise(has(b))
-
-    a1, a2, a3, a4 = has("e1"), has("e2"), has("c3"), has("m4")
-    c1, c3 = pick("e1", "c1"), has("c3")
-    m1, m3, m4 = pick("e1", "m1"), pick("c3", "m3"), has("m4")
-    s, p = F.when(once, has("star")).otherwise(has("c1")), has("m1")
-    pairs = {
-        "a1_a2": (a1, a2),
-        "a1_a34": (m1, m3 | m4),
-        "a3_a4": (m3, m4),
-        "a4_diff": (m4, m1 & ~m3),
-        "a1_s": (a1, s),
-        "a1_p": (a1, p),
-        "s_p": (s, p),
+    ).select(*GROUP_KEYS, F.expr(role_bits()).alias("r"), (F.col("element") == "idk").alias("is_idk"), "seen")
+    b = _SLOT_BITS
+    e1, e2, c1, c3, m1, m3, m4, s = (b[x] for x in ("e1", "e2", "c1", "c3", "m1", "m3", "m4", "star"))
+    counts = {
+        "both_a1_a34": f"(r & {m1}) != 0 AND (r & {m3 | m4}) != 0",
+        "any_a1_a34": f"(r & {m1 | m3 | m4}) != 0",
+        "both_a4_diff": f"(r & {m1 | m3 | m4}) = {m1 | m4}",
+        "any_a4_diff": f"(r & {m4}) != 0 OR (r & {m1 | m3}) = {m1}",
+        "a3_outside": f"(r & {c1 | c3}) = {c3}",
+        "a4_outside": f"(r & {m1 | m4}) = {m4}",
     }
-    is_idk = F.col("element") == "idk"
-    counters = []
-    for n, (x, y) in pairs.items():
-        counters += [F.count_if(x & y).alias(f"both_{n}"), F.count_if(x | y).alias(f"any_{n}")]
-    counters += [F.count_if(c3 & ~c1).alias("a3_outside"), F.count_if(m4 & ~m1).alias("a4_outside")]
-    for n, x in {"a1": a1, "a2": a2, "a3": a3, "a4": a4}.items():
-        counters += [F.count_if(x).alias(f"size_{n}"), F.count_if(x & is_idk).alias(f"idks_{n}")]
+    for n, x, y in (("a1_a2", e1, e2), ("a3_a4", m3, m4), ("a1_s", e1, s), ("a1_p", e1, m1), ("s_p", s, m1)):
+        counts[f"both_{n}"] = f"(r & {x | y}) = {x | y}"
+        counts[f"any_{n}"] = f"(r & {x | y}) != 0"
+    for n, x in {"a1": e1, "a2": e2, "a3": c3, "a4": m4}.items():
+        counts[f"size_{n}"] = f"(r & {x}) != 0"
+        counts[f"idks_{n}"] = f"is_idk AND (r & {x}) != 0"
     all_series = (1 << len(names.SERIES)) - 1
     star_bit = 1 << len(names.SERIES)
     g = (
         per_element.groupBy(*GROUP_KEYS)
-        .agg(*counters, F.bit_or("seen").alias("seen"))
+        .agg(*[F.expr(f"count_if({cond})").alias(n) for n, cond in counts.items()], F.bit_or("seen").alias("seen"))
         .filter(F.col("seen").bitwiseAND(all_series) == all_series)
     )
+    once = F.col("action").isin(SINGLE_ACTIONS)
 
-    def same(n: str) -> Column:
-        return F.col(f"both_{n}") == F.col(f"any_{n}")
-
-    has_s = (~once) | ((F.col("action") == "zero-shot") & (F.col("seen").bitwiseAND(star_bit) != 0))
-    has_p = ~once
-    flags = {
-        "eq_a1_a2": same("a1_a2"),
-        "eq_a1_a34": same("a1_a34"),
-        "sub_a3_a1": F.col("a3_outside") == 0,
-        "sub_a4_a1": F.col("a4_outside") == 0,
-        "disj_a3_a4": F.col("both_a3_a4") == 0,
-        "part_a1_a34": same("a1_a34") & (F.col("both_a3_a4") == 0),
-        "eq_a1_s": F.when(has_s, same("a1_s")),
-        "eq_a1_p": F.when(has_p, same("a1_p")),
-        "eq_s_p": F.when(has_p, same("s_p")),
-    }
-
-    def jac(n: str) -> Column:
-        return round4(sets.ratio_or_zero(F.col(f"both_{n}"), F.col(f"any_{n}")))
-
-    jaccards = {
-        "jac_a1_a2": jac("a1_a2"),
-        "jac_a1_a34": jac("a1_a34"),
-        "jac_a3_a4": jac("a3_a4"),
-        "jac_a4_diff": jac("a4_diff"),
-        "jac_a1_s": F.when(has_s, jac("a1_s")),
-        "jac_a1_p": F.when(has_p, jac("a1_p")),
-        "jac_s_p": F.when(has_p, jac("s_p")),
+    def when(need: str, value: str) -> str:
+        return f"CASE WHEN {need} THEN {value} END" if need else value
+
+    has = {"s": "has_s", "p": "has_p", "": ""}
+    sames = {"eq_a1_a2": ("a1_a2", ""), "eq_a1_a34": ("a1_a34", ""), "eq_a1_s": ("a1_s", "s"), "eq_a1_p": ("a1_p", "p"),
+             "eq_s_p": ("s_p", "p")}
+    flags = {n: when(has[need], f"INT(both_{x} = any_{x})") for n, (x, need) in sames.items()}
+    flags |= {
+        "sub_a3_a1": "INT(a3_outside = 0)",
+        "sub_a4_a1": "INT(a4_outside = 0)",
+        "disj_a3_a4": "INT(both_a3_a4 = 0)",
+        "part_a1_a34": "INT(both_a1_a34 = any_a1_a34 AND both_a3_a4 = 0)",
     }
+    needs = {"jac_a1_s": "s", "jac_a1_p": "p", "jac_s_p": "p"}
+    jaccards = {}
+    for n in names.JACCARDS:
+        x = n.removeprefix("jac_")
+        jaccards[n] = when(
+            has[needs.get(n, "")],
+            f"bround(CASE WHEN any_{x} = 0 THEN 0D ELSE DOUBLE(both_{x}) / DOUBLE(any_{x}) END, 4)",
+        )
     sides = ("a1", "a2", "a3", "a4")
-    return g.select(
+    idks = {f"idk_{a}": f"INT(size_{a} = 0 OR idks_{a} > 0)" for a in sides}
+    idks |= {f"idk_only_{a}": f"INT(size_{a} = 0 OR (size_{a} = 1 AND idks_{a} = 1))" for a in sides}
+    return g.withColumns({
+        "has_s": ~once | ((F.col("action") == "zero-shot") & (F.col("seen").bitwiseAND(star_bit) != 0)),
+        "has_p": ~once,
+    }).selectExpr(
         *GROUP_KEYS,
-        *[sets.flag(v).alias(n) for n, v in flags.items()],
-        *[v.alias(n) for n, v in jaccards.items()],
-        *[F.col(f"size_{a}").alias(f"size_{a}") for a in sides],
-        *[sets.flag((F.col(f"size_{a}") == 0) | (F.col(f"idks_{a}") > 0)).alias(f"idk_{a}") for a in sides],
-        *[
-            sets.flag(
-                (F.col(f"size_{a}") == 0) | ((F.col(f"size_{a}") == 1) & (F.col(f"idks_{a}") == 1))
-            ).alias(f"idk_only_{a}")
-            for a in sides
-        ],
+        *[f"{flags[n]} AS {n}" for n in names.FLAGS],
+        *[f"{e} AS {n}" for n, e in jaccards.items()],
+        *[f"size_{a}" for a in sides],
+        *[f"{e} AS {n}" for n, e in idks.items()],
     )
 
 

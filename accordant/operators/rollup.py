@@ -32,7 +32,7 @@ def exact_sum(c: str, condition: Column | None = None) -> Column:
     Whole numbers add up to the same total in any order, so a mean does not depend on how rows
     were partitioned.
     """
-    scaled = F.round(F.col(c) * 10000).cast("long")
+    scaled = F.expr(f"BIGINT(round({c} * 10000))")
     return F.sum(scaled if condition is None else F.when(condition, scaled))
 
 

@@ -19,14 +19,9 @@ _TESTED = names.TESTED
 
 def flag_code(tested: list[str] = _TESTED) -> Column:
     """All tested flags of a row in one integer: per flag a bit for 'right' and one for 'wrong'."""
-    out = F.lit(0)
-    for i, f in enumerate(tested):
-        out = out + F.when(F.col(f) == 1, F.lit(1 << (2 * i))).when(F.col(f) == 0, F.lit(2 << (2 * i))).otherwise(F.lit(0))
-    return out
-
-
-def _bit(code: Column, i: int, wrong: bool) -> Column:
-    return code.bitwiseAND((2 if wrong else 1) << (2 * i)) != 0
+    return F.expr(" + ".join(
+        f"CASE {f} WHEN 1 THEN {1 << (2 * i)} WHEN 0 THEN {2 << (2 * i)} ELSE 0 END" for i, f in enumerate(tested)
+    ))
 
 
 def rounded_p(p: Column) -> Column:
@@ -57,11 +52,11 @@ def paired_counts(
         lambda s: s["code"].isNotNull(),
     )).alias("s")
     paired = per_question.filter(base.isNotNull()).select("dataset", "llm", base.alias("base"), cells)
-    code, b = F.col("s.code"), F.col("base")
     aggs = []
     for i, f in enumerate(tested):
-        aggs.append(F.count_if(_bit(code, i, False) & _bit(b, i, True)).alias(f"n10_{f}"))
-        aggs.append(F.count_if(_bit(code, i, True) & _bit(b, i, False)).alias(f"n01_{f}"))
+        right, wrong = 1 << (2 * i), 2 << (2 * i)
+        aggs.append(F.expr(f"count_if((s.code & {right}) != 0 AND (base & {wrong}) != 0)").alias(f"n10_{f}"))
+        aggs.append(F.expr(f"count_if((s.code & {wrong}) != 0 AND (base & {right}) != 0)").alias(f"n01_{f}"))
     keys = ["dataset", "llm", "action"]
     fine = paired.groupBy("dataset", "llm", F.col("s.action").alias("action")).agg(*aggs)
     return overall_level(fine, keys, [f"{n}_{f}" for f in tested for n in ("n10", "n01")])

@@ -8,14 +8,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from accordant.operators.analysis import slot_mask
 from accordant.operators.answers import SLOTS
 from accordant.session import spread
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    """Scan of a table; its schema is read from the files once per path."""
+    path = f"{root}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def load_spread(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
