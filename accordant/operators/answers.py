@@ -72,6 +72,16 @@ def series_bit(serie: Column) -> Column:
     return out
 
 
+def q2_containment_as_q3(answers: DataFrame) -> DataFrame:
+    """Count containment answers filed under Q2 as Q3.
+
+    Some collection runs file the narrower question of the containment task under Q2.  Without
+    this their A3 is the empty set, which every A1 contains.
+    """
+    moved = (F.col("q_serie") == "Q2") & (F.col("task") == "sup-sub")
+    return answers.withColumn("q_serie", F.when(moved, "Q3").otherwise(F.col("q_serie")))
+
+
 def complete_groups(answers: DataFrame) -> DataFrame:
     """Keys of the groups in which all four series were answered."""
     return (

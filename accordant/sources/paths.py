@@ -25,16 +25,26 @@ def path_text(path: Column) -> Column:
     return F.concat(F.lit("/"), parts, F.lit("/"))
 
 
-def key_from_path(text: Column, vocabulary: list[str], default: str | None = None) -> Column:
-    """First vocabulary entry, in vocabulary order, that is a part of ``path_text``; case matters."""
+def key_from_path(
+    text: Column, vocabulary: list[str], default: str | None = None, ignore_case: bool = False
+) -> Column:
+    """First vocabulary entry, in vocabulary order, that is a part of ``path_text``.
+
+    Case matters unless ``ignore_case`` is set, which expects a lower-case text.
+    """
     out = F.lit(default).cast("string")
     for word in reversed([w for w in vocabulary if "/" not in w]):
-        out = F.when(text.contains(f"/{word}/"), F.lit(word)).otherwise(out)
+        part = word.lower() if ignore_case else word
+        out = F.when(text.contains(f"/{part}/"), F.lit(word)).otherwise(out)
     return out
 
 
 def path_keys(
-    path: Column, vocabularies: dict[str, list[str]], required: list[str], defaults: dict[str, str] | None = None
+    path: Column,
+    vocabularies: dict[str, list[str]],
+    required: list[str],
+    defaults: dict[str, str] | None = None,
+    ignore_case: bool = False,
 ) -> Column:
     """All keys of a path as one struct; NULL if a required key is absent.
 
@@ -42,9 +52,12 @@ def path_keys(
     the expression around it.
     """
     defaults = defaults or {}
+    text = F.lower(path_text(path)) if ignore_case else path_text(path)
     found = F.transform(
-        F.array(path_text(path)),
-        lambda t: F.struct(*[key_from_path(t, v, defaults.get(k)).alias(k) for k, v in vocabularies.items()]),
+        F.array(text),
+        lambda t: F.struct(*[
+            key_from_path(t, v, defaults.get(k), ignore_case).alias(k) for k, v in vocabularies.items()
+        ]),
     )
 
     def complete(s: Column) -> Column:

@@ -56,13 +56,17 @@ def entries(documents: DataFrame) -> DataFrame:
 
 
 def _keyed(
-    documents: DataFrame, vocabularies: dict[str, list[str]], required: list[str], defaults: dict[str, str] | None = None
+    documents: DataFrame,
+    vocabularies: dict[str, list[str]],
+    required: list[str],
+    defaults: dict[str, str] | None = None,
+    ignore_case: bool = False,
 ) -> DataFrame:
     """Entries of the documents whose paths hold all required keys, with the keys as columns.
 
     Paths are checked before any text is parsed.
     """
-    keys = path_keys(F.col("file_path"), vocabularies, required, defaults)
+    keys = path_keys(F.col("file_path"), vocabularies, required, defaults, ignore_case)
     return (
         documents.withColumn("k", keys).filter(F.col("k").isNotNull())
         .select("file_path", "k", F.explode(F.from_json("value", "map<string,string>")).alias("q_id", "raw"))
@@ -82,20 +86,33 @@ def parse_answers(
     languages: list[str] = names.LANGUAGES,
     questions: list[str] = names.SERIES,
     name_prefix: str = "Q",
+    ignore_case: bool = False,
+    starred_language: str | None = None,
 ) -> DataFrame:
     """Answer documents to rows ``q_id, q_serie, action, task, dataset, lang, llm, answer``.
 
     A value that is no list gives an empty answer.  Files whose keys cannot be resolved are
-    dropped before their text is parsed.
+    dropped before their text is parsed; ``ignore_case`` resolves keys in any case.  Files of
+    another language start with an asterisk and are left out, unless ``starred_language`` says
+    which language they are in.
     """
     vocabularies = {
         "q_serie": questions, "action": actions, "task": tasks, "dataset": datasets, "lang": languages, "llm": llms,
     }
-    named = documents.filter(file_name(F.col("file_path")).startswith(name_prefix))
+    name = file_name(F.col("file_path"))
+    named, lang = documents.filter(name.startswith(name_prefix)), F.col("lang")
+    if starred_language is not None:
+        starred = name.startswith("*" + name_prefix)
+        plain = F.when(starred, F.replace("file_path", F.lit("/*"), F.lit("/"))).otherwise(F.col("file_path"))
+        named = documents.filter(starred | name.startswith(name_prefix)).withColumns({
+            "file_path": F.when(starred, F.concat(F.lit("*"), plain)).otherwise(plain),
+        })
+        lang = F.when(F.col("file_path").startswith("*"), starred_language).otherwise(lang).alias("lang")
+    required = ["q_serie", "action", "task", "dataset", "llm"]
     return (
-        _keyed(named, vocabularies, ["q_serie", "action", "task", "dataset", "llm"], {"action": "zero-shot"})
+        _keyed(named, vocabularies, required, {"action": "zero-shot"}, ignore_case)
         .select(
-            "q_id", "q_serie", "action", "task", "dataset", "lang", "llm",
+            "q_id", "q_serie", "action", "task", "dataset", lang, "llm",
             sets.or_empty(F.from_json("raw", "array<string>")).alias("answer"),
             "file_path",
         )
@@ -116,10 +133,12 @@ def read_answer_documents(spark: SparkSession, path: str | list[str], llms: list
 # -- relation labels -------------------------------------------------------------------------
 
 
-def parse_relations(documents: DataFrame, llms: list[str], datasets: list[str] = names.DATASETS) -> DataFrame:
+def parse_relations(
+    documents: DataFrame, llms: list[str], datasets: list[str] = names.DATASETS, ignore_case: bool = False
+) -> DataFrame:
     """``{id: [five labels]}`` documents to one row per (q_id, dataset, llm)."""
     named = documents.filter(file_name(F.col("file_path")).startswith("Relation"))
-    keyed = _keyed(named, {"dataset": datasets, "llm": llms}, ["dataset", "llm"]).withColumn(
+    keyed = _keyed(named, {"dataset": datasets, "llm": llms}, ["dataset", "llm"], ignore_case=ignore_case).withColumn(
         "labels", F.from_json("raw", "array<string>")
     )
     return keyed.select(
@@ -142,6 +161,7 @@ def parse_classified_relations(
     llms: list[str],
     datasets: list[str] = names.DATASETS,
     tasks: list[str] = names.TASKS,
+    ignore_case: bool = False,
 ) -> DataFrame:
     """Per-task label documents merged to one row per (q_id, dataset, llm).
 
@@ -150,7 +170,9 @@ def parse_classified_relations(
     """
     named = documents.filter(~file_name(F.col("file_path")).startswith("Q"))
     vocabularies = {"dataset": datasets, "llm": llms, "task": [t for t in tasks if t in TASK_RELATION]}
-    keyed = _keyed(named, vocabularies, list(vocabularies)).withColumn("label", classified_label(F.col("raw")))
+    keyed = _keyed(named, vocabularies, list(vocabularies), ignore_case=ignore_case).withColumn(
+        "label", classified_label(F.col("raw"))
+    )
     labelled = with_canonical_labels(keyed, {"label": "label"})
     cells = [
         F.max_by(F.when(F.col("task") == t, F.col("label")), F.when(F.col("task") == t, F.col("file_path"))).alias(c)

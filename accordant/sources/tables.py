@@ -121,9 +121,9 @@ def answers(spark: SparkSession, root: str) -> DataFrame:
     }).drop("bits")
 
 
-def questions(spark: SparkSession, root: str) -> DataFrame:
+def questions(spark: SparkSession, root: str, where: str = "true") -> DataFrame:
     """Question table of the customers: ``q_index, Q1..Q4, dataset, lang``."""
-    c = load(spark, root, "customer")
+    c = load(spark, root, "customer").filter(where)
     return c.select(
         F.col("c_custkey").alias("q_index"),
         *[F.concat(F.lit(f"Q{i}: "), F.col("c_name")).alias(f"Q{i}") for i in range(1, 5)],

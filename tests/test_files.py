@@ -198,6 +198,31 @@ def test_incremental_ingest(spark, tmp_path):
     assert t.count() == n + 1 and t.filter("q_id = '7'").first().dataset == "qawiki"
 
 
+def test_optional_path_rules(spark):
+    docs = spark.createDataFrame(
+        [("/x/zero-shot/LC-QuAD/equal/Q1_equal_answers_m.json", '{"0": ["a"]}'),
+         ("/x/zero-shot/spinach/equal/*Q2_equal_answers_wikidata_m.json", '{"1": ["b"]}')],
+        "file_path string, value string",
+    )
+    assert readers.parse_answers(docs, ["m"]).count() == 0
+    assert [(r.q_id, r.dataset) for r in readers.parse_answers(docs, ["m"], ignore_case=True).collect()] == [("0", "lc-quad")]
+    r = readers.parse_answers(docs, ["m"], starred_language="es").collect()
+    assert [(x.q_id, x.q_serie, x.action, x.lang) for x in r] == [("1", "Q2", "wikidata", "es")]
+
+
+def test_containment_filed_under_q2(spark):
+    from accordant.operators.answers import answer_slots, q2_containment_as_q3
+
+    rows = [("0", s, "classification", t, "d", "m", [e], "f") for s, t, e in (
+        ("Q1", "equal", "a"), ("Q2", "equal", "b"), ("Q2", "sup-sub", "c"), ("Q3", "minus", "d"), ("Q4", "minus", "e"))]
+    df = spark.createDataFrame(
+        rows, "q_id string, q_serie string, action string, task string, dataset string, llm string, answer array<string>, file_path string"
+    )
+    assert answer_slots(df).first().c3 == []
+    fixed = answer_slots(q2_containment_as_q3(df)).first()
+    assert (fixed.c3, fixed.e2) == (["c"], ["b"])
+
+
 def test_labels_cover_the_vocabulary():
     assert set(names.TRUE_LABELS.values()) <= set(names.CANONICAL_LABELS)
     assert set(relations.CONTRADICTION_SPEC[0]) == {"sc_a1_a2", "eq_a1_a2", "r_12", "Equivalence"}
