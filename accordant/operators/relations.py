@@ -45,18 +45,20 @@ def merge_relations_by_action(analysis: DataFrame, relations: DataFrame, classif
     """Fill labels by action: zero-shot rows from one table, classification rows from the other.
 
     Both right tables go into one join, tagged with the action they serve, and repeated keys
-    are reduced before it.
+    are reduced before it.  Reduction and join use the analysis keys in the same order, so both
+    sides arrive partitioned for the join.
     """
     tagged = align_relations(relations).withColumn("action", F.lit("zero-shot")).unionByName(
         align_relations(classified).withColumn("action", F.lit("classification"))
     )
+    keys = ["q_id", "action", "dataset", "llm"]
     first = (
-        tagged.groupBy(*RELATION_KEYS, "action")
+        tagged.groupBy(*keys)
         .agg(F.min_by(F.struct(*names.RELATIONS), "file_path").alias("r"))
-        .select(*RELATION_KEYS, "action", "r.*")
+        .select(*keys, "r.*")
     )
     bare = analysis.drop(*names.RELATIONS)
-    return contradictions(bare.join(first, [*RELATION_KEYS, "action"], "left").select(*bare.columns, *names.RELATIONS))
+    return contradictions(bare.join(first, keys, "left").select(*bare.columns, *names.RELATIONS))
 
 
 # Contradiction flag, the observed flag, the label column and its true label.

@@ -62,12 +62,14 @@ def materialise(df: DataFrame, name: str = "stage", partition_by: list[str] | No
     """Write ``df`` as parquet to the shared folder and return a scan of it.
 
     Use it where several consumers read one result: the scan is columnar, so each consumer
-    reads only its columns, and a lost executor costs a re-read and not a recompute.
+    reads only its columns, and a lost executor costs a re-read and not a recompute.  Rows of one
+    directory are brought together first, so tasks do not write a file into every directory; a
+    large directory is split again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
