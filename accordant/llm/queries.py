@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from accordant.llm.common import table
 
@@ -42,3 +43,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from accordant.llm.exact_dedup import exact_duplicates
 
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _secrets_sql() -> str:
+    from accordant.llm.secrets import spans_sql
+
+    return spans_sql()
+
+
+@query(_secrets_sql())
+def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from accordant.llm.secrets import scan_secrets
+
+    out = scan_secrets(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans",
+        "n_owned", "n_live", "n_copied",
+    )
