@@ -60,3 +60,10 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans"), 256).alias("base_sha256"), "spans",
         "n_owned", "n_live", "n_copied",
     )
+
+
+@query()
+def op5_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from accordant.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
