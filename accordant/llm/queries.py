@@ -67,3 +67,18 @@ def op5_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from accordant.llm.url_filter import judge_urls
 
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from accordant.llm import toxicity
+    from accordant.llm.training import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score_toxicity(docs, model, "t")
+    return out.select(
+        F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), F.col("t.score").alias("score"),
+        (F.col("t.score") >= 0.5).cast("int").alias("predicted"), F.col("t.n_tokens").alias("n_tokens"),
+        F.size("t.passages").alias("n_passages"),
+    )
