@@ -82,3 +82,17 @@ def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("t.score") >= 0.5).cast("int").alias("predicted"), F.col("t.n_tokens").alias("n_tokens"),
         F.size("t.passages").alias("n_passages"),
     )
+
+
+@query()
+def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from accordant.llm import quality
+    from accordant.llm.training import held_out
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    out = docs.withColumn("score", quality.quality(model))
+    return out.select(
+        F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
