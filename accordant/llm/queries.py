@@ -96,3 +96,28 @@ def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("""
+with recursive words as (
+  select row_number() over () as rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+  from documents),
+shingles as (
+  select distinct rid, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end as s
+  from words, lateral (select unnest(range(1, greatest(2, len(w) - 3))) as i) u where len(w) > 0),
+sizes as (select rid, count(*) as n from shingles group by rid),
+pairs as (
+  select a.rid as x, b.rid as y, count(*) as k from shingles a join shingles b on a.s = b.s and a.rid <> b.rid group by all),
+links as (
+  select x, y from pairs join sizes p on x = p.rid join sizes q on y = q.rid where 100 * k >= 80 * (p.n + q.n - k)),
+reach as (
+  select rid as a, rid as b from words union select r.a, l.y from reach r join links l on r.b = l.x)
+select w.doc_id, coalesce(any_value(n), 0) as n_shingles, min(v.doc_id) as component_id
+from words w left join sizes s on w.rid = s.rid join reach r on r.a = w.rid join words v on v.rid = r.b
+group by w.rid, w.doc_id
+""")
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from accordant.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
