@@ -121,3 +121,24 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from accordant.llm.jaccard import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("""
+with recursive good as (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+fine as (
+  select rid, vec_id, v from good where len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(v, lambda x: x <> 0)) > 0),
+links as (
+  select a.rid as x, b.rid as y from fine a join fine b on a.rid <> b.rid and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.95),
+reach as (select rid as a, rid as b from good union select r.a, l.y from reach r join links l on r.b = l.x),
+parts as (select a as rid, min(g.vec_id) as component_id from reach join good g on b = g.rid group by a),
+degree as (select x as rid, count(*) as n from links group by x)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id is not distinct from component_id as kept
+from good left join degree using (rid) join parts using (rid)
+""")
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from accordant.llm.multi_index import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
