@@ -46,14 +46,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _secrets_sql() -> str:
-    from accordant.llm.secrets import spans_sql
+    from accordant.llm.secret_scan import spans_sql
 
     return spans_sql()
 
 
 @query(_secrets_sql())
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from accordant.llm.secrets import scan_secrets
+    from accordant.llm.secret_scan import scan_secrets
 
     out = scan_secrets(table(spark, sf_dir, "documents"))
     return out.select(
@@ -142,3 +142,17 @@ def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from accordant.llm.multi_index import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file of the packing query; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op4_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from accordant.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
