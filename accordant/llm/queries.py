@@ -156,3 +156,10 @@ def op4_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from accordant.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query()
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from accordant.llm.pitman_yor import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
