@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,16 +45,27 @@ LABEL_PATTERNS = [
 ]
 
 
+def _composed(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+
+
+def _folded(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else t.casefold() for t in texts.to_pylist()], pa.string())
+
+
 def nfkc(s: Column) -> Column:
-    """Unicode compatibility composition, by the ICU library that Spark ships; ASCII passes as is."""
-    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), s, F.lit(True))
-    return F.when(s.rlike(ASCII_ONLY), s).when(s.isNotNull(), composed)
+    """Unicode compatibility composition; ASCII passes as is, and only other text goes to Python.
+
+    The function is deterministic, so filters above it still reach the scan.
+    """
+    ascii_only = s.rlike(ASCII_ONLY)
+    return F.when(ascii_only, s).otherwise(F.arrow_udf(_composed, "string")(F.when(~ascii_only, s)))
 
 
 def casefold(s: Column) -> Column:
     """Full Unicode case folding (unlike ``lower``, 'ß' becomes 'ss')."""
-    folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), s, F.lit(True))
-    return F.when(s.rlike(ASCII_ONLY), F.lower(s)).when(s.isNotNull(), folded)
+    ascii_only = s.rlike(ASCII_ONLY)
+    return F.when(ascii_only, F.lower(s)).otherwise(F.arrow_udf(_folded, "string")(F.when(~ascii_only, s)))
 
 
 def clean_label(s: Column) -> Column:

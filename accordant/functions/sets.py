@@ -1,7 +1,7 @@
 """Algebra on answer sets held as ``ARRAY<STRING>``.
 
 Arrays are treated as sets: order and repeats do not matter.  Everything here is row-local; for
-sets too large for one row see :mod:`accordant.operators.membership`.
+sets too large for one row see :mod:`accordant.operators.analysis`.
 """
 
 from __future__ import annotations

@@ -107,8 +107,8 @@ def _half_beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= c * d
         if abs(c * d - 1.0) < 1e-16:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"no convergence for a={a}, b={b}, x={x}")
 
 
 def pearson_p_value(r: float, n: float) -> float | None:

@@ -1,9 +1,11 @@
 """Per-question analysis: nine relation flags and seven similarities.
 
-Two forms give the same table:
+Two forms give the same keys, flags, similarities and idk flags:
 
-* :func:`analyse` for answers that arrive as one array per row (answer files);
-* :func:`analyse_elements` for answers that arrive as one row per element, of any size.
+* :func:`analyse` for answers that arrive as one array per row (answer files), which also carries
+  the sets a1..a4, a1_s, a1_p and the question texts;
+* :func:`analyse_elements` for answers that arrive as one row per element, of any size, which
+  carries the sizes of the sets instead.
 """
 
 from __future__ import annotations
@@ -88,23 +90,45 @@ def slot_mask(conditions: dict[str, Column]) -> Column:
     return out
 
 
-def analyse_elements(elements: DataFrame, star_series: str = "Q1") -> DataFrame:
+def first_rows(elements: DataFrame) -> DataFrame:
+    """Element rows of the answer that counts: the one with the lowest file path per answer key.
+
+    Star answers of a group are one key, whatever their series: the lowest (series, path) counts.
+    The paths of a key are reduced to distinct ones before they are compared, so only keys are
+    shuffled for it, and the join's large keys are split by adaptive execution.
+    """
+    star = F.col("action") == "star"
+    key = {"__serie": F.when(~star, F.col("q_serie")), "__task": F.when(~star, F.col("task"))}
+    rows = elements.withColumns({
+        **{k: F.coalesce(v, F.lit("")) for k, v in key.items()},
+        "__rank": F.concat_ws("\u0001", F.coalesce("q_serie", F.lit("")), F.coalesce("file_path", F.lit(""))),
+    })
+    keys = ["q_id", "action", "dataset", "llm", "__serie", "__task"]
+    least = rows.select(*keys, "__rank").distinct().groupBy(*keys).agg(F.min("__rank").alias("__rank"))
+    return rows.join(least, [*keys, "__rank"], "left_semi").drop("__serie", "__task", "__rank")
+
+
+def analyse_elements(
+    elements: DataFrame, single: list[str] = SINGLE_ACTIONS, repeat: list[str] = REPEAT_ACTIONS
+) -> DataFrame:
     """Analysis table of element rows ``q_id, q_serie, action, task, dataset, llm, element``.
 
     An answer without elements is one row with ``has_element`` false; without that column every
-    row is an element.  See :func:`analyse_masks` for the plan.
+    row is an element.  With a ``file_path`` column, repeated answers keep the lowest path; without
+    it, the rows of a key are one answer.  Actions in neither list take no part.  See
+    :func:`analyse_masks` for the plan.
     """
     if "has_element" not in elements.columns:
         elements = elements.withColumn("has_element", F.lit(True))
     star = F.col("action") == "star"
     conditions = {s: ~star & slot_condition(s) for s in SLOTS}
-    conditions["star"] = star & (F.col("q_serie") == star_series)
-    known = SINGLE_ACTIONS + REPEAT_ACTIONS + ["star"]
+    conditions["star"] = star
     bit = F.lit(0)
     for i, s in enumerate(names.SERIES):
         bit = F.when(~star & (F.col("q_serie") == s), F.lit(1 << i)).otherwise(bit)
     seen = F.when(star, F.lit(1 << len(names.SERIES))).otherwise(bit)
-    rows = elements.filter(F.col("action").isin(known)).select(
+    known = elements.filter(F.col("action").isin([*single, *repeat, "star"]))
+    rows = (first_rows(known) if "file_path" in known.columns else known).select(
         "q_id",
         F.when(star, "zero-shot").otherwise(F.col("action")).alias("action"),
         "dataset", "llm",
@@ -112,17 +136,17 @@ def analyse_elements(elements: DataFrame, star_series: str = "Q1") -> DataFrame:
         F.when(F.col("has_element"), slot_mask(conditions)).otherwise(F.lit(0)).alias("mask"),
         seen.alias("seen"),
     )
-    return analyse_masks(rows)
+    return analyse_masks(rows, single)
 
 
-def role_bits() -> str:
+def role_bits(single: list[str] = SINGLE_ACTIONS) -> str:
     """Membership bits by role: what ``roles`` does to sets, done to the mask of one element.
 
     For actions that ask once, c1 and m1 are e1, m3 is c3 and the repeat is the star answer; for
     the others the repeat is c1.
     """
     b = _SLOT_BITS
-    once = ", ".join(f"'{a}'" for a in SINGLE_ACTIONS)
+    once = ", ".join(f"'{a}'" for a in single)
     keep = b["e1"] | b["e2"] | b["c3"] | b["m4"] | b["star"]
     repeat = (b["star"] - 1, b["star"] // b["c1"])
     return (
@@ -132,7 +156,7 @@ def role_bits() -> str:
     )
 
 
-def analyse_masks(rows: DataFrame) -> DataFrame:
+def analyse_masks(rows: DataFrame, single: list[str] = SINGLE_ACTIONS) -> DataFrame:
     """Analysis table of rows ``q_id, action, dataset, llm, element, mask, seen``.
 
     ``mask`` says which answer sets the element is in, ``seen`` which series (and star) the row
@@ -143,7 +167,7 @@ def analyse_masks(rows: DataFrame) -> DataFrame:
     """
     per_element = rows.groupBy(*GROUP_KEYS, "element").agg(
         F.bit_or("mask").alias("mask"), F.bit_or("seen").alias("seen")
-    ).select(*GROUP_KEYS, F.expr(role_bits()).alias("r"), (F.col("element") == "idk").alias("is_idk"), "seen")
+    ).select(*GROUP_KEYS, F.expr(role_bits(single)).alias("r"), (F.col("element") == "idk").alias("is_idk"), "seen")
     b = _SLOT_BITS
     e1, e2, c1, c3, m1, m3, m4, s = (b[x] for x in ("e1", "e2", "c1", "c3", "m1", "m3", "m4", "star"))
     counts = {
@@ -167,7 +191,7 @@ def analyse_masks(rows: DataFrame) -> DataFrame:
         .agg(*[F.expr(f"count_if({cond})").alias(n) for n, cond in counts.items()], F.bit_or("seen").alias("seen"))
         .filter(F.col("seen").bitwiseAND(all_series) == all_series)
     )
-    once = F.col("action").isin(SINGLE_ACTIONS)
+    once = F.col("action").isin(single)
 
     def when(need: str, value: str) -> str:
         return f"CASE WHEN {need} THEN {value} END" if need else value
@@ -207,7 +231,7 @@ def analyse_masks(rows: DataFrame) -> DataFrame:
 
 def to_elements(answers: DataFrame) -> DataFrame:
     """Array-valued answers to element rows; an empty answer keeps one row without element."""
-    keys = ["q_id", "q_serie", "action", "task", "dataset", "llm"]
+    keys = ["q_id", "q_serie", "action", "task", "dataset", "llm", *[c for c in ("file_path",) if c in answers.columns]]
     return answers.select(*keys, F.posexplode_outer("answer").alias("pos", "element")).select(
         *keys, "element", F.col("pos").isNotNull().alias("has_element")
     )

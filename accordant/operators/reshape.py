@@ -44,9 +44,18 @@ def heatmap_cells(wide: DataFrame, order: list[str], action: str | None = None,
 
 
 def letter_code(i: Column) -> Column:
-    """0-based index to A..Z, then AA..; one leading letter per full alphabet."""
-    last = F.char(F.lit(65) + i % 26)
-    return F.when(i < 26, last).otherwise(F.concat(F.char(F.lit(64) + F.floor(i / 26).cast("int")), last))
+    """0-based index to A..Z, AA..ZZ, AAA..: as columns of a spreadsheet are named."""
+    out, rest, letters, below, count = F.lit(None).cast("string"), i.cast("long"), F.lit(""), 0, 1
+    texts = []
+    for _ in range(7):  # seven letters name every 32-bit index
+        letters = F.concat(F.char(F.lit(65) + rest % 26), letters)
+        rest = F.floor(rest / 26) - 1
+        count *= 26
+        below += count
+        texts.append((below, letters))
+    for below, letters in reversed(texts):
+        out = F.when(i < below, letters).otherwise(out)
+    return out
 
 
 def index_map(spark: SparkSession, order: list[str]) -> DataFrame:

@@ -26,18 +26,23 @@ def overall_level(fine: DataFrame, keys: list[str], sums: list[str]) -> DataFram
     ).drop("is_overall")
 
 
+# Metrics that have four decimals at most; others are summed with more.
+FOUR_DECIMALS = set(names.FLAGS + names.JACCARDS + names.IDKS + names.CONTRADICTIONS) | {
+    c.replace("idk_", "idk_only_") for c in names.IDKS
+}
+
+
 def exact_sum(c: str, condition: Column | None = None) -> Column:
-    """Sum of a 0/1 flag or a 4-decimal similarity as a whole number of ten-thousandths.
+    """Sum of a metric in ten-thousandths, the same in whatever order rows are added.
 
-    Whole numbers add up to the same total in any order, so a mean does not depend on how rows
-    were partitioned.
+    Flags and 4-decimal similarities become whole numbers; any other metric keeps sixteen decimals.
     """
-    scaled = F.expr(f"BIGINT(round({c} * 10000))")
+    scaled = F.expr(f"BIGINT(round({c} * 10000))" if c in FOUR_DECIMALS else f"CAST(CAST({c} AS DECIMAL(33, 16)) * 10000 AS DECIMAL(33, 12))")
     return F.sum(scaled if condition is None else F.when(condition, scaled))
 
 
 def mean_of(total: str, n: str) -> Column:
-    return F.when(F.col(n) > 0, F.col(total) / (F.col(n) * F.lit(10000.0)))
+    return F.when(F.col(n) > 0, F.col(total).cast("double") / (F.col(n) * F.lit(10000.0)))
 
 
 def metric_columns(df: DataFrame) -> list[str]:

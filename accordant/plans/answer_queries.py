@@ -55,14 +55,6 @@ SLOTS = f"""slots AS (
   FROM answers WHERE action <> 'star' GROUP BY q_id, action, dataset, llm
   HAVING count(DISTINCT q_serie) = 4)"""
 
-# Groups of order lines with every series answered, straight from the lines.
-LINE_SLOTS = "slots AS (SELECT q_id, action, dataset, llm,\n" + ",\n".join(
-    f"coalesce(list(DISTINCT element) FILTER (WHERE {s}), []::VARCHAR[]) AS {s}"
-    for s in ("e1", "e2", "c1", "c3", "m1", "m3", "m4")
-) + ",\nlist(DISTINCT element) FILTER (WHERE star AND action = 'zero-shot') AS star_answer\n" + (
-    "FROM lines GROUP BY q_id, action, dataset, llm)"
-)
-
 STARRED = """starred AS (
   SELECT s.*, t.answer AS star_answer FROM slots s LEFT JOIN answers t
   ON t.action = 'star' AND s.action = 'zero-shot' AND t.q_id = s.q_id AND t.dataset = s.dataset AND t.llm = s.llm)"""
@@ -146,7 +138,7 @@ ANALYSIS = "analysis AS (SELECT q_id, action, dataset, llm,\n" + ",\n".join(
 ) + "\nFROM roles)"
 
 FROM_ANSWERS = [LINES, ELEMENTS, ANSWERS, SLOTS, STARRED, roles_cte("starred"), ANALYSIS]
-FROM_LINES = [LINES, LINE_SLOTS, roles_cte("slots"), ANALYSIS]
+FROM_LINES = FROM_ANSWERS
 
 
 def tail_sql(k: str, n: str) -> str:

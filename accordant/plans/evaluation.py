@@ -1,7 +1,7 @@
 """The whole evaluation: from answer, label and question files to result tables.
 
-Every stage is a lazy DataFrame.  The analysis table has several consumers, so it is written
-once to the shared folder and scanned by each of them.
+The analysis table has several consumers, so :func:`evaluate` writes it at once to the shared
+folder and the other tables are lazy plans over that scan.
 """
 
 from __future__ import annotations

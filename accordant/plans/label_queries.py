@@ -75,7 +75,7 @@ _TEXT_LABEL = r"""CASE
 ))
 def canonical_labels_of_texts(spark, root):
     """Whole documents followed by a relation phrase."""
-    d = tables.load_spread(spark, root, "documents", "doc_id", "text")
+    d = tables.load(spark, root, "documents").select("doc_id", "text")
     reply = F.concat_ws(" ", "text", F.coalesce(tables.phrase(F.col("doc_id")), F.lit("-")), F.lit("end"))
     return rel.with_canonical_labels(d.select("doc_id", reply.alias("label")), {"label": "label"})
 

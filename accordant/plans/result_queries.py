@@ -157,11 +157,13 @@ def model_order(spark, root):
 
 
 @query("index_letters", """
-SELECT p_partkey, CASE WHEN p_partkey % 702 < 26 THEN chr(65 + CAST(p_partkey % 702 AS INTEGER))
-  ELSE chr(64 + CAST((p_partkey % 702) // 26 AS INTEGER)) || chr(65 + CAST(p_partkey % 26 AS INTEGER)) END AS letter FROM part""")
+SELECT p_partkey, CASE WHEN i >= 702 THEN chr(65 + (i - 702) // 676 % 26) ELSE '' END
+  || CASE WHEN i >= 26 THEN chr(65 + (i - 26) // 26 % 26) ELSE '' END || chr(65 + i % 26) AS letter
+FROM (SELECT p_partkey, CAST(p_partkey * 7 % 18278 AS INTEGER) AS i FROM part)""")
 def index_letters(spark, root):
+    """Letters of one to three places."""
     p = tables.load(spark, root, "part")
-    return p.select("p_partkey", reshape.letter_code((F.col("p_partkey") % 702).cast("int")).alias("letter"))
+    return p.select("p_partkey", reshape.letter_code((F.col("p_partkey") * 7 % 18278).cast("int")).alias("letter"))
 
 
 # -- matrices --------------------------------------------------------------------------------

@@ -24,7 +24,7 @@ _PATHS = """files AS (
 
 
 def _path_files(spark, root):
-    o = tables.load_spread(spark, root, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
+    o = tables.load(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     c = tables.load(spark, root, "customer").select("c_custkey", "c_mktsegment")
     task = F.when(F.col("o_orderkey") % 3 == 0, "equal").when(F.col("o_orderkey") % 3 == 1, "sup-sub").otherwise("minus")
     act = (

@@ -25,7 +25,7 @@ l AS (SELECT doc_id, CASE WHEN reply = 'idk' THEN ['idk'] WHEN reply = 'no answe
         ELSE {_items('reply')} END AS items FROM r)
 SELECT doc_id, CAST(len(items) AS INTEGER) AS n_items, md5(array_to_string(items, '¦')) AS digest FROM l""")
 def response_lists(spark, root):
-    d = tables.load_spread(spark, root, "documents", "doc_id", "text", "lang", "source")
+    d = tables.load(spark, root, "documents").select("doc_id", "text", "lang", "source")
     reply = (
         F.when(F.col("doc_id") % 50 == 0, "idk").when(F.col("doc_id") % 50 == 1, "no answer")
         .otherwise(F.replace("text", F.lit("."), F.lit("|")))
@@ -71,7 +71,7 @@ _CLEAN = (
 
 @query("clean_texts", f"SELECT doc_id, CAST(length({_CLEAN}) AS INTEGER) AS n, md5({_CLEAN}) AS digest FROM documents")
 def clean_texts(spark, root):
-    d = tables.load_spread(spark, root, "documents", "doc_id", "text", "lang", "source").select("doc_id", labels.clean_label(F.col("text")).alias("t"))
+    d = tables.load(spark, root, "documents").select("doc_id", "text", "lang", "source").select("doc_id", labels.clean_label(F.col("text")).alias("t"))
     return d.select("doc_id", F.length("t").alias("n"), F.md5("t").alias("digest"))
 
 
@@ -79,7 +79,7 @@ def clean_texts(spark, root):
 SELECT doc_id, CAST(floor(len(list_filter(string_split_regex('Answer this: ' || text || ' now', '\s+'), lambda w: w <> '')) * 1.5)
   AS INTEGER) AS tokens FROM documents""")
 def token_estimates(spark, root):
-    d = tables.load_spread(spark, root, "documents", "doc_id", "text", "lang", "source")
+    d = tables.load(spark, root, "documents").select("doc_id", "text", "lang", "source")
     return d.select("doc_id", text.token_estimate(F.col("text"), "Answer this: {question} now").alias("tokens"))
 
 
@@ -95,7 +95,7 @@ def prompts(spark, root):
 SELECT doc_id, lang, md5(CASE lang WHEN 'en' THEN 'Question: ' || text WHEN 'es' THEN 'Pregunta: ' || text END) AS digest
 FROM documents""")
 def prompts_by_language(spark, root):
-    d = tables.load_spread(spark, root, "documents", "doc_id", "text", "lang", "source")
+    d = tables.load(spark, root, "documents").select("doc_id", "text", "lang", "source")
     filled = text.render_by_key({"en": "Question: {q}", "es": "Pregunta: {q}"}, F.col("lang"), q=F.col("text"))
     return d.select("doc_id", "lang", F.md5(filled).alias("digest"))
 
@@ -114,7 +114,7 @@ SELECT doc_id,
   CASE WHEN regexp_matches(reply, '(?im)^q4:\s*(.+)') THEN trim(regexp_extract(reply, '(?im)^q4:\s*(.+)', 1)) ELSE 'none' END AS q4
 FROM r""")
 def labelled_lines(spark, root):
-    d = tables.load_spread(spark, root, "documents", "doc_id", "text", "lang", "source")
+    d = tables.load(spark, root, "documents").select("doc_id", "text", "lang", "source")
     reply = F.concat(
         "text", F.lit("\n"),
         F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("q2:  "), "source", F.lit(" \n"))),
@@ -223,7 +223,7 @@ def model_sizes(spark, root):
 
 @query("joined_replies", "SELECT doc_id, md5(text || source) AS digest FROM documents")
 def joined_replies(spark, root):
-    d = tables.load_spread(spark, root, "documents", "doc_id", "text", "lang", "source")
+    d = tables.load(spark, root, "documents").select("doc_id", "text", "lang", "source")
     body = F.concat(
         F.to_json(F.struct(F.col("text").alias("response"))), F.lit('\nnot json\n\n{"done": true}\n'),
         F.to_json(F.struct(F.col("source").alias("response"))),

@@ -28,34 +28,32 @@ def get_session(app: str = "accordant", master: str | None = None, **conf) -> Sp
     return b.getOrCreate()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core.
-
-    A few small files, or files of one row group, come as a few tasks, and everything up to the
-    first shuffle would run on as many cores.  A scan that already has half as many splits as
-    there are cores is returned as it is, so no large input is ever shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if 2 * splits > cores else df.repartition(cores)
+_own_folder: tempfile.TemporaryDirectory | None = None
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for materialised intermediates: ``spark.checkpoint.dir`` of the session.
 
-    A machine-local folder is used only where the setting is absent and the master is local.
+    Only where the setting is absent and the master is local, one folder of this process is used
+    instead; it goes when the process ends.
     """
+    global _own_folder
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="accordant-")
+    if _own_folder is None:
+        _own_folder = tempfile.TemporaryDirectory(prefix="accordant-")
+    return _own_folder.name
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below :func:`scratch_root`."""
-    return f"{scratch_root(spark)}/accordant/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below :func:`scratch_root`, which is deleted when the session's JVM ends."""
+    path = f"{scratch_root(spark)}/accordant/{name}-{uuid.uuid4().hex[:12]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def materialise(df: DataFrame, name: str = "stage", partition_by: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ works on documents that already sit in a table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -48,11 +48,15 @@ def read_documents(
     )
 
 
+def parsed(kind: str, value: str = "value") -> Column:
+    """The JSON document in ``value``; a malformed or empty one stops the job and names its file."""
+    found = F.from_json(value, kind, {"mode": "FAILFAST"})
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("no JSON document of the expected form in "), F.col("file_path"))))
+
+
 def entries(documents: DataFrame) -> DataFrame:
     """Explode ``{id: value}`` documents: ``file_path``, ``q_id``, ``raw`` (value as JSON text)."""
-    return documents.select(
-        "file_path", F.explode(F.from_json("value", "map<string,string>")).alias("q_id", "raw")
-    )
+    return documents.select("file_path", F.explode(parsed("map<string,string>")).alias("q_id", "raw"))
 
 
 def _keyed(
@@ -69,7 +73,7 @@ def _keyed(
     keys = path_keys(F.col("file_path"), vocabularies, required, defaults, ignore_case)
     return (
         documents.withColumn("k", keys).filter(F.col("k").isNotNull())
-        .select("file_path", "k", F.explode(F.from_json("value", "map<string,string>")).alias("q_id", "raw"))
+        .select("file_path", "k", F.explode(parsed("map<string,string>")).alias("q_id", "raw"))
         .select("file_path", "k.*", "q_id", "raw")
     )
 
@@ -136,11 +140,13 @@ def read_answer_documents(spark: SparkSession, path: str | list[str], llms: list
 def parse_relations(
     documents: DataFrame, llms: list[str], datasets: list[str] = names.DATASETS, ignore_case: bool = False
 ) -> DataFrame:
-    """``{id: [five labels]}`` documents to one row per (q_id, dataset, llm)."""
+    """``{id: [five labels]}`` documents to one row per (q_id, dataset, llm); a shorter list stops the job."""
     named = documents.filter(file_name(F.col("file_path")).startswith("Relation"))
     keyed = _keyed(named, {"dataset": datasets, "llm": llms}, ["dataset", "llm"], ignore_case=ignore_case).withColumn(
         "labels", F.from_json("raw", "array<string>")
     )
+    short = F.raise_error(F.concat(F.lit("fewer than five labels under "), F.col("q_id"), F.lit(" in "), F.col("file_path")))
+    keyed = keyed.withColumn("labels", F.when(F.size("labels") >= len(names.RELATIONS), F.col("labels")).otherwise(short))
     return keyed.select(
         "q_id", "dataset", "llm",
         *[F.try_element_at("labels", F.lit(i + 1)).alias(c) for i, c in enumerate(names.RELATIONS)],
@@ -288,9 +294,7 @@ def parse_question_bank(documents: DataFrame) -> DataFrame:
     Items without a question are dropped; a missing uid becomes ``no_uid_<position>``.
     """
     item = "struct<uid:string,question:string,sparql:string>"
-    items = F.when(
-        F.ltrim("value").startswith("["), F.from_json("value", f"array<{item}>")
-    ).otherwise(F.array(F.from_json("value", item)))
+    items = F.when(F.ltrim("value").startswith("["), parsed(f"array<{item}>")).otherwise(F.array(parsed(item)))
     return (
         documents.select("file_path", F.posexplode(items).alias("idx", "item"))
         .filter(F.col("item.question").isNotNull())
@@ -312,7 +316,7 @@ def read_question_bank(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def parse_models(documents: DataFrame) -> DataFrame:
     """``{model: {ID, score, release_date, company, size}}`` documents as one row per model."""
-    return documents.select(F.explode(F.from_json("value", MODEL_TYPE)).alias("llm", "m")).select(
+    return documents.select(F.explode(parsed(MODEL_TYPE)).alias("llm", "m")).select(
         "llm", F.col("m.ID").alias("id"), F.col("m.score").alias("score"),
         F.col("m.release_date").alias("release_date"), F.col("m.company").alias("company"),
         F.col("m.size").alias("size"),

@@ -12,7 +12,6 @@ from pyspark.sql.types import StructType
 
 from accordant.operators.analysis import slot_mask
 from accordant.operators.answers import SLOTS
-from accordant.session import spread
 
 
 _SCHEMAS: dict[str, StructType] = {}
@@ -26,11 +25,6 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def load_spread(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
-    """Chosen columns of a table whose rows feed costly expressions."""
-    return spread(load(spark, root, name).select(*columns))
-
-
 # Which order lines put their element into which answer set.
 SLOT_RULES = {
     "e1": "l_quantity <= 45",
@@ -46,8 +40,8 @@ SLOT_RULES = {
 
 def order_lines(spark: SparkSession, root: str) -> DataFrame:
     """Order lines as question, dataset, model, action and element, with the rule columns."""
-    lines = load_spread(
-        spark, root, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag",
+    lines = load(spark, root, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag",
         "l_linestatus", "l_extendedprice", "l_linenumber",
     )
     orders = load(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -67,14 +61,17 @@ def order_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def element_masks(spark: SparkSession, root: str) -> DataFrame:
-    """Input of ``analyse_masks``: every group counts as having answered all four series."""
+    """Input of ``analyse_masks``: the series of the answer sets that an element is in count as answered."""
     lines = order_lines(spark, root)
     zero_shot = F.col("action") == "zero-shot"
     conditions = {s: F.col(s) for s in SLOTS}
     conditions["star"] = F.col("star") & zero_shot
     return lines.select(
         "q_id", "action", "dataset", "llm", "element", slot_mask(conditions).alias("mask"),
-        F.when(F.col("star") & zero_shot, 31).otherwise(15).alias("seen"),
+        F.expr(
+            "IF(e1 OR (action <> 'zero-shot' AND (c1 OR m1)), 1, 0) + IF(e2, 2, 0) "
+            "+ IF(c3 OR (action <> 'zero-shot' AND m3), 4, 0) + IF(m4, 8, 0) + IF(star AND action = 'zero-shot', 16, 0)"
+        ).alias("seen"),
     )
 
 

@@ -42,12 +42,17 @@ def write_answers(answers: DataFrame, path: str, mode: str = "error") -> None:
 def answer_documents(answers: DataFrame, ids_per_file: int = 1000) -> DataFrame:
     """Answer rows as ``{q_id: [...]}`` documents of at most ``ids_per_file`` ids each.
 
-    A document holds one range of question ids, so its size is bounded however many questions a
-    dataset has; a reader takes all documents of a directory together.
+    Ids are text; they are dealt to documents by hash, as many documents as the directory's count
+    of ids asks for (so the bound holds on average).  A repeated id keeps the row with the lowest
+    file path, or the smallest answer where there is none.  A reader takes all documents of a
+    directory together.
     """
     keys = ["action", "dataset", "task", "q_serie", "llm"]
-    shard = F.floor(F.col("q_id").cast("long") / ids_per_file).alias("shard")
-    return answers.groupBy(*keys, shard).agg(
+    order = F.struct(*[c for c in ("file_path", "answer") if c in answers.columns])
+    first = answers.groupBy(*keys, "q_id").agg(F.min_by("answer", order).alias("answer"))
+    shards = first.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ids_per_file).cast("int").alias("shards"))
+    dealt = first.join(shards, keys).withColumn("shard", F.pmod(F.xxhash64("q_id"), F.col("shards")))
+    return dealt.groupBy(*keys, "shard").agg(
         F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("q_id", "answer"))))).alias("value"),
         F.count("*").alias("n_ids"),
     )

@@ -126,7 +126,7 @@ def test_numbers(spark):
         70e9, 15e9, 300e6, 12.0, None, None, None,
     ]
     assert apply(spark, ["large", "tiny", "12.5", None], numbers.bucket_area) == [420.0, 200.0, 12.5, 200.0]
-    assert apply(spark, [0, 25, 26, 51, 52], letter_code, "int") == ["A", "Z", "AA", "AZ", "BA"]
+    assert apply(spark, [0, 25, 26, 51, 52, 701, 702, 18277, 18278], letter_code, "int") == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "ZZZ", "AAAA"]
     assert apply(spark, [0.5, 0.04, 0.01, None], lambda c: numbers.confidence_label(c, 0.05, 0.02), "double") == [
         "", "0.040", "", "",
     ]

@@ -1,23 +1,15 @@
-"""Registered queries against their SQL at the smallest scale.
-
-A few of each kind run by default; ``ACCORDANT_ALL_QUERIES=1`` runs every one.
-"""
+"""Registered queries against their SQL at the smallest scale: all of them."""
 
 import os
 
 import pytest
 
 import __spark_entry__ as entry
+from accordant.plans import catalog
 from oracle_check import compare, connect
 
 ROOT = "/root/testdata/sf0.001"
-SOME = [
-    "analysis", "analysis_from_arrays", "analysis_from_elements", "summary", "relations_by_action", "stratified_means",
-    "action_p_values", "pairwise_p_values", "question_scores_containment", "follow_up_difference", "confusion_table",
-    "canonical_labels_of_texts", "response_lists", "numbered_question_lines", "validated_questions", "path_keys",
-    "pending_in_any_series", "score_correlations", "square_matrix", "question_files", "classification_files",
-]
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = dict(catalog.QUERIES), dict(catalog.SQL)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test tables")
 
@@ -27,14 +19,14 @@ def con():
     return connect(ROOT)
 
 
-@pytest.mark.parametrize("name", list(QUERIES) if os.environ.get("ACCORDANT_ALL_QUERIES") else SOME)
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, name):
     ok, message, _ = compare(spark, con, QUERIES[name], SQL.get(name), ROOT)
     assert ok, message
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(QUERIES)
+    assert set(SQL) == set(QUERIES) and set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
