@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from accordant.operators import reshape, rollup, scores
 from accordant.operators import relations as rel
 from accordant.plans.answer_queries import (
-    _PHRASES, ANSWERS, ELEMENTS, FROM_LINES, LINES, MATRIX_CTES, SUMMARY_CTES, _PAIRS, _labels_cte, line_analysis,
+    _PHRASES, _SUMMARY_OUT, ANSWERS, ELEMENTS, FROM_LINES, LINES, MATRIX_CTES, SUMMARY_CTES, _PAIRS, _labels_cte, line_analysis,
     line_matrix, mean4,
 )
 from accordant.plans.catalog import query, with_ctes
@@ -23,34 +23,25 @@ P = tables.PRIORITIES
 
 
 @query("question_files", """
-SELECT c_mktsegment AS dataset, 'en' AS lang, c_name AS "Q1", 'say "' || c_name || '"' AS "Q2", c_mktsegment AS "Q3",
-  CASE WHEN c_nationkey = 3 THEN NULL ELSE 'x' END AS "Q4", count(*) OVER (PARTITION BY c_mktsegment) AS in_file
-FROM customer""")
+SELECT dataset, lang, "Q1", "Q2", "Q3", "Q4", CAST(row_number() OVER (PARTITION BY dataset, lang ORDER BY c_custkey) - 1 AS BIGINT) AS q_index
+FROM (SELECT c_custkey, c_mktsegment AS dataset, CASE WHEN c_custkey % 3 = 0 THEN 'es' ELSE 'en' END AS lang, c_name AS "Q1",
+  'say "' || c_name || '"' AS "Q2", c_mktsegment AS "Q3", CASE WHEN c_nationkey = 3 THEN NULL ELSE 'x' END AS "Q4" FROM customer)
+WHERE dataset <> 'MACHINERY'""")
 def question_files(spark, root):
-    """Question TSVs; row positions must number every file from 0 without gaps."""
-    c = tables.load(spark, root, "customer")
+    """Question TSVs of two languages, one file per dataset, read with their row positions."""
     path = scratch_path(spark, "questions")
-    rows = c.select(
-        F.col("c_name").alias("Q1"), F.concat(F.lit('say "'), "c_name", F.lit('"')).alias("Q2"),
+    rows = tables.load(spark, root, "customer").select(
+        "c_custkey", F.col("c_name").alias("Q1"), F.concat(F.lit('say "'), "c_name", F.lit('"')).alias("Q2"),
         F.col("c_mktsegment").alias("Q3"), F.when(F.col("c_nationkey") != 3, "x").alias("Q4"),
-        F.col("c_mktsegment").alias("segment"),
-    )
-    rows.write.partitionBy("segment").option("header", "true").option("sep", "\t").option("escape", '"').option(
-        "quoteAll", "false"
-    ).csv(path)
-    back = (
-        spark.read.schema(readers.QUESTION_SCHEMA).option("sep", "\t").option("header", "true").option("escape", '"')
-        .option("recursiveFileLookup", "true").csv(path)
-        .select(*readers.QUESTION_SCHEMA.fieldNames(), F.col("_metadata.file_path").alias("file_path"),
-                F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
-    )
-    numbered = readers.number_rows(back).withColumn("dataset", F.regexp_extract("file_path", "segment=([^/]+)/", 1))
-    per_file = numbered.groupBy("dataset").agg(
-        F.count("*").alias("n"), F.countDistinct("file_path", "q_index").alias("ids"),
-    )
-    return numbered.join(per_file.filter("n = ids"), "dataset").select(
-        "dataset", F.lit("en").alias("lang"), "Q1", "Q2", "Q3", "Q4", F.col("n").alias("in_file")
+        F.when(F.col("c_custkey") % 3 == 0, "es").otherwise("en").alias("lang"), F.col("c_mktsegment").alias("dataset"),
     )
+    # A file's rows come together in one task and in order, so that their positions are known.
+    rows.repartition("lang", "dataset").sortWithinPartitions("lang", "dataset", "c_custkey").drop("c_custkey").write.partitionBy(
+        "lang", "dataset"
+    ).option("header", "true").option("sep", "\t").option("escape", '"').csv(path)
+    datasets = [d for d in SEGMENTS if d != "MACHINERY"]
+    back = readers.read_questions(spark, path, datasets, ["en", "es"], glob="*.csv")
+    return back.select("dataset", "lang", "Q1", "Q2", "Q3", "Q4", "q_index")
 
 
 @query("answer_files", with_ctes(
@@ -101,8 +92,8 @@ def relation_files(spark, root):
     _write_documents(
         tables.order_relations(spark, root), ["dataset", "llm"], F.array(*tables.RELATION_COLUMNS), path, "Relation"
     )
-    docs = readers.read_documents(spark, path, "*.txt", one_per_line=True).withColumn("file_path", F.concat("file_path", F.lit("/Relation.json")))
-    return readers.parse_relations(docs, P, SEGMENTS).drop("file_path")
+    back = readers.read_relations(spark, path, P, "*.txt", True, datasets=SEGMENTS, name_prefix="part")
+    return back.drop("file_path")
 
 
 @query("classification_files", with_ctes(
@@ -123,8 +114,7 @@ def classification_files(spark, root):
     plain = long.filter("task <> 'minus'").withColumn("label", F.coalesce("label", F.lit("unknown")))
     _write_documents(as_list, ["dataset", "llm", "task"], F.col("label"), path + "/a", "Containment")
     _write_documents(plain, ["dataset", "llm", "task"], F.col("label"), path + "/b", "Containment")
-    docs = readers.read_documents(spark, path, "*.txt", one_per_line=True)
-    return readers.parse_classified_relations(docs, P, SEGMENTS)
+    return readers.read_classified_relations(spark, path, P, "*.txt", True, datasets=SEGMENTS)
 
 
 @query("score_files", """
@@ -199,21 +189,15 @@ def question_bank_files(spark, root):
     path = scratch_path(spark, "bank")
     docs = c.select(F.when(F.col("c_nationkey") < 12, F.to_json(pair)).otherwise(F.to_json(one)).alias("value"))
     docs.write.text(path)
-    lines = spark.read.text(path).select(F.lit(path).alias("file_path"), "value")
-    return readers.parse_question_bank(lines).drop("file_path")
+    return readers.read_question_bank(spark, path, "*.txt", True).drop("file_path")
 
 
-@query("summary_files", with_ctes(
-    SUMMARY_CTES, "SELECT dataset, action, llm, n, eq_a1_a2, eq_a1_p, jac_a4_diff, idk FROM summary",
-))
+@query("summary_files", with_ctes(SUMMARY_CTES, f"SELECT {', '.join(_SUMMARY_OUT)} FROM summary"))
 def summary_files(spark, root):
     """CSV sink and typed scan under the symbol names of the result table."""
     from accordant.names import to_ascii, to_symbols
 
-    s = rollup.summarise(line_analysis(spark, root)).select(
-        "dataset", "action", "llm", "n", "eq_a1_a2", "eq_a1_p", "jac_a4_diff", "idk"
-    )
-    out = to_symbols(s)
+    out = to_symbols(rollup.summarise(line_analysis(spark, root)).select(*_SUMMARY_OUT))
     path = scratch_path(spark, "summary")
     writers.write_table(out, path, "csv")
     return to_ascii(readers.read_result_table(spark, path, out.schema))

@@ -123,25 +123,27 @@ def parse_answers(
     )
 
 
-def read_answers(spark: SparkSession, path: str | list[str], llms: list[str], **vocabulary) -> DataFrame:
+def read_answers(
+    spark: SparkSession, path: str | list[str], llms: list[str], glob: str = "*.json", one_per_line: bool = False, **vocabulary
+) -> DataFrame:
     """Scan a directory tree of answer files."""
-    return parse_answers(read_documents(spark, path), llms, **vocabulary)
+    return parse_answers(read_documents(spark, path, glob, one_per_line), llms, **vocabulary)
 
 
 def read_answer_documents(spark: SparkSession, path: str | list[str], llms: list[str], **vocabulary) -> DataFrame:
     """Scan the JSON-lines documents of :func:`accordant.sources.writers.write_answer_documents`."""
-    lines = read_documents(spark, path, "*.txt", one_per_line=True)
-    return parse_answers(lines, llms, name_prefix="", **vocabulary)
+    return read_answers(spark, path, llms, "*.txt", True, name_prefix="", **vocabulary)
 
 
 # -- relation labels -------------------------------------------------------------------------
 
 
 def parse_relations(
-    documents: DataFrame, llms: list[str], datasets: list[str] = names.DATASETS, ignore_case: bool = False
+    documents: DataFrame, llms: list[str], datasets: list[str] = names.DATASETS, ignore_case: bool = False,
+    name_prefix: str = "Relation",
 ) -> DataFrame:
     """``{id: [five labels]}`` documents to one row per (q_id, dataset, llm); a shorter list stops the job."""
-    named = documents.filter(file_name(F.col("file_path")).startswith("Relation"))
+    named = documents.filter(file_name(F.col("file_path")).startswith(name_prefix))
     keyed = _keyed(named, {"dataset": datasets, "llm": llms}, ["dataset", "llm"], ignore_case=ignore_case).withColumn(
         "labels", F.from_json("raw", "array<string>")
     )
@@ -154,8 +156,10 @@ def parse_relations(
     )
 
 
-def read_relations(spark: SparkSession, path: str | list[str], llms: list[str], **vocabulary) -> DataFrame:
-    return parse_relations(read_documents(spark, path, "Relation*.json"), llms, **vocabulary)
+def read_relations(
+    spark: SparkSession, path: str | list[str], llms: list[str], glob: str = "Relation*.json", one_per_line: bool = False, **vocabulary
+) -> DataFrame:
+    return parse_relations(read_documents(spark, path, glob, one_per_line), llms, **vocabulary)
 
 
 # The relation column that each task's classification fills.
@@ -187,8 +191,10 @@ def parse_classified_relations(
     return labelled.groupBy("q_id", "dataset", "llm").agg(*cells).withColumn("action", F.lit("classification"))
 
 
-def read_classified_relations(spark: SparkSession, path: str | list[str], llms: list[str], **vocabulary) -> DataFrame:
-    return parse_classified_relations(read_documents(spark, path), llms, **vocabulary)
+def read_classified_relations(
+    spark: SparkSession, path: str | list[str], llms: list[str], glob: str = "*.json", one_per_line: bool = False, **vocabulary
+) -> DataFrame:
+    return parse_classified_relations(read_documents(spark, path, glob, one_per_line), llms, **vocabulary)
 
 
 # -- scores ----------------------------------------------------------------------------------
@@ -251,18 +257,20 @@ def read_questions(
     datasets: list[str] | None = None,
     languages: list[str] | None = None,
     schema: T.StructType = QUESTION_SCHEMA,
-    multiline: bool = True,
+    multiline: bool = False,
+    glob: str = "*.tsv",
 ) -> DataFrame:
     """Question TSVs ``.../<lang>/<dataset>.tsv`` as ``q_index, Q1.., dataset, lang``.
 
-    ``q_index`` is the 0-based row position within the file.  ``multiline=False`` lets large files
-    be split.
+    Files may also lie below ``lang=<lang>/dataset=<dataset>/`` under any name.  ``q_index`` is the
+    0-based row position within the file.  Files are split unless ``multiline`` says that texts hold
+    line ends.
     """
     rows = (
         spark.read.schema(schema)
         .option("sep", "\t").option("header", "true").option("multiLine", str(multiline).lower())
         .option("quote", '"').option("escape", '"')
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tsv")
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
         .option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
         .option("fs.file.impl.disable.cache", "true")
         .csv(path)
@@ -275,10 +283,14 @@ def read_questions(
     )
     numbered = number_rows(rows)
     parts = F.split("file_path", "/")
+
+    def directory(key: str) -> Column:
+        return F.nullif(F.regexp_extract("file_path", f"/{key}=([^/]+)/", 1), F.lit(""))
+
     out = numbered.select(
         "q_index", *schema.fieldNames(),
-        F.regexp_replace(F.element_at(parts, -1), r"\.tsv\z", "").alias("dataset"),
-        F.try_element_at(parts, F.lit(-2)).alias("lang"),
+        F.coalesce(directory("dataset"), F.regexp_replace(F.element_at(parts, -1), r"\.tsv\z", "")).alias("dataset"),
+        F.coalesce(directory("lang"), F.try_element_at(parts, F.lit(-2))).alias("lang"),
         "file_path",
     )
     if datasets is not None:
@@ -307,8 +319,8 @@ def parse_question_bank(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_question_bank(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return parse_question_bank(read_documents(spark, path))
+def read_question_bank(spark: SparkSession, path: str | list[str], glob: str = "*.json", one_per_line: bool = False) -> DataFrame:
+    return parse_question_bank(read_documents(spark, path, glob, one_per_line))
 
 
 # -- models and result tables ----------------------------------------------------------------
