@@ -1,26 +1,52 @@
-"""A corpus pipeline of four to five stages over ``documents``."""
+"""A corpus pipeline over ``documents``: toxic documents go, copies and near copies go, sources are mixed, the rest is packed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from accordant.llm import exact_dedup, mixing
-from accordant.llm.common import table, written
+from accordant.llm import exact_dedup, mixing, near_copies, packing, toxicity
+from accordant.llm.common import column_name, table, written
+from accordant.llm.queries import tokenizer_path
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below one half; scored in place, nothing is shuffled."""
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    judged = column_name(docs.columns, "_toxicity")
+    scored = toxicity.score_toxicity(docs, model, judged)
+    return scored.filter(F.col(judged)["score"] < 0.5).drop(judged)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays: the one with the smallest id."""
     return exact_dedup.keep_first(docs)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays: the one with the smallest id."""
+    return near_copies.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: a document comes as often as the mix takes it."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("exact dedup", exact), ("mixing", mix)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of 4096 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("packing", pack_sequences),
+]
 
-# Neither a trained score nor a seeded subset sum has a form in SQL.
+# Trained scores, seeded subset sums and first-fit packing have no form in SQL.
 ORACLE_SQL = None
 
 
@@ -28,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
