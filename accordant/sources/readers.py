@@ -49,7 +49,10 @@ def read_documents(
 
 
 def parsed(kind: str, value: str = "value") -> Column:
-    """The JSON document in ``value``; a malformed or empty one stops the job and names its file."""
+    """The JSON document in ``value``; a malformed one stops the job and names its file.
+
+    A file without a single byte is no row to Spark's readers, so it is no document either.
+    """
     found = F.from_json(value, kind, {"mode": "FAILFAST"})
     return F.coalesce(found, F.raise_error(F.concat(F.lit("no JSON document of the expected form in "), F.col("file_path"))))
 

@@ -227,3 +227,33 @@ def test_containment_filed_under_q2(spark):
 def test_labels_cover_the_vocabulary():
     assert set(names.TRUE_LABELS.values()) <= set(names.CANONICAL_LABELS)
     assert set(relations.CONTRADICTION_SPEC[0]) == {"sc_a1_a2", "eq_a1_a2", "r_12", "Equivalence"}
+
+
+def test_malformed_documents_stop_the_job(spark, tmp_path):
+    folder = tmp_path / "zero-shot" / "qawiki" / "equal"
+    folder.mkdir(parents=True)
+    good, bad = folder / "Q1_equal_answers_m1.json", folder / "Q2_equal_answers_m1.json"
+    good.write_text(json.dumps({"0": ["a"], "1": "no list", "2": []}))
+    rows = readers.read_answers(spark, str(tmp_path), ["m1"])
+    assert sorted((r.q_id, tuple(r.answer)) for r in rows.collect()) == [("0", ("a",)), ("1", ()), ("2", ())]
+    for text in ('{"0": ["a"], "1": [', " ", "[1]"):
+        bad.write_text(text)
+        with pytest.raises(Exception, match="(?i)malformed|no JSON document"):
+            readers.read_answers(spark, str(tmp_path), ["m1"]).collect()
+    bad.write_text("{}")
+    assert rows.count() == 3
+    (folder / "Relation_m1.json").write_text(json.dumps({"0": ["a", "b", "c", "d"]}))
+    with pytest.raises(Exception, match="fewer than five labels"):
+        readers.read_relations(spark, str(tmp_path), ["m1"]).collect()
+
+
+def test_answer_documents_take_text_ids_and_repeats(spark):
+    from accordant.sources.writers import answer_documents
+
+    key = ("fixing", "equal", "qawiki", "Q1", "m1")
+    rows = [(f"id-{i}", *key, [str(i)], "p2") for i in range(50)] + [("id-3", *key, ["first"], "p1"), ("id-3", *key, ["3"], "p2")]
+    df = spark.createDataFrame(rows, "q_id string, action string, task string, dataset string, q_serie string, llm string, answer array<string>, file_path string")
+    docs = answer_documents(df, ids_per_file=10).collect()
+    got = {k: v for d in docs for k, v in json.loads(d.value).items()}
+    assert got == {f"id-{i}": ["first"] if i == 3 else [str(i)] for i in range(50)}
+    assert len(docs) == 5 and sum(d.n_ids for d in docs) == 50
