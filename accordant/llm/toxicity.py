@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.common import whole
+from accordant.llm.common import whole, written
 from accordant.llm.training import labelled_texts
 
 TRAIN_DOCS = 100_000  # labelled documents that the model is fitted on, at most about so many
@@ -110,7 +110,11 @@ def evidence(passages: list[tuple[int, int, float, float]]) -> float:
 
 
 def _token_counts(train: DataFrame) -> DataFrame:
-    """Documents of either label per feature, counted per task before they are shuffled."""
+    """Documents of either label per feature, counted per task before they are shuffled.
+
+    The row of the empty feature has the sums over all words; features that toxic documents hardly
+    have are left out of the result.
+    """
     schema = pa.schema([("feature", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,26 +131,25 @@ def _token_counts(train: DataFrame) -> DataFrame:
         for b in batches:
             for text, label in zip(b.column("text"), b.column("label").to_pylist()):
                 k = int(label >= 0.5)
-                for f in {f for w in set(WORD.findall(text.as_py().lower())) for f in features(w)}:
+                words = set(WORD.findall(text.as_py().lower()))
+                for f in {f for w in words for f in features(w)}:
                     seen.setdefault(f, [0, 0])[k] += 1
-                if len(seen) > 300_000:
+                seen.setdefault("", [0, 0])[k] += len(words)
+                if len(seen) > 100_000:
                     yield rows()
         if seen:
             yield rows()
 
     counted = train.mapInArrow(count, "feature string, toxic long, clean long")
-    return counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    summed = counted.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return written(summed.filter((F.col("feature") == "") | (F.col("toxic") >= MIN_DOCS)), "features")
 
 
 def _odds(counts: DataFrame) -> tuple[dict[str, float], list[tuple[float, float]]]:
     """Log-odds of the strongest toxic tokens, and ``(score, chance)`` of each token in clean text."""
-    counts = counts.persist()
-    total = counts.filter("not endswith(feature, '*')").agg(
-        F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.coalesce(F.sum("clean"), F.lit(0)).alias("c")
-    ).first()
-    t, c = float(total.t), float(total.c)
+    total = counts.filter("feature = ''").first()
+    t, c = (float(total.toxic), float(total.clean)) if total else (0.0, 0.0)
     if not t or not c:
-        counts.unpersist()
         return {}, []
     a0 = F.lit(PRIOR_SHARE * (t + c))
     a = a0 * (F.col("toxic") + F.col("clean")) / F.lit(t + c)
@@ -154,10 +157,9 @@ def _odds(counts: DataFrame) -> tuple[dict[str, float], list[tuple[float, float]
     odds = F.log(yt / (t + a0 - yt)) - F.log(yc / (c + a0 - yc))
     z = odds / F.sqrt(1 / yt + 1 / yc)
     kept = (
-        counts.filter(F.col("toxic") >= MIN_DOCS).select("feature", odds.alias("odds"), z.alias("z"), ((F.col("clean") + a) / (c + a0)).alias("p"))
+        counts.filter("feature <> ''").select("feature", odds.alias("odds"), z.alias("z"), ((F.col("clean") + a) / (c + a0)).alias("p"))
         .filter((F.col("odds") >= MIN_ODDS) & (F.col("z") >= MIN_Z)).orderBy(F.desc("z"), "feature").limit(MODEL_TOKENS).collect()
     )
-    counts.unpersist()
     return {r.feature: r.odds for r in kept}, [(r.odds, r.p) for r in kept]
 
 
@@ -216,14 +218,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
                  pa.array([[p[3] for p in r[2]] for r in rows], pa.list_(pa.float64())), b.column("label")], schema=schema,
             )
 
-    seen = train.mapInArrow(scanned, "n long, best double, segments array<double>, label double").persist()
+    seen = written(train.mapInArrow(scanned, "n long, best double, segments array<double>, label double"), "scanned")
     clean = seen.filter("label < 0.5").agg(
         F.count(F.lit(1)).alias("d"), F.sum(F.greatest(F.col("n"), F.lit(1)) * F.exp(-rate * F.col("best"))).alias("w")
     ).first()
     scale = clean.d / clean.w if clean.d else 1.0  # maximum likelihood of K in exp(-K n exp(-rate s))
     x = F.expr(f"least(60D, aggregate(segments, 0D, (a, e) -> a + if(e * {scale!r}D < {SIGNIFICANT}D, -ln(greatest(e * {scale!r}D, 1e-300D)), 0D)))")
     points = seen.groupBy(F.round(x, 0).alias("x")).agg(F.sum("label").alias("k"), F.count(F.lit(1)).alias("n")).collect()
-    seen.unpersist()
     intercept, slope = _logistic([(r.x, float(r.k), float(r.n)) for r in points])
     return ToxicModel(odds, rate, scale, intercept, max(slope, 0.0))
 
