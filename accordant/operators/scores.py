@@ -25,7 +25,10 @@ def question_scores(answers: DataFrame, task: str, keys: list[str] = SCORE_KEYS)
         return (F.col("q_serie") == serie) & (F.col("task") == t)
 
     needed = {"equal": ["q1", "q2"], "sup-sub": ["q1", "q3", "q4"], "minus": ["q4", "q1", "q3"]}[task]
-    wanted = answers.filter(F.col("q_serie").isin([slots[s][0] for s in needed]))
+    cells = of(needed[0])
+    for s in needed[1:]:
+        cells = cells | of(s)
+    wanted = answers.filter(cells)  # rows of other cells are not shuffled
     wide = (
         wanted.groupBy(*keys)
         .agg(

@@ -29,12 +29,12 @@ class Results:
     pairwise: DataFrame
 
 
-def model_names(models: DataFrame, limit: int = 5000) -> list[str]:
-    """Model names in ID order; the dimension is a list of models, so its size is checked."""
-    rows = models.select("llm", "id").orderBy("id").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} models; pass a list of the ones to compare")
-    return [r.llm for r in rows]
+def model_names(models: DataFrame) -> list[str]:
+    """Model names in ID order.
+
+    Path keys and matrix columns are made of them, so the list of models comes to the driver, whole.
+    """
+    return [r.llm for r in models.select("llm", "id").orderBy("id").collect()]
 
 
 def evaluate(
@@ -90,12 +90,13 @@ def save(results: Results, models: DataFrame, llms: list[str], out: str) -> None
     """Write the result tables as CSV under their symbol names, the analysis as parquet too."""
     summary = materialise(results.summary, "summary")
     writers.write_table(names.to_symbols(results.relation_table), f"{out}/relation_summary", "csv")
+    writers.write_table(results.p_values, f"{out}/p_values", "csv", sort_by=["dataset", "llm", "action"])
     writers.write_table(results.analysis, f"{out}/analysis_parquet")
     writers.write_table(names.to_symbols(results.analysis), f"{out}/analysis", "csv")
-    writers.write_table(names.to_symbols(summary), f"{out}/summary", "csv")
+    writers.write_table(names.to_symbols(summary.orderBy("dataset", "llm", "action")), f"{out}/summary", "csv")
     writers.write_by_action(names.to_symbols(summary), models, f"{out}/summary_by_action")
     symbol = F.create_map(*[F.lit(x) for kv in names.FLAG_SYMBOLS.items() for x in kv])
     wide = reshape.widen_matrix(results.pairwise.withColumn("predicate", symbol[F.col("predicate")]), llms)
     matrix = materialise(wide, "matrix")
-    writers.write_table(matrix, f"{out}/p_value_matrices", "csv")
+    writers.write_table(matrix, f"{out}/p_value_matrices", "csv", sort_by=["action", "dataset", "predicate"])
     writers.write_heatmaps(matrix, llms, f"{out}/heatmaps", "zero-shot", "overall")

@@ -6,14 +6,15 @@ Files go to fresh folders below ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from accordant.operators import reshape, rollup, scores
+from accordant.operators import reshape, rollup, scores, significance
 from accordant.operators import relations as rel
 from accordant.plans.answer_queries import (
     _PHRASES, _SUMMARY_OUT, ANSWERS, ELEMENTS, FROM_LINES, LINES, MATRIX_CTES, SUMMARY_CTES, _PAIRS, _labels_cte, line_analysis,
     line_matrix, mean4,
 )
-from accordant.plans.catalog import query, with_ctes
+from accordant.plans.catalog import SQL, query, with_ctes
 from accordant.plans.result_queries import MODELS
 from accordant.session import scratch_path
 from accordant.sources import readers, tables, writers
@@ -256,3 +257,18 @@ def confusion_files(spark, root):
     back = readers.read_result_table(spark, path, t.schema)
     return back.filter("dataset = 'overall'").select("llm", "accuracy", "size")
 
+
+@query("sorted_p_values", f"""
+SELECT *, CAST(row_number() OVER (ORDER BY dataset, llm, action) - 1 AS BIGINT) AS position FROM ({SQL["action_p_values"]})""")
+def sorted_p_values(spark, root):
+    """p-values written in order of dataset, model and action, read back with their places."""
+    p = significance.action_p_values(line_analysis(spark, root), tables.ACTIONS)
+    path = scratch_path(spark, "p-values")
+    writers.write_table(p, path, "csv", sort_by=["dataset", "llm", "action"])
+    back = readers.read_result_table(spark, path, p.schema)
+    placed = back.withColumns({
+        "file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "pos": F.monotonically_increasing_id(),
+    })
+    # A result table of a few rows; the places come from the files, not from the values.
+    order = Window.orderBy("file", "block", "pos")
+    return placed.withColumn("position", (F.row_number().over(order) - 1).cast("long")).drop("file", "block", "pos")

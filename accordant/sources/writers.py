@@ -9,8 +9,16 @@ from accordant.functions.text import file_safe_predicate
 from accordant.operators.reshape import heatmap_cells, index_map, split_by_action
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error", partition_by: list[str] | None = None) -> None:
-    """Write a result table as parquet, csv or tsv; arrays become JSON text in text formats."""
+def write_table(
+    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error", partition_by: list[str] | None = None,
+    sort_by: list[str] | None = None,
+) -> None:
+    """Write a result table as parquet, csv or tsv; arrays become JSON text in text formats.
+
+    With ``sort_by`` rows are in order within files and from one file to the next.
+    """
+    if sort_by:
+        df = df.orderBy(*sort_by)
     if fmt == "parquet":
         out = df.write.mode(mode)
         (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
