@@ -25,6 +25,8 @@ BLOCK_ROWS = 4_000  # indexed vectors of one block; a fuller cell is cut into bl
 
 def codebook(points: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
     """Centres of ``k`` groups of ``points`` (Lloyd's rounds from random points)."""
+    if not points.shape[1]:  # half of a vector with one component
+        return points[:1]
     rng = np.random.default_rng(seed)
     points = points[np.lexsort(points.T)]
     centres = points[rng.choice(len(points), min(k, len(points)), replace=False)].copy()

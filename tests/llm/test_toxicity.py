@@ -56,7 +56,7 @@ def test_learns_and_handles_odd_rows(spark):
     docs, labels = corpus(spark)
     labels = labels.union(spark.createDataFrame([(None, 1), (3, None), (9999, 1), (0, 1)], labels.schema))
     model = fit_toxicity(docs, labels)
-    odd = spark.createDataFrame([(None, "you idiot", "x", 1), (1, None, None, None), (1, "", "x", 1), (2, "wak " * 40_000 + "vileworts", "x", 1)], docs.schema)
+    odd = spark.createDataFrame([(None, "you idiot", "x", 1), (1, None, None, None), (1, "", "x", 1), (2, "wak " * 40_000 + "vileworts idiot idiots", "x", 1)], docs.schema)
     got = score_toxicity(docs.union(odd), model, "t").select("doc_id", "text", F.col("t.score").alias("s")).collect()
     assert len(got) == docs.count() + 4 and all(0 <= r.s <= 1 for r in got)
     for r in got:
