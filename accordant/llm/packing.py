@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +19,7 @@ from accordant.llm.common import whole, written
 LENGTH = 4096
 END_ID = 2
 GROUP_PIECES = 16_384  # pieces that are packed together, about
-CACHE_WORDS = 600_000  # words whose ids a worker keeps
+CACHE_WORDS = 1_000_000  # words whose ids a worker process keeps
 BATCH_CHARS = 1 << 20  # text encoded at once
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -70,6 +72,16 @@ class Encoder:
     words one after the other.  Each new word is encoded once, many in one call.
     """
 
+    @classmethod
+    def of_worker(cls, path: str) -> Encoder:
+        """The encoder of this worker process: its tasks load the file once and share the words."""
+        state = sys.modules.setdefault("_packing_worker", types.ModuleType("_packing_worker"))
+        held = vars(state).setdefault("encoders", {})
+        if path not in held:
+            held.clear()
+            held[path] = cls(path)
+        return held[path]
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -107,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of_worker(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
             ids, texts, size = b.column(0).to_pylist(), [], 0
