@@ -17,8 +17,8 @@ from accordant.llm.hashing import WordHasher, mixed
 FOLDS = 10
 CONTEXTS = 1 << 16  # context restaurants: preceding words by hash
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543211)
-CHUNK_TOKENS = 1 << 20  # tokens of a run of documents that asks for its probabilities at once
-SHARD_TOKENS = 2_000_000  # tokens of a shard of dishes, about
+CHUNK_TOKENS = 1 << 19  # tokens of a run of documents that asks for its probabilities at once
+SHARD_TOKENS = 1_000_000  # tokens of a shard of dishes, about
 TOKEN_BYTES = 6
 HOT_WORDS = 256  # words that are dealt over all shards by context, at most
 HOT_SAMPLE = 2_000  # documents from which they are guessed
