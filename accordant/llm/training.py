@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.common import Membership, fold, written
+from accordant.llm.common import fold, written
 
 FOLDS = 5
 
@@ -21,20 +21,16 @@ def labelled_texts(
     """``(text, label)`` of labelled documents outside the held-out fold, written to the shared folder.
 
     At most about ``bound`` of them: above it, a share by hash.  Rows with a null id, label or text
-    are left out; of several labels of one id the largest counts.  A bounded filter of labelled ids
-    spares the texts of other documents the shuffle.
+    are left out; of several labels of one id the largest counts.  The chosen labels are bounded in
+    number, so they are broadcast and no text is shuffled.
     """
     known = (
         labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
         .groupBy(F.col(key).cast("long").alias("_id")).agg(F.max(F.col(label).cast("double")).alias("label"))
-        .withColumn("_hash", F.xxhash64("_id", F.lit(seed)))
     )
     known = written(known, "labels")
     n = known.count()
     if n > bound:
-        known = known.filter(F.pmod("_hash", F.lit(1 << 30)) < int(bound / n * (1 << 30)))
-        n = bound
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text")).filter("_id is not null and text is not null")
-    near = Membership(known.select("_hash"), "_hash", n).mark(rows.withColumn("_hash", F.xxhash64("_id", F.lit(seed))), "_hash", "_hit")
-    texts = near.filter("_hit").select("_id", "text").join(known.select("_id", "label"), "_id")
-    return written(texts.select("text", "label"), "labelled")
+        known = known.filter(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text")).filter("text is not null")
+    return written(rows.join(F.broadcast(known), "_id").select("text", "label"), "labelled")
