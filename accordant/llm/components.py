@@ -11,7 +11,7 @@ from accordant.llm.common import written
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component_id)`` for every node of ``links``; the id is the smallest node reachable.
 
-    Each round points a node at the neighbour with the smallest salted hash (or itself), and
+    Each round points a node at the node with the smallest salted hash within two links of it, and
     contracts the links to the targets.  The hash changes with the round, so chains contract by a
     constant share too, and the number of rounds grows with the logarithm of a component's width.
     Rounds are written to the shared folder; only their row counts come to the driver.
@@ -34,11 +34,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             # The hash orders, the id below it tells equal hashes apart.
             return F.struct(F.xxhash64(F.col(c), F.lit(salt)).alias("h"), F.col(c).alias("to"))
 
-        step = written(
-            both.groupBy("a").agg(F.min(key("b")).alias("m"))
-            .select(F.col("a").alias("x"), F.least(F.col("m"), key("a"))["to"].alias("to")),
-            "step",
-        )
+        near = both.groupBy("a").agg(F.min(key("b")).alias("m")).select("a", F.least(F.col("m"), key("a"))["to"].alias("n"))
+        # The smallest within two steps: all leaves of a star find the same target at once.
+        far = both.join(near.select(F.col("a").alias("b"), "n"), "b").groupBy("a").agg(F.min(key("n")).alias("m"))
+        step = written(far.select(F.col("a").alias("x"), F.col("m")["to"].alias("to")), "step")
         steps.append(step)
         left = written(
             left.join(step.select(F.col("x").alias("a"), F.col("to").alias("ta")), "a")

@@ -20,6 +20,8 @@ SLOTS = 1 << 20  # counters of the n-gram frequencies, whatever the size of the
 SLICE = 1 << 16
 FRAGMENTS = 8
 BLOCK_ENTRIES = 400_000  # prefix entries of a task's block
+SMALL = 32  # sets that share an n-gram, up to which all their pairs are looked at at once
+EARLY = 6  # shared n-grams asked of two sets at the beginning of the order
 HOT_ENTRIES = 200_000  # entries of one n-gram beyond which it is dealt to several blocks
 
 
@@ -97,7 +99,7 @@ def shingle_classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np
 
 
 def prefix_entries(docs: DataFrame, text: str, order: Order) -> DataFrame:
-    """Rows ``(block, hot, s, c, n)`` of packed arrays: the prefix n-grams of each set, dealt by n-gram.
+    """Rows ``(block, hot, s, c, n, p)`` of packed arrays: the prefix n-grams of each set and their places, dealt by n-gram.
 
     Sets of similarity t share an n-gram among the first n - ceil(t n) + 1 of the global order.  Copies
     in a batch are packed once; an n-gram with very many sets is dealt to several blocks.
@@ -106,7 +108,7 @@ def prefix_entries(docs: DataFrame, text: str, order: Order) -> DataFrame:
     entries = int(order.counts.sum() * (q - p) / q) + 1
     blocks = max(1, -(-entries // BLOCK_ENTRIES))
     broadcast = docs.sparkSession.sparkContext.broadcast(order.counts)
-    schema = pa.schema([("block", pa.int64()), ("hot", pa.bool_()), ("s", pa.binary()), ("c", pa.binary()), ("n", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("hot", pa.bool_()), ("s", pa.binary()), ("c", pa.binary()), ("n", pa.binary()), ("p", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held = WordHasher(), Order(broadcast.value)
@@ -118,6 +120,7 @@ def prefix_entries(docs: DataFrame, text: str, order: Order) -> DataFrame:
             sizes = [len(x[0]) for x in parts]
             c = np.repeat(np.array([x[1] for x in parts], np.int64), sizes)
             n = np.repeat(np.array([x[2] for x in parts], np.int64), sizes)
+            place = np.concatenate([np.arange(k, dtype=np.int64) for k in sizes])
             salts = 1 + np.maximum(0, held.counts[_slots(s)] - usual) // HOT_ENTRIES
             salt = mixed(c.view(np.uint64)) % salts.astype(np.uint64)
             block = (mixed(s ^ np.uint64(0x5851F42D4C957F2D)) + salt) % np.uint64(blocks)
@@ -128,7 +131,7 @@ def prefix_entries(docs: DataFrame, text: str, order: Order) -> DataFrame:
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 at = by[lo:hi]
                 w = int(where[at[0]])
-                got.append({"block": w // 2, "hot": bool(w % 2), "s": s[at].tobytes(), "c": c[at].tobytes(), "n": n[at].tobytes()})
+                got.append({"block": w // 2, "hot": bool(w % 2), "s": s[at].tobytes(), "c": c[at].tobytes(), "n": n[at].astype(np.int32).tobytes(), "p": place[at].astype(np.int32).tobytes()})
             parts.clear()
             for lo in range(0, len(got), 256):
                 yield pa.RecordBatch.from_pylist(got[lo:lo + 256], schema=schema)
@@ -147,95 +150,152 @@ def prefix_entries(docs: DataFrame, text: str, order: Order) -> DataFrame:
                     first = s[np.lexsort((s, levels[_slots(s)]))[:take]]
                     parts.append((first, c, len(s)))
                     size += take
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield from rows()
                     size, seen = 0, set()
         if parts:
             yield from rows()
 
-    packed = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(pack, "block long, hot boolean, s binary, c binary, n binary")
+    packed = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(pack, "block long, hot boolean, s binary, c binary, n binary, p binary")
     wide = max(1, min(blocks, 100_000))
     return packed.repartition(wide, "block")
 
 
-def shared_entries(packed: DataFrame) -> DataFrame:
-    """Entries of n-grams that several sets hold, and pairs of neighbours in size among them.
+def shared_needed(nx, ny, least):
+    """How many n-grams sets of these sizes must share at early places, and how late those places may be.
 
-    ``kind`` 0: (a: n-gram, b: class, n); 1: a pair of classes (a, b).  Entries of an n-gram that
-    was dealt to several blocks are all kept.
+    With ``need`` common n-grams, n - need of a set are not, so of its first n - need + l at least l are
+    common.  ``l`` is at most ``EARLY``, and as the prefixes of both sets allow.
     """
     p, q = SIMILARITY
+    up = (lambda x, y: (x + y - 1) // y) if isinstance(nx, np.ndarray) else (lambda x, y: F.floor((x + y - 1) / y))
+    need = up(p * (nx + ny), p + q)
+    length = lambda n: n - up(p * n, q) + 1
+    early = least(least(length(nx) - nx + need, length(ny) - ny + need), nx * 0 + EARLY)
+    return need, early
+
+
+def close_enough(nx, ny, i, j, least, greatest):
+    """Whether sets of sizes ``nx``, ``ny`` with a common n-gram at places ``i``, ``j`` can reach the similarity.
+
+    The n-gram must be at an early place of both, and no more are common than lie before and after.
+    """
+    p, q = SIMILARITY
+    need, early = shared_needed(nx, ny, least)
+    room = least(i, j) + 1 + least(nx - i - 1, ny - j - 1)
+    return (least(nx, ny) * q >= greatest(nx, ny) * p) & (i < nx - need + early) & (j < ny - need + early) & (room >= need)
+
+
+def shared_entries(packed: DataFrame) -> DataFrame:
+    """What n-grams that several sets hold say of pairs, as rows ``(kind, a, b, n, p)``.
+
+    1: a pair of classes (a, b) and how many n-grams of small groups it shares: all pairs of a group of
+    at most ``SMALL`` sets.  2: the same for larger groups, of each set and the one in which the n-gram
+    comes first (of copies with edits, the least edited).  0: the entries (a: n-gram, b: class, n: size,
+    p: place) of larger groups, from which the other pairs come where they matter.
+    """
 
     def block(t: pa.Table) -> pa.Table:
         read = lambda c, k: np.frombuffer(b"".join(t.column(c).to_pylist()), k)
         hot = t.column("hot")[0].as_py()
-        s, c, n = read("s", np.uint64), read("c", np.int64), read("n", np.int64)
-        by = np.lexsort((c, n, s))
-        s, c, n = s[by], c[by], n[by]
+        s, c, n, place = read("s", np.uint64), read("c", np.int64), read("n", np.int32).astype(np.int64), read("p", np.int32).astype(np.int64)
+        by = np.lexsort((c, place, s))
+        s, c, n, place = s[by], c[by], n[by], place[by]
         new = np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])]  # a set packed by several tasks
-        s, c, n = s[new], c[new], n[new]
-        same = s[1:] == s[:-1]
-        keep = np.ones(len(s), bool) if hot else np.r_[False, same] | np.r_[same, False]
-        a, b = [], []
-        for lag in (1, 2):
-            near = np.flatnonzero((s[lag:] == s[:-lag]) & (n[:-lag] * q >= n[lag:] * p))
-            a.append(c[near])
-            b.append(c[near + lag])
-        a, b = np.concatenate(a), np.concatenate(b)
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        pair, times = np.unique(np.stack([lo, hi], 1), axis=0, return_counts=True) if len(lo) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-        k = int(keep.sum())
-        return pa.table({
-            "kind": np.r_[np.zeros(k, np.int32), np.ones(len(pair), np.int32)], "a": np.r_[_signed(s[keep]), pair[:, 0]],
-            "b": np.r_[c[keep], pair[:, 1]], "n": np.r_[n[keep], times],
-        })
-
-    return packed.groupBy("block", "hot").applyInArrow(block, "kind int, a long, b long, n long")
+        s, c, n, place = s[new], c[new], n[new], place[new]
+        cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
+        size = np.repeat(np.diff(cuts), np.diff(cuts))
+        large = np.ones(len(s), bool) if hot else size > SMALL
+        out = [np.stack([np.zeros(int(large.sum()), np.int64), _signed(s[large]), c[large], n[large], place[large]], 1)]
+
+        def pairs(kind: int, x: np.ndarray, y: np.ndarray) -> None:
+            near = close_enough(n[x], n[y], place[x], place[y], np.minimum, np.maximum)
+            a, b = c[x[near]], c[y[near]]
+            pair, times = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_counts=True)
+            out.append(np.c_[np.full(len(pair), kind), pair, times, np.zeros(len(pair), np.int64)])
+
+        few = np.flatnonzero(~large & (size > 1))
+        found = [np.zeros((2, 0), np.int64)]
+        for lag in range(1, min(SMALL, len(few))):
+            same = s[few[lag:]] == s[few[:-lag]]
+            if not same.any():
+                break
+            found.append(np.stack([few[:-lag][same], few[lag:][same]]))
+        pairs(1, *np.concatenate(found, 1))
+        many = np.flatnonzero(large)
+        head = np.repeat(cuts[:-1], np.diff(cuts))[many]
+        pairs(2, head[head != many], many[head != many])
+        rows = np.concatenate(out)
+        return pa.table({"kind": rows[:, 0].astype(np.int32), "a": rows[:, 1], "b": rows[:, 2], "n": rows[:, 3], "p": rows[:, 4]})
+
+    return packed.groupBy("block", "hot").applyInArrow(block, "kind int, a long, b long, n long, p long")
 
 
 def segments(docs: DataFrame, key: str, text: str, wanted: DataFrame, order: Order) -> DataFrame:
-    """``(cls, fragment, part)``: the sets of wanted classes cut by the fragments of the global order.
+    """``(cls, fragment, part, sizes)``: the sets of wanted classes cut by the fragments of the global order.
+
+    ``sizes`` has the sizes of all fragments of the set.
 
     ``wanted`` has (doc_id, cls), one document per class; a bounded filter spares other texts.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(order.counts)
-    schema = pa.schema([("cls", pa.int64()), ("fragment", pa.int32()), ("part", pa.list_(pa.int64()))])
+    schema = pa.schema([("cls", pa.int64()), ("fragment", pa.int32()), ("part", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held = WordHasher(), Order(broadcast.value)
         levels, (below, mass) = held.levels(), held.fragments()
         for b in batches:
             for lo in range(0, b.num_rows, 500):
-                cls, fragment, part = [], [], []
+                cls, fragment, part, sizes = [], [], [], []
                 for s in hasher.shingle_sets(b.slice(lo, 500).column(0), SHINGLE):
                     if len(s):
                         f = _fragment(s, levels[_slots(s)], below, mass)
-                        c = set_hash(s)
-                        for i in np.unique(f):
+                        c, n = set_hash(s), np.bincount(f, minlength=FRAGMENTS)
+                        for i in np.flatnonzero(n):
                             cls.append(c)
                             fragment.append(i)
                             part.append(_signed(s[f == i]))
+                            sizes.append(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls, pa.int64()), pa.array(fragment, pa.int32()), pa.array(part, pa.list_(pa.int64()))], schema=schema
+                    [pa.array(cls, pa.int64()), pa.array(fragment, pa.int32()), pa.array(part, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))], schema=schema
                 )
 
     ids = wanted.select(F.xxhash64("doc_id").alias("h"))
     rows = docs.select(F.xxhash64(F.col(key).cast("long")).alias("h"), F.col(text).cast("string").alias("text"))
     hit = Membership(ids, "h", wanted.count()).mark(rows, "h", "hit").filter("hit").select("text")
-    cuts = hit.mapInArrow(cut, "cls long, fragment int, part array<long>")
+    cuts = hit.mapInArrow(cut, "cls long, fragment int, part array<long>, sizes array<long>")
     one = cuts.join(wanted.select("cls"), "cls", "left_semi")
-    return written(one.dropDuplicates(["cls", "fragment"]), "segments")
+    return written(one.dropDuplicates(["cls", "fragment"]), "segments")  # a text that passed the filter twice
+
 
+def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes: DataFrame, order: Order) -> DataFrame:
+    """Pairs ``(a, b)`` that reach the similarity: overlaps counted per fragment, summed per pair.
 
-def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` that reach the similarity: overlaps counted per fragment, summed per pair."""
-    one = pairs.join(sets.withColumnRenamed("cls", "a").withColumnRenamed("part", "pa"), "a")
-    two = one.join(sets.select(F.col("cls").alias("b"), "fragment", F.col("part").alias("pb")), ["b", "fragment"])
-    common = two.select("a", "b", F.size(F.array_intersect("pa", "pb")).cast("long").alias("k")).groupBy("a", "b").agg(F.sum("k").alias("k"))
+    A pair's largest fragment is counted first; the others only where the sum can still be enough,
+    as each can add no more than the smaller of its two parts.
+    """
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls"), "wanted")
+    sets = segments(docs, key, text, ends, order)
+    parts = lambda c, name: sets.select(F.col("cls").alias(c), "fragment", F.col("part").alias(name))
+    sizes = sets.select("cls", "sizes").dropDuplicates(["cls"])
+    sized = pairs.select("a", "b").join(sizes.select(F.col("cls").alias("a"), F.col("sizes").alias("sa")), "a")
+    sized = sized.join(sizes.select(F.col("cls").alias("b"), F.col("sizes").alias("sb")), "b")
     p, q = SIMILARITY
-    sized = common.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
-    sized = sized.join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.filter(q * F.col("k") >= p * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
+    sized = sized.withColumns({
+        "least": F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), "both": F.expr("aggregate(zip_with(sa, sb, (x, y) -> x + y), 0L, (x, y) -> x + y)"),
+    }).withColumn("fragment", (F.array_position("least", F.array_max("least")) - 1).cast("int"))
+    sized = sized.filter(F.expr(f"{p + q} * aggregate(least, 0L, (x, y) -> x + y) >= {p} * both")).drop("sa", "sb")
+
+    def counted(some: DataFrame) -> DataFrame:
+        two = some.join(parts("a", "pa"), ["a", "fragment"]).join(parts("b", "pb"), ["b", "fragment"])
+        return two.withColumn("k", F.size(F.array_intersect("pa", "pb")).cast("long")).drop("pa", "pb")
+
+    room = F.expr(f"{p + q} * (k + aggregate(least, 0L, (x, y) -> x + y) - least[fragment]) >= {p} * both")
+    lead = written(counted(sized).filter(room), "lead")
+    others = lead.select("a", "b", F.posexplode("least").alias("at", "n"), F.col("fragment").alias("counted_at")).filter("n > 0 and at <> counted_at")
+    others = counted(others.select("a", "b", F.col("at").alias("fragment"))).groupBy("a", "b").agg(F.sum("k").alias("more"))
+    total = lead.join(others, ["a", "b"], "left")
+    return written(total.filter(F.expr(f"{p + q} * (k + coalesce(more, 0L)) >= {p} * both")).select("a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,11 +308,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     component is the smallest id of the others (null when alone); rows that repeat an id are rows of
     their own.  Other columns are not read; an empty table gives no rows.
 
-    Candidates share an n-gram among the rarest fifth of both sets (prefix filter over a global order
-    by counted frequency).  First each class is compared with its most promising neighbour, and the
-    links make components; then every pair that is still in different components and shares enough
-    of its prefixes is compared.  Components are so exact without all pairs of a large group.
-    Comparing means joining the sets fragment by fragment of the global order and summing the
+    Candidates share n-grams among the rarest of both sets (prefix filter over a global order by
+    counted frequency), at places that leave room for the similarity.  First each class is compared
+    with the partner with which it shares most, and the links make components; then every pair that is
+    still in different components is compared.  Components are so exact without all pairs of a large
+    group.  Comparing means joining the sets fragment by fragment of the global order and summing the
     overlaps per pair.
     """
     rows, counts = shingle_classes(docs, key, text)
@@ -260,39 +320,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     p, q = SIMILARITY
     classes = written(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
     shared = written(shared_entries(prefix_entries(docs, text, order)), "entries")
-    entries = shared.filter("kind = 0").select(F.col("a").alias("s"), F.col("b").alias("cls"), "n")
-    # A class meets the neighbour with which it shares most prefix n-grams; ties go to the smaller.
-    beside = shared.filter("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("times"))
-    best = beside.groupBy("b").agg(F.max(F.struct("times", F.negative("a").alias("a"))).alias("m"))
-    pairs = written(best.select(F.negative(F.col("m.a")).alias("a"), "b"), "pairs")
-    wanted = written(entries.select("cls").distinct().join(classes, "cls"), "wanted")
-    sets = segments(docs, key, text, wanted, order)
-    links = written(verified(pairs, sets, wanted), "links")
-
-    def grouped(links: DataFrame) -> DataFrame:
-        """Entries with their component, of n-grams that still hold more than one component."""
-        parts = components(links).select(F.col("node").alias("cls"), "component_id")
-        with_part = written(
-            entries.join(parts, "cls", "left").select("s", "cls", "n", F.coalesce("component_id", "cls").alias("part")), "parted"
-        )
-        split = with_part.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("s")
-        return with_part.join(split, "s")
-
-    # Parts of a large group that neighbours did not join: one class of each part meets one of the first.
-    left = grouped(links)
-    per_part = left.groupBy("s", "part").agg(F.min(F.struct("n", "cls")).alias("m"))
-    first = per_part.groupBy("s").agg(F.min("m").alias("f"))
-    star = per_part.join(first, "s").filter((F.col("m.cls") != F.col("f.cls")) & (F.col("f.n") * q >= F.col("m.n") * p))
-    star = star.select(F.least("m.cls", "f.cls").alias("a"), F.greatest("m.cls", "f.cls").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    size = lambda c, n: wanted.select(F.col("cls").alias(c), F.col("n").alias(n))
-    star = _promising(star.join(size("a", "na"), "a").join(size("b", "nb"), "b"), partial=True)
-    links = written(links.union(verified(written(star, "pairs"), sets, wanted)), "links")
-    left = written(grouped(links), "left")
-    x = left.select("s", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    y = left.select("s", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    across = x.join(y, "s").filter("a < b and pa <> pb").filter((F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p))
-    across = across.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
-    links = links.union(verified(written(_promising(across), "pairs"), sets, wanted))
+    entries = written(shared.filter("kind = 0").select(F.col("a").alias("s"), F.col("b").alias("cls"), "n", "p"), "large")
+    large = written(entries.groupBy("cls").agg(F.count(F.lit(1)).alias("large")), "large-of")
+    end = lambda c: classes.join(large, "cls", "left").select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.coalesce("large", F.lit(0)).alias(f"l{c}"))
+    pairs = shared.filter("kind > 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("few"))
+    # What a pair shares in small groups is known; in large ones, no more than either set has there.
+    enough = F.col("few") + F.least("la", "lb") >= shared_needed(F.col("na"), F.col("nb"), F.least)[1]
+    pairs = written(pairs.join(end("a"), "a").join(end("b"), "b").filter(enough).select("a", "b", "n", "few"), "pairs")
+    # The partner with which a class shares most, of smaller or larger id; ties go to the smaller.
+    ways = pairs.select("a", "b", "n", F.explode(F.array(F.struct(F.col("a").alias("of"), F.col("b").alias("with")), F.struct(F.col("b").alias("of"), F.col("a").alias("with")))).alias("w"))
+    best = ways.groupBy("w.of").agg(F.max(F.struct("n", F.negative("w.with").alias("with"))).alias("m"))
+    with_ = F.negative(F.col("m.with"))
+    first = written(best.select(F.least("of", with_).alias("a"), F.greatest("of", with_).alias("b")).distinct(), "first")
+    links = verified(first, docs, key, text, classes, order)
+    parts = written(components(links).select(F.col("node").alias("cls"), F.col("component_id").alias("part")), "parts")
+    part_of = lambda df, c, name: df.join(parts.select(F.col("cls").alias(c), F.col("part").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    apart = part_of(part_of(pairs.filter("few > 0").select("a", "b"), "a", "pa"), "b", "pb").filter("pa <> pb").select("a", "b")
+    # Of large groups, only n-grams that still hold several components are joined with themselves.
+    entries = written(part_of(entries, "cls", "part"), "entries-parted")
+    split = entries.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("s")
+    across = _across(entries.join(split, "s"))
+    rest = apart.union(across).distinct().join(first, ["a", "b"], "left_anti")
+    links = links.union(verified(written(rest, "rest"), docs, key, text, classes, order))
     parts = written(components(links), "components")
     member = classes.join(parts, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component_id", "cls").alias("part"))
     least = member.groupBy("part").agg(F.min("doc_id").alias("component_id"))
@@ -301,15 +350,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _promising(pairs: DataFrame, partial: bool = False) -> DataFrame:
-    """Pairs whose shared prefix n-grams ``k`` leave room for the similarity.
+def _across(left: DataFrame) -> DataFrame:
+    """Pairs of classes in different components that share enough early n-grams of large groups.
 
-    Outside the prefixes at most n - prefix n-grams of the set whose prefix ends first can be common.
-    ``partial``: k counts only some shared n-grams, so only sizes are looked at.
+    Pairs that also share n-grams of small groups are known from there.
     """
-    p, q = SIMILARITY
-    if partial:
-        return pairs.filter((F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p)).select("a", "b")
-    rest = lambda n: F.floor((p * F.col(n) + q - 1) / q) - 1  # noqa: E731  n minus the prefix length
-    need = F.floor((p * (F.col("na") + F.col("nb")) + p + q - 1) / (p + q))
-    return pairs.filter(F.col("k") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b")
+    # Of two different components, one at least is not the n-gram's largest: only its sets start a pair.
+    held = left.groupBy("s", "part").agg(F.count(F.lit(1)).alias("k"))
+    largest = held.groupBy("s").agg(F.max(F.struct("k", "part"))["part"].alias("largest"))
+    rows = written(left.join(largest, "s").withColumn("main", F.col("part") == F.col("largest")).drop("largest"), "headed")
+    side = lambda some, names: some.select(*[F.col(x).alias(y) for x, y in zip(("s", "cls", "n", "p", "part", "main"), names)])
+    x, y = side(rows.filter("not main"), ("s", "a", "na", "i", "pa", "ma")), side(rows, ("t", "b", "nb", "j", "pb", "mb"))
+    near = close_enough(F.col("na"), F.col("nb"), F.col("i"), F.col("j"), F.least, F.greatest)
+    once = F.col("mb") | (F.col("a") < F.col("b"))
+    met = x.join(y, (F.col("s") == F.col("t")) & (F.col("pa") != F.col("pb")) & once & near)
+    # Which end starts a pair can differ from n-gram to n-gram, so the ends are ordered before they are counted.
+    small = F.col("a") < F.col("b")
+    met = met.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+        F.when(small, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(small, F.col("nb")).otherwise(F.col("na")).alias("nb"),
+    ).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
+    return met.filter(F.col("k") >= shared_needed(F.col("na"), F.col("nb"), F.least)[1]).select("a", "b")
