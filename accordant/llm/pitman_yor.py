@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from accordant.llm.common import fold, written
 from accordant.llm.hashing import WordHasher, mixed
 
 FOLDS = 10
-CONTEXTS = 1 << 16  # context restaurants: preceding words by hash
+CONTEXTS = 1 << 16  # context restaurants whose totals one task adds up, about; there are as many as distinct preceding words
 START, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543211)
 CHUNK_TOKENS = 1 << 19  # tokens of a run of documents that asks for its probabilities at once
 SHARD_TOKENS = 1_000_000  # tokens of a shard of dishes, about
@@ -27,10 +28,6 @@ DISCOUNT, STRENGTH = 0.75, 2.0  # of context restaurants
 TOP_DISCOUNT, TOP_STRENGTH = 0.6, 20.0  # of the restaurant they share as parent
 
 
-def context(previous: np.ndarray) -> np.ndarray:
-    return previous >> np.uint64(64 - 16)
-
-
 @dataclass
 class Chunk:
     """A run of documents as indices into its distinct (word, context) pairs, sorted by shard, word and context."""
@@ -43,6 +40,33 @@ class Chunk:
     index: np.ndarray  # pair per token
 
 
+def distinct_pairs(words: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and contexts of the distinct pairs, sorted, and the pair of each row."""
+    w, which = np.unique(words, return_inverse=True)
+    c, where = np.unique(contexts, return_inverse=True)
+    pairs, index = np.unique((which.astype(np.uint64) << np.uint64(32)) | where.astype(np.uint64), return_inverse=True)
+    return w[(pairs >> np.uint64(32)).astype(np.int64)], c[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)], index
+
+
+def pair_keys(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    return mixed(words ^ (contexts + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25))
+
+
+def packed(**arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value; the bytes of a place in the numbers are put together, which compresses well."""
+    raw = pickle.dumps({k: (a.dtype.str, a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) for k, a in arrays.items()})
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(value: bytes) -> dict[str, np.ndarray]:
+    raw = pickle.loads(pa.decompress(value[8:], int.from_bytes(value[:8], "little"), "zstd", asbytes=True))
+    arrays = {}
+    for k, (kind, data) in raw.items():
+        width = np.dtype(kind).itemsize
+        arrays[k] = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+    return arrays
+
+
 def chunk_of(hashes: np.ndarray, at: np.ndarray, trained: np.ndarray, shards: int, hot: np.ndarray) -> Chunk:
     """``at``: first word of each document (and the end); an end token is added to every document."""
     docs = len(at) - 1
@@ -55,14 +79,11 @@ def chunk_of(hashes: np.ndarray, at: np.ndarray, trained: np.ndarray, shards: in
     before = np.empty(n, np.uint64)
     before[1:] = words[:-1]
     before[np.r_[0, ends[:-1] + 1]] = START
-    ctx = context(before)
     seen = np.repeat(trained, np.diff(at) + 1)
-    distinct, which = np.unique(words, return_inverse=True)
-    pairs, index = np.unique((which.astype(np.uint64) << np.uint64(16)) | ctx, return_inverse=True)
-    counts = np.bincount(index, seen, len(pairs)).astype(np.int64)
-    pw, pc = distinct[(pairs >> np.uint64(16)).astype(np.int64)], pairs & np.uint64(CONTEXTS - 1)
+    pw, pc, index = distinct_pairs(words, before)
+    counts = np.bincount(index, seen, len(pw)).astype(np.int64)
     spread = np.isin(pw, hot)
-    key = np.where(spread, mixed(pw ^ (pc + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)), mixed(pw))
+    key = np.where(spread, pair_keys(pw, pc), mixed(pw))
     shard = (key % np.uint64(shards)).astype(np.int64)
     order = np.lexsort((pc, pw, shard))
     back = np.empty(len(order), np.int64)
@@ -70,7 +91,7 @@ def chunk_of(hashes: np.ndarray, at: np.ndarray, trained: np.ndarray, shards: in
     shard, pw, pc, counts = shard[order], pw[order], pc[order], counts[order]
     first = np.flatnonzero(np.r_[True, (pw[1:] != pw[:-1]) | (shard[1:] != shard[:-1])])
     runs = np.diff(np.r_[first, len(pw)])
-    return Chunk(shard[first], pw[first], runs, pc.astype(np.uint16), counts, back[index])
+    return Chunk(shard[first], pw[first], runs, pc, counts, back[index])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray) -> Iterator[tuple[int, pa.Array, Chunk, np.ndarray]]:
@@ -105,7 +126,24 @@ def _wide(low: bytes, high: bytes) -> np.ndarray:
     return np.frombuffer(low, np.uint16).astype(np.int64) | (np.frombuffer(high, np.uint16).astype(np.int64) << 16)
 
 
-def reseat(customers: np.ndarray, rate: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+class Draws:
+    """Random numbers that hang on the key of a dish and the sweep alone, so no dealing of dishes changes them."""
+
+    def __init__(self, keys: np.ndarray, sweep: int):
+        self.keys = mixed(keys + np.uint64((sweep + 1) * 0xA0761D6478BD642F % (1 << 64)))
+
+    def binomial(self, of: np.ndarray, first: int, times: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Successes of customers ``first``, ``first`` + 1, ... of the dishes ``of``, one number per customer."""
+        hits, most = np.zeros(len(of), np.int64), int(times.max())
+        keys, width = self.keys[of][:, None], max(1, (1 << 18) // len(of))
+        for lo in range(0, most, width):
+            k = np.arange(lo, min(lo + width, most))
+            u = (mixed(keys + (k + first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) * 2.0**-53
+            hits += ((u < p[:, None]) & (k < times[:, None])).sum(1)
+        return hits
+
+
+def reseat(customers: np.ndarray, rate: np.ndarray, discount: float, rng: np.random.Generator | Draws) -> np.ndarray:
     """Tables of each dish after its customers are seated anew, one by one, given the rest of the restaurant.
 
     ``rate``: weight of a new table, (strength + discount * tables) * parent probability.  The first
@@ -119,7 +157,8 @@ def reseat(customers: np.ndarray, rate: np.ndarray, discount: float, rng: np.ran
         t, r = tables[live], rate[live]
         some = np.minimum(step, customers[live] - i)
         p = r / (r + np.maximum(i + (some - 1) / 2 - discount * t, 1e-9))
-        tables[live] = t + rng.binomial(some.astype(np.int64), np.minimum(p, 1.0))
+        some, p = some.astype(np.int64), np.minimum(p, 1.0)
+        tables[live] = t + (rng.binomial(live, i, some, p) if isinstance(rng, Draws) else rng.binomial(some, p))
         i += step
         live = live[customers[live] > i]
     return np.minimum(tables, customers)
@@ -131,41 +170,100 @@ class Seating:
 
     words: np.ndarray
     word_of: np.ndarray  # per pair
-    contexts: np.ndarray
+    contexts: np.ndarray  # per pair: index into the shard's contexts
     counts: np.ndarray
     tables: list[np.ndarray]  # per sample and pair
     top: list[np.ndarray]  # per sample and word: tables in the parent restaurant
 
 
-def seat(words: np.ndarray, word_of: np.ndarray, contexts: np.ndarray, counts: np.ndarray, shards: int, hot: np.ndarray, seed: int) -> Seating:
-    """Gibbs sweeps over the pairs of one shard.
+@dataclass
+class Sums:
+    """What all shards add up to for one seating, besides the totals per context."""
+
+    tokens: int
+    words: int
+    customers: int  # of the parent restaurant
+    tables: int  # of the parent restaurant
+    hot: np.ndarray
+    hot_counts: np.ndarray
+    hot_customers: np.ndarray
+    hot_tables: np.ndarray
+
+
+class Shard:
+    """Dishes of one shard while they are seated."""
+
+    def __init__(self, words, word_of, contexts, counts, ids, hot, tables=None, top=None):
+        self.words, self.word_of, self.contexts, self.counts, self.ids = words, word_of, contexts, counts, ids
+        self.at = np.minimum(np.searchsorted(hot, words), max(0, len(hot) - 1))
+        self.spread = hot[self.at] == words if len(hot) else np.zeros(len(words), bool)
+        self.at = self.at[self.spread]
+        self.tables = np.minimum(counts, 1) if tables is None else tables
+        self.top = np.minimum(self.served(), 1) if top is None else top
+
+    def served(self) -> np.ndarray:
+        return np.bincount(self.word_of, self.tables, len(self.words)).astype(np.int64)
+
+    def per_context(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.contexts, v, len(self.ids)).astype(np.int64)
+
+    def part(self, hot: np.ndarray) -> np.ndarray:
+        """What this shard adds to the sums."""
+        known, served = np.bincount(self.word_of, self.counts, len(self.words)), self.served()
+        by_hot = np.zeros((2, len(hot)), np.int64)
+        by_hot[0, self.at], by_hot[1, self.at] = known[self.spread], served[self.spread]
+        return np.r_[int(self.counts.sum()), (known[~self.spread] > 0).sum(), served.sum(), self.top[~self.spread].sum(), by_hot.ravel()].astype(np.int64)
 
-    Dishes are dealt to shards by hash, so a restaurant's totals are estimated from the shard's part
-    of them while sampling; the probabilities use the exact totals of all shards.
+    def sweep(self, context_tables: np.ndarray, sums: Sums, number: int) -> None:
+        """Seat every dish anew, given the exact totals of all shards after the sweep before."""
+        served, top = self.served(), self.top.copy()
+        served[self.spread], top[self.spread] = sums.hot_customers[self.at], sums.hot_tables[self.at]
+        parent = (served - TOP_DISCOUNT * top + (TOP_STRENGTH + TOP_DISCOUNT * sums.tables) / (sums.words + 1)) / (TOP_STRENGTH + sums.customers)
+        rate = (STRENGTH + DISCOUNT * context_tables[self.contexts]) * parent[self.word_of]
+        self.tables = reseat(self.counts, rate, DISCOUNT, Draws(pair_keys(self.words[self.word_of], self.ids[self.contexts]), number)).astype(np.int64)
+        self.top = seat_top(self.words, self.served(), top, sums.tables, sums.words, number)
+
+
+def seat_top(words: np.ndarray, served: np.ndarray, top: np.ndarray, tables: int, known: int, number: int) -> np.ndarray:
+    """Tables of words in the parent restaurant; ``served`` and ``top`` are those of all shards."""
+    rate = np.full(len(words), (TOP_STRENGTH + TOP_DISCOUNT * tables) / (known + 1))
+    return reseat(served, rate, TOP_DISCOUNT, Draws(words, number)).astype(np.int64)
+
+
+def summed(part: np.ndarray, hot: np.ndarray, before: Sums | None, number: int) -> Sums:
+    """Sums from the added parts of all shards; words that are dealt over shards are seated in the parent here."""
+    counts, served = part[4:].reshape(2, len(hot))
+    if before is None:
+        top = np.minimum(served, 1)
+    else:
+        top = seat_top(hot, served, before.hot_tables, before.tables, before.words, number)
+    return Sums(int(part[0]), int(part[1] + (counts > 0).sum()), int(part[2]), int(part[3] + top.sum()), hot, counts, served, top)
+
+
+def seat(words: np.ndarray, word_of: np.ndarray, contexts: np.ndarray, counts: np.ndarray, shards: int, hot: np.ndarray, seed: int, ids: np.ndarray | None = None) -> Seating:
+    """All sweeps over the pairs of a corpus of one shard, where no total needs another task.
+
+    ``contexts`` are indices into ``ids`` (themselves the ids when there are none); ``seed`` is the
+    number of the first sweep.
     """
-    rng = np.random.default_rng(seed)
-    w = len(words)
-    scale = np.where(np.isin(words, hot), shards, 1.0)
-    tables = np.minimum(counts, 1).astype(np.float64)
-    known = max(1, int(np.bincount(word_of, counts, w).astype(bool).sum())) * shards
+    if shards != 1:
+        raise ValueError("several shards are seated in rounds, see score_texts")
+    if ids is None:
+        ids = np.arange(int(contexts.max(initial=-1)) + 1).astype(np.uint64)
+    shard, sums = Shard(words, word_of, contexts, counts, ids, hot), None
     out = Seating(words, word_of, contexts, counts, [], [])
-    for sweep in range(BURN_IN + SAMPLES):
-        served = np.bincount(word_of, tables, w) * scale
-        top = reseat(served.astype(np.int64), np.full(w, (TOP_STRENGTH + TOP_DISCOUNT * known) / (known + 1)), TOP_DISCOUNT, rng)
-        total = max(1.0, (served / scale).sum() * shards)
-        parent = (served - TOP_DISCOUNT * top + (TOP_STRENGTH + TOP_DISCOUNT * (top / scale).sum() * shards) / (known + 1)) / (TOP_STRENGTH + total)
-        held = np.bincount(contexts, tables, CONTEXTS) * shards
-        tables = reseat(counts, (STRENGTH + DISCOUNT * held[contexts]) * parent[word_of], DISCOUNT, rng)
-        if sweep >= BURN_IN:
-            out.tables.append(tables)
-            final = np.bincount(word_of, tables, w)
-            out.top.append(reseat(final.astype(np.int64), np.full(w, (TOP_STRENGTH + TOP_DISCOUNT * known) / (known + 1)), TOP_DISCOUNT, rng))
+    for sweep in range(seed, seed + BURN_IN + SAMPLES):
+        sums = summed(shard.part(hot), hot, sums, sweep - 1)
+        shard.sweep(shard.per_context(shard.tables), sums, sweep)
+        if sweep - seed >= BURN_IN:
+            out.tables.append(shard.tables)
+            out.top.append(shard.top)
     return out
 
 
 @dataclass
 class Totals:
-    """What all shards add up to: a bounded set of arrays."""
+    """What all shards add up to, for the contexts of one shard."""
 
     tokens: int  # N
     words: int  # V
@@ -179,22 +277,12 @@ class Totals:
     hot_tables: np.ndarray
 
 
-def _shard_rows(rows: dict) -> tuple[np.ndarray, ...]:
-    """Request arrays of a shard row: words, runs, contexts and counts, chunk after chunk."""
-    return np.frombuffer(rows["words"], np.uint64), _wide(rows["runs"], rows["runs_high"]), np.frombuffer(rows["contexts"], np.uint16).astype(np.int64), _wide(rows["counts"], rows["counts_high"])
-
-
-def _merged(words: np.ndarray, runs: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Equal pairs of all chunks made one: words, word per pair, context, count, and the pair of each request."""
-    distinct, which = np.unique(words, return_inverse=True)
-    key = (np.repeat(which, runs).astype(np.uint64) << np.uint64(16)) | contexts.astype(np.uint64)
-    pairs, place = np.unique(key, return_inverse=True)
-    total = np.bincount(place, counts, len(pairs)).astype(np.int64)
-    return distinct, (pairs >> np.uint64(16)).astype(np.int64), (pairs & np.uint64(CONTEXTS - 1)).astype(np.int64), total, place
-
-
-REQUEST = "shard long, chunk long, words binary, runs binary, runs_high binary, contexts binary, counts binary, counts_high binary"
-_BLOBS = ("words", "runs", "runs_high", "contexts", "counts", "counts_high")
+def totals_of(sums: list[Sums], context_counts: np.ndarray, context_tables: list[np.ndarray]) -> Totals:
+    s = sums[-1]
+    return Totals(
+        s.tokens, s.words, context_counts, np.array(context_tables), *(np.array([getattr(x, f) for x in sums]) for f in ("customers", "tables")),
+        s.hot, s.hot_counts, *(np.array([getattr(x, f) for x in sums]) for f in ("hot_customers", "hot_tables")),
+    )
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,10 +297,12 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     an empty table gives no rows.  ``docs`` must be a stable scan (a table, not an unordered shuffle):
     it is read twice, and runs of documents are matched by checked ids.
 
-    The context restaurants are the preceding words by hash; they share one parent restaurant over
-    all words.  Runs of documents ask for the probabilities of their distinct (word, context) pairs,
-    and hand in their training counts with the question.  Shards of words add the counts up, sample
-    the seating, and answer; words so frequent that they would fill a shard are dealt by context.
+    There is a context restaurant for every preceding word (by its 64-bit hash); they share one parent
+    restaurant over all words.  Runs of documents ask for the probabilities of their distinct (word,
+    context) pairs, and hand in their training counts with the question.  Shards of words add the
+    counts up, sample the seating, and answer; words so frequent that they would fill a shard are dealt
+    by context.  After each sweep the customers and tables of every context are added up over all
+    shards, by context, and sent back to the shards that hold the context.
     """
     spark = docs.sparkSession
     trained = fold(F.col(key)) % FOLDS != 0
@@ -222,7 +312,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
     shards = max(1, math.ceil((size.bytes / TOKEN_BYTES + size.n) / SHARD_TOKENS))
     hot = frequent_words(rows, size.n, shards)
-    request = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in _BLOBS]])
+    homes = max(1, math.ceil(shards * SHARD_TOKENS / (16 * CONTEXTS)))
+    request = pa.schema([("shard", pa.int64()), ("chunk", pa.int64()), ("body", pa.binary())])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, c, _ in _chunks(batches, shards, hot):
@@ -231,8 +322,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             got = []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 a, b = pairs[lo], pairs[hi]
-                blobs = (c.words[lo:hi].tobytes(), *_narrow(c.runs[lo:hi]), c.contexts[a:b].tobytes(), *_narrow(c.counts[a:b]))
-                got.append({"shard": int(c.shard[lo]), "chunk": number, **dict(zip(_BLOBS, blobs))})
+                got.append({"shard": int(c.shard[lo]), "chunk": number, "body": packed(words=c.words[lo:hi], runs=c.runs[lo:hi], contexts=c.contexts[a:b], counts=c.counts[a:b])})
                 if len(got) == 64:
                     yield pa.RecordBatch.from_pylist(got, schema=request)
                     got = []
@@ -240,39 +330,40 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 yield pa.RecordBatch.from_pylist(got, schema=request)
 
     def gather(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("chunk").to_numpy(), kind="stable")
-        t = t.take(pa.array(order))
-        sizes = [np.array([len(x) // w for x in t.column(c).to_pylist()], np.int64).tobytes() for c, w in (("words", 8), ("contexts", 2))]
-        whole = {c: pa.array([b"".join(t.column(c).to_pylist())], pa.binary()) for c in _BLOBS}
+        t = t.sort_by("chunk")
+        parts = [unpacked(x) for x in t.column("body").to_pylist()]
+        whole = {k: np.concatenate([p[k] for p in parts]) for k in ("words", "runs", "contexts", "counts")}
+        pw, pc, place = distinct_pairs(np.repeat(whole["words"], whole["runs"]), whole["contexts"])
+        counts = np.bincount(place, whole["counts"], len(pw)).astype(np.int64)
+        words, runs = np.unique(pw, return_counts=True)
+        ids, at = np.unique(pc, return_inverse=True)
+        order = np.lexsort((ids, ids % np.uint64(homes)))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
         return pa.table({
-            "shard": t.column("shard")[:1], "chunks": pa.array([t.column("chunk").to_numpy().tobytes()], pa.binary()),
-            "n_words": pa.array([sizes[0]], pa.binary()), "n_pairs": pa.array([sizes[1]], pa.binary()), **whole,
+            "shard": t.column("shard")[:1],
+            "seats": pa.array([packed(words=words, runs=runs, contexts=back[at], counts=counts, ids=ids[order])], pa.binary()),
+            "requests": pa.array([packed(chunks=t.column("chunk").to_numpy(), sizes=np.array([len(p["contexts"]) for p in parts]), steps=np.diff(place, prepend=0))], pa.binary()),
         })
 
-    blobs = ", ".join(f"{c} binary" for c in ("chunks", "n_words", "n_pairs", *_BLOBS))
-    asked = written(rows.mapInArrow(ask, REQUEST).groupBy("shard").applyInArrow(gather, f"shard long, {blobs}"), "requests")
-    totals = _totals(asked, shards, hot)
-    held = spark.sparkContext.broadcast(tuple(vars(totals).values()))
+    asked = written(rows.mapInArrow(ask, "shard long, chunk long, body binary").groupBy("shard").applyInArrow(gather, "shard long, seats binary, requests binary"), "requests")
+    scored_pairs, sums = _seated(asked.select("shard", "seats"), shards, homes, hot)
     answer = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("scores", pa.binary()), ("known", pa.binary())])
 
-    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Totals(*held.value)
-        for b in batches:
-            for row in b.to_pylist():
-                words, runs, contexts, counts = _shard_rows(row)
-                distinct, word_of, ctx, total, place = _merged(words, runs, contexts, counts)
-                logs, known = _predictive(seat(distinct, word_of, ctx, total, shards, hot, row["shard"]), t)
-                logs = logs[place].astype(np.float32)
-                seen = known[np.searchsorted(distinct, words)]
-                chunks, nw, np_ = (np.frombuffer(row[c], np.int64) for c in ("chunks", "n_words", "n_pairs"))
-                w, p = np.r_[0, np.cumsum(nw)], np.r_[0, np.cumsum(np_)]
-                for lo in range(0, len(chunks), 64):
-                    yield pa.RecordBatch.from_pylist([
-                        {"chunk": int(chunks[i]), "shard": row["shard"], "scores": logs[p[i]:p[i + 1]].tobytes(), "known": seen[w[i]:w[i + 1]].tobytes()}
-                        for i in range(lo, min(lo + 64, len(chunks)))
-                    ], schema=answer)
-
-    replies = asked.mapInArrow(reply, "chunk long, shard long, scores binary, known binary")
+    def reply(left: pa.Table, right: pa.Table) -> pa.Table:
+        request, pairs = unpacked(left.column("requests")[0].as_py()), unpacked(right.column("scores")[0].as_py())
+        place, at = np.cumsum(request["steps"]), np.r_[0, np.cumsum(request["sizes"])]
+        word_of = np.repeat(np.arange(len(pairs["runs"])), pairs["runs"])
+        out = []
+        for number, lo, hi in zip(request["chunks"], at[:-1], at[1:]):
+            word = word_of[place[lo:hi]]
+            seen = pairs["known"][word[np.r_[True, word[1:] != word[:-1]]]]
+            out.append({"chunk": int(number), "shard": left.column("shard")[0].as_py(), "scores": pairs["logs"][place[lo:hi]].tobytes(), "known": seen.tobytes()})
+        return pa.Table.from_pylist(out, schema=answer)
+
+    replies = asked.select("shard", "requests").groupBy("shard").cogroup(scored_pairs.groupBy("shard")).applyInArrow(
+        reply, "chunk long, shard long, scores binary, known binary"
+    )
     sheet = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("sizes", "low", "high", "runs", "runs_high")]])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +376,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             )
 
     sheets = rows.mapInArrow(keep, "chunk long, docs array<long>, sizes binary, low binary, high binary, runs binary, runs_high binary")
-    n, floor = totals.tokens, totals.tokens + 0.1 * (totals.words + 1)
+    n, floor = sums.tokens, sums.tokens + 0.1 * (sums.words + 1)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()
@@ -335,54 +426,116 @@ def frequent_words(rows: DataFrame, n: int, shards: int) -> np.ndarray:
     return np.sort(np.array([r.word for r in top if r.n >= 16 and r.n * 8 * shards > total], np.int64).view(np.uint64))
 
 
-def _totals(asked: DataFrame, shards: int, hot: np.ndarray) -> Totals:
-    """First sampling pass: sums of all shards, added up per task and in two steps."""
-    cut = 4096
-    schema = pa.schema([("slot", pa.int32()), ("sums", pa.binary())])
+def _seated(asked: DataFrame, shards: int, homes: int, hot: np.ndarray) -> tuple[DataFrame, Sums]:
+    """Packed log10 probabilities per pair and training counts per word of each shard (column scores), and the last sums."""
+    last = BURN_IN + SAMPLES
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        per_context = np.zeros((CONTEXTS, SAMPLES + 1), np.int64)
-        rest = np.zeros(2 + 2 * SAMPLES + len(hot) * (SAMPLES + 1), np.int64)
+    def add(t: pa.Table) -> pa.Table:
+        sums = np.sum([np.frombuffer(x, np.int64) for x in t.column("part").to_pylist()], axis=0)
+        return pa.table({"part": pa.array([sums.tobytes()], pa.binary())})
+
+    def added(state: DataFrame) -> np.ndarray:
+        """Parts of all shards, added up in 64 groups first."""
+        got = state.select("part", F.pmod("shard", F.lit(64)).alias("slot")).groupBy("slot").applyInArrow(add, "part binary").collect()
+        return np.sum([np.zeros(4 + 2 * len(hot), np.int64), *[np.frombuffer(r.part, np.int64) for r in got]], axis=0)
+
+    def opened(value: bytes) -> tuple[dict, Shard]:
+        s = unpacked(value)
+        word_of = np.repeat(np.arange(len(s["runs"])), s["runs"])
+        return s, Shard(s["words"], word_of, s["contexts"], s["counts"], s["ids"], hot, s.get("tables"), s.get("top"))
+
+    def scores(s: dict, seating: Seating, totals: Totals) -> bytes:
+        logs, known = _predictive(seating, totals)
+        return packed(runs=s["runs"], logs=logs.astype(np.float32), known=known)
+
+    if shards == 1:
+        none = np.zeros(0, np.uint64)
+
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    s, x = opened(row["seats"])
+                    seating, sums = seat(x.words, x.word_of, x.contexts, x.counts, 1, none, 0, x.ids), []
+                    per = [x.per_context(t) for t in seating.tables]
+                    for t, top in zip(seating.tables, seating.top):
+                        sums.append(summed(Shard(x.words, x.word_of, x.contexts, x.counts, x.ids, none, t, top).part(none), none, None, 0))
+                    out = scores(s, seating, totals_of(sums, x.per_context(x.counts), per))
+                    yield pa.RecordBatch.from_pylist([{"shard": row["shard"], "scores": out, "part": x.part(hot).tobytes()}])
+
+        done = written(asked.mapInArrow(alone, "shard long, scores binary, part binary"), "seated")
+        return done.select("shard", "scores"), summed(added(done), hot, None, 0)
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                s = seat(*_merged(*_shard_rows(row))[:4], shards, hot, row["shard"])
-                per_context[:, 0] += np.bincount(s.contexts, s.counts, CONTEXTS).astype(np.int64)
-                word_counts = np.bincount(s.word_of, s.counts, len(s.words)).astype(np.int64)
-                spread = np.isin(s.words, hot)
-                at = np.searchsorted(hot, s.words[spread])
-                by_hot = rest[2 + 2 * SAMPLES:].reshape(SAMPLES + 1, -1)
-                by_hot[0, at] += word_counts[spread]
-                rest[0] += s.counts.sum()
-                rest[1] += (word_counts[~spread] > 0).sum()
-                for k in range(SAMPLES):
-                    per_context[:, k + 1] += np.bincount(s.contexts, s.tables[k], CONTEXTS).astype(np.int64)
-                    customers = np.bincount(s.word_of, s.tables[k], len(s.words)).astype(np.int64)
-                    by_hot[k + 1, at] += customers[spread]
-                    rest[2 + k] += customers.sum()
-                    rest[2 + SAMPLES + k] += int(s.top[k][~spread].sum())
-        slots = [per_context[lo:lo + cut].tobytes() for lo in range(0, CONTEXTS, cut)] + [rest.tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(slots)), pa.int32()), pa.array(slots, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_pylist([{"shard": row["shard"], "state": row["seats"], "part": opened(row["seats"])[1].part(hot).tobytes()}])
 
-    def add(t: pa.Table) -> pa.Table:
-        sums = np.sum([np.frombuffer(x, np.int64) for x in t.column("sums").to_pylist()], axis=0)
-        return pa.table({"slot": t.column("slot")[:1], "sums": pa.array([sums.tobytes()], pa.binary())})
-
-    parts = asked.mapInArrow(sample, "slot int, sums binary").select("slot", "sums", F.pmod(F.spark_partition_id(), F.lit(64)).alias("part"))
-    some = parts.groupBy("slot", "part").applyInArrow(add, "slot int, sums binary")
-    got = {r.slot: np.frombuffer(r.sums, np.int64) for r in some.groupBy("slot").applyInArrow(add, "slot int, sums binary").collect()}
-    slots = CONTEXTS // cut
-    empty = np.zeros(2 + 2 * SAMPLES + len(hot) * (SAMPLES + 1), np.int64)
-    per_context = np.concatenate([got.get(i, np.zeros(cut * (SAMPLES + 1), np.int64)) for i in range(slots)]).reshape(CONTEXTS, SAMPLES + 1)
-    rest = got.get(slots, empty)
-    by_hot = rest[2 + 2 * SAMPLES:].reshape(SAMPLES + 1, -1)
-    words = int(rest[1]) + int((by_hot[0] > 0).sum())
-    rng = np.random.default_rng(0)
-    rate = (TOP_STRENGTH + TOP_DISCOUNT * words) / (words + 1)
-    hot_tables = np.array([reseat(by_hot[k + 1], np.full(len(hot), rate), TOP_DISCOUNT, rng) for k in range(SAMPLES)]).reshape(SAMPLES, len(hot))
-    return Totals(
-        int(rest[0]), words, per_context[:, 0], per_context[:, 1:].T, rest[2:2 + SAMPLES], rest[2 + SAMPLES:2 + 2 * SAMPLES] + hot_tables.sum(1),
-        hot, by_hot[0], by_hot[1:], hot_tables,
-    )
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per home of contexts, what the shard adds to their totals; the customers in the first round only."""
+        for b in batches:
+            for row in b.to_pylist():
+                s, x = opened(row["state"])
+                sums = {"tables": x.per_context(x.tables)} | ({} if "customers" in s else {"customers": x.per_context(x.counts)})
+                home = (x.ids % np.uint64(homes)).astype(np.int64)
+                cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1], True])
+                for lo in range(0, len(cuts) - 1, 64):
+                    yield pa.RecordBatch.from_pylist([
+                        {"home": int(home[i]), "shard": row["shard"], "body": packed(ids=x.ids[i:j], **{k: v[i:j] for k, v in sums.items()})}
+                        for i, j in zip(cuts[lo:lo + 64], cuts[lo + 1:lo + 65])
+                    ])
+
+    def total(t: pa.Table) -> pa.Table:
+        parts = [unpacked(x) for x in t.column("body").to_pylist()]
+        ids, which = np.unique(np.concatenate([p["ids"] for p in parts]), return_inverse=True)
+        whole = {k: np.bincount(which, np.concatenate([p[k] for p in parts]), len(ids)).astype(np.int64)[which] for k in parts[0] if k != "ids"}
+        at = np.r_[0, np.cumsum([len(p["ids"]) for p in parts])]
+        bodies = [packed(**{k: v[lo:hi] for k, v in whole.items()}) for lo, hi in zip(at[:-1], at[1:])]
+        return pa.table({"shard": t.column("shard"), "home": t.column("home"), "body": pa.array(bodies, pa.binary())})
+
+    def heard(left: pa.Table, right: pa.Table) -> tuple[dict, Shard, np.ndarray]:
+        """A shard's state, and the tables of its contexts over all shards."""
+        s, x = opened(left.column("state")[0].as_py())
+        parts = [unpacked(v) for v in right.sort_by("home").column("body").to_pylist()]
+        for k in parts[0]:
+            s[k if k == "customers" else "context_tables"] = np.concatenate([p[k] for p in parts])
+        return s, x, s.pop("context_tables")
+
+    def told(state: DataFrame) -> DataFrame:
+        out = state.select("shard", "state").mapInArrow(tell, "home long, shard long, body binary")
+        return out.groupBy("home").applyInArrow(total, "shard long, home long, body binary")
+
+    def sweep(number: int, sums: Sums):
+        def step(left: pa.Table, right: pa.Table) -> pa.Table:
+            s, x, context_tables = heard(left, right)
+            if number > BURN_IN:
+                s[f"held{number}"] = context_tables
+            x.sweep(context_tables, sums, number)
+            s["tables"], s["top"] = x.tables, x.top
+            if BURN_IN <= number < last - 1:
+                s[f"tables{number + 1}"], s[f"top{number + 1}"] = x.tables, x.top
+            return pa.table({"shard": left.column("shard")[:1], "state": pa.array([packed(**s)], pa.binary()), "part": pa.array([x.part(hot).tobytes()], pa.binary())})
+
+        return step
+
+    kept: list[Sums] = []
+    state = written(asked.mapInArrow(start, "shard long, state binary, part binary"), "seats")
+    sums = summed(added(state), hot, None, -1)
+    for number in range(last):
+        both = state.select("shard", "state").groupBy("shard").cogroup(told(state).groupBy("shard"))
+        state = written(both.applyInArrow(sweep(number, sums), "shard long, state binary, part binary"), "seats")
+        sums = summed(added(state), hot, sums, number)
+        if number >= BURN_IN:
+            kept.append(sums)
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        s, x, context_tables = heard(left, right)
+        early = range(BURN_IN + 1, last)
+        seating = Seating(x.words, x.word_of, x.contexts, x.counts, [*(s[f"tables{k}"] for k in early), x.tables], [*(s[f"top{k}"] for k in early), x.top])
+        out = scores(s, seating, totals_of(kept, s["customers"], [*(s[f"held{k}"] for k in early), context_tables]))
+        return pa.table({"shard": left.column("shard")[:1], "scores": pa.array([out], pa.binary())})
+
+    both = state.select("shard", "state").groupBy("shard").cogroup(told(state).groupBy("shard"))
+    return both.applyInArrow(finish, "shard long, scores binary"), sums
 
 
 def _predictive(s: Seating, t: Totals) -> tuple[np.ndarray, np.ndarray]:

@@ -91,3 +91,18 @@ def test_empty_and_untrained(spark):
     only = next(i for i in range(100) if held_out(i))
     got = score_texts(frame(spark, [(only, "a b")])).first()
     assert (got.train_tokens, got.n_known, got.n_tokens, got.base_score, got.held_out) == (0, 0, 3, 0.0, True)
+
+
+def test_every_preceding_word_has_a_restaurant_of_its_own(spark):
+    """More words than 2**16, each once: every pair has one table, so a plain model gives the scores (END's tables aside)."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(500))) for i in range(170)]
+    learned = [i for i, _ in rows if not held_out(i)]
+    known, n = 500 * len(learned) + 1, 501 * len(learned)
+    assert known > 1 << 16
+    lowest = (20.0 + 0.6 * known) / (known + 1)
+    parent = lambda served, top: (served - 0.6 * top + lowest) / (20.0 + n)  # noqa: E731  each token is a table of its context
+    first = (1 - 0.75 + (2.0 + 0.75 * len(learned)) * parent(1, 1)) / (2.0 + len(learned))
+    other = (1 - 0.75 + (2.0 + 0.75) * parent(1, 1)) / (2.0 + 1)
+    want = math.log10(first) + 500 * math.log10(other)  # END is as likely as a word after its only word, but for its parent
+    got = score_texts(frame(spark, rows)).filter("not held_out").collect()
+    assert len(got) == len(learned) and [r.score for r in got] == pytest.approx([want] * len(got), rel=2e-3)
