@@ -143,18 +143,21 @@ class Draws:
         return hits
 
 
-def reseat(customers: np.ndarray, rate: np.ndarray, discount: float, rng: np.random.Generator | Draws) -> np.ndarray:
+def reseat(customers: np.ndarray, rate: np.ndarray, discount: float, rng: np.random.Generator | Draws, slope: np.ndarray | float = 0.0) -> np.ndarray:
     """Tables of each dish after its customers are seated anew, one by one, given the rest of the restaurant.
 
-    ``rate``: weight of a new table, (strength + discount * tables) * parent probability.  The first
-    customers are seated singly; later ones in runs that grow with the number seated.
+    ``rate``: weight of a new table, (strength + discount * tables) * parent probability, without the
+    tables of the dish itself; ``slope`` is what each of those adds to it.  The first customers are
+    seated singly; later ones in runs that grow with the number seated.
     """
     tables = np.minimum(customers, 1).astype(np.float64)
+    slope = np.broadcast_to(slope, rate.shape)
     live = np.flatnonzero(customers > 1)
     i = 1
     while len(live):
         step = 1 if i < 48 else max(1, i // 8)
-        t, r = tables[live], rate[live]
+        t = tables[live]
+        r = rate[live] + slope[live] * t
         some = np.minimum(step, customers[live] - i)
         p = r / (r + np.maximum(i + (some - 1) / 2 - discount * t, 1e-9))
         some, p = some.astype(np.int64), np.minimum(p, 1.0)
@@ -191,9 +194,10 @@ class Sums:
 
 
 class Shard:
-    """Dishes of one shard while they are seated."""
+    """Dishes of one shard while they are seated; ``fixed``: per word, dishes of one customer that are left out."""
 
-    def __init__(self, words, word_of, contexts, counts, ids, hot, tables=None, top=None):
+    def __init__(self, words, word_of, contexts, counts, ids, hot, tables=None, top=None, fixed=0):
+        self.fixed = fixed
         self.words, self.word_of, self.contexts, self.counts, self.ids = words, word_of, contexts, counts, ids
         self.at = np.minimum(np.searchsorted(hot, words), max(0, len(hot) - 1))
         self.spread = hot[self.at] == words if len(hot) else np.zeros(len(words), bool)
@@ -202,32 +206,37 @@ class Shard:
         self.top = np.minimum(self.served(), 1) if top is None else top
 
     def served(self) -> np.ndarray:
-        return np.bincount(self.word_of, self.tables, len(self.words)).astype(np.int64)
+        return np.bincount(self.word_of, self.tables, len(self.words)).astype(np.int64) + self.fixed
 
     def per_context(self, v: np.ndarray) -> np.ndarray:
         return np.bincount(self.contexts, v, len(self.ids)).astype(np.int64)
 
     def part(self, hot: np.ndarray) -> np.ndarray:
         """What this shard adds to the sums."""
-        known, served = np.bincount(self.word_of, self.counts, len(self.words)), self.served()
+        known, served = np.bincount(self.word_of, self.counts, len(self.words)) + self.fixed, self.served()
         by_hot = np.zeros((2, len(hot)), np.int64)
         by_hot[0, self.at], by_hot[1, self.at] = known[self.spread], served[self.spread]
-        return np.r_[int(self.counts.sum()), (known[~self.spread] > 0).sum(), served.sum(), self.top[~self.spread].sum(), by_hot.ravel()].astype(np.int64)
+        return np.r_[int(known.sum()), (known[~self.spread] > 0).sum(), served.sum(), self.top[~self.spread].sum(), by_hot.ravel()].astype(np.int64)
 
     def sweep(self, context_tables: np.ndarray, sums: Sums, number: int) -> None:
         """Seat every dish anew, given the exact totals of all shards after the sweep before."""
         served, top = self.served(), self.top.copy()
         served[self.spread], top[self.spread] = sums.hot_customers[self.at], sums.hot_tables[self.at]
-        parent = (served - TOP_DISCOUNT * top + (TOP_STRENGTH + TOP_DISCOUNT * sums.tables) / (sums.words + 1)) / (TOP_STRENGTH + sums.customers)
-        rate = (STRENGTH + DISCOUNT * context_tables[self.contexts]) * parent[self.word_of]
-        self.tables = reseat(self.counts, rate, DISCOUNT, Draws(pair_keys(self.words[self.word_of], self.ids[self.contexts]), number)).astype(np.int64)
+        # The dish's own tables leave its context and the parent before it is seated.
+        others, held = served[self.word_of] - self.tables, top[self.word_of]
+        left = np.minimum(held, others)
+        lowest = (TOP_STRENGTH + TOP_DISCOUNT * (sums.tables - held + left)) / (sums.words + 1)
+        parent = (others - TOP_DISCOUNT * left + lowest) / (TOP_STRENGTH + sums.customers - self.tables)
+        rate = (STRENGTH + DISCOUNT * (context_tables[self.contexts] - self.tables)) * parent
+        draws = Draws(pair_keys(self.words[self.word_of], self.ids[self.contexts]), number)
+        self.tables = reseat(self.counts, rate, DISCOUNT, draws, DISCOUNT * parent).astype(np.int64)
         self.top = seat_top(self.words, self.served(), top, sums.tables, sums.words, number)
 
 
 def seat_top(words: np.ndarray, served: np.ndarray, top: np.ndarray, tables: int, known: int, number: int) -> np.ndarray:
     """Tables of words in the parent restaurant; ``served`` and ``top`` are those of all shards."""
-    rate = np.full(len(words), (TOP_STRENGTH + TOP_DISCOUNT * tables) / (known + 1))
-    return reseat(served, rate, TOP_DISCOUNT, Draws(words, number)).astype(np.int64)
+    rate = (TOP_STRENGTH + TOP_DISCOUNT * (tables - top)) / (known + 1)
+    return reseat(served, rate, TOP_DISCOUNT, Draws(words, number), TOP_DISCOUNT / (known + 1)).astype(np.int64)
 
 
 def summed(part: np.ndarray, hot: np.ndarray, before: Sums | None, number: int) -> Sums:
@@ -427,8 +436,13 @@ def frequent_words(rows: DataFrame, n: int, shards: int) -> np.ndarray:
 
 
 def _seated(asked: DataFrame, shards: int, homes: int, hot: np.ndarray) -> tuple[DataFrame, Sums]:
-    """Packed log10 probabilities per pair and training counts per word of each shard (column scores), and the last sums."""
+    """Packed log10 probabilities per pair and training counts per word of each shard (column scores), and the last sums.
+
+    A dish of one customer has one table whatever the sweep, so only the others (busy ones) take part in
+    the rounds of sweeps; the totals of their contexts count the rest in.
+    """
     last = BURN_IN + SAMPLES
+    sampled = range(BURN_IN, last)
 
     def add(t: pa.Table) -> pa.Table:
         sums = np.sum([np.frombuffer(x, np.int64) for x in t.column("part").to_pylist()], axis=0)
@@ -442,7 +456,7 @@ def _seated(asked: DataFrame, shards: int, homes: int, hot: np.ndarray) -> tuple
     def opened(value: bytes) -> tuple[dict, Shard]:
         s = unpacked(value)
         word_of = np.repeat(np.arange(len(s["runs"])), s["runs"])
-        return s, Shard(s["words"], word_of, s["contexts"], s["counts"], s["ids"], hot, s.get("tables"), s.get("top"))
+        return s, Shard(s["words"], word_of, s["contexts"], s["counts"], s["ids"], hot, s.get("tables"), s.get("top"), s.get("fixed", 0))
 
     def scores(s: dict, seating: Seating, totals: Totals) -> bytes:
         logs, known = _predictive(seating, totals)
@@ -465,77 +479,132 @@ def _seated(asked: DataFrame, shards: int, homes: int, hot: np.ndarray) -> tuple
         done = written(asked.mapInArrow(alone, "shard long, scores binary, part binary"), "seated")
         return done.select("shard", "scores"), summed(added(done), hot, None, 0)
 
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                yield pa.RecordBatch.from_pylist([{"shard": row["shard"], "state": row["seats"], "part": opened(row["seats"])[1].part(hot).tobytes()}])
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per home of contexts, what the shard adds to their totals; the customers in the first round only."""
-        for b in batches:
-            for row in b.to_pylist():
-                s, x = opened(row["state"])
-                sums = {"tables": x.per_context(x.tables)} | ({} if "customers" in s else {"customers": x.per_context(x.counts)})
-                home = (x.ids % np.uint64(homes)).astype(np.int64)
-                cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1], True])
-                for lo in range(0, len(cuts) - 1, 64):
-                    yield pa.RecordBatch.from_pylist([
-                        {"home": int(home[i]), "shard": row["shard"], "body": packed(ids=x.ids[i:j], **{k: v[i:j] for k, v in sums.items()})}
-                        for i, j in zip(cuts[lo:lo + 64], cuts[lo + 1:lo + 65])
-                    ])
+    def per_home(shard: int, ids: np.ndarray, **values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What a shard adds to the totals of contexts (``ids``, in the order of homes)."""
+        home = (ids % np.uint64(homes)).astype(np.int64)
+        cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1], True]) if len(ids) else []
+        for lo in range(0, len(cuts) - 1, 64):
+            yield pa.RecordBatch.from_pylist([
+                {"home": int(home[i]), "shard": shard, "body": packed(ids=ids[i:j], **{k: v[i:j] for k, v in values.items()})}
+                for i, j in zip(cuts[lo:lo + 64], cuts[lo + 1:lo + 65])
+            ])
 
     def total(t: pa.Table) -> pa.Table:
+        """Totals of the contexts of a home, sent to the shards for the contexts they want."""
         parts = [unpacked(x) for x in t.column("body").to_pylist()]
         ids, which = np.unique(np.concatenate([p["ids"] for p in parts]), return_inverse=True)
-        whole = {k: np.bincount(which, np.concatenate([p[k] for p in parts]), len(ids)).astype(np.int64)[which] for k in parts[0] if k != "ids"}
-        at = np.r_[0, np.cumsum([len(p["ids"]) for p in parts])]
-        bodies = [packed(**{k: v[lo:hi] for k, v in whole.items()}) for lo, hi in zip(at[:-1], at[1:])]
-        return pa.table({"shard": t.column("shard"), "home": t.column("home"), "body": pa.array(bodies, pa.binary())})
-
-    def heard(left: pa.Table, right: pa.Table) -> tuple[dict, Shard, np.ndarray]:
-        """A shard's state, and the tables of its contexts over all shards."""
-        s, x = opened(left.column("state")[0].as_py())
+        names = sorted({k for p in parts for k in p} - {"ids", "wants"})
+        sums = {k: np.bincount(which, np.concatenate([p.get(k, np.zeros(len(p["ids"]), np.int64)) for p in parts]), len(ids)).astype(np.int64) for k in names}
+        at, out = 0, []
+        for p, shard, home in zip(parts, t.column("shard").to_pylist(), t.column("home").to_pylist()):
+            mine = which[at:at + len(p["ids"])]
+            at += len(mine)
+            if "wants" in p and p["wants"].any():
+                out.append({"shard": shard, "home": home, "body": packed(**{k: v[mine[p["wants"]]] for k, v in sums.items()})})
+        return pa.Table.from_pylist(out, schema=pa.schema([("shard", pa.int64()), ("home", pa.int64()), ("body", pa.binary())]))
+
+    def totalled(messages: DataFrame) -> DataFrame:
+        return messages.groupBy("home").applyInArrow(total, "shard long, home long, body binary")
+
+    def heard(right: pa.Table, n: int, *names: str) -> list[np.ndarray]:
         parts = [unpacked(v) for v in right.sort_by("home").column("body").to_pylist()]
-        for k in parts[0]:
-            s[k if k == "customers" else "context_tables"] = np.concatenate([p[k] for p in parts])
-        return s, x, s.pop("context_tables")
+        size = [len(next(iter(p.values()))) for p in parts]
+        got = [np.concatenate([np.zeros(0, np.int64), *(p.get(k, np.zeros(m, np.int64)) for p, m in zip(parts, size))]) for k in names]
+        if any(len(x) != n for x in got):
+            raise ValueError("totals of contexts are missing")
+        return got
+
+    def tell_fixed(final: bool):
+        """First and last: dishes of one customer (and, at last, all customers) per context."""
 
-    def told(state: DataFrame) -> DataFrame:
-        out = state.select("shard", "state").mapInArrow(tell, "home long, shard long, body binary")
-        return out.groupBy("home").applyInArrow(total, "shard long, home long, body binary")
+        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    _, x = opened(row["seats"])
+                    values = {"base": x.per_context(x.counts == 1)}
+                    if final:
+                        values |= {"customers": x.per_context(x.counts), "wants": np.ones(len(x.ids), bool)}
+                    else:
+                        values["wants"] = x.per_context(x.counts > 1) > 0
+                    yield from per_home(row["shard"], x.ids, **values)
+
+        return tell
+
+    def tell_busy(final: bool):
+        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for row in b.to_pylist():
+                    s, x = opened(row["state"])
+                    if final:
+                        yield from per_home(row["shard"], x.ids, **{f"tables{k}": x.per_context(s[f"tables{k}"]) for k in sampled})
+                    else:
+                        yield from per_home(row["shard"], x.ids, tables=x.per_context(x.tables), wants=np.ones(len(x.ids), bool))
+
+        return tell
+
+    def busy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                _, x = opened(row["seats"])
+                known, many = np.bincount(x.word_of, x.counts, len(x.words)) > 0, x.counts > 1
+                held, at = np.unique(x.contexts[many], return_inverse=True)
+                state = packed(
+                    words=x.words[known], runs=np.bincount(x.word_of[many], minlength=len(known))[known], contexts=at, counts=x.counts[many],
+                    ids=x.ids[held], fixed=np.bincount(x.word_of[x.counts == 1], minlength=len(known))[known],
+                )
+                yield pa.RecordBatch.from_pylist([{"shard": row["shard"], "state": state}])
+
+    def start(left: pa.Table, right: pa.Table) -> pa.Table:
+        s, x = opened(left.column("state")[0].as_py())
+        s["base"], = heard(right, len(x.ids), "base")
+        return pa.table({"shard": left.column("shard")[:1], "state": pa.array([packed(**s)], pa.binary()), "part": pa.array([x.part(hot).tobytes()], pa.binary())})
 
     def sweep(number: int, sums: Sums):
         def step(left: pa.Table, right: pa.Table) -> pa.Table:
-            s, x, context_tables = heard(left, right)
-            if number > BURN_IN:
-                s[f"held{number}"] = context_tables
-            x.sweep(context_tables, sums, number)
+            s, x = opened(left.column("state")[0].as_py())
+            tables, = heard(right, len(x.ids), "tables")
+            x.sweep(s["base"] + tables, sums, number)
             s["tables"], s["top"] = x.tables, x.top
-            if BURN_IN <= number < last - 1:
-                s[f"tables{number + 1}"], s[f"top{number + 1}"] = x.tables, x.top
+            if number in sampled:
+                s[f"tables{number}"], s[f"top{number}"] = x.tables, x.top
             return pa.table({"shard": left.column("shard")[:1], "state": pa.array([packed(**s)], pa.binary()), "part": pa.array([x.part(hot).tobytes()], pa.binary())})
 
         return step
 
     kept: list[Sums] = []
-    state = written(asked.mapInArrow(start, "shard long, state binary, part binary"), "seats")
+    message = "home long, shard long, body binary"
+    first = totalled(asked.mapInArrow(tell_fixed(False), message))
+    both = asked.mapInArrow(busy, "shard long, state binary").groupBy("shard").cogroup(first.groupBy("shard"))
+    state = written(both.applyInArrow(start, "shard long, state binary, part binary"), "seats")
     sums = summed(added(state), hot, None, -1)
     for number in range(last):
-        both = state.select("shard", "state").groupBy("shard").cogroup(told(state).groupBy("shard"))
+        told = totalled(state.select("shard", "state").mapInArrow(tell_busy(False), message))
+        both = state.select("shard", "state").groupBy("shard").cogroup(told.groupBy("shard"))
         state = written(both.applyInArrow(sweep(number, sums), "shard long, state binary, part binary"), "seats")
         sums = summed(added(state), hot, sums, number)
-        if number >= BURN_IN:
+        if number in sampled:
             kept.append(sums)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        s, x, context_tables = heard(left, right)
-        early = range(BURN_IN + 1, last)
-        seating = Seating(x.words, x.word_of, x.contexts, x.counts, [*(s[f"tables{k}"] for k in early), x.tables], [*(s[f"top{k}"] for k in early), x.top])
-        out = scores(s, seating, totals_of(kept, s["customers"], [*(s[f"held{k}"] for k in early), context_tables]))
+        row = {r["home"]: r["body"] for r in left.to_pylist()}
+        seats, x = opened(row[-1])
+        s = unpacked(row[-2])
+        customers, base, *busy_tables = heard(right, len(x.ids), "customers", "base", *(f"tables{k}" for k in sampled))
+        known, tables, top = np.bincount(x.word_of, x.counts, len(x.words)) > 0, [], []
+        for k in sampled:
+            tables.append(np.minimum(x.counts, 1))
+            tables[-1][x.counts > 1] = s[f"tables{k}"]
+            top.append(np.zeros(len(x.words), np.int64))
+            top[-1][known] = s[f"top{k}"]
+        seating = Seating(x.words, x.word_of, x.contexts, x.counts, tables, top)
+        out = scores(seats, seating, totals_of(kept, customers, [base + b for b in busy_tables]))
         return pa.table({"shard": left.column("shard")[:1], "scores": pa.array([out], pa.binary())})
 
-    both = state.select("shard", "state").groupBy("shard").cogroup(told(state).groupBy("shard"))
-    return both.applyInArrow(finish, "shard long, scores binary"), sums
+    told = totalled(asked.mapInArrow(tell_fixed(True), message).unionByName(state.select("shard", "state").mapInArrow(tell_busy(True), message)))
+    own = asked.select("shard", F.lit(-1).alias("home"), F.col("seats").alias("body")).unionByName(
+        state.select("shard", F.lit(-2).alias("home"), F.col("state").alias("body"))
+    )
+    return own.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(finish, "shard long, scores binary"), sums
 
 
 def _predictive(s: Seating, t: Totals) -> tuple[np.ndarray, np.ndarray]:

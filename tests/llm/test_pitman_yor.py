@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from accordant.llm import pitman_yor
-from accordant.llm.pitman_yor import Totals, _predictive, reseat, score_texts, seat
+from accordant.llm.pitman_yor import Shard, Totals, _predictive, reseat, score_texts, seat, summed
 
 SCHEMA = "doc_id long, text string, part string, shard int, score string"
 
@@ -106,3 +106,28 @@ def test_every_preceding_word_has_a_restaurant_of_its_own(spark):
     want = math.log10(first) + 500 * math.log10(other)  # END is as likely as a word after its only word, but for its parent
     got = score_texts(frame(spark, rows)).filter("not held_out").collect()
     assert len(got) == len(learned) and [r.score for r in got] == pytest.approx([want] * len(got), rel=2e-3)
+
+
+def test_scores_do_not_hang_on_the_number_of_shards(spark, monkeypatch):
+    rng = random.Random(16)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(i, " ".join(rng.choices(["the", "of", *words], weights=[200, 90, *(400 / k for k in range(1, 401))], k=rng.choice([3, 40])))) for i in range(300)]
+    one = {r.doc_id: (r.n_known, r.base_score, r.score) for r in score_texts(frame(spark, rows)).collect()}
+    monkeypatch.setattr(pitman_yor, "SHARD_TOKENS", 400)
+    monkeypatch.setattr(pitman_yor, "CHUNK_TOKENS", 500)
+    monkeypatch.setattr(pitman_yor, "CONTEXTS", 100)  # several tasks add up contexts
+    many = {r.doc_id: (r.n_known, r.base_score, r.score) for r in score_texts(frame(spark, rows)).collect()}
+    assert set(one) == set(many)
+    for i in one:
+        assert many[i] == pytest.approx(one[i], rel=1e-6)
+
+
+def test_own_tables_do_not_weigh_on_a_dish():
+    """The only pair of a corpus is seated from the strength and its own new tables, whatever tables it had."""
+    one = lambda tables: Shard(np.array([5], np.uint64), np.array([0]), np.array([0]), np.array([400]), np.array([9], np.uint64), np.zeros(0, np.uint64), np.array([tables]), np.array([1]))
+    got = []
+    for tables in (1, 300):
+        shard = one(tables)
+        shard.sweep(shard.per_context(shard.tables), summed(shard.part(np.zeros(0, np.uint64)), np.zeros(0, np.uint64), None, -1), 0)
+        got.append(int(shard.tables[0]))
+    assert got[0] == got[1]
