@@ -23,17 +23,21 @@ from accordant.operators.answers import (
     SLOTS,
     answer_slots,
     attach_questions,
+    known_actions,
     roles,
     slot_condition,
 )
 
 
-def analyse(answers: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+def analyse(
+    answers: DataFrame, questions: DataFrame | None = None,
+    single: list[str] = SINGLE_ACTIONS, repeat: list[str] = REPEAT_ACTIONS,
+) -> DataFrame:
     """Analysis table of array-valued answers: one shuffle, then row-local set algebra."""
-    return attach_questions(measure(roles(answer_slots(answers))), questions)
+    return attach_questions(measure(roles(answer_slots(answers, single, repeat), single), single), questions)
 
 
-def measure(r: DataFrame) -> DataFrame:
+def measure(r: DataFrame, single: list[str] = SINGLE_ACTIONS) -> DataFrame:
     """Flags and similarities of rows that carry the role sets a1..a4, c1, c3, m1, m3, m4, s, p."""
     c = F.col
     a34 = sets.union(c("m3"), c("m4"))
@@ -65,7 +69,7 @@ def measure(r: DataFrame) -> DataFrame:
             value = F.when(c(need).isNotNull(), value)
         return value
 
-    once = c("action").isin(SINGLE_ACTIONS)
+    once = c("action").isin(single)
     return r.select(
         *GROUP_KEYS,
         *[guarded(n, sets.flag(v)).alias(n) for n, v in flags.items()],
@@ -115,7 +119,7 @@ def analyse_elements(
 
     An answer without elements is one row with ``has_element`` false; without that column every
     row is an element.  With a ``file_path`` column, repeated answers keep the lowest path; without
-    it, the rows of a key are one answer.  Actions in neither list take no part.  See
+    it, the rows of a key are one answer.  An action in neither list is an error.  See
     :func:`analyse_masks` for the plan.
     """
     if "has_element" not in elements.columns:
@@ -127,7 +131,7 @@ def analyse_elements(
     for i, s in enumerate(names.SERIES):
         bit = F.when(~star & (F.col("q_serie") == s), F.lit(1 << i)).otherwise(bit)
     seen = F.when(star, F.lit(1 << len(names.SERIES))).otherwise(bit)
-    known = elements.filter(F.col("action").isin([*single, *repeat, "star"]))
+    known = known_actions(elements, single, repeat)
     rows = (first_rows(known) if "file_path" in known.columns else known).select(
         "q_id",
         F.when(star, "zero-shot").otherwise(F.col("action")).alias("action"),

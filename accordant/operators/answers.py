@@ -100,16 +100,27 @@ def slot_condition(slot: str) -> Column:
     return (F.col("q_serie") == serie) & (F.col("task") == task)
 
 
-def answer_slots(answers: DataFrame) -> DataFrame:
+def known_actions(rows: DataFrame, single: list[str], repeat: list[str]) -> DataFrame:
+    """``rows``; reading one whose action is in neither list, nor 'star', is an error."""
+    fine = F.col("action").isin([*single, *repeat, "star"])
+    message = F.concat(F.lit("action in neither list: "), F.coalesce("action", F.lit("null")))
+    return rows.filter(F.when(fine, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+
+
+def answer_slots(
+    answers: DataFrame, single: list[str] = SINGLE_ACTIONS, repeat: list[str] = REPEAT_ACTIONS
+) -> DataFrame:
     """One row per complete group with the answer set of every (series, task) cell.
 
+    ``single`` are the actions that ask each question once, ``repeat`` those that ask again per
+    task; any other action is an error.
+
     Repeated rows, missing cells, the completeness test and the look-up of the repeat ('star')
     answers are all part of one aggregation, hence one shuffle: a star row is counted into the
     zero-shot group it belongs to.
     """
-    known = SINGLE_ACTIONS + REPEAT_ACTIONS + ["star"]
     star = F.col("is_star")
-    rows = answers.filter(F.col("action").isin(known)).withColumns({
+    rows = known_actions(answers, single, repeat).withColumns({
         "is_star": F.col("action") == "star",
         "action": F.when(F.col("action") == "star", "zero-shot").otherwise(F.col("action")),
     })
@@ -129,13 +140,13 @@ def answer_slots(answers: DataFrame) -> DataFrame:
     )
 
 
-def roles(slots: DataFrame) -> DataFrame:
+def roles(slots: DataFrame, single: list[str] = SINGLE_ACTIONS) -> DataFrame:
     """Name the sets that each relation compares.
 
     Actions that ask once use the same A1 and A3 everywhere; actions that ask again per task use
     the A1 and A3 of that task.  ``s`` and ``p`` are the first and second repeat of A1.
     """
-    once = F.col("action").isin(SINGLE_ACTIONS)
+    once = F.col("action").isin(single)
 
     def pick(a: str, b: str) -> Column:
         return F.when(once, F.col(a)).otherwise(F.col(b))

@@ -152,3 +152,18 @@ def test_symbol_names_round_trip(spark):
     assert {"?A1=A2", "J(A4-A1|3)", "?A3∅A4", "A1**", "idk_A1", "Q_ID"} <= set(sym.columns)
     assert names.to_ascii(sym).columns == df.columns
     assert sym.select(F.avg("`?A1=A2`")).first()[0] is not None
+
+
+@pytest.mark.parametrize("form", ["arrays", "elements"])
+def test_actions_of_the_caller(spark, form):
+    """Other action names give the same table under those names; one in neither list is an error, not a loss."""
+    other = {"wikidata": "grounded", "fixing": "repair"}
+    df = spark.createDataFrame(make_rows(), SCHEMA)
+    renamed = spark.createDataFrame([(*r[:2], other.get(r[2], r[2]), *r[3:]) for r in make_rows()], SCHEMA)
+    run = analyse if form == "arrays" else lambda x, **lists: analyse_elements(to_elements(x), **lists)
+    lists = {"single": ["zero-shot", "grounded"], "repeat": ["classification", "repair"]}
+    cols = ["q_id", "dataset", "llm", *names.FLAGS, *names.JACCARDS]
+    rows_of = lambda t: sorted((other.get(r.action, r.action), *map(str, r[1:])) for r in t.select("action", *cols).collect())
+    assert rows_of(run(renamed, **lists)) == rows_of(run(df))
+    with pytest.raises(Exception, match="action in neither list: (grounded|repair)"):
+        run(renamed).collect()
