@@ -163,3 +163,114 @@ def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     from accordant.llm.pitman_yor import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """The rounds written out one after the other, over one row per vector, part and position."""
+    whole = "case when {0} < 0 then -((-{0} + n - 1) // n) else {0} // n end"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+at{k} as materialized (
+  select rid, p, min_by(e, (d, e)) as e, min(d) as d from (
+    select x.rid, x.p, b.e, sum((x.v - b.v) * (x.v - b.v)) as d
+    from numbers x join book{k} b on x.p = b.p and x.i = b.i group by all)
+  group by all)""")
+        if k < rounds:
+            steps.append(f"""
+book{k + 1} as materialized (
+  select b.p, b.e, b.i, coalesce(m.v, b.v) as v from book{k} b left join (
+    select p, e, i, {whole.format("s")} as v from (
+      select x.p, a.e, x.i, sum(x.v) as s, count(*) as n from numbers x join at{k} a on x.rid = a.rid and x.p = a.p group by all)
+  ) m on b.p = m.p and b.e = m.e and b.i = m.i)""")
+    return f"""
+with kept as materialized (
+  select row_number() over () as rid, vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+width as (select greatest(1, (max(len(v)) + {parts - 1}) // {parts}) as w from kept),
+numbers as materialized (
+  select rid, (j - 1) // w as p, (j - 1) % w as i, cast(floor({scale} * coalesce(v[j], 0)) as bigint) as v
+  from kept, width, lateral (select unnest(range(1, {parts} * w + 1)) as j) u),
+first as (select rid, row_number() over (order by vec_id nulls last, v) - 1 as e from kept qualify e < {entries}),
+book0 as materialized (select p, e, i, v from numbers join first using (rid)),{",".join(steps)},
+codes as (
+  select rid, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from at{rounds} group by rid),
+digest as (select sha256(string_agg(cast(v as varchar), ',' order by p, e, i)) as codebooks_sha256 from book{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from kept join codes using (rid) cross join digest
+"""
+
+
+@query(_codes_sql())
+def op11_hilbert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from accordant.llm.vector_codes import compressed
+
+    return compressed(table(spark, sf_dir, "embeddings"))
+
+
+def _merkle_sql() -> str:
+    """Levels as lists: a tree is a list that is cut into threes until one digest is left."""
+    field = "case when {0} is null then '-' else strlen({0}) || ':' || {0} end"
+    texts = ["cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)"]
+    leaf = " || ".join(field.format(t) for t in texts)
+    crc = (
+        "xor(list_reduce(list_transform(string_split(coalesce(cast(doc_id as varchar), ''), ''), lambda c: cast(ascii(c) as bigint)), "
+        "lambda a, c: list_reduce([xor(a, c), 0, 1, 2, 3, 4, 5, 6, 7], "
+        "lambda r, k: xor(r // 2, (r % 2) * 3988292384)), 4294967295), 4294967295)"
+    )
+    up = "list_transform(range(0, (len(nodes) + 2) // 3), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))"
+    return f"""
+with recursive rows as materialized (
+  select row_number() over () as rid, doc_id, source, sha256({leaf} || {field.format('text')}) as leaf,
+    sha256({leaf} || {field.format("(case when crc % 2 = 0 then replace(text, chr(10), '') else text end)")}) as found
+  from (select *, {crc} as crc from documents)),
+placed as materialized (
+  select *, row_number() over (partition by source order by doc_id nulls last, leaf) - 1 as k from rows),
+trees as (
+  select source, 0 as level, list(leaf order by k) as nodes from placed group by source
+  union all
+  select source, level + 1, {up} from trees where len(nodes) > 1),
+subroots as materialized (
+  select source, nodes[1] as subroot, row_number() over (order by source nulls first) - 1 as k from trees where len(nodes) = 1),
+top as (
+  select 0 as level, list(subroot order by k) as nodes from subroots
+  union all
+  select level + 1, {up} from top where len(nodes) > 1),
+steps as materialized (
+  select source, level, nodes, (select max(level) from trees t where t.source is not distinct from trees.source) as depth
+  from trees),
+ways as (
+  select rid, source, 0 as level, k, found as node, '' as proof from placed
+  union all
+  select w.rid, w.source, w.level + 1, w.k // 3, sha256(array_to_string([a, w.node, b], '')), w.proof || a || b
+  from (
+    select w.*, array_to_string(nodes[3 * (k // 3) + 1:k], '') as a, array_to_string(nodes[k + 2:3 * (k // 3) + 3], '') as b
+    from ways w join steps s on w.source is not distinct from s.source and w.level = s.level and s.level < s.depth) w),
+low as materialized (
+  select w.* from ways w join (select source, max(level) as depth from trees group by source) d
+  on w.source is not distinct from d.source and w.level = d.depth),
+high as (
+  select w.rid, 0 as level, s.k, w.node, w.proof, s.subroot from low w join subroots s on w.source is not distinct from s.source
+  union all
+  select rid, level + 1, k // 3, sha256(array_to_string([a, node, b], '')), proof || a || b, subroot from (
+    select h.*, array_to_string(nodes[3 * (k // 3) + 1:k], '') as a, array_to_string(nodes[k + 2:3 * (k // 3) + 3], '') as b
+    from high h join top t on h.level = t.level and len(t.nodes) > 1)),
+root as (select nodes[1] as root from top where len(nodes) = 1)
+select p.doc_id, p.leaf, h.subroot, root, sha256(h.proof) as proof_sha256, h.node as folded_root, h.node = root as verified
+from high h join placed p using (rid) cross join root
+where h.level = (select max(level) from top)
+"""
+
+
+@query(_merkle_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from accordant.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from accordant.llm.kd_shards import sharded
+
+    return sharded(table(spark, sf_dir, "documents"), 16)
