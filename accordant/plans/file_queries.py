@@ -45,6 +45,27 @@ def question_files(spark, root):
     return back.select("dataset", "lang", "Q1", "Q2", "Q3", "Q4", "q_index")
 
 
+@query("question_texts_files", """
+SELECT 'd' || doc_id // 10000 AS dataset, 'en' AS lang, "text" AS "Q1", 'say "' || source || '"' || chr(10) || lang AS "Q2",
+  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE chr(9) || lang || ' ' END AS "Q3", source AS "Q4",
+  CAST(row_number() OVER (PARTITION BY doc_id // 10000 ORDER BY doc_id) - 1 AS BIGINT) AS q_index FROM documents""")
+def question_texts_files(spark, root):
+    """Question TSVs whose texts are whole documents, with line ends, quotes and separators in them."""
+    path = scratch_path(spark, "question-texts")
+    dataset = F.concat(F.lit("d"), F.expr("doc_id div 10000"))
+    rows = tables.load(spark, root, "documents").select(
+        "doc_id", F.col("text").alias("Q1"), F.concat(F.lit('say "'), "source", F.lit('"\n'), "lang").alias("Q2"),
+        F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("\t"), "lang", F.lit(" "))).alias("Q3"), F.col("source").alias("Q4"),
+        F.lit("en").alias("lang"), dataset.alias("dataset"),
+    )
+    # A file's 10,000 rows come together in one task and in order, so that their positions are known.
+    rows.repartition("dataset").sortWithinPartitions("dataset", "doc_id").drop("doc_id").write.partitionBy("lang", "dataset").options(
+        header="true", sep="\t", escape='"', quoteAll="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false"
+    ).csv(path)
+    back = readers.read_questions(spark, path, glob="*.csv")
+    return back.select("dataset", "lang", "Q1", "Q2", "Q3", "Q4", "q_index")
+
+
 @query("answer_files", with_ctes(
     [LINES, ELEMENTS, ANSWERS],
     "SELECT q_id, q_serie, action, task, dataset, CAST(NULL AS VARCHAR) AS lang, llm, array_to_string(answer, ',') AS answer FROM answers",

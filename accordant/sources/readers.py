@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from accordant import names
 from accordant.functions import sets
@@ -17,6 +16,7 @@ from accordant.functions.labels import classified_label
 from accordant.functions.numbers import to_number
 from accordant.operators.relations import with_canonical_labels
 from accordant.sources.paths import decoded, file_name, name_parts, path_keys
+from accordant.sources.records import numbered_records, read_lines
 
 QUESTION_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in names.SERIES])
 SCORE_TABLE_SCHEMA = T.StructType([
@@ -260,47 +260,42 @@ def read_questions(
     datasets: list[str] | None = None,
     languages: list[str] | None = None,
     schema: T.StructType = QUESTION_SCHEMA,
-    multiline: bool = False,
+    multiline: bool | None = None,
     glob: str = "*.tsv",
 ) -> DataFrame:
     """Question TSVs ``.../<lang>/<dataset>.tsv`` as ``q_index, Q1.., dataset, lang``.
 
     Files may also lie below ``lang=<lang>/dataset=<dataset>/`` under any name.  ``q_index`` is the
-    0-based row position within the file.  Files are split unless ``multiline`` says that texts hold
-    line ends.
+    0-based row position within the file; the first record is the header.  Quoted texts may hold
+    separators, doubled quotes and line ends, and files are split all the same (see
+    :mod:`accordant.sources.records`); ``multiline`` is of no effect any more.  Files of other
+    datasets and languages go before their lines are brought in order.
     """
-    rows = (
-        spark.read.schema(schema)
-        .option("sep", "\t").option("header", "true").option("multiLine", str(multiline).lower())
-        .option("quote", '"').option("escape", '"')
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-        .option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
-        .option("fs.file.impl.disable.cache", "true")
-        .csv(path)
-        .select(
-            *schema.fieldNames(),
-            decoded(F.col("_metadata.file_path")).alias("file_path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("pos"),
-        )
-    )
-    numbered = number_rows(rows)
     parts = F.split("file_path", "/")
 
     def directory(key: str) -> Column:
         return F.nullif(F.regexp_extract("file_path", f"/{key}=([^/]+)/", 1), F.lit(""))
 
-    out = numbered.select(
-        "q_index", *schema.fieldNames(),
-        F.coalesce(directory("dataset"), F.regexp_replace(F.element_at(parts, -1), r"\.tsv\z", "")).alias("dataset"),
-        F.coalesce(directory("lang"), F.try_element_at(parts, F.lit(-2))).alias("lang"),
-        "file_path",
+    keys = {
+        "dataset": F.coalesce(directory("dataset"), F.regexp_replace(F.element_at(parts, -1), r"\.tsv\z", "")),
+        "lang": F.coalesce(directory("lang"), F.try_element_at(parts, F.lit(-2))),
+    }
+    lines = read_lines(spark, path, glob)
+    for key, wanted in (("dataset", datasets), ("lang", languages)):
+        if wanted is not None:
+            lines = lines.filter(keys[key].isin(wanted))
+    records = numbered_records(lines).filter("position > 0")
+    # Texts keep their blanks and line ends; a field without a character is null.
+    options = {"sep": "\t", "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
+    rows = records.select("file_path", "position", F.from_csv("record", schema_text(schema), options).alias("row"))
+    return rows.select(
+        (F.col("position") - 1).alias("q_index"), "row.*", *[c.alias(k) for k, c in keys.items()], "file_path"
     )
-    if datasets is not None:
-        out = out.filter(F.col("dataset").isin(datasets))
-    if languages is not None:
-        out = out.filter(F.col("lang").isin(languages))
-    return out
+
+
+def schema_text(schema: T.StructType) -> str:
+    """A schema as DDL text, the form that ``from_csv`` takes."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
 def parse_question_bank(documents: DataFrame) -> DataFrame:
