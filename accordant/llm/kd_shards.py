@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordant.llm.bitmap_rank import placed
@@ -37,6 +37,11 @@ class Cell:
     before: int = 0  # bytes known to lie left of the interval
     done: bool = False
 
+    @property
+    def open(self) -> bool:
+        """Whether the place of the cut is still looked for."""
+        return self.shards > 1 and self.rows > 0 and not self.done
+
 
 def _metadata(docs: DataFrame, key: str, text: str, lang: str, source: str, n_chars: str) -> DataFrame:
     def code(c: str):
@@ -52,17 +57,21 @@ def _metadata(docs: DataFrame, key: str, text: str, lang: str, source: str, n_ch
     )
 
 
-def _per_cell(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, schema))  # one row per cell, of which there are at most as many as shards
+def _of_cell(values: list[int], cell: str = "cell") -> Column:
+    """The value of a row's cell; a constant array with one entry per cell, of which there are at most as many as shards."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")[F.col(cell)]
+
 
+def _own(dimensions: list[int]) -> Column:
+    """A row's value in its cell's dimension."""
+    return F.expr(f"array({', '.join(DIMENSIONS)})")[_of_cell(dimensions).cast("int")]
 
-def _widest(rows: DataFrame, cells: dict[int, Cell], spread: list[tuple[int, int]]) -> None:
+
+def _widest(rows: DataFrame, cells: list[Cell], spread: list[tuple[int, int]]) -> None:
     """Measure the cells that are still split and choose each one's widest dimension, relative to the whole table."""
     edges = [f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))]
     for r in rows.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), *edges).collect():
-        cell = cells.get(r.cell)
-        if cell is None:
-            continue
+        cell = cells[r.cell]
         cell.bytes, cell.rows = r.bytes, r.rows
         ranges = [(r[f"low_{d}"], r[f"high_{d}"]) for d in DIMENSIONS]
         if not spread:
@@ -71,7 +80,6 @@ def _widest(rows: DataFrame, cells: dict[int, Cell], spread: list[tuple[int, int
         cell.dimension = max(range(len(shares)), key=lambda i: (shares[i], -i))
         cell.left = cell.bytes * (cell.shards // 2) / cell.shards
         cell.low, cell.high = ranges[cell.dimension]
-        cell.stage, cell.fixed, cell.before, cell.done = 0, [], 0, False
 
 
 def _shift(cell: Cell) -> int:
@@ -82,19 +90,19 @@ def _shift(cell: Cell) -> int:
     return s
 
 
-def _narrow(spark, rows: DataFrame, open_cells: dict[int, Cell]) -> None:
+def _narrow(rows: DataFrame, cells: list[Cell]) -> None:
     """One counting pass: bytes per step of every open cell's interval, and the step that the median lies in."""
-    listed = [
-        (c, cell.dimension, cell.stage, cell.fixed[0] if cell.stage > 0 else 0, cell.fixed[1] if cell.stage > 1 else 0,
-         cell.low, cell.high, _shift(cell))
-        for c, cell in open_cells.items()
-    ]
-    schema = "cell int, dimension int, stage int, value long, id long, low long, high long, shift int"
-    at = rows.join(_per_cell(spark, listed, schema), "cell")
-    value = F.expr(f"element_at(array({', '.join(DIMENSIONS)}), dimension + 1)")
-    at = at.withColumn("own", value).filter(
-        "(stage < 1 or own = value) and (stage < 2 or by_id = id)"
-    ).withColumn("own", F.expr("case stage when 0 then own when 1 then by_id else row end")).filter("own between low and high")
+    fixed = [[*cell.fixed, 0, 0] for cell in cells]
+    at = rows.filter(_of_cell([int(cell.open) for cell in cells]) == 1).select(
+        "cell", "size", "by_id", "row", _own([max(0, cell.dimension) for cell in cells]).alias("dim"),
+        _of_cell([cell.stage for cell in cells]).alias("stage"), _of_cell([f[0] for f in fixed]).alias("value"),
+        _of_cell([f[1] for f in fixed]).alias("id"), _of_cell([cell.low for cell in cells]).alias("low"),
+        _of_cell([cell.high for cell in cells]).alias("high"),
+        _of_cell([_shift(cell) for cell in cells]).cast("int").alias("shift"),
+    )
+    at = at.filter("(stage < 1 or dim = value) and (stage < 2 or by_id = id)").withColumn(
+        "own", F.expr("case stage when 0 then dim when 1 then by_id else row end")
+    ).filter("own between low and high")
     step = F.expr("shiftright(own, shift) - shiftright(low, shift)").cast("int")
     # At most INTERVALS + 1 rows per cell come back, whatever the number of documents.
     counted = at.groupBy("cell", step.alias("step")).agg(
@@ -104,9 +112,9 @@ def _narrow(spark, rows: DataFrame, open_cells: dict[int, Cell]) -> None:
     found: dict[int, list] = {}
     for r in counted:
         found.setdefault(r.cell, []).append(r)
-    for c, cell in open_cells.items():
-        upto = cell.before
-        for r in sorted(found[c], key=lambda r: r.step):
+    for c, steps in found.items():
+        cell, upto = cells[c], cells[c].before
+        for r in sorted(steps, key=lambda r: r.step):
             if upto + r.bytes >= cell.left:
                 break
             upto += r.bytes
@@ -133,46 +141,37 @@ def _settle(cell: Cell, edge: int) -> None:
 
 
 def kd_tree(rows: DataFrame, shards: int) -> tuple[DataFrame, list[Cell]]:
-    """``rows`` with their ``shard``, and the inner nodes of the tree."""
-    spark = rows.sparkSession
-    cells, spread, tree, node = {0: Cell(0, shards)}, [], [], 0
+    """``rows`` (a stored table) with their ``shard``, and the inner nodes of the tree.
+
+    A level's result is stored, so a counting pass is one scan and one small aggregation.
+    """
+    cells, spread, tree = [Cell(0, shards)], [], []
     rows = rows.withColumn("cell", F.lit(0))
-    while True:
-        split = {c: cell for c, cell in cells.items() if cell.shards > 1}
-        if not split:
-            break
-        _widest(rows, split, spread)
-        live = {c: cell for c, cell in split.items() if cell.rows}
-        while todo := {c: cell for c, cell in live.items() if not cell.done}:
-            _narrow(spark, rows, todo)
-        listed, after = [], {}
-        for c, cell in cells.items():
-            if cell.shards == 1:
-                after[c] = cell
+    while any(cell.shards > 1 for cell in cells):
+        _widest(rows, cells, spread)
+        while any(cell.open for cell in cells):
+            _narrow(rows, cells)
+        after, left, right = [], [], []
+        for cell in cells:
+            left.append(len(after))
+            if cell.shards == 1 or not cell.rows:  # without rows there is nothing to cut
+                after.append(Cell(cell.first, 1))
+                right.append(left[-1])
                 continue
             tree.append(cell)
-            left, right = node + 1, node + 2
-            node += 2
             half = cell.shards // 2
-            after[left], after[right] = Cell(cell.first, half), Cell(cell.first + half, cell.shards - half)
-            if cell.rows:
-                listed.append((c, cell.dimension, *cell.cut, left, right))
-        if not listed:
-            cells = after
-            break
-        schema = "cell int, dimension int, value long, id long, line long, left_cell int, right_cell int"
-        cuts = _per_cell(spark, listed, schema)
-        own = F.expr(f"element_at(array({', '.join(DIMENSIONS)}), dimension + 1)")
-        goes_left = F.expr("own < value or (own = value and (by_id < id or (by_id = id and row < line)))")
+            after += [Cell(cell.first, half), Cell(cell.first + half, cell.shards - half)]
+            right.append(left[-1] + 1)
+        staged = rows.withColumns({
+            "own": _own([max(0, cell.dimension) for cell in cells]),
+            **{f"cut_{i}": _of_cell([cell.cut[i] for cell in cells]) for i in range(3)},
+            "left": _of_cell(left), "right": _of_cell(right),
+        })
+        goes_left = F.expr("own < cut_0 or (own = cut_0 and (by_id < cut_1 or (by_id = cut_1 and row < cut_2)))")
         kept = [c for c in rows.columns if c != "cell"]
-        rows = rows.join(cuts, "cell", "left").withColumn("own", own).select(
-            *kept,
-            F.when(F.col("left_cell").isNull(), F.col("cell")).when(goes_left, F.col("left_cell")).otherwise(F.col("right_cell")).alias("cell"),
-        )
+        rows = written(staged.select(*kept, F.when(goes_left, F.col("left")).otherwise(F.col("right")).cast("int").alias("cell")), "cells")
         cells = after
-    # Cells that hold no rows were not split further; every cell with rows has one shard.
-    final = _per_cell(spark, [(c, cell.first) for c, cell in cells.items()], "cell int, shard int")
-    return rows.join(final, "cell").drop("cell"), tree
+    return rows.withColumn("shard", _of_cell([cell.first for cell in cells]).cast("int")).drop("cell"), tree
 
 
 def sharded(
