@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from accordant.functions.text import ASCII_ONLY, SPACE, strip
+from accordant.functions.text import SPACE, strip
+from accordant.functions.unicode import safe_pattern
 from accordant.names import CANONICAL_LABELS
 
 # Replies that mean "unknown".
@@ -43,6 +46,18 @@ LABEL_PATTERNS = [
     ]),
     ("Unknown", ["unknown"]),
 ]
+# Texts without which a pattern cannot match, in the order of the patterns.  White space is squeezed by
+# then, so it is at most one blank.
+NEEDED_TEXTS = [
+    [["disjoint"], ["disjoint"]],
+    [["not overlap"]],
+    [["equiv"], ["equal"], ["same"], ["="], ["≡"], ["↔"]],
+    [["⊃"], ["⊇"], ["superset", "super set"], ["superset of"], ["contain"], ["include"], ["include"]],
+    [["⊂"], ["⊆"], ["subset", "sub set"], ["subset of"], ["contained"], ["is in"], ["belongs to"]],
+    [["∩"], ["joint"], ["no overlap", "no intersection"], ["exclusive"], ["overlap"]],
+    [["∩"], ["overlap"], ["intersect"], ["intersection"], ["share"]],
+    [["unknown"]],
+]
 
 
 def _composed(texts: pa.Array) -> pa.Array:
@@ -53,26 +68,52 @@ def _folded(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else t.casefold() for t in texts.to_pylist()], pa.string())
 
 
+def _both(texts: pa.Array) -> pa.Array:
+    composed = _composed(texts)
+    return pa.StructArray.from_arrays([composed, _folded(composed)], names=["composed", "folded"])
+
+
+def composed_and_folded(s: Column) -> Column:
+    """A struct ``composed, folded`` of a text; ``folded`` is null where :func:`lower_fold` folds it.
+
+    Only texts that hold a character which needs it go to Python, once for both forms.
+    """
+    safe = s.rlike(safe_pattern("composition")) & s.rlike(safe_pattern("folding"))
+    there = F.arrow_udf(_both, "composed string, folded string")(F.when(~safe, s))
+    return F.when(safe, F.struct(s.alias("composed"), F.lit(None).cast("string").alias("folded"))).otherwise(there)
+
+
+def lower_fold(s: Column) -> Column:
+    """Case folding of a text without special cases."""
+    return F.replace(F.lower(s), F.lit("ß"), F.lit("ss"))
+
+
 def nfkc(s: Column) -> Column:
-    """Unicode compatibility composition; ASCII passes as is, and only other text goes to Python.
+    """Unicode compatibility composition.
 
-    The function is deterministic, so filters above it still reach the scan.
+    Texts without a character that it can change pass as they are; only others go to Python.  The
+    function is deterministic, so filters above it still reach the scan.
     """
-    ascii_only = s.rlike(ASCII_ONLY)
-    return F.when(ascii_only, s).otherwise(F.arrow_udf(_composed, "string")(F.when(~ascii_only, s)))
+    safe = s.rlike(safe_pattern("composition"))
+    return F.when(safe, s).otherwise(F.arrow_udf(_composed, "string")(F.when(~safe, s)))
 
 
 def casefold(s: Column) -> Column:
-    """Full Unicode case folding (unlike ``lower``, 'ß' becomes 'ss')."""
-    ascii_only = s.rlike(ASCII_ONLY)
-    return F.when(ascii_only, F.lower(s)).otherwise(F.arrow_udf(_folded, "string")(F.when(~ascii_only, s)))
+    """Full Unicode case folding (unlike ``lower``, 'ß' becomes 'ss'); Python only for texts that need it."""
+    safe = s.rlike(safe_pattern("folding"))
+    return F.when(safe, lower_fold(s)).otherwise(F.arrow_udf(_folded, "string")(F.when(~safe, s)))
 
 
 def clean_label(s: Column) -> Column:
     """Compose, drop parenthesised parts, squeeze hyphens, underscores and white space."""
-    s = F.regexp_replace(nfkc(s), r"(?d)\(.*?\)", "")
+    return squeezed(nfkc(s))
+
+
+def squeezed(s: Column) -> Column:
+    """Drop parenthesised parts, squeeze hyphens, underscores and white space."""
+    s = F.regexp_replace(s, r"\([^)\n]*+\)", "")
     s = F.regexp_replace(s, r"[-_]+", "-")
-    return strip(F.regexp_replace(s, rf"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(s, rf"(?U){SPACE}+", " "))
 
 
 def is_unknown_token(folded: Column) -> Column:
@@ -82,12 +123,18 @@ def is_unknown_token(folded: Column) -> Column:
 def match_label(cleaned: Column, folded: Column) -> Column:
     """One of the seven labels from a cleaned text and its case-folded form.
 
-    NULL is 'Unknown', no match is 'Else'.
+    NULL is 'Unknown', no match is 'Else'.  A pattern is only tried on a text that holds what it
+    needs; for most texts that is told by plain text search.
     """
+
+    def found(pattern: str, needed: list[str]) -> Column:
+        held = reduce(or_, [folded.contains(t) for t in needed])
+        return held if pattern in needed else held & folded.rlike("(?U)" + pattern)
+
     out = F.when(cleaned.isNull(), F.lit("Unknown")).when(cleaned.isin(CANONICAL_LABELS), cleaned)
     out = out.when(is_unknown_token(folded), F.lit("Unknown"))
-    for label, patterns in LABEL_PATTERNS:
-        out = out.when(folded.rlike("(?U)" + "|".join(patterns)), F.lit(label))
+    for (label, patterns), needed in zip(LABEL_PATTERNS, NEEDED_TEXTS, strict=True):
+        out = out.when(reduce(or_, [found(p, t) for p, t in zip(patterns, needed, strict=True)]), F.lit(label))
     return out.otherwise(F.lit("Else"))
 
 

@@ -15,16 +15,19 @@ RELATION_KEYS = ["q_id", "dataset", "llm"]
 def with_canonical_labels(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Map free-text label columns to canonical ones; ``columns`` is {target: source}.
 
-    Cleaning, folding and matching are staged as three projections, so the costly cleaning of a
-    text runs once and not once per rule.
+    Composing, squeezing, folding and matching are staged, so no text is cleaned once per rule.
+    Folding case and squeezing do not disturb each other, so Python is asked once for both forms.
     """
-    cleaned = {f"__clean_{t}": labels.clean_label(F.col(s)) for t, s in columns.items()}
-    out = df.withColumns(cleaned)
-    out = out.withColumns({f"__fold_{t}": labels.casefold(F.col(f"__clean_{t}")) for t in columns})
+    out = df.withColumns({f"__forms_{t}": labels.composed_and_folded(F.col(s)) for t, s in columns.items()})
+    out = out.withColumns({f"__clean_{t}": labels.squeezed(F.col(f"__forms_{t}.composed")) for t in columns})
+    out = out.withColumns({
+        f"__fold_{t}": F.coalesce(labels.squeezed(F.col(f"__forms_{t}.folded")), labels.lower_fold(F.col(f"__clean_{t}")))
+        for t in columns
+    })
     out = out.withColumns(
         {t: labels.match_label(F.col(f"__clean_{t}"), F.col(f"__fold_{t}")) for t in columns}
     )
-    return out.drop(*cleaned, *[f"__fold_{t}" for t in columns])
+    return out.drop(*[f"__{k}_{t}" for t in columns for k in ("forms", "clean", "fold")])
 
 
 def normalise_relations(df: DataFrame, columns: list[str] = names.RELATIONS, suffix: str = "_norm", in_place: bool = False) -> DataFrame:
