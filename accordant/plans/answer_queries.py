@@ -31,6 +31,10 @@ _CELLS = [
     ("m3", "Q3", "minus", True),
 ]
 
+# The same lines with a question per nation and a part as element.
+WIDE_LINES = LINES.replace("CAST(o_custkey AS VARCHAR) AS q_id", "CAST(c_nationkey AS VARCHAR) AS q_id").replace(
+    "l_partkey % 3 = 0", "l_partkey % 50 = 0").replace("CAST(l_partkey % 3 AS VARCHAR)", "CAST(l_partkey AS VARCHAR)")
+
 ELEMENTS = "elements AS (\n" + "\n  UNION ALL ".join(
     f"SELECT q_id, '{s}' AS q_serie, action, '{t}' AS task, dataset, llm, element FROM lines WHERE {slot}"
     + (" AND action <> 'zero-shot'" if repeat else "")
@@ -291,18 +295,16 @@ def question_texts_per_group(spark, root):
 _SHOWN = "q_id, action, dataset, llm"
 
 
-@query("set_algebra", with_ctes(
-    [LINES, ELEMENTS, ANSWERS, SLOTS],
-    f"""SELECT {_SHOWN}, array_to_string(list_sort({s_union('c3', 'm4')}), ',') AS union_34,
+_ALGEBRA = f"""SELECT {_SHOWN}, array_to_string(list_sort({s_union('c3', 'm4')}), ',') AS union_34,
           array_to_string(list_sort({s_minus('e1', 'c3')}), ',') AS rest_1_3,
           {s_eq('e1', 'e2')} AS equal_12, {s_sub('c3', 'e1')} AS sub_31, {s_disj('c3', 'm4')} AS disjoint_34,
           {s_eq(s_minus('e1', 'c3'), 'm4')} AS is_difference_134, {s_jac('e1', 'e2')} AS jaccard_12,
           (len(e1) = 0 AND len(m4) = 0) AS both_empty_14,
           ({s_eq('e1', s_union('c3', 'm4'))} AND {s_disj('c3', 'm4')}) AS partition_134
-        FROM slots""",
-))
-def set_algebra(spark, root):
-    slots = ans.answer_slots(tables.answers(spark, root))
+        FROM slots"""
+
+
+def _algebra(slots):
     e1, e2, c3, m4 = (F.col(c) for c in ("e1", "e2", "c3", "m4"))
     return slots.select(
         *ans.GROUP_KEYS,
@@ -315,6 +317,17 @@ def set_algebra(spark, root):
     )
 
 
+@query("set_algebra", with_ctes([LINES, ELEMENTS, ANSWERS, SLOTS], _ALGEBRA))
+def set_algebra(spark, root):
+    return _algebra(ans.answer_slots(tables.answers(spark, root)))
+
+
+@query("set_algebra_of_wide_sets", with_ctes([WIDE_LINES, ELEMENTS, ANSWERS, SLOTS], _ALGEBRA))
+def set_algebra_of_wide_sets(spark, root):
+    """Sets of many elements each, in no order."""
+    return _algebra(ans.answer_slots(tables.wide_answers(spark, root)))
+
+
 @query("idk_flags", with_ctes(
     [LINES, ELEMENTS, ANSWERS],
     f"""SELECT q_id, q_serie, action, task, dataset, llm,
@@ -348,6 +361,25 @@ def analysis_from_elements(spark, root):
     return an.analyse_elements(tables.answer_elements(spark, root)).select(*_ANALYSIS_OUT)
 
 
+FROM_WIDE = [WIDE_LINES, ELEMENTS, ANSWERS, SLOTS, STARRED, roles_cte("starred"), ANALYSIS]
+
+
+@query("analysis_of_wide_sets", with_ctes(FROM_WIDE, f"SELECT {', '.join(_ANALYSIS_OUT)} FROM analysis"))
+def analysis_of_wide_sets(spark, root):
+    """Array form over sets of many elements."""
+    return an.analyse(tables.wide_answers(spark, root)).select(*_ANALYSIS_OUT)
+
+
+@query("analysis_of_wide_elements", with_ctes(FROM_WIDE, f"SELECT {', '.join(_ANALYSIS_OUT)} FROM analysis"))
+def analysis_of_wide_elements(spark, root):
+    """Element form over sets of many elements, from files: every answer is also there under a later path, in part."""
+    rows = tables.answer_elements(spark, root, tables.WIDE).withColumn(
+        "file_path", F.concat_ws("/", F.lit("/a"), "action", "dataset", "task", "q_serie", "llm")
+    )
+    later = rows.filter("length(element) > 3").withColumn("file_path", F.concat(F.lit("/b"), "file_path"))
+    return an.analyse_elements(rows.unionByName(later)).select(*_ANALYSIS_OUT)
+
+
 @query("repeat_consistency", with_ctes(
     FROM_LINES,
     """SELECT dataset, llm, action, CAST(sum(eq_a1_s) AS BIGINT) AS same_s, CAST(sum(eq_a1_p) AS BIGINT) AS same_p,

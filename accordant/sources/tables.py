@@ -6,6 +6,8 @@ can run, and be checked, on generated tables of any scale.  All are lazy views.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,31 +40,44 @@ SLOT_RULES = {
 }
 
 
-def order_lines(spark: SparkSession, root: str) -> DataFrame:
+# Question and element of an order line: one question per customer with three possible elements, or
+# one per nation with a part as element, so that sets grow with the data.
+NARROW = ("o_custkey", "CASE WHEN l_partkey % 3 = 0 THEN 'idk' ELSE CAST(l_partkey % 3 AS STRING) END")
+WIDE = ("c_nationkey", "CASE WHEN l_partkey % 50 = 0 THEN 'idk' ELSE CAST(l_partkey AS STRING) END")
+
+
+def order_lines(spark: SparkSession, root: str, kind: tuple[str, str] = NARROW) -> DataFrame:
     """Order lines as question, dataset, model, action and element, with the rule columns."""
     lines = load(spark, root, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag",
         "l_linestatus", "l_extendedprice", "l_linenumber",
     )
     orders = load(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    customers = load(spark, root, "customer").select("c_custkey", "c_mktsegment")
+    customers = load(spark, root, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(
         customers, orders.o_custkey == customers.c_custkey
     )
     return joined.select(
-        F.col("o_custkey").cast("string").alias("q_id"),
+        F.col(kind[0]).cast("string").alias("q_id"),
         F.when(F.col("l_linestatus") == "O", "zero-shot").when(F.col("l_suppkey") % 2 == 0, "fixing")
         .otherwise("classification").alias("action"),
         F.col("c_mktsegment").alias("dataset"),
         F.col("o_orderpriority").alias("llm"),
-        F.when(F.col("l_partkey") % 3 == 0, "idk").otherwise((F.col("l_partkey") % 3).cast("string")).alias("element"),
+        F.expr(kind[1]).alias("element"),
         *[F.expr(rule).alias(slot) for slot, rule in SLOT_RULES.items()],
     )
 
 
-def element_masks(spark: SparkSession, root: str) -> DataFrame:
+def membership() -> dict[str, Column]:
+    """When an order line's element is in each answer set; repeats are asked by some actions only."""
+    zero_shot = F.col("action") == "zero-shot"
+    found = {s: F.col(s) if s in ("e1", "e2", "c3", "m4") else F.col(s) & ~zero_shot for s in SLOTS}
+    return found | {"star": F.col("star") & zero_shot}
+
+
+def element_masks(spark: SparkSession, root: str, kind: tuple[str, str] = NARROW) -> DataFrame:
     """Input of ``analyse_masks``: the series of the answer sets that an element is in count as answered."""
-    lines = order_lines(spark, root)
+    lines = order_lines(spark, root, kind)
     zero_shot = F.col("action") == "zero-shot"
     conditions = {s: F.col(s) for s in SLOTS}
     conditions["star"] = F.col("star") & zero_shot
@@ -75,47 +90,72 @@ def element_masks(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def answer_elements(spark: SparkSession, root: str) -> DataFrame:
-    """Element rows ``q_id, q_serie, action, task, dataset, llm, element``; empty sets are absent."""
-    lines = order_lines(spark, root)
-    zero_shot = F.col("action") == "zero-shot"
+GROUP = ["q_id", "action", "dataset", "llm"]
+# The (series, task, action) of every answer set; None: the group's own action.
+CELLS = {**{s: (serie, task, None) for s, (serie, task) in SLOTS.items()}, "star": ("Q1", "equal", "star")}
 
-    def cell(slot: str, serie: str, task: str, cond: Column, action: Column) -> Column:
-        return F.when(
-            F.col(slot) & cond,
-            F.struct(F.lit(serie).alias("q_serie"), F.lit(task).alias("task"), action.alias("action")),
-        )
 
-    always = F.lit(True)
-    cells = [
-        cell(s, serie, task, always if s in ("e1", "e2", "c3", "m4") else ~zero_shot, F.col("action"))
-        for s, (serie, task) in SLOTS.items()
+def _cells(present: Callable[[int, str], Column], **more: Callable[[int, str], Column]) -> Column:
+    """One struct per answer set that ``present`` accepts, with the columns ``more``."""
+    found = [
+        F.when(present(i, s), F.struct(
+            F.lit(serie).alias("q_serie"), F.lit(task).alias("task"),
+            (F.lit(action) if action else F.col("action")).alias("action"), *[c(i, s).alias(n) for n, c in more.items()],
+        ))
+        for i, (s, (serie, task, action)) in enumerate(CELLS.items())
     ]
-    cells.append(cell("star", "Q1", "equal", zero_shot, F.lit("star")))
-    return lines.select(
-        "q_id", "dataset", "llm", "element",
-        F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("c"),
-    ).select("q_id", "c.q_serie", "c.action", "c.task", "dataset", "llm", "element")
+    return F.explode(F.array_compact(F.array(*found))).alias("c")
+
+
+def answer_elements(spark: SparkSession, root: str, kind: tuple[str, str] = NARROW) -> DataFrame:
+    """Element rows ``q_id, q_serie, action, task, dataset, llm, element``; empty sets are absent.
+
+    The order lines of a group and element are one number of bits by the time they become rows.
+    """
+    masks = order_lines(spark, root, kind).select(*GROUP, "element", slot_mask(membership()).alias("mask"))
+    masks = masks.groupBy(*GROUP, "element").agg(F.bit_or("mask").alias("mask"))
+    rows = masks.select("q_id", "dataset", "llm", "element", _cells(lambda i, s: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0))
+    return rows.select("q_id", "c.q_serie", "c.action", "c.task", "dataset", "llm", "element")
+
+
+def _as_files(rows: DataFrame) -> DataFrame:
+    """Answer rows with the columns that a scan of answer files has."""
+    return rows.select(
+        "q_id", "c.q_serie", "c.action", "c.task", "dataset", "llm", "c.answer", F.lit(None).cast("string").alias("lang"),
+    ).withColumn("file_path", F.concat_ws("/", F.lit("/data/answers"), "action", "dataset", "task", "q_serie", "llm"))
 
 
 def answers(spark: SparkSession, root: str) -> DataFrame:
     """Array-valued answers with a file path; a set has at most the three possible elements.
 
-    The sets are gathered as bits of a number, which hash aggregation can combine before the
-    shuffle, and become arrays at the end.
+    The sets of a group are three bits each of one number, which hash aggregation combines before
+    the shuffle; they become arrays at the end.
     """
-    keys = ["q_id", "q_serie", "action", "task", "dataset", "llm"]
-    domain = F.array(*[F.lit(e) for e in ("1", "2", "idk")])
-    bit = F.lit(0)
-    for i, e in enumerate(("1", "2", "idk")):
-        bit = F.when(F.col("element") == e, F.lit(1 << i)).otherwise(bit)
-    sets = answer_elements(spark, root).groupBy(*keys).agg(F.bit_or(bit).alias("bits"))
-    answer = F.filter(domain, lambda e, i: F.getbit(F.col("bits"), i) == 1)
-    return sets.withColumns({
-        "answer": answer,
-        "lang": F.lit(None).cast("string"),
-        "file_path": F.concat_ws("/", F.lit("/data/answers"), "action", "dataset", "task", "q_serie", "llm"),
-    }).drop("bits")
+    domain = ("1", "2", "idk")
+    place = F.lit(0)
+    for i, e in enumerate(domain):
+        place = F.when(F.col("element") == e, F.lit(i * len(CELLS))).otherwise(place)
+    bits = F.call_function("shiftleft", slot_mask(membership()).cast("long"), place)
+    sets = order_lines(spark, root).select(*GROUP, bits.alias("bits")).groupBy(*GROUP).agg(F.bit_or("bits").alias("bits"))
+
+    def of(i: int) -> int:
+        return sum(1 << (i + k * len(CELLS)) for k in range(len(domain)))
+
+    return _as_files(sets.select("q_id", "dataset", "llm", _cells(
+        lambda i, s: F.col("bits").bitwiseAND(F.lit(of(i))) != 0,
+        answer=lambda i, s: F.filter(
+            F.array(*map(F.lit, domain)), lambda e, k: F.getbit(F.col("bits"), k * len(CELLS) + i) == 1
+        ),
+    )))
+
+
+def wide_answers(spark: SparkSession, root: str) -> DataFrame:
+    """Array-valued answers of the nations, with the parts ordered as elements: large sets, in no order."""
+    rows = answer_elements(spark, root, WIDE)
+    keys = ["q_id", "dataset", "llm", "q_serie", "action", "task"]
+    return _as_files(rows.groupBy(*keys).agg(F.collect_list("element").alias("answer")).select(
+        "q_id", "dataset", "llm", F.struct("q_serie", "action", "task", "answer").alias("c")
+    ))
 
 
 def questions(spark: SparkSession, root: str, where: str = "true") -> DataFrame:
