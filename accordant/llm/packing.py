@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 import zlib
@@ -11,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +19,7 @@ from accordant.llm.common import whole, written
 LENGTH = 4096
 END_ID = 2
 GROUP_PIECES = 16_384  # pieces that are packed together, about
-CACHE_WORDS = 1_000_000  # words whose ids a worker process keeps
-BATCH_CHARS = 1 << 20  # text encoded at once
+BATCH_BYTES = 1 << 22  # text encoded at once
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -65,16 +64,35 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return where, offset
 
 
+def words_of(raw: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words in a buffer of texts, and per text the number of the first one (one more entry at the end).
+
+    A word is a run of bytes other than space and tab to carriage return; ``edges`` are the places
+    in the buffer where texts begin, and its end.
+    """
+    solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    inner = edges[:-1][edges[:-1] < len(raw)]
+    begins[inner] = solid[inner]  # a text begins a word of its own
+    starts = np.flatnonzero(begins)
+    kept = raw[solid]
+    places = np.r_[np.cumsum(solid)[starts] - 1, len(kept)].astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(kept)])
+    return words, np.searchsorted(starts, edges, side="left")
+
+
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes, with a bounded cache of words.
+    """Ids of whole texts.
 
     The vocabulary drops white space and never joins text across it, so a text's ids are those of its
-    words one after the other.  Each new word is encoded once, many in one call.
+    words one after the other.  The distinct words of a batch are encoded once, many in one call, and
+    their ids are gathered by index; nothing is kept from batch to batch but the vocabulary.
     """
 
     @classmethod
     def of_worker(cls, path: str) -> Encoder:
-        """The encoder of this worker process: its tasks load the file once and share the words."""
+        """The encoder of this worker process, whose tasks load the vocabulary once."""
         state = sys.modules.setdefault("_packing_worker", types.ModuleType("_packing_worker"))
         held = vars(state).setdefault("encoders", {})
         if path not in held:
@@ -86,32 +104,33 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
-        self.known: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> None:
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words one after the other, and how many each word has."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for lo in range(0, len(words), 2048):
             part = words[lo:lo + 2048]
             e = self.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(e.ids, "<u4").tobytes()
-            ends = np.searchsorted(np.asarray(e.word_ids, np.int64), np.arange(len(part)), side="right")
-            at = 0
-            for word, end in zip(part, (4 * ends).tolist()):
-                self.known[word] = ids[at:end]
-                at = end
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        # Some control characters are white space to Python only.
-        words = [t.split() if not _CONTROLS.search(t) else _BLANKS.split(t) for t in texts]
-        missing = set().union(*words) - self.known.keys()
-        if len(missing) + len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            missing = set().union(*words)
-        self.learn(sorted(missing))
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in words]
-
-
-_CONTROLS, _BLANKS = re.compile("[\x1c-\x1f]"), re.compile("[ \t-\r]+")
+            ids.append(np.asarray(e.ids, np.uint32))
+            counts.append(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def texts(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and per text the place of its first one (one more at the end)."""
+        _, offsets, data = texts.buffers()
+        edges = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        raw = np.frombuffer(data, np.uint8)[edges[0]:edges[-1]] if data is not None else np.zeros(0, np.uint8)
+        words, first = words_of(raw, edges - edges[0])
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        coded = words.dictionary_encode()
+        known, counts = self.ids_of(coded.dictionary.cast(pa.large_string()).to_pylist())
+        begin = np.cumsum(counts) - counts
+        word = coded.indices.to_numpy()
+        n = counts[word]
+        upto = np.r_[0, np.cumsum(n)]
+        ids = known[np.repeat(begin[word] - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, upto[first]
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -120,24 +139,22 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of_worker(tokenizer)
-        end = np.asarray([end_id], "<u4").tobytes()
         for b in batches:
-            ids, texts, size = b.column(0).to_pylist(), [], 0
-            first = 0
-            for i, t in enumerate(b.column(1)):
-                texts.append(t.as_py())
-                size += len(texts[-1])
-                if size < BATCH_CHARS and i + 1 < b.num_rows:
-                    continue
+            texts = b.column(1).cast(pa.large_string())
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < len(texts):  # as many texts as fit the batch, one at least
+                done = sizes[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(sizes, done + BATCH_BYTES, side="right")))
+                ids, at = encoder.texts(texts.slice(lo, hi - lo))
                 out: list[tuple[int | None, int, int, int, int]] = []
-                for doc, packed in zip(ids[first:i + 1], encoder.texts(texts)):
-                    packed += end
-                    total = len(packed) // 4
-                    for start in range(0, total, length):
-                        part = packed[4 * start:4 * (start + length)]
-                        out.append((doc, start, len(part) // 4, zlib.crc32(part), total))
+                for doc, a, z in zip(b.column(0).slice(lo, hi - lo).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    own = np.append(ids[a:z], np.uint32(end_id)).astype("<u4")
+                    for start in range(0, len(own), length):
+                        part = own[start:start + length]
+                        out.append((doc, start, len(part), zlib.crc32(part.tobytes()), len(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
-                texts, size, first = [], 0, i + 1
+                lo = hi
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), whole(text).alias("text")).mapInArrow(cut, PIECES)
 

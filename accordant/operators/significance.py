@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,58 +84,47 @@ def action_p_values(
 
 # -- models against each other ---------------------------------------------------------------
 
-_MAX_CELLS = 2_000_000
+def _bit_words(coded: DataFrame, group: list[str], own: list[str], tested: list[str]) -> DataFrame:
+    """Answers of 64 questions in one row per model: per flag a word of right and a word of wrong bits.
+
+    ``coded`` has the columns of ``group``, q_id, those of ``own`` (what tells the rows of a question
+    apart) and code.  The questions of a group are numbered where they lie after the shuffle, in
+    order, so that a task that is run again numbers them alike; words belong to one task.
+    """
+    entries = F.collect_list(F.struct(*own, "code")).alias("entries")
+    questions = coded.groupBy(*group, "q_id").agg(entries).sortWithinPartitions(*group, "q_id")
+    questions = questions.withColumn("at", F.monotonically_increasing_id())
+    rows = questions.select(
+        *group, F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"),
+        F.explode("entries").alias("e"),
+    )
+    words = [
+        F.bit_or(F.when(F.col("e.code").bitwiseAND(F.lit(side << (2 * i))) != 0, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"{kind}{i}")
+        for i in range(len(tested)) for kind, side in (("right", 1), ("wrong", 2))
+    ]
+    return rows.groupBy(*group, "word", *[F.col(f"e.{c}").alias(c) for c in own]).agg(*words)
 
 
-def _pair_sums(batches: Iterator[pa.RecordBatch], n_models: int, n_flags: int) -> Iterator[pa.RecordBatch]:
-    """Add up, per (action, dataset), the products right(i) x wrong(j) over questions.
+def _pair_sums(words: DataFrame, group: list[str], own: list[str], tested: list[str]) -> DataFrame:
+    """Per group and pair of models: ``n10_<i>``, the questions that i has right and j wrong.
 
-    A question is one row with a list of (model index, flag code, count).  Right and wrong
-    answers of a slice of questions form two matrices, whose product holds the counts of all
-    model pairs; the pairs themselves are never rows.
+    The models of a word meet in its row, 64 questions at a time; what is counted is added up where
+    it arises, and pairs without any discordant answer are no rows.  One row with i = j = -1 says
+    that the group is there.
     """
-    sums: dict[tuple[str, str], np.ndarray] = {}
-    rows_per_slice = max(1, _MAX_CELLS // max(1, n_models))
-
-    def drain() -> Iterator[pa.RecordBatch]:
-        for (action, dataset), m in sums.items():
-            f, i, j = (a.ravel() for a in np.indices(m.shape))
-            yield pa.RecordBatch.from_pydict({
-                "action": pa.array([action] * m.size, pa.string()),
-                "dataset": pa.array([dataset] * m.size, pa.string()),
-                "flag": pa.array(f.astype("int32")),
-                "i": pa.array(i.astype("int32")),
-                "j": pa.array(j.astype("int32")),
-                "n10": pa.array(m.ravel().astype("int64")),
-            })
-        sums.clear()
-
-    for batch in batches:
-        for lo in range(0, batch.num_rows, rows_per_slice):
-            part = batch.slice(lo, rows_per_slice)
-            lists = part.column("models")
-            flat = lists.flatten()
-            row = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
-            idx = np.asarray(flat.field("idx"))
-            code = np.asarray(flat.field("code"))
-            weight = np.asarray(flat.field("n")).astype("float64")
-            groups = list(zip(part.column("action").to_pylist(), part.column("dataset").to_pylist()))
-            order: dict[tuple[str, str], list[int]] = {}
-            for r, g in enumerate(groups):
-                order.setdefault(g, []).append(r)
-            cell = row * n_models + idx
-            for flag in range(n_flags):
-                right = np.bincount(cell, weight * ((code >> (2 * flag)) & 1), part.num_rows * n_models)
-                wrong = np.bincount(cell, weight * ((code >> (2 * flag + 1)) & 1), part.num_rows * n_models)
-                right = right.reshape(part.num_rows, n_models)
-                wrong = wrong.reshape(part.num_rows, n_models)
-                for g, members in order.items():
-                    if g not in sums:
-                        sums[g] = np.zeros((n_flags, n_models, n_models))
-                    sums[g][flag] += right[members].T @ wrong[members]
-            if len(sums) * n_flags * n_models * n_models > 8 * _MAX_CELLS:
-                yield from drain()
-    yield from drain()
+    sides = [c for i in range(len(tested)) for c in (f"right{i}", f"wrong{i}")]
+    met = words.groupBy(*group, "word").agg(F.collect_list(F.struct(*own, *sides)).alias("models"))
+    met = met.select(*group, "models", F.explode("models").alias("x")).select(*group, "models", "x", F.explode("models").alias("y"))
+    counts = [F.bit_count(F.col(f"x.right{i}").bitwiseAND(F.col(f"y.wrong{i}"))).cast("long").alias(f"n10_{i}") for i in range(len(tested))]
+    # The first model with itself never counts, so its cell is free to stand for the group.
+    there = F.lit(True)
+    for c in own:
+        there = there & (F.col(f"x.{c}") == F.col("models")[0][c]) & (F.col(f"y.{c}") == F.col("models")[0][c])
+    cells = met.select(*group, there.alias("there"), F.col("x.idx").alias("i"), F.col("y.idx").alias("j"), *counts).filter(
+        "there or " + " or ".join(f"n10_{i} > 0" for i in range(len(tested)))
+    )
+    place = [F.when(F.col("there"), F.lit(-1)).otherwise(F.col(c)).alias(c) for c in ("i", "j")]
+    return cells.groupBy(*group, *place).agg(*[F.sum(f"n10_{i}").alias(f"n10_{i}") for i in range(len(tested))])
 
 
 def pairwise_counts(
@@ -154,56 +139,54 @@ def pairwise_counts(
     Covers every dataset and 'overall' on the full grid of ``models``.  By default questions pair
     up on (dataset, q_id).  ``pool_by_id`` pairs the overall level on q_id alone, which multiplies
     the rows of equal ids across datasets.
+
+    Right and wrong answers are bits; a pair is counted 64 questions at a time by the bits common
+    to one model's right and the other's wrong answers, and only cells that are not zero are shuffled.
     """
     idx = F.array_position(F.array(*[F.lit(m) for m in models]), F.col("llm")).cast("int") - 1
     coded = analysis.filter(F.col("action").isin(actions)).select(
-        "action", "dataset", "q_id", idx.alias("idx"), flag_code(tested).alias("code"), F.lit(1).cast("long").alias("n")
+        "action", "dataset", "q_id", idx.alias("idx"), flag_code(tested).alias("code")
     ).filter("idx >= 0")
-    entry = F.struct("idx", "code", "n")
-    schema = "action string, dataset string, flag int, i int, j int, n10 long"
-    n_models, n_flags = len(models), len(tested)
-
-    def run(questions: DataFrame) -> DataFrame:
-        return questions.select("action", "dataset", "models").mapInArrow(
-            lambda it: _pair_sums(it, n_models, n_flags), schema
-        )
-
-    per_dataset = run(
-        coded.groupBy("action", "dataset", "q_id").agg(F.collect_list(entry).alias("models"))
-    )
-    keys = ["action", "dataset", "flag", "i", "j"]
+    keys, sums = ["action", "dataset", "i", "j"], [f"n10_{i}" for i in range(len(tested))]
+    group = ["action", "dataset"]
+    words = _bit_words(coded, group, ["idx"], tested)
+    fine = _pair_sums(words, group, ["idx"], tested)
     if pool_by_id:
-        pooled = (
-            coded.groupBy("action", "q_id", "idx", "code").agg(F.sum("n").alias("n"))
-            .groupBy("action", "q_id").agg(F.collect_list(entry).alias("models"))
-            .withColumn("dataset", F.lit("overall"))
-        )
-        sums = per_dataset.unionByName(run(pooled)).groupBy(*keys).agg(F.sum("n10").alias("n10"))
+        pooled = _pair_sums(_bit_words(coded, ["action"], ["dataset", "idx"], tested), ["action"], ["dataset", "idx"], tested)
+        both = fine.unionByName(pooled.withColumn("dataset", F.lit("overall")))
     else:
-        sums = overall_level(per_dataset.groupBy(*keys).agg(F.sum("n10").alias("n10")), keys, ["n10"])
-    return _both_directions(sums, models, tested)
-
-
-def _both_directions(sums: DataFrame, models: list[str], tested: list[str]) -> DataFrame:
-    """Attach n01 (the count of the mirrored pair) and names, by one aggregation."""
-    lo, hi = F.least("i", "j"), F.greatest("i", "j")
+        both = overall_level(fine, keys, sums)
+    return _on_grid(both, models, tested)
+
+
+def _on_grid(sums: DataFrame, models: list[str], tested: list[str]) -> DataFrame:
+    """All pairs of models for every (action, dataset) that occurs, with both directions of each count."""
+    counts = F.array(*[F.col(f"n10_{f}") for f in range(len(tested))])
+    none = F.lit(None).cast("array<long>")
+
+    def way(i: str, j: str, n10: Column, n01: Column) -> Column:
+        return F.struct(F.col(i).alias("i"), F.col(j).alias("j"), n10.alias("n10"), n01.alias("n01"))
+
+    # A count goes to its own cell and, as the other direction, to the mirrored one.
+    group = F.col("i") < 0
+    ways = F.when(group, F.array(way("i", "j", none, none))).otherwise(F.array(way("i", "j", counts, none), way("j", "i", none, counts)))
+    every = sums.select("action", "dataset", F.explode(ways).alias("w")).select("action", "dataset", "w.*")
+    # The row that stands for a group becomes its whole grid.
+    numbers = F.sequence(F.lit(0), F.lit(len(models) - 1))
+    for c in ("i", "j"):
+        spread = F.explode(F.when(F.col(c) < 0, numbers).otherwise(F.array(F.col(c)))).alias(c)
+        every = every.select(*[x for x in every.columns if x != c], spread)
+    cell = every.groupBy("action", "dataset", "i", "j").agg(*[
+        F.sum(F.coalesce(F.col(n)[f], F.lit(0).cast("long"))).alias(f"{n}_{f}") for n in ("n10", "n01") for f in range(len(tested))
+    ])
     model = F.array(*[F.lit(m) for m in models])
-    flag = F.array(*[F.lit(f) for f in tested])
-    pair = sums.groupBy("action", "dataset", "flag", lo.alias("lo"), hi.alias("hi")).agg(
-        F.sum(F.when(F.col("i") <= F.col("j"), F.col("n10"))).alias("fwd"),
-        F.sum(F.when(F.col("i") >= F.col("j"), F.col("n10"))).alias("bwd"),
-    )
-
-    def cell(i: str, j: str, a: str, b: str) -> Column:
-        return F.struct(F.col(i).alias("i"), F.col(j).alias("j"), F.col(a).alias("n10"), F.col(b).alias("n01"))
-
-    cells = F.when(F.col("lo") == F.col("hi"), F.array(cell("lo", "hi", "fwd", "bwd"))).otherwise(
-        F.array(cell("lo", "hi", "fwd", "bwd"), cell("hi", "lo", "bwd", "fwd"))
-    )
-    return pair.select("action", "dataset", "flag", F.explode(cells).alias("c")).select(
-        "action", "dataset", F.element_at(flag, F.col("flag") + 1).alias("predicate"),
-        F.element_at(model, F.col("c.i") + 1).alias("llm_i"), F.element_at(model, F.col("c.j") + 1).alias("llm_j"),
-        F.col("c.n10").alias("n10"), F.col("c.n01").alias("n01"),
+    flags = F.explode(F.array(*[
+        F.struct(F.lit(t).alias("predicate"), F.col(f"n10_{f}").alias("n10"), F.col(f"n01_{f}").alias("n01"))
+        for f, t in enumerate(tested)
+    ])).alias("f")
+    return cell.select("action", "dataset", "i", "j", flags).select(
+        "action", "dataset", "f.predicate", F.element_at(model, F.col("i") + 1).alias("llm_i"),
+        F.element_at(model, F.col("j") + 1).alias("llm_j"), "f.n10", "f.n01",
     )
 
 

@@ -77,41 +77,37 @@ def test_pairwise_matrix(spark, pool):
     assert got["fixing", "d1", "eq_a1_a2", "m1", "m4"].p == 1.0
 
 
-def test_pair_sums_flush_and_slices():
-    """Small limits force many slices and early partial sums; totals must not change."""
-    import pyarrow as pa
-
+@pytest.mark.parametrize("pool", [False, True])
+def test_pair_counts_over_many_words(spark, pool):
+    """Hundreds of questions, dealt over tasks, some models absent from a dataset or altogether."""
     rng = random.Random(1)
-    questions = [
-        {"action": "a", "dataset": f"d{q % 3}",
-         "models": [{"idx": i, "code": rng.choice([0, 1, 2]), "n": rng.randint(1, 3)} for i in range(4) if rng.random() < 0.8]}
-        for q in range(50)
+    models = [f"m{i}" for i in range(7)]
+    flags = ["eq_a1_a2", "disj_a3_a4"]
+    rows = [
+        (str(q), "zero-shot", d, m, rng.choice([0, 1, None]), rng.choice([0, 1]))
+        for d, n in (("d1", 300), ("d2", 130), ("d3", 1)) for q in range(n) for m in models[:-1]
+        if rng.random() < 0.8 and not (d == "d2" and m == "m0")
     ]
-    schema = pa.schema([
-        ("action", pa.string()), ("dataset", pa.string()),
-        ("models", pa.list_(pa.struct([("idx", pa.int32()), ("code", pa.int32()), ("n", pa.int64())]))),
-    ])
-    batches = [pa.RecordBatch.from_pylist(questions[i:i + 7], schema) for i in range(0, 50, 7)]
-
-    def total(limit):
-        old, significance._MAX_CELLS = significance._MAX_CELLS, limit
-        try:
-            out = {}
-            for b in significance._pair_sums(iter(batches), 4, 1):
-                for r in b.to_pylist():
-                    k = (r["dataset"], r["i"], r["j"])
-                    out[k] = out.get(k, 0) + r["n10"]
-            return out
-        finally:
-            significance._MAX_CELLS = old
-
-    want = {}
-    for q in questions:
-        for x in q["models"]:
-            for y in q["models"]:
-                k = (q["dataset"], x["idx"], y["idx"])
-                want[k] = want.get(k, 0) + x["n"] * y["n"] * (x["code"] == 1) * (y["code"] == 2)
-    assert total(2_000_000) == total(3) == {**{(f"d{d}", i, j): 0 for d in range(3) for i in range(4) for j in range(4)}, **want}
+    df = spark.createDataFrame(rows, "q_id string, action string, dataset string, llm string, eq_a1_a2 int, disj_a3_a4 int").repartition(5)
+    got = {
+        (r.dataset, r.predicate, r.llm_i, r.llm_j): (r.n10, r.n01)
+        for r in significance.pairwise_counts(df, models, ["zero-shot"], flags, pool_by_id=pool).collect()
+    }
+    seen = sorted({r[2] for r in rows})
+    assert set(got) == {(d, f, a, b) for d in [*seen, "overall"] for f in flags for a in models for b in models}
+    by_question = {}
+    for q, _, d, m, *values in rows:
+        by_question.setdefault(q, []).append((d, m, values))
+    want = dict.fromkeys(got, (0, 0))
+    for entries in by_question.values():
+        for d, m, v in entries:
+            for e, n, w in entries:
+                for f, x, y in zip(flags, v, w):
+                    where = ([d] if d == e else []) + (["overall"] if d == e or pool else [])
+                    for level in where:
+                        k = (level, f, m, n)
+                        want[k] = (want[k][0] + ((x, y) == (1, 0)), want[k][1] + ((x, y) == (0, 1)))
+    assert got == want
 
 
 def test_hot_group_and_hot_element(spark):
