@@ -12,6 +12,7 @@ from accordant.operators import answers as ans
 from accordant.operators import relations as rel
 from accordant.operators import rollup, scores, significance, workqueue
 from accordant.plans.catalog import query, with_ctes
+from accordant.session import laid_out
 from accordant.sources import tables
 
 # -- SQL building blocks ---------------------------------------------------------------------
@@ -502,8 +503,8 @@ def stratified_means(spark, root):
         FROM means LEFT JOIN strata USING (dataset, action, llm)""",
 ))
 def summary_with_strata(spark, root):
-    """Rows of other actions keep NULL in the stratified columns."""
-    labelled = labelled_analysis(spark, root)
+    """Rows of other actions keep NULL in the stratified columns; the analysis is computed and laid out once."""
+    labelled = laid_out(labelled_analysis(spark, root), "labelled", ["dataset", "q_id"])
     s = rollup.add_stratified_means(rollup.summarise(labelled, ["eq_a1_a2"]), labelled)
     return s.select("dataset", "action", "llm", "n", "eq_a1_a2", *_STRATA_OUT)
 
@@ -553,7 +554,7 @@ def action_p_values_two_sided(spark, root):
         FROM means m LEFT JOIN paired_all p USING (dataset, action, llm)""",
 ))
 def summary_with_p_values(spark, root):
-    a = line_analysis(spark, root)
+    a = laid_out(line_analysis(spark, root), "analysis", ["dataset", "q_id"])
     s = rollup.summarise(a, ["eq_a1_a2"])
     p = significance.action_p_values(a, tables.ACTIONS, tested=["eq_a1_a2"])
     return rollup.add_p_values(s, p).select("dataset", "action", "llm", "n", "eq_a1_a2", "p_eq_a1_a2")

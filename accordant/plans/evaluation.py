@@ -1,7 +1,8 @@
 """The whole evaluation: from answer, label and question files to result tables.
 
 The analysis table has several consumers, so :func:`evaluate` writes it at once to the shared
-folder and the other tables are lazy plans over that scan.
+folder, dealt by question, and the other tables are lazy plans over that scan; those that bring the
+rows of a question together need no exchange for it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from accordant import names
 from accordant.operators import relations, reshape, rollup, significance
 from accordant.operators.analysis import analyse
-from accordant.session import materialise
+from accordant.session import laid_out, materialise
 from accordant.sources import readers, writers
 
 
@@ -47,7 +48,7 @@ def evaluate(
 ) -> Results:
     """All result tables from the parsed inputs."""
     analysed = relations.merge_relations_by_action(analyse(answers, questions), zero_shot_relations, classified_relations)
-    table = materialise(analysed, "analysis", ["dataset", "action"])
+    table = laid_out(analysed, "analysis", ["dataset", "q_id"])
     p_values = significance.action_p_values(table, actions)
     summary = rollup.add_stratified_means(rollup.summarise(table), table)
     return Results(

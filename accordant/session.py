@@ -71,3 +71,18 @@ def materialise(df: DataFrame, name: str = "stage", partition_by: list[str] | No
     else:
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def laid_out(df: DataFrame, name: str, by: list[str], buckets: int | None = None) -> DataFrame:
+    """Write ``df`` as a bucketed table in the shared folder and return a scan of it.
+
+    Rows are dealt by ``by`` once; aggregations and windows whose keys include these columns, and
+    joins of such tables on them, then need no exchange.  The number of buckets is that of the session's
+    shuffle partitions unless given.  The table is known to this session's catalog by a name of its own.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    table = "accordant_" + path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
