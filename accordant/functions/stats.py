@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,18 +34,72 @@ def ln_factorial(n: Column) -> Column:
     return _let(n.cast("double"), value)
 
 
+# Up to so many trials the tail is summed term by term; beyond, it is integrated.
+SUMMED_TRIALS = 10_000
+NODES = 40
+# A tail whose terms fall by more than this from one to the next is summed in any case: 150 terms are enough.
+STEEP, STEEP_TERMS = 0.7, 150
+
+
+def _stirling(x: Column) -> Column:
+    """ln x! less Stirling's formula, for x of some hundreds or more."""
+    inv = 1 / (x * x)
+    return (F.lit(1 / 12) - inv * (F.lit(1 / 360) - inv * F.lit(1 / 1260))) / x
+
+
+def _ln_density(x: Column, n: Column) -> Column:
+    """ln of the number of heads' density at a real x, without loss of digits for large n.
+
+    The exponent is n times the divergence of x / n from one half, in the deviation from it.
+    """
+    d = (2 * x - n) / n
+    divergence = ((1 + d) * F.log1p(d) + (1 - d) * F.log1p(-d)) / 2
+    return -n * divergence + (F.log(n) - F.log(x) - F.log(n - x) - F.lit(math.log(2 * math.pi))) / 2 + (
+        _stirling(n) - _stirling(x) - _stirling(n - x)
+    )
+
+
+def _integrated_tail(start: Column, n: Column) -> Column:
+    """Sum of the binomial terms from ``start`` (at the mean or above) on, for large n.
+
+    A sum over whole numbers is an integral and corrections from the derivatives at its end (Euler and
+    Maclaurin).  The integrand is smooth and falls like a normal density, so a fixed number of
+    nodes (Gauss and Legendre) gives the integral however large n is.
+    """
+    at, weight = np.polynomial.legendre.leggauss(NODES)
+    nodes = F.array(*[F.struct(F.lit(float((a + 1) / 2)).alias("at"), F.lit(float(w / 2)).alias("weight")) for a, w in zip(at, weight)])
+
+    def body(v: Column) -> Column:
+        k, n = v["k"], v["n"]
+        sigma = F.sqrt(n) / 2
+        u = (k - n / 2) / sigma
+        width = F.least((F.sqrt(u * u + 80) - u) * sigma, n - k - 1)
+        integral = width * F.aggregate(
+            nodes, F.lit(0.0), lambda acc, e: acc + e["weight"] * F.exp(_ln_density(k + width * e["at"], n) - v["ln"])
+        )
+        g1 = F.log((n - k) / k) + (1 / (n - k) - 1 / k) / 2
+        g2 = -1 / k - 1 / (n - k)
+        g3 = 1 / (k * k) - 1 / ((n - k) * (n - k))
+        third = g1 * g1 * g1 + 3 * g1 * g2 + g3
+        fifth = F.pow(g1, F.lit(5)) + 10 * F.pow(g1, F.lit(3)) * g2 + 15 * g1 * g2 * g2
+        seventh = F.pow(g1, F.lit(7)) + 21 * F.pow(g1, F.lit(5)) * g2
+        ends = F.lit(0.5) - g1 / 12 + third / 720 - fifth / 30240 + seventh / 1209600
+        return F.least(F.lit(1.0), F.exp(v["ln"]) * (integral + ends))
+
+    return _let(F.struct(start.alias("k"), n.alias("n"), _ln_density(start, n).alias("ln")), body)
+
+
 def binomial_upper_tail(k: Column, n: Column) -> Column:
     """P(X >= k) for X ~ Binomial(n, 1/2); 1 for k <= 0.
 
     Only the side beyond the mean is summed (the other side follows by symmetry).  There the
-    terms fall at least as fast as exp(-2 j^2 / n), so 5 * sqrt(n) of them give full precision
-    and the cost of one cell grows with the square root of the count.
+    terms fall at least as fast as exp(-2 j^2 / n), so 5 * sqrt(n) of them give full precision.
+    Beyond ``SUMMED_TRIALS`` trials a fixed number of steps is taken: the terms are integrated,
+    or, in a steep tail, summed up to where they vanish.
     """
 
-    def from_start(v: Column) -> Column:
+    def summed(v: Column, first: Column, length: Column) -> Column:
         n, start = v["n"], v["start"]
-        first = F.exp(ln_factorial(n) - ln_factorial(start) - ln_factorial(n - start) - n * F.lit(math.log(2.0)))
-        length = F.least(n - start, F.ceil(5 * F.sqrt(n)) + 50).cast("long")
         steps = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(length, F.lit(0))), lambda j: j > 0)
         total = F.aggregate(
             steps,
@@ -57,6 +112,19 @@ def binomial_upper_tail(k: Column, n: Column) -> Column:
         )
         return F.least(F.lit(1.0), first * total)
 
+    def from_start(v: Column) -> Column:
+        n, start = v["n"], v["start"]
+        exact = F.exp(ln_factorial(n) - ln_factorial(start) - ln_factorial(n - start) - n * F.lit(math.log(2.0)))
+        few = F.least(n - start, F.ceil(5 * F.sqrt(n)) + 50).cast("long")
+        steep = F.least(n - start, F.lit(float(STEEP_TERMS))).cast("long")
+        # Near n itself the real-valued density does not hold, and is not needed: those terms are tiny.
+        dense = F.when(n - start < 1000, exact).otherwise(F.exp(_ln_density(start, n)))
+        return (
+            F.when(n <= SUMMED_TRIALS, summed(v, exact, few))
+            .when((n - start) / (start + 1) <= STEEP, summed(v, dense, steep))
+            .otherwise(_integrated_tail(start, n))
+        )
+
     def from_pair(v: Column) -> Column:
         k, n = v["k"], v["n"]
         upper = 2 * k > n
