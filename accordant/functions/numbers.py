@@ -42,12 +42,30 @@ def one_minus(p: Column) -> Column:
     return F.lit(1.0) - p
 
 
+def fixed(x: Column, digits: int = 3) -> Column:
+    """A number from 0 on with so many decimals; the binary value is rounded, a tie goes to the even digit.
+
+    (``format_string`` rounds the shortest decimal text, and ties up.)  The value is compared with the
+    double that is closest to the middle of two results; where it is that double, its
+    distance from the true middle decides, which is exact in two parts.
+    """
+    scale = 10**digits
+    low = F.floor(x * scale)
+    aim = 2 * low + 1
+    middle = aim.cast("double") / (2 * scale)
+    head = middle.cast("float").cast("double")
+    off = (head * (2 * scale) - aim) + (middle - head) * (2 * scale)
+    up = (x > middle) | ((x == middle) & ((off > 0) | ((off == 0) & (low % 2 == 1))))
+    whole = low + up.cast("long")
+    return F.concat(F.floor(whole / scale).cast("string"), F.lit("."), F.lpad((whole % scale).cast("string"), digits, "0"))
+
+
 def p_label(p: Column, alpha: float = 0.05, tiny: float = 0.001) -> Column:
     """Cell text of a p-value: empty unless significant, '≈0' when tiny, else 3 decimals."""
     return (
         F.when(p.isNull() | (p > alpha), F.lit(""))
         .when(p <= tiny, F.lit("≈0"))
-        .otherwise(F.format_string("%.3f", p))
+        .otherwise(fixed(p))
     )
 
 
@@ -62,7 +80,7 @@ def confidence_hidden(v: Column, alpha: float = 0.05) -> Column:
 def confidence_label(v: Column, alpha: float = 0.05, tiny: float | None = None) -> Column:
     """Cell text on the confidence scale: shown only when ``tiny < v <= alpha``."""
     floor = 1 - alpha if tiny is None else tiny
-    return F.when(v.isNull() | (v > alpha) | (v <= floor), F.lit("")).otherwise(F.format_string("%.3f", v))
+    return F.when(v.isNull() | (v > alpha) | (v <= floor), F.lit("")).otherwise(fixed(v))
 
 
 def truthy(x: Column) -> Column:

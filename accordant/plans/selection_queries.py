@@ -168,30 +168,35 @@ def pending_in_any_series(spark, root):
 
 # -- significance cells ----------------------------------------------------------------------
 
-_P = f"round_even(round({mcnemar_sql('n10_sub_a4_a1', 'n01_sub_a4_a1')}, 12), 4)"
+_P = " UNION ALL ".join(
+    f"SELECT dataset, llm, action, '{f}' AS flag, round_even(round({mcnemar_sql(f'n10_{f}', f'n01_{f}')}, 12), 4) AS p FROM paired_all"
+    for f in names.TESTED
+)
 
 
 @query("p_value_cells", with_ctes(
-    [*PVALUE_CTES, f"p AS (SELECT dataset, llm, action, {_P} AS p FROM paired_all)"],
-    """SELECT dataset, llm, action, CASE WHEN p > 0.05 THEN '' WHEN p <= 0.001 THEN '≈0' ELSE printf('%.3f', p) END AS cell,
+    [*PVALUE_CTES, f"p AS ({_P})"],
+    """SELECT dataset, llm, action, flag, CASE WHEN p > 0.05 THEN '' WHEN p <= 0.001 THEN '≈0' ELSE printf('%.3f', p) END AS cell,
          p > 0.05 AS hidden, CASE WHEN 1 - p > 0.95 OR 1 - p <= 0.5 THEN '' ELSE printf('%.3f', 1 - p) END AS confidence,
          1 - p < 0.95 AS low FROM p""",
 ))
 def p_value_cells(spark, root):
-    p = significance.action_p_values(line_analysis(spark, root), tables.ACTIONS, tested=["sub_a4_a1"])
-    v = F.col("p_sub_a4_a1")
+    """Cells of all tested flags."""
+    p = significance.action_p_values(line_analysis(spark, root), tables.ACTIONS)
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f"p_{f}").alias("p")) for f in names.TESTED])).alias("c")
+    p = p.select("dataset", "llm", "action", cells).select("dataset", "llm", "action", "c.*")
+    v = F.col("p")
     conf = numbers.one_minus(v)
     return p.select(
-        "dataset", "llm", "action", numbers.p_label(v).alias("cell"), numbers.p_hidden(v).alias("hidden"),
+        "dataset", "llm", "action", "flag", numbers.p_label(v).alias("cell"), numbers.p_hidden(v).alias("hidden"),
         numbers.confidence_label(conf, 0.95, 0.5).alias("confidence"), numbers.confidence_hidden(conf, 0.95).alias("low"),
     )
 
 
 @query("significant_groups", with_ctes(
     MATRIX_CTES,
-    """SELECT action, dataset, predicate, llm_i, llm_j, p FROM p_matrix m
-       WHERE EXISTS (SELECT 1 FROM p_matrix s WHERE s.action = m.action AND s.dataset = m.dataset
-         AND s.predicate = m.predicate AND s.p <= 0.05)""",
+    """SELECT action, dataset, predicate, llm_i, llm_j, p FROM p_matrix
+       QUALIFY min(p) OVER (PARTITION BY action, dataset, predicate) <= 0.05""",
 ))
 def significant_groups(spark, root):
     m = line_matrix(spark, root)

@@ -194,3 +194,55 @@ def test_set_functions(spark):
     assert list(got[0]) == [True, True, False, False, 1.0, False, False, 2]
     assert list(got[1]) == [True, True, True, True, 0.0, True, True, 0]
     assert list(got[2]) == [False, True, True, True, 0.5, False, True, 2]
+
+
+def precise_tail(k, n):
+    """P(X >= k) by 60-digit Stirling's series for the first term and all following ratios."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    pi2 = 2 * Decimal("3.14159265358979323846264338327950288419716939937510582097494459")
+
+    def ln_factorial(m):
+        if m < 400:
+            return Decimal(math.factorial(m)).ln()
+        x = Decimal(m)
+        return (x + Decimal("0.5")) * x.ln() - x + pi2.ln() / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+
+    if 2 * k <= n:
+        return 1.0 - precise_tail(n - k + 1, n)
+    first = float((ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k) - n * Decimal(2).ln()).exp())
+    term, total, j = 1.0, 1.0, k
+    while j < n and term > 1e-18 * total:
+        term *= (n - j) / (j + 1)
+        total += term
+        j += 1
+    return first * total
+
+
+def test_tails_in_constant_steps(spark):
+    cells = []
+    for n in (9_999, 10_000, 10_001, 54_321, 1_000_000, 30_000_000, 1_000_000_000):
+        mean, sigma = n / 2, math.sqrt(n) / 2
+        ks = {int(mean + u * sigma) for u in (-6, -1, 0, 0.01, 0.5, 1, 2.5, 5, 9, 14, 20, 30)} | {n // 2, n // 2 + 1}
+        if n < 100_000:
+            ks |= {int(0.55 * n), int(0.59 * n), int(0.6 * n), int(0.8 * n)}
+        cells += [(k, n) for k in sorted(ks)]
+    got = spark.createDataFrame(cells, "k long, n long").select("k", "n", stats.binomial_upper_tail(F.col("k"), F.col("n")).alias("p")).collect()
+    for r in got:
+        want = precise_tail(r.k, r.n)
+        digits = 1e-10 * max(1.0, -math.log(max(want, 1e-300)) / 20)  # of the exponent, one part in so many is lost
+        assert r.p == pytest.approx(want, rel=digits, abs=1e-290), (r.k, r.n)
+
+
+def test_fixed_decimals_as_the_interpreter_writes_them(spark):
+    import random
+
+    from accordant.functions.numbers import fixed
+
+    rng = random.Random(8)
+    values = [i / 10_000 for i in range(10_001)] + [i / 16_384 for i in range(16_385)] + [rng.random() * 50 for _ in range(2000)]
+    values += [0.0, 1.0, 0.9995, 0.9994999999999999, 12.0625, 0.0005, 0.00049999999999999999]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", fixed(F.col("v")).alias("t"), fixed(F.col("v"), 1).alias("o"))
+    bad = [(r.v, r.t, r.o) for r in rows.collect() if r.t != f"{r.v:.3f}" or r.o != f"{r.v:.1f}"]
+    assert not bad, bad[:5]
