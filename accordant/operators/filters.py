@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accordant.session import materialise
+
 
 def keep(df: DataFrame, **allowed) -> DataFrame:
     """Rows whose columns equal the given value or are among the given values."""
@@ -52,12 +54,15 @@ def columns_after(df: DataFrame, column: str) -> list[str]:
 
 def groups_with_signal(df: DataFrame, by: list[str], columns: list[str], alpha: float = 0.05) -> DataFrame:
     """Rows of the groups that have at least one value at or below ``alpha``."""
-    hit = reduce(lambda a, b: a | b, [F.coalesce(F.col(c) <= alpha, F.lit(False)) for c in columns])
-    alive = df.filter(hit).select(*by).distinct()
-    return df.join(alive, by, "left_semi")
+    return _groups_with(df, by, reduce(lambda a, b: a | b, [F.coalesce(F.col(c) <= alpha, F.lit(False)) for c in columns]))
 
 
 def groups_with_values(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Rows of the groups that have at least one value that is not NULL."""
-    hit = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns])
-    return df.join(df.filter(hit).select(*by).distinct(), by, "left_semi")
+    return _groups_with(df, by, reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns]))
+
+
+def _groups_with(df: DataFrame, by: list[str], hit: Column) -> DataFrame:
+    """The input is written once: the groups are found in it, and its rows kept or not, without computing it twice."""
+    rows = materialise(df.withColumn("__hit", hit), "groups")
+    return rows.join(rows.filter("__hit").select(*by).distinct(), by, "left_semi").select(*df.columns)

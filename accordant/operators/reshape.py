@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from accordant.functions.numbers import bucket_area, parse_size, rescale, to_number
 from accordant.functions.text import release_date
 from accordant.operators.filters import keep
+from accordant.operators.ordering import numbered
+from accordant.operators.rollup import medians
+from accordant.session import materialise
 
 MATRIX_KEYS = ["action", "dataset", "predicate", "llm"]
 
@@ -68,21 +70,14 @@ def index_map(spark: SparkSession, order: list[str]) -> DataFrame:
 
 
 def model_order(df: DataFrame, row_id: str, alphabetical: bool = False) -> DataFrame:
-    """Models by first appearance, (pos, llm); zero-shot rows decide if there are any.
-
-    ``pos`` numbers the models, of which there are few, from 0.
-    """
-    first = df.groupBy("llm").agg(
+    """Models by first appearance, (pos, llm); zero-shot rows decide if there are any."""
+    first = materialise(df.groupBy("llm").agg(
         F.min(F.when(F.col("action") == "zero-shot", F.col(row_id))).alias("zs"), F.min(row_id).alias("any")
-    )
-    everything = Window.partitionBy(F.lit(0))
-    has_zs = F.max(F.col("zs")).over(everything).isNotNull()
+    ), "models")
+    has_zs = F.coalesce(first.agg(F.max(F.col("zs").isNotNull()).alias("has")).scalar(), F.lit(False))
+    there = first.withColumn("has_zs", has_zs).filter(~F.col("has_zs") | F.col("zs").isNotNull())
     key = F.col("llm") if alphabetical else F.when(F.col("has_zs"), F.col("zs")).otherwise(F.col("any"))
-    return (
-        first.withColumn("has_zs", has_zs)
-        .filter(~F.col("has_zs") | F.col("zs").isNotNull())
-        .select((F.row_number().over(everything.orderBy(key)) - 1).alias("pos"), "llm")
-    )
+    return numbered(there.select("llm", key.alias("key")), ["key"]).select(F.col("pos").cast("int").alias("pos"), "llm")
 
 
 def models_in_summary(models: DataFrame, summary: DataFrame) -> DataFrame:
@@ -167,14 +162,17 @@ def combos(df: DataFrame, columns: list[str] = ("action", "dataset")) -> DataFra
 def bubble_areas(models: DataFrame, lo: float = 80.0, hi: float = 420.0) -> DataFrame:
     """Drawing area per model: sizes rescaled if all are numeric, named buckets otherwise.
 
-    The extremes are scalar subqueries of the one small dimension table.
+    The extremes are scalar subqueries of the dimension table; the median is counted (see
+    :func:`accordant.operators.rollup.medians`).
     """
     sized = models.withColumn("size_value", parse_size(F.col("size")))
     stats = sized.agg(
-        F.min("size_value").alias("vmin"), F.max("size_value").alias("vmax"), F.median("size_value").alias("vmed"),
+        F.min("size_value").alias("vmin"), F.max("size_value").alias("vmax"),
         F.count_if(F.col("size_value").isNull()).alias("bad"),
     )
-    out = sized.withColumns({c: stats.select(c).scalar() for c in ("vmin", "vmed", "vmax", "bad")})
+    middle = medians(sized.select(F.lit("all").alias("of"), "size_value"), ["of"], ["size_value"])
+    out = sized.withColumns({c: stats.select(c).scalar() for c in ("vmin", "vmax", "bad")})
+    out = out.withColumn("vmed", middle.select("size_value").scalar())
     return out.select(
         *models.columns, "size_value", "vmin", "vmed", "vmax",
         F.when(F.col("bad") > 0, bucket_area(F.col("size")))

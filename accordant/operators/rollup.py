@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from accordant import names
 from accordant.functions.numbers import round4, row_mean
+from accordant.session import materialise
 
 OVERALL = "overall"
 
@@ -51,23 +53,26 @@ def metric_columns(df: DataFrame) -> list[str]:
     return [c for c in wanted if c in df.columns]
 
 
-def summarise(analysis: DataFrame, metrics: list[str] | None = None) -> DataFrame:
-    """Summary table: rounded means per (dataset, action, model) and overall.
+def _sources(columns: list[str], metrics: list[str]) -> dict[str, str]:
+    """Summary column and the analysis column behind it; idk flags use the summary definition."""
+    only = {c: c.replace("idk_", "idk_only_") for c in names.IDKS}
+    return {**{m: m for m in metrics}, **{c: (o if o in columns else c) for c, o in only.items()}}
 
-    The averages of the A1 repeats are taken before the overall zero-shot repeat metrics are
-    blended with those of classification; idk flags use the summary definition.
-    """
-    metrics = metrics or metric_columns(analysis)
-    idk = {c: (c.replace("idk_", "idk_only_") if c.replace("idk_", "idk_only_") in analysis.columns else c) for c in names.IDKS}
-    source = {**{m: m for m in metrics}, **idk}
-    keys = ["dataset", "action", "llm"]
-    fine = analysis.groupBy(*keys).agg(
+
+def partial_sums(analysis: DataFrame, metrics: list[str]) -> DataFrame:
+    """Sums and counts of every metric per (dataset, action, model): what summaries are added up from."""
+    source = _sources(analysis.columns, metrics)
+    return analysis.groupBy("dataset", "action", "llm").agg(
         *[exact_sum(src).alias(f"{m}__t") for m, src in source.items()],
         *[F.count(src).alias(f"{m}__n") for m, src in source.items()],
         F.count("*").alias("n"),
     )
-    sums = [f"{m}__{k}" for m in source for k in "tn"] + ["n"]
-    both = overall_level(fine, keys, sums)
+
+
+def summary_of(sums: DataFrame, metrics: list[str]) -> DataFrame:
+    """The summary table from partial sums, which may come in several rows per key."""
+    keys, source = ["dataset", "action", "llm"], [*metrics, *names.IDKS]
+    both = overall_level(sums, keys, [f"{m}__{k}" for m in source for k in "tn"] + ["n"])
     out = both.select(*keys, "n", *[round4(mean_of(f"{m}__t", f"{m}__n")).alias(m) for m in source])
     if {"eq_a1_s", "eq_a1_p", "eq_s_p"} <= set(metrics):
         out = out.withColumn("eq_a1_ave", round4(row_mean(F.col("eq_a1_s"), F.col("eq_a1_p"), F.col("eq_s_p"))))
@@ -77,14 +82,22 @@ def summarise(analysis: DataFrame, metrics: list[str] | None = None) -> DataFram
     return out.withColumn("idk", row_mean(*[F.col(c) for c in names.IDKS]))
 
 
+def summarise(analysis: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """Summary table: rounded means per (dataset, action, model) and overall.
+
+    The averages of the A1 repeats are taken before the overall zero-shot repeat metrics are
+    blended with those of classification; idk flags use the summary definition.
+    """
+    metrics = metrics or metric_columns(analysis)
+    return summary_of(partial_sums(analysis, metrics), metrics)
+
+
 def blend_overall(summary: DataFrame, metrics: list[str]) -> DataFrame:
     """Overall zero-shot repeat metrics become their mean with classification's, or that value.
 
     The partner row comes by a window over the few rows of a (dataset, model), which spares a
     self-join and with it a second computation of the summary.
     """
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("dataset", "llm")
     other = F.col("action") == "classification"
     here = (F.col("dataset") == OVERALL) & (F.col("action") == "zero-shot")
@@ -142,10 +155,42 @@ def add_p_values(summary: DataFrame, p_values: DataFrame) -> DataFrame:
 
 
 def metric_per_model(df: DataFrame, metrics: list[str], how: str = "mean") -> DataFrame:
-    """Mean or exact median of metrics per model; text that is no number is skipped.
+    """Mean or exact median of metrics per model; text that is no number is skipped."""
+    numeric = df.select("llm", *[F.col(m).try_cast("double").alias(m) for m in metrics])
+    if how == "median":
+        return medians(numeric, ["llm"], metrics)
+    return numeric.groupBy("llm").agg(*[F.avg(m).alias(m) for m in metrics])
 
-    Metrics have four decimals, so the value counts behind a median stay small however many rows
-    a model has.
+
+def medians(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Exact medians of numeric columns per group, by counting values; nulls are skipped, NaN is the largest.
+
+    A group's distinct values are counted, and the counts added up over ranges of values first: eight
+    to a power of two, so a group has some ten thousand ranges at most.  Only the ranges that hold the
+    middle are looked at value by value.  No group's values are in one buffer.
     """
-    agg = {"mean": F.avg, "median": F.median}[how]
-    return df.groupBy("llm").agg(*[agg(F.col(m).try_cast("double")).alias(m) for m in metrics])
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])).alias("cell")
+    group = [*by, "metric"]
+    counted = df.select(*by, cells).select(*by, "cell.*").groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
+    size = F.floor(F.least(F.log2(F.abs("v")) * 8, F.lit(1e5))) + 9000
+    span = F.when(F.isnan("v"), F.lit(1 << 20)).when(F.col("v") == 0, F.lit(0)).otherwise(F.signum("v") * size)
+    counted = materialise(counted.withColumn("span", span.cast("int")), "values")
+    values = counted.filter("v is not null")
+    before = (Window.unboundedPreceding, -1)
+    spans = values.groupBy(*group, "span").agg(F.sum("n").alias("k"))
+    order, whole = Window.partitionBy(*group).orderBy("span"), Window.partitionBy(*group)
+    spans = spans.select(
+        *group, "span", "k", F.coalesce(F.sum("k").over(order.rowsBetween(*before)), F.lit(0)).alias("base"), F.sum("k").over(whole).alias("total")
+    )
+    # 0-based ranks of the two middle values, which are one if their number is odd.
+    spans = spans.withColumns({"low": F.expr("(total - 1) div 2"), "high": F.expr("total div 2")})
+    spans = spans.filter("(low >= base and low < base + k) or (high >= base and high < base + k)").drop("k", "total")
+    inside = Window.partitionBy(*group, "span").orderBy("v").rowsBetween(*before)
+    found = values.join(spans, [*group, "span"]).withColumn("first", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((F.col(rank) >= F.col("first")) & (F.col(rank) < F.col("first") + F.col("n")), F.col("v")))
+
+    middle = found.groupBy(*group).agg((at("low") * 0.5 + at("high") * 0.5).alias("median"))
+    wide = middle.groupBy(*by).agg(*[F.max(F.when(F.col("metric") == c, F.col("median"))).alias(c) for c in columns])
+    return counted.select(*by).distinct().join(wide, by, "left")

@@ -6,14 +6,15 @@ Files go to fresh folders below ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from accordant.operators import reshape, rollup, scores, significance
 from accordant.operators import relations as rel
+from accordant.operators.ordering import in_file_order
 from accordant.plans.answer_queries import (
     _PHRASES, _SUMMARY_OUT, ANSWERS, ELEMENTS, FROM_LINES, LINES, MATRIX_CTES, SUMMARY_CTES, _PAIRS, _labels_cte, line_analysis,
     line_matrix, mean4,
 )
+from accordant.plans import label_queries  # noqa: F401  (its SQL is used below)
 from accordant.plans.catalog import SQL, query, with_ctes
 from accordant.plans.result_queries import MODELS
 from accordant.session import scratch_path
@@ -163,6 +164,8 @@ def score_files(spark, root):
     FROM_LINES,
     f"""SELECT dataset AS task, llm AS model, action,
           {mean4('CAST(sum(CAST(round(jac_a1_a2 * 10000) AS BIGINT)) AS BIGINT)', 'count(*)')} AS average_all,
+          {mean4('(10000 * count(*) FILTER (WHERE jac_a1_a2 = 0))', 'count(*)')} AS ratio_empty,
+          {mean4('CAST(sum(CAST(round(jac_a1_a2 * 10000) AS BIGINT)) AS BIGINT)', 'count(*) FILTER (WHERE jac_a1_a2 <> 0)')} AS average_no_empty,
           {mean4('(10000 * count(*) FILTER (WHERE eq_a1_a2 = 1))', 'count(*)')} AS binary_rate,
           CAST(sum(disj_a3_a4) AS BIGINT) AS disjoint_count
         FROM analysis GROUP BY dataset, llm, action""",
@@ -183,8 +186,7 @@ def score_table_files(spark, root):
         *readers.SCORE_TABLE_SCHEMA.fieldNames(),
         *[v.alias(k) for k, v in readers.name_parts(F.regexp_extract("file_path", "name=([^/]+)/", 1)).items()],
     )
-    s = scores.summarise_score_tables(keyed)
-    return s.select("task", "model", "action", "average_all", "binary_rate", "disjoint_count")
+    return scores.summarise_score_tables(keyed)
 
 
 @query("model_files", with_ctes([MODELS], "SELECT llm, id, score, release_date, company, size FROM model_rows"))
@@ -238,16 +240,16 @@ def appended_files(spark, root):
 
 @query("action_files", with_ctes(
     [*SUMMARY_CTES, MODELS],
-    """SELECT id AS "ID", dataset, action, llm, eq_a1_a2 FROM summary JOIN model_rows USING (llm)
+    f"""SELECT id AS "ID", {', '.join(_SUMMARY_OUT)} FROM summary JOIN model_rows USING (llm)
        WHERE dataset = 'overall' AND action IN ('zero-shot', 'classification', 'fixing')""",
 ))
 def action_files(spark, root):
-    """One CSV folder per action."""
-    s = rollup.summarise(line_analysis(spark, root), ["eq_a1_a2"]).select("dataset", "action", "llm", "eq_a1_a2")
+    """One CSV folder per action, with all metrics."""
+    s = rollup.summarise(line_analysis(spark, root)).select(*_SUMMARY_OUT)
     path = scratch_path(spark, "by-action")
     writers.write_by_action(s, tables.models(spark, root), path)
-    schema = "ID int, dataset string, llm string, eq_a1_a2 double, action string"
-    return readers.read_result_table(spark, path, schema)
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in s.schema.fields if f.name != "action"]
+    return readers.read_result_table(spark, path, ", ".join(["ID int", *fields, "action string"]))
 
 
 @query("heatmap_files", with_ctes(
@@ -265,18 +267,13 @@ def heatmap_files(spark, root):
     return cells.join(index.select(F.col("idx").alias("i"), "letter"), "i")
 
 
-@query("confusion_files", with_ctes(
-    [_PHRASES, """long AS (SELECT p_brand AS llm, (SELECT phrase FROM phrases WHERE i = p_partkey % 20) AS r FROM part)"""],
-    """SELECT llm, printf('%.4f(%d)', round_even(count(*) FILTER (WHERE r = 'Equivalence') / count(*)::DOUBLE, 4),
-         count(*) FILTER (WHERE r = 'Equivalence')) AS accuracy, count(*) AS size FROM long GROUP BY llm""",
-))
+@query("confusion_files", SQL["confusion_table"])
 def confusion_files(spark, root):
-    """Relation summary written as CSV and read back."""
-    t = rel.confusion_table(tables.part_relations(spark, root), columns=["r_12"])
+    """Relation summary of all relations and levels written as CSV and read back."""
+    t = rel.confusion_table(tables.part_relations(spark, root))
     path = scratch_path(spark, "confusion")
     writers.write_table(t, path, "csv")
-    back = readers.read_result_table(spark, path, t.schema)
-    return back.filter("dataset = 'overall'").select("llm", "accuracy", "size")
+    return readers.read_result_table(spark, path, t.schema)
 
 
 @query("sorted_p_values", f"""
@@ -287,9 +284,4 @@ def sorted_p_values(spark, root):
     path = scratch_path(spark, "p-values")
     writers.write_table(p, path, "csv", sort_by=["dataset", "llm", "action"])
     back = readers.read_result_table(spark, path, p.schema)
-    placed = back.withColumns({
-        "file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "pos": F.monotonically_increasing_id(),
-    })
-    # A result table of a few rows; the places come from the files, not from the values.
-    order = Window.orderBy("file", "block", "pos")
-    return placed.withColumn("position", (F.row_number().over(order) - 1).cast("long")).drop("file", "block", "pos")
+    return in_file_order(back)

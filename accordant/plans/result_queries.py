@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from accordant import names
 from accordant.functions import numbers
 from accordant.functions.numbers import round4
 from accordant.operators import correlation, reshape, rollup, scores
 from accordant.plans.answer_queries import (
     ANSWERS, ELEMENTS, FROM_LINES, LINES, MATRIX_CTES, PVALUE_CTES, SLOTS, SUMMARY_CTES, flag, line_analysis, line_matrix,
-    mcnemar_sql, mean4, row_mean_sql, s_eq, s_jac, scaled,
+    mcnemar_sql, mean4, row_mean_sql, s_disj, s_eq, s_jac, scaled,
 )
 from accordant.plans.catalog import query, with_ctes
 from accordant.sources import tables
@@ -52,36 +53,50 @@ def score_correlations(spark, root):
     return c.select("metric", "n", F.round("r", 7).alias("r"), F.round("p", 7).alias("p"), "significant")
 
 
-@query("line_correlations", """
-SELECT 'price' AS metric, count(*) AS n, round(corr(l_quantity, l_extendedprice), 7) AS r FROM lineitem
-UNION ALL SELECT 'discount', count(*), round(corr(l_quantity, l_discount), 7) FROM lineitem
-UNION ALL SELECT 'tax', count(*), round(corr(l_quantity, l_tax), 7) FROM lineitem""")
+# Student's t by its finite sums, for an even and an odd number of degrees of freedom; 1 - r^2 is the
+# squared cosine of the angle whose sine is r.
+_EVEN = ("1 - abs(r) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: "
+         "exp(lgamma(k + 0.5) - lgamma(k + 1) - lgamma(0.5) + k * ln(1 - r * r))))")
+_ODD = ("1 - 2 / pi() * (asin(abs(r)) + abs(r) * list_sum(list_transform(range(0, (n - 3) // 2), lambda k: "
+        "exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5) + (k + 0.5) * ln(1 - r * r)))))")
+
+
+@query("line_correlations", f"""
+WITH found AS (SELECT 'price' AS metric, count(*) AS n, corr(l_quantity, l_extendedprice) AS r FROM lineitem
+  UNION ALL SELECT 'discount', count(*), corr(l_quantity, l_discount) FROM lineitem
+  UNION ALL SELECT 'tax', count(*), corr(l_quantity, l_tax) FROM lineitem),
+tested AS (SELECT *, CASE WHEN n % 2 = 0 THEN {_EVEN} ELSE {_ODD} END AS p FROM found)
+SELECT metric, n, round(r, 7) AS r, round(greatest(p, 0), 7) + 0 AS p, CASE WHEN p < 0.05 THEN 'Yes' ELSE 'No' END AS significant FROM tested""")
 def line_correlations(spark, root):
+    """Correlations over all order lines, where p has very many degrees of freedom."""
     li = tables.load(spark, root, "lineitem")
     c = correlation.correlate(
         li, F.col("l_quantity"),
         {"price": F.col("l_extendedprice"), "discount": F.col("l_discount"), "tax": F.col("l_tax")},
     )
-    return c.select("metric", "n", F.round("r", 7).alias("r"))
+    return c.select("metric", "n", F.round("r", 7).alias("r"), F.round("p", 7).alias("p"), "significant")
 
 
 # -- per model -------------------------------------------------------------------------------
 
 
+_PER_MODEL = names.FLAGS + names.JACCARDS
+
+
 @query("metric_mean_per_model", with_ctes(
-    FROM_LINES,
-    "SELECT llm, round(avg(jac_a1_a2), 8) AS jac_a1_a2, round(avg(eq_a1_a34), 8) AS eq_a1_a34 FROM analysis GROUP BY llm",
+    FROM_LINES, f"SELECT llm, {', '.join(f'round(avg({m}), 8) AS {m}' for m in _PER_MODEL)} FROM analysis GROUP BY llm",
 ))
 def metric_mean_per_model(spark, root):
-    m = rollup.metric_per_model(line_analysis(spark, root), ["jac_a1_a2", "eq_a1_a34"])
-    return m.select("llm", F.round("jac_a1_a2", 8).alias("jac_a1_a2"), F.round("eq_a1_a34", 8).alias("eq_a1_a34"))
+    means = rollup.metric_per_model(line_analysis(spark, root), _PER_MODEL)
+    return means.select("llm", *[F.round(m, 8).alias(m) for m in _PER_MODEL])
 
 
 @query("metric_median_per_model", with_ctes(
-    FROM_LINES, "SELECT llm, median(jac_a1_a34) AS jac_a1_a34, median(jac_a4_diff) AS jac_a4_diff FROM analysis GROUP BY llm",
+    FROM_LINES, f"SELECT llm, {', '.join(f'median({m})::DOUBLE AS {m}' for m in _PER_MODEL)} FROM analysis GROUP BY llm",
 ))
 def metric_median_per_model(spark, root):
-    return rollup.metric_per_model(line_analysis(spark, root), ["jac_a1_a34", "jac_a4_diff"], "median")
+    """Medians of all metrics, from counts of their values."""
+    return rollup.metric_per_model(line_analysis(spark, root), _PER_MODEL, "median")
 
 
 _ORDER = "(VALUES " + ", ".join(f"({i + 1}, '{m}')" for i, m in enumerate([*P, "absent"])) + ") AS o(pos, llm)"
@@ -197,22 +212,22 @@ def square_matrix(spark, root):
     return reshape.square_matrix(wide, ["5-LOW", "1-URGENT", "absent"], "fixing", "BUILDING", "eq_a1_a2")
 
 
-_FOUR = f"round_even(round({mcnemar_sql('n10_eq_a1_a2', 'n01_eq_a1_a2')}, 12), 4)"
-_FIVE = f"round_even(round({mcnemar_sql('n10_disj_a3_a4', 'n01_disj_a3_a4')}, 12), 4)"
+_TRANSPOSED = " UNION ALL ".join(
+    f"SELECT action, llm, 'p_{f}' AS metric, round_even(round({mcnemar_sql(f'n10_{f}', f'n01_{f}')}, 12), 4) AS v "
+    "FROM paired_all WHERE dataset = 'overall'" for f in names.TESTED
+)
 
 
 @query("transposed_p_values", with_ctes(
-    [*PVALUE_CTES,
-     f"""ps AS (SELECT action, llm, 'p_eq_a1_a2' AS metric, {_FOUR} AS v FROM paired_all WHERE dataset = 'overall'
-       UNION ALL SELECT action, llm, 'p_disj_a3_a4', {_FIVE} FROM paired_all WHERE dataset = 'overall')"""],
+    [*PVALUE_CTES, f"ps AS ({_TRANSPOSED})"],
     "SELECT action, metric, " + ", ".join(f'any_value(v) FILTER (WHERE llm = \'{m}\') AS "{m}"' for m in P)
     + " FROM ps GROUP BY action, metric",
 ))
 def transposed_p_values(spark, root):
     from accordant.operators.significance import action_p_values
 
-    p = action_p_values(line_analysis(spark, root), tables.ACTIONS, tested=["eq_a1_a2", "disj_a3_a4"])
-    return reshape.transpose(p.filter("dataset = 'overall'"), ["p_eq_a1_a2", "p_disj_a3_a4"], P)
+    p = action_p_values(line_analysis(spark, root), tables.ACTIONS)
+    return reshape.transpose(p.filter("dataset = 'overall'"), [f"p_{f}" for f in names.TESTED], P)
 
 
 @query("full_grid", with_ctes(
@@ -253,7 +268,7 @@ def overall_by_action(spark, root):
 @query("score_table_summary", with_ctes(
     [LINES, ELEMENTS, ANSWERS, SLOTS,
      f"""scored AS (SELECT action, llm AS model, dataset AS task, {s_jac('e1', 'e2')} AS j, {flag(s_eq('e1', 'e2'))} AS b,
-       CAST(len(e1) % 2 AS INTEGER) AS d FROM slots)"""],
+       {flag(s_disj('c3', 'm4'))} AS d FROM slots)"""],
     f"""SELECT task, model, action, {mean4('sum(' + scaled('j') + ')', 'count(*)')} AS average_all,
          {mean4('(10000 * count(*) FILTER (WHERE j = 0))', 'count(*)')} AS ratio_empty,
          {mean4('sum(' + scaled('j') + ')', 'count(*) FILTER (WHERE j <> 0)')} AS average_no_empty,
@@ -270,7 +285,7 @@ def score_table_summary(spark, root):
         "action", F.col("llm").alias("model"), F.col("dataset").alias("task"),
         round4(sets.jaccard(F.col("e1"), F.col("e2"))).alias("JaccardSimilarity"),
         sets.flag(sets.equal(F.col("e1"), F.col("e2"))).alias("BinaryEqual"),
-        (F.size("e1") % 2).alias("B_Intersected_C_EmptyCount"),
+        sets.flag(sets.disjoint(F.col("c3"), F.col("m4"))).alias("B_Intersected_C_EmptyCount"),
     )
     return scores.summarise_score_tables(scored)
 
