@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import types
 import zlib
@@ -19,7 +20,8 @@ from accordant.llm.common import whole, written
 LENGTH = 4096
 END_ID = 2
 GROUP_PIECES = 16_384  # pieces that are packed together, about
-BATCH_BYTES = 1 << 22  # text encoded at once
+BATCH_BYTES = 1 << 23  # text encoded at once
+WORD_END = "</w>"  # what the vocabulary puts behind the last token of a word
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -64,30 +66,52 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return where, offset
 
 
-def words_of(raw: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The words in a buffer of texts, and per text the number of the first one (one more entry at the end).
+def _kind_table() -> np.ndarray:
+    """Per byte: 1 white space, 2 ASCII letter, 3 ASCII sign that no letter can belong with, 0 anything else."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[[32, *range(9, 14)]] = 1
+    kinds[[*range(65, 91), *range(97, 123)]] = 2
+    kinds[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 3
+    return kinds
 
-    A word is a run of bytes other than space and tab to carriage return; ``edges`` are the places
-    in the buffer where texts begin, and its end.
+
+KINDS = _kind_table()
+
+
+def units_of(raw: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The units in a buffer of texts, lower-cased in ASCII, and per text the number of the first one (one more at the end).
+
+    Units are words, cut between an ASCII letter and a sign where the vocabulary cuts as well; words stay
+    whole in a buffer that may hold the vocabulary's special texts, which begin with ``<|``.  ``edges``
+    are the places in the buffer where texts begin, and its end.
     """
-    solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    kinds = KINDS[raw]
+    solid = kinds != 1
     begins = solid.copy()
-    begins[1:] &= ~solid[:-1]
+    if len(raw) > 1:
+        joined = solid[:-1].copy()
+        if b"<|" not in raw.tobytes():
+            joined &= kinds[1:] + kinds[:-1] != 5  # a letter next to a sign
+        begins[1:] &= ~joined
     inner = edges[:-1][edges[:-1] < len(raw)]
-    begins[inner] = solid[inner]  # a text begins a word of its own
+    begins[inner] = solid[inner]  # a text begins a unit of its own
     starts = np.flatnonzero(begins)
     kept = raw[solid]
-    places = np.r_[np.cumsum(solid)[starts] - 1, len(kept)].astype(np.int64)
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(kept)])
-    return words, np.searchsorted(starts, edges, side="left")
+    kept = kept + ((kept >= 65) & (kept <= 90)).astype(np.uint8) * np.uint8(32)
+    sizes = np.add.reduceat(solid, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+    units = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int64)), pa.py_buffer(kept)]
+    )
+    return units, np.searchsorted(starts, edges, side="left")
 
 
 class Encoder:
     """Ids of whole texts.
 
-    The vocabulary drops white space and never joins text across it, so a text's ids are those of its
-    words one after the other.  The distinct words of a batch are encoded once, many in one call, and
-    their ids are gathered by index; nothing is kept from batch to batch but the vocabulary.
+    The vocabulary lower-cases, drops white space and never joins text across it, or across the edge of
+    letters and signs; so a text's ids are those of its units one after the other.  The distinct units
+    of a batch are encoded once, many in one call, and their ids are gathered by index; nothing is kept
+    from batch to batch but the vocabulary.
     """
 
     @classmethod
@@ -103,33 +127,59 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.encode_fast = tokenizer.encode, tokenizer.encode_batch_fast
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words one after the other, and how many each word has."""
-        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for lo in range(0, len(words), 2048):
-            part = words[lo:lo + 2048]
-            e = self.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.asarray(e.ids, np.uint32))
-            counts.append(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(part)))
-        return np.concatenate(ids), np.concatenate(counts)
+        """All ids of the words one after the other, and how many each word has.
+
+        A word of letters has one id that ends a word, its last, so many such words are encoded as
+        one text; where the number of ends is not that of the words, and for all other words, the
+        encoder says which id is whose.
+        """
+        plain = np.fromiter(map(str.isalpha, words), bool, len(words))
+        counts = np.zeros(len(words), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for kind in (True, False):
+            own = np.flatnonzero(plain == kind)
+            for lo in range(0, len(own), 2048):
+                some = own[lo:lo + 2048]
+                part = [words[i] for i in some]
+                ids = np.asarray(self.encode_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32) if kind else None
+                last = np.flatnonzero(self.ends[ids]) if kind else None
+                if kind and len(last) == len(part) and last[-1] == len(ids) - 1:
+                    counts[some] = np.diff(last, prepend=-1)
+                else:
+                    e = self.encode(part, is_pretokenized=True, add_special_tokens=False)
+                    ids = np.asarray(e.ids, np.uint32)
+                    counts[some] = np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(part))
+                found.append((some, ids))
+        begin = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), np.uint32)
+        for some, ids in found:
+            n = counts[some]
+            out[np.repeat(begin[some] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, counts
 
     def texts(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and per text the place of its first one (one more at the end)."""
         _, offsets, data = texts.buffers()
         edges = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
         raw = np.frombuffer(data, np.uint8)[edges[0]:edges[-1]] if data is not None else np.zeros(0, np.uint8)
-        words, first = words_of(raw, edges - edges[0])
-        if not len(words):
+        units, first = units_of(raw, edges - edges[0])
+        if not len(units):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        coded = words.dictionary_encode()
+        coded = units.dictionary_encode()
         known, counts = self.ids_of(coded.dictionary.cast(pa.large_string()).to_pylist())
         begin = np.cumsum(counts) - counts
-        word = coded.indices.to_numpy()
-        n = counts[word]
+        unit = coded.indices.to_numpy()
+        n = counts[unit]
         upto = np.r_[0, np.cumsum(n)]
-        ids = known[np.repeat(begin[word] - upto[:-1], n) + np.arange(upto[-1])]
+        ids = known[np.repeat(begin[unit] - upto[:-1], n) + np.arange(upto[-1])]
         return ids, upto[first]
 
 
