@@ -80,9 +80,18 @@ def laid_out(df: DataFrame, name: str, by: list[str], buckets: int | None = None
     joins of such tables on them, then need no exchange.  The number of buckets is that of the session's
     shuffle partitions unless given.  The table is known to this session's catalog by a name of its own.
     """
+    n = buckets or bucket_count(df.sparkSession)
+    return in_buckets(df.repartition(n, *by), name, by, n)
+
+
+def bucket_count(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def in_buckets(df: DataFrame, name: str, by: list[str], buckets: int) -> DataFrame:
+    """Write ``df``, whose rows are dealt by ``by`` to so many partitions already, as a bucketed table; a scan of it."""
     spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, name)
     table = "accordant_" + path.rsplit("/", 1)[1].replace("-", "_")
-    df.repartition(n, *by).write.bucketBy(n, *by).sortBy(*by).option("path", path).format("parquet").saveAsTable(table)
+    df.write.bucketBy(buckets, *by).sortBy(*by).option("path", path).format("parquet").saveAsTable(table)
     return spark.table(table)
