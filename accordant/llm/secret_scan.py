@@ -22,6 +22,7 @@ PATTERNS = {
     "owned": "[A-Za-z0-9_-]{20,}",
 }
 KINDS = list(PATTERNS)
+CHUNK = 256  # matches whose positions are gathered together
 MIN_VALUE = 12  # characters of an assigned value
 MIN_DISTINCT = 10  # different characters of a further candidate, which also needs a digit and a letter
 # What a document can hold for a pattern to match; a plain search spares most texts the pattern.
@@ -35,19 +36,25 @@ def _sql(pattern: str) -> str:
 def found(text: str, kind: str) -> Column:
     """``array<struct<s, k, e, v>>``: start, kind number, end (code points) and value, of all matches in order.
 
-    The text is split at the matches; the lengths of pieces and matches add up to the positions.
+    The text is split at the matches; the lengths of pieces and matches add up to the positions.  They
+    are gathered in chunks, as an array is copied whenever it grows: so the work grows with the
+    number of matches, not with its square.
     """
     pattern, number = PATTERNS[kind], KINDS.index(kind)
     rows = "array<struct<s:int,k:int,e:int,v:string>>"
     value = f"regexp_extract(x.m, {_sql(pattern)}, 2)" if kind == "assign" else "x.m"
+    pairs = f"zip_with(split({text}, {_sql(pattern)}, -1), regexp_extract_all({text}, {_sql(pattern)}, 0), (g, m) -> struct(length(g) as g, m))"
+    within = f"""
+      aggregate(chunk, struct(a.at as at, cast(array() as {rows}) as out),
+        (b, x) -> if(x.m is null, b, struct(
+          b.at + x.g + length(x.m) as at,
+          array_append(b.out, struct(b.at + x.g as s, {number} as k, b.at + x.g + length(x.m) as e, {value} as v)) as out)))"""
     spans = f"""
       aggregate(
-        zip_with(split({text}, {_sql(pattern)}, -1), regexp_extract_all({text}, {_sql(pattern)}, 0), (g, m) -> struct(length(g) as g, m)),
-        struct(0 as at, cast(array() as {rows}) as out),
-        (a, x) -> if(x.m is null, a, struct(
-          a.at + x.g + length(x.m) as at,
-          array_append(a.out, struct(a.at + x.g as s, {number} as k, a.at + x.g + length(x.m) as e, {value} as v)) as out)),
-        a -> a.out)"""
+        element_at(transform(array({pairs}), p -> transform(sequence(0, (size(p) - 1) div {CHUNK}), c -> slice(p, int(c * {CHUNK} + 1), {CHUNK}))), 1),
+        struct(0 as at, cast(array() as array<{rows}>) as out),
+        (a, chunk) -> element_at(transform(array({within}), r -> struct(r.at as at, array_append(a.out, r.out) as out)), 1),
+        a -> flatten(a.out))"""
     if kind == "assign":
         spans = f"filter({spans}, x -> length(x.v) >= {MIN_VALUE})"
     if kind == "owned":
@@ -56,6 +63,15 @@ def found(text: str, kind: str) -> Column:
     return F.expr(f"if({text} rlike {_sql(NEEDS[kind])}, {spans}, cast(array() as {rows}))")
 
 
+def _last_begins(kind: str) -> str:
+    """Whether the last span of a kind that begins before the end of ``g`` reaches into it, found by halving."""
+    middle = "(a.lo + a.hi) div 2"
+    count = f"""aggregate(sequence(1, int(log2(size({kind}) + 1)) + 2), struct(0 as lo, size({kind}) as hi),
+        (a, i) -> if(a.lo >= a.hi, a, if(element_at({kind}, int({middle}) + 1).s < g.e,
+          struct(int({middle}) + 1 as lo, a.hi as hi), struct(a.lo as lo, int({middle}) as hi))), a -> a.lo)"""
+    return f"coalesce(try_element_at({kind}, nullif({count}, 0)).e > g.s, false)"
+
+
 def _joined(spans: str) -> Column:
     kinds = ", ".join(f"'{k}'" for k in KINDS)
     return F.expr(
@@ -89,7 +105,9 @@ def scan_secrets(
     for kind in KINDS:
         rows = rows.withColumn(kind, found("t", kind))
     base = F.expr("array_sort(concat(assign, access, hex))")
-    more = F.expr("filter(owned, g -> not exists(base, b -> b.s < g.e and g.s < b.e))")
+    # Spans of one kind are in order and apart, so of each kind only the last one that begins before the end matters.
+    apart = " and ".join(f"not {_last_begins(kind)}" for kind in KINDS[:3])
+    more = F.expr(f"filter(owned, g -> {apart})")
     scanned = written(rows.withColumn("base", base).select("row", "doc_id", "owner", "repository", "base", more.alias("more")), "secrets")
     each = scanned.select("row", "owner", "repository", F.explode(F.concat("base", "more")).alias("x")).select(
         "row", "owner", "repository", "x", F.sha2("x.v", 256).alias("hash")
@@ -104,12 +122,13 @@ def scan_secrets(
     own = each.select("row", "x", "hash").join(live, "hash").groupBy("row").agg(F.collect_set("x").alias("live"))
     none = F.expr("cast(array() as array<struct<s:int,k:int,e:int,v:string>>)")
     out = scanned.join(own, "row", "left").withColumn("live", F.coalesce("live", none))
-    out = out.withColumn("added", F.expr("filter(more, x -> array_contains(live, x))"))
+    # The live rows come from these spans, so they need no look-up in them.
+    out = out.withColumn("added", F.expr("array_sort(filter(live, x -> x.k = 3))"))
     kinds = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
     return out.select(
         "doc_id", *kinds, _joined("base").alias("base_spans"), _joined("concat(base, added)").alias("spans"),
-        F.size("added").cast("long").alias("n_owned"), F.expr("cast(size(filter(base, x -> array_contains(live, x))) as long)").alias("n_live"),
-        F.expr("cast(size(filter(base, x -> not array_contains(live, x))) as long)").alias("n_copied"), "base", "added",
+        F.size("added").cast("long").alias("n_owned"), F.expr("cast(size(filter(live, x -> x.k < 3)) as long)").alias("n_live"),
+        F.expr("cast(size(base) - size(filter(live, x -> x.k < 3)) as long)").alias("n_copied"), "base", "added",
     )
 
 

@@ -52,3 +52,16 @@ def test_ownership_adds_and_classes(spark):
 
 def test_empty_table(spark):
     assert scan_secrets(frame(spark, [])).collect() == []
+
+
+def test_very_many_matches(spark):
+    """Positions are right beyond one chunk of matches, and their number may be large."""
+    import re
+
+    text = " ".join(f"{i:020x}" if i % 3 else f"token: Abc{i:012d}" for i in range(24_000))
+    row = scan_secrets(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).first()
+    want = sorted(
+        [(m.start(), 0, m.end()) for m in re.finditer(r"token: [A-Za-z0-9]+", text)] + [(m.start(), 2, m.end()) for m in re.finditer(r"\b[0-9a-f]{20}\b", text)]
+    )
+    kinds = ["assign", "access", "hex"]
+    assert row.base_spans == ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in want) and row.n_assign == 8000 and row.n_hex == 16_000
