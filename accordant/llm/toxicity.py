@@ -50,8 +50,9 @@ def segments(scored: list[tuple[int, float]], neutral: float) -> list[tuple[int,
     ``scored`` has the positions and scores of tokens that are not neutral, in order; the gaps
     between them cost ``neutral`` a token.
     """
-    # Each entry: left sum (before the segment), right sum (after it), first, last.
-    found: list[tuple[float, float, int, int]] = []
+    # Each entry: left sum (before the segment), right sum (after it), first, last, and the link to the
+    # last entry before it with a smaller left sum; what lies between cannot be the one looked for.
+    found: list[tuple[float, float, int, int, int]] = []
     total, at = 0.0, None
     for position, score in scored:
         if at is not None:
@@ -65,13 +66,13 @@ def segments(scored: list[tuple[int, float]], neutral: float) -> list[tuple[int,
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][0] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][1] >= right:
                 break
             left, first = found[j][0], found[j][2]
             del found[j:]
-        found.append((left, right, first, position))
-    return [(first, last, right - left) for left, right, first, last in found]
+        found.append((left, right, first, position, j))
+    return [(first, last, right - left) for left, right, first, last, _ in found]
 
 
 def _scorer(odds: dict[str, float]) -> Callable[[str], float]:

@@ -24,6 +24,32 @@ def plain_segments(scores):
     return best(0, len(scores))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.just(-1), st.integers(1, 10**6).map(lambda x: 3 + x / 1e5), st.integers(1, 10**6).map(lambda x: -2 - x / 1e5)), max_size=16))
+def test_segments_equal_the_recursive_ones(scores):
+    """Spans, not only sums: scores are such that hardly any two sums tie."""
+    got = segments([(i, s) for i, s in enumerate(scores) if s != -1], -1)
+    want = plain_segments(scores)
+    if len({round(s, 9) for *_, s in want}) == len(want):
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+        assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
+
+
+def test_spread_hits_take_linear_time():
+    """Left sums that rise and rise again are what a plain backward search is quadratic on."""
+    import time
+
+    def spent(n):
+        scored = [(3 * i, 1.0 + (i % 7) / 100) for i in range(n)]
+        start = time.process_time()
+        out = segments(scored, -1.0)
+        return time.process_time() - start, len(out)
+
+    spent(1000)
+    (a, n), (b, m) = spent(32_000), spent(128_000)
+    assert b < 12 * a + 0.2 and (n, m) == (32_000, 128_000)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from([-1, -1, -1, 5, 3, 17]), max_size=14))
 def test_segments_are_all_maximal(scores):
