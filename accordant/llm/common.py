@@ -66,23 +66,47 @@ class Membership:
 
     def mark(self, df: DataFrame, col: str, into: str) -> DataFrame:
         """``df`` with a boolean column ``into``: whether the hash in ``col`` may have been added."""
-        word, bits = column_name(df.columns, "_word"), column_name(df.columns, "_bits")
+        word, bits = column_name([*df.columns, into], "_word"), column_name([*df.columns, into], "_bits")
+        at = column_name([*df.columns, into, word, bits], "_at")
         words = F.broadcast(self.table.select(F.col("_word").alias(word), F.col("_bits").alias(bits)))
-        marked = df.withColumn("_at", self._word(F.col(col))).join(words, F.col("_at") == F.col(word), "left")
-        hit = F.expr(f"(shiftrightunsigned(coalesce({bits}, 0L), cast(`{col}` & 63 as int)) & 1L) = 1L")
-        return marked.withColumn(into, hit).drop(word, bits, "_at")
+        marked = df.withColumn(at, self._word(F.col(col))).join(words, F.col(at) == F.col(word), "left")
+        hit = F.expr(f"(shiftrightunsigned(coalesce(`{bits}`, 0L), cast(`{col}` & 63 as int)) & 1L) = 1L")
+        return marked.withColumn(into, hit).drop(word, bits, at)
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """Rows of ``docs`` whose ``key`` (a 64-bit value, not null) is not in ``dropped``.
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """``wanted`` as column names that are neither taken nor alike."""
+    out: list[str] = []
+    for name in wanted:
+        out.append(column_name([*taken, *out], name))
+    return out
 
-    Rows that miss the bounded filter stay where they are; only those that may be dropped are
-    shuffled and compared exactly, so whole texts do not move for a few dropped rows.
+
+def without_rows(docs: DataFrame, key: str, digest: Column, gone: DataFrame, once: DataFrame) -> DataFrame:
+    """``docs`` without the rows listed in ``gone``, and with one row of each listed in ``once``.
+
+    Both lists have the columns id (long, may be null) and sha (the row's ``digest``).  Rows that miss a
+    bounded filter stay where they are; of the others id and digest are compared, so no row goes by a
+    hash alone, and whole texts do not move for a few dropped rows.
     """
-    gone = written(dropped.select(F.col(key).alias("_gone")).distinct(), "dropped")
-    filt = Membership(gone, "_gone", gone.count())
-    hit = column_name(docs.columns, "_hit")
-    marked = filt.mark(docs, key, hit)
-    stay = marked.filter(~F.col(hit)).drop(hit)
-    doubt = marked.filter(F.col(hit)).drop(hit)
-    return stay.unionByName(doubt.join(gone, F.col(key) == F.col("_gone"), "left_anti"))
+    listed = gone.select("id", "sha", F.lit(True).alias("gone")).union(once.select("id", "sha", F.lit(False).alias("gone")))
+    listed = written(listed.distinct(), "listed")
+    n = listed.count()
+    if not n:
+        return docs
+    some_once = not listed.filter("not gone").isEmpty()
+    mark, hit, i, d, i2, d2, out, row = free_names(docs.columns, "_mark", "_hit", "_id", "_digest", "_id2", "_digest2", "_gone", "_row")
+
+    def hashed(a: str, b: str) -> Column:
+        return F.xxhash64(F.col(a).isNull(), F.col(a), F.col(b))
+
+    rows = docs.withColumns({i: F.col(key).cast("long"), d: digest}).withColumn(mark, hashed(i, d))
+    rows = Membership(listed.withColumn("hash", hashed("id", "sha")), "hash", n).mark(rows, mark, hit)
+    stay = rows.filter(~F.col(hit)).select(*docs.columns)
+    known = listed.select(F.col("id").alias(i2), F.col("sha").alias(d2), F.col("gone").alias(out))
+    doubt = rows.filter(F.col(hit)).join(known, F.col(i).eqNullSafe(F.col(i2)) & (F.col(d) == F.col(d2)), "left")
+    doubt = doubt.filter(~F.coalesce(F.col(out), F.lit(False)))
+    if some_once:
+        own = F.when(F.col(out).isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+        doubt = doubt.withColumn(row, own).dropDuplicates([i, d, row])
+    return stay.unionByName(doubt.select(*docs.columns))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.common import SPACES, Membership, column_name, whole, without, written
+from accordant.llm.common import SPACES, Membership, whole, without_rows, written
 
 # Fingerprints per block of the merged filter, and bits of the quotient inside a block.
 BLOCK_ROWS, SLOT_BITS = 1 << 16, 16
@@ -135,19 +135,15 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns unchanged."""
-    mark = column_name(docs.columns, "_mark")
-    hashed = F.xxhash64(F.col(key).isNull(), F.col(key).cast("long"), "text_sha256")
-    marks = exact_duplicates(docs, key, text).withColumnRenamed("doc_id", key).withColumn(mark, hashed)
-    marks = written(marks.filter("group_size > 1").select(mark, (F.col(key).eqNullSafe(F.col("keep_id"))).alias("own"), "kept"), "marks")
-    sha = F.sha2(F.regexp_replace(whole(text), SPACES, " ").cast("binary"), 256)
-    rows = docs.withColumn(mark, F.xxhash64(F.col(key).isNull(), F.col(key).cast("long"), sha))
-    rows = without(rows, marks.filter("not own"), mark)
-    # Rows that repeat the id of the row that stays: one of them is left.
-    again = written(marks.filter("own and not kept").select(mark).distinct(), "again")
-    n = again.count()
-    if n:
-        hit = column_name(rows.columns, "_again")
-        rows = Membership(again, mark, n).mark(rows, mark, hit)
-        rows = rows.filter(~F.col(hit)).unionByName(rows.filter(hit).dropDuplicates([mark])).drop(hit)
-    return rows.drop(mark)
+    """``docs`` with one row of each group of equal texts, all columns unchanged, whatever their names.
+
+    The rules are those of :func:`exact_duplicates`: a null text is empty, the smallest id stays, a null
+    id comes last, and of rows that repeat id and text one stays (any of them, where other columns
+    differ).  Texts of any length are compared whole; an empty table stays empty.
+    """
+    marks = exact_duplicates(docs, key, text).filter("group_size > 1").select(
+        F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("own"), "kept"
+    )
+    marks = written(marks, "marks")
+    digest = F.sha2(F.regexp_replace(whole(text), SPACES, " ").cast("binary"), 256)
+    return without_rows(docs, key, digest, marks.filter("not own"), marks.filter("own and not kept"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from accordant.llm.common import Membership, written
 from accordant.llm.components import components
 from accordant.llm.hashing import WordHasher, mixed, set_hash
+from accordant.session import bucket_count, in_buckets
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # linked from 4/5 on, as whole numbers
@@ -20,7 +21,6 @@ SLOTS = 1 << 20  # counters of the n-gram frequencies, whatever the size of the
 SLICE = 1 << 16
 FRAGMENTS = 8
 BLOCK_ENTRIES = 400_000  # prefix entries of a task's block
-SMALL = 32  # sets that share an n-gram, up to which all their pairs are looked at at once
 EARLY = 6  # shared n-grams asked of two sets at the beginning of the order
 HOT_ENTRIES = 200_000  # entries of one n-gram beyond which it is dealt to several blocks
 
@@ -54,9 +54,22 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def shingle_classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
-    """One pass: ``(doc_id, n, cls)`` per row (cls: hash of the set, null when empty), and n-gram counters."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
+def _narrow(counts: np.ndarray) -> bytes:
+    """A slice of counters in the fewest bytes each that hold them."""
+    top = int(counts.max(initial=0))
+    return counts.astype(next(k for k in ("<u1", "<u2", "<u4", "<u8") if top <= np.iinfo(k).max)).tobytes()
+
+
+def _widened(raw: bytes) -> np.ndarray:
+    """The counters of one slice; their width follows from the length."""
+    return np.frombuffer(raw, f"<u{len(raw) // SLICE}").astype(np.int64)
+
+
+def shingle_classes(docs: DataFrame, key: str, text: str, carried: str | None = None) -> tuple[DataFrame, np.ndarray]:
+    """One pass: ``(doc_id, n, cls, carried)`` per row (cls: hash of the set, null when empty), and n-gram counters."""
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("carried", pa.string()), ("slice", pa.int32()), ("counts", pa.binary()),
+    ])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = WordHasher(), np.zeros(SLOTS, np.int64)
@@ -71,31 +84,32 @@ def shingle_classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np
                 counts += np.bincount(_slots(np.concatenate(held)), minlength=SLOTS)
                 none = pa.nulls(part.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), part.column(2), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema
                 )
         for i in range(SLOTS // SLICE):
             one = counts[i * SLICE:(i + 1) * SLICE]
             if one.any():
                 yield pa.RecordBatch.from_pylist(
-                    [{"doc_id": None, "n": None, "cls": None, "slice": i, "counts": one.tobytes()}], schema=schema
+                    [{"doc_id": None, "n": None, "cls": None, "carried": None, "slice": i, "counts": _narrow(one)}], schema=schema
                 )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = written(rows.mapInArrow(scan, "doc_id long, n long, cls long, slice int, counts binary"), "shingles")
+    more = F.col(carried).cast("string") if carried else F.lit(None).cast("string")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), more.alias("carried"))
+    out = written(rows.mapInArrow(scan, "doc_id long, n long, cls long, carried string, slice int, counts binary"), "shingles")
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(SLICE, np.int64)
         for c in t.column("counts"):
-            total += np.frombuffer(c.as_py(), np.int64)
-        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+            total += _widened(c.as_py())
+        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([_narrow(total)], pa.binary())})
 
     # Added up in two steps, so that no task reads a counter row of every scan task.
     parts = out.filter("slice is not null").select("slice", "counts", F.pmod(F.spark_partition_id(), F.lit(64)).alias("part"))
     some = parts.groupBy("slice", "part").applyInArrow(add, "slice int, counts binary")
     counts = np.zeros(SLOTS, np.int64)
     for r in some.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():  # SLOTS numbers in all
-        counts[r.slice * SLICE:(r.slice + 1) * SLICE] = np.frombuffer(r.counts, np.int64)
-    return out.filter("slice is null").select("doc_id", "n", "cls"), counts
+        counts[r.slice * SLICE:(r.slice + 1) * SLICE] = _widened(r.counts)
+    return out.filter("slice is null").select("doc_id", "n", "cls", "carried"), counts
 
 
 def prefix_entries(docs: DataFrame, text: str, order: Order) -> DataFrame:
@@ -186,13 +200,45 @@ def close_enough(nx, ny, i, j, least, greatest):
     return (least(nx, ny) * q >= greatest(nx, ny) * p) & (i < nx - need + early) & (j < ny - need + early) & (room >= need)
 
 
+def first_in_common(nx, ny, i, j, least, greatest):
+    """Whether places ``i``, ``j`` can be those of the first common n-gram of two sets that reach the similarity.
+
+    All other common n-grams come later in both, so ``need`` of them must fit there.
+    """
+    p, q = SIMILARITY
+    need, _ = shared_needed(nx, ny, least)
+    return (least(nx, ny) * q >= greatest(nx, ny) * p) & (i <= nx - need) & (j <= ny - need)
+
+
+def may_meet(group: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which entries can be the first common n-gram with any other of their group.
+
+    The smallest set of the group that is large enough asks for the fewest common n-grams, so an entry
+    too late for that one is too late for all.  Groups are numbered and hold all their entries.
+    """
+    p, q = SIMILARITY
+    by = np.lexsort((n, group))
+    wide = int(n.max(initial=0)) + 1
+    keys = group[by] * wide + n[by]
+    at = np.searchsorted(keys, group[by] * wide + (p * n[by] + q - 1) // q)
+    own = np.arange(len(by))
+    at = np.where(at == own, own + 1, at)
+    there = at < len(by)
+    at = np.minimum(at, max(0, len(by) - 1))
+    there &= group[by][at] == group[by]
+    other = n[by][at]
+    need, _ = shared_needed(n[by], other, np.minimum)
+    out = np.zeros(len(by), bool)
+    out[by] = there & (p * other <= q * n[by]) & (place[by] <= n[by] - need)
+    return out
+
+
 def shared_entries(packed: DataFrame) -> DataFrame:
-    """What n-grams that several sets hold say of pairs, as rows ``(kind, a, b, n, p)``.
+    """What n-grams that several sets hold say, as rows ``(kind, a, b, n, p)``, at most two per entry.
 
-    1: a pair of classes (a, b) and how many n-grams of small groups it shares: all pairs of a group of
-    at most ``SMALL`` sets.  2: the same for larger groups, of each set and the one in which the n-gram
-    comes first (of copies with edits, the least edited).  0: the entries (a: n-gram, b: class, n: size,
-    p: place) of larger groups, from which the other pairs come where they matter.
+    2: a pair of classes (a, b) and how many n-grams it shares, of each set and the one in which the
+    n-gram comes first (of copies with edits, the least edited).  0: the entries (a: n-gram, b: class,
+    n: size, p: place) that can be a first common n-gram, from which the other pairs come where they matter.
     """
 
     def block(t: pa.Table) -> pa.Table:
@@ -205,27 +251,15 @@ def shared_entries(packed: DataFrame) -> DataFrame:
         s, c, n, place = s[new], c[new], n[new], place[new]
         cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
         size = np.repeat(np.diff(cuts), np.diff(cuts))
-        large = np.ones(len(s), bool) if hot else size > SMALL
-        out = [np.stack([np.zeros(int(large.sum()), np.int64), _signed(s[large]), c[large], n[large], place[large]], 1)]
-
-        def pairs(kind: int, x: np.ndarray, y: np.ndarray) -> None:
-            near = close_enough(n[x], n[y], place[x], place[y], np.minimum, np.maximum)
-            a, b = c[x[near]], c[y[near]]
-            pair, times = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_counts=True)
-            out.append(np.c_[np.full(len(pair), kind), pair, times, np.zeros(len(pair), np.int64)])
-
-        few = np.flatnonzero(~large & (size > 1))
-        found = [np.zeros((2, 0), np.int64)]
-        for lag in range(1, min(SMALL, len(few))):
-            same = s[few[lag:]] == s[few[:-lag]]
-            if not same.any():
-                break
-            found.append(np.stack([few[:-lag][same], few[lag:][same]]))
-        pairs(1, *np.concatenate(found, 1))
-        many = np.flatnonzero(large)
-        head = np.repeat(cuts[:-1], np.diff(cuts))[many]
-        pairs(2, head[head != many], many[head != many])
-        rows = np.concatenate(out)
+        shared = np.flatnonzero((size > 1) | hot)
+        met = shared if hot else shared[may_meet(np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))[shared], n[shared], place[shared])]
+        entries = np.stack([np.zeros(len(met), np.int64), _signed(s[met]), c[met], n[met], place[met]], 1)
+        head = np.repeat(cuts[:-1], np.diff(cuts))[shared]
+        x, y = head[head != shared], shared[head != shared]
+        near = close_enough(n[x], n[y], place[x], place[y], np.minimum, np.maximum)
+        a, b = c[x[near]], c[y[near]]
+        pair, times = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_counts=True)
+        rows = np.concatenate([entries, np.c_[np.full(len(pair), 2), pair, times, np.zeros(len(pair), np.int64)]])
         return pa.table({"kind": rows[:, 0].astype(np.int32), "a": rows[:, 1], "b": rows[:, 2], "n": rows[:, 3], "p": rows[:, 4]})
 
     return packed.groupBy("block", "hot").applyInArrow(block, "kind int, a long, b long, n long, p long")
@@ -264,8 +298,12 @@ def segments(docs: DataFrame, key: str, text: str, wanted: DataFrame, order: Ord
     rows = docs.select(F.xxhash64(F.col(key).cast("long")).alias("h"), F.col(text).cast("string").alias("text"))
     hit = Membership(ids, "h", wanted.count()).mark(rows, "h", "hit").filter("hit").select("text")
     cuts = hit.mapInArrow(cut, "cls long, fragment int, part array<long>, sizes array<long>")
-    one = cuts.join(wanted.select("cls"), "cls", "left_semi")
-    return written(one.dropDuplicates(["cls", "fragment"]), "segments")  # a text that passed the filter twice
+    # Dealt once by class and fragment, so the joins that follow move only the pairs.
+    n = bucket_count(docs.sparkSession)
+    known = wanted.select("cls", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+    one = cuts.repartition(n, "cls", "fragment").join(known, ["cls", "fragment"], "left_semi")
+    one = one.dropDuplicates(["cls", "fragment"])  # a text that passed the filter twice
+    return in_buckets(one, "segments", ["cls", "fragment"], n)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes: DataFrame, order: Order) -> DataFrame:
@@ -298,7 +336,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes: Da
     return written(total.filter(F.expr(f"{p + q} * (k + coalesce(more, 0L)) >= {p} * both")).select("a", "b"), "links")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", carried: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links).
 
     Two documents link when their sets of five-word shingles (A-Z lower-cased) have a Jaccard
@@ -308,66 +346,51 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     component is the smallest id of the others (null when alone); rows that repeat an id are rows of
     their own.  Other columns are not read; an empty table gives no rows.
 
+    With ``carried``, that column comes along as text, and ``part`` numbers the component.
+
     Candidates share n-grams among the rarest of both sets (prefix filter over a global order by
     counted frequency), at places that leave room for the similarity.  First each class is compared
-    with the partner with which it shares most, and the links make components; then every pair that is
-    still in different components is compared.  Components are so exact without all pairs of a large
-    group.  Comparing means joining the sets fragment by fragment of the global order and summing the
-    overlaps per pair.
+    with the head of an n-gram with which it shares most, and the links make components.  Then pairs of
+    different components meet at the first n-gram that they can have in common, and are compared.
+    Components are so exact without all pairs of a group.  Comparing means joining the sets fragment
+    by fragment of the global order and summing the overlaps per pair.
     """
-    rows, counts = shingle_classes(docs, key, text)
+    rows, counts = shingle_classes(docs, key, text, carried)
     order = Order(counts)
-    p, q = SIMILARITY
     classes = written(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "classes")
     shared = written(shared_entries(prefix_entries(docs, text, order)), "entries")
-    entries = written(shared.filter("kind = 0").select(F.col("a").alias("s"), F.col("b").alias("cls"), "n", "p"), "large")
-    large = written(entries.groupBy("cls").agg(F.count(F.lit(1)).alias("large")), "large-of")
-    end = lambda c: classes.join(large, "cls", "left").select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.coalesce("large", F.lit(0)).alias(f"l{c}"))
-    pairs = shared.filter("kind > 0").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("few"))
-    # What a pair shares in small groups is known; in large ones, no more than either set has there.
-    enough = F.col("few") + F.least("la", "lb") >= shared_needed(F.col("na"), F.col("nb"), F.least)[1]
-    pairs = written(pairs.join(end("a"), "a").join(end("b"), "b").filter(enough).select("a", "b", "n", "few"), "pairs")
+    entries = shared.filter("kind = 0").select(F.col("a").alias("s"), F.col("b").alias("cls"), "n", "p")
+    pairs = written(shared.filter("kind = 2").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
     # The partner with which a class shares most, of smaller or larger id; ties go to the smaller.
-    ways = pairs.select("a", "b", "n", F.explode(F.array(F.struct(F.col("a").alias("of"), F.col("b").alias("with")), F.struct(F.col("b").alias("of"), F.col("a").alias("with")))).alias("w"))
+    ways = pairs.select("n", F.explode(F.array(F.struct(F.col("a").alias("of"), F.col("b").alias("with")), F.struct(F.col("b").alias("of"), F.col("a").alias("with")))).alias("w"))
     best = ways.groupBy("w.of").agg(F.max(F.struct("n", F.negative("w.with").alias("with"))).alias("m"))
     with_ = F.negative(F.col("m.with"))
     first = written(best.select(F.least("of", with_).alias("a"), F.greatest("of", with_).alias("b")).distinct(), "first")
     links = verified(first, docs, key, text, classes, order)
     parts = written(components(links).select(F.col("node").alias("cls"), F.col("component_id").alias("part")), "parts")
-    part_of = lambda df, c, name: df.join(parts.select(F.col("cls").alias(c), F.col("part").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
-    apart = part_of(part_of(pairs.filter("few > 0").select("a", "b"), "a", "pa"), "b", "pb").filter("pa <> pb").select("a", "b")
-    # Of large groups, only n-grams that still hold several components are joined with themselves.
-    entries = written(part_of(entries, "cls", "part"), "entries-parted")
-    split = entries.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("s")
-    across = _across(entries.join(split, "s"))
-    rest = apart.union(across).distinct().join(first, ["a", "b"], "left_anti")
+    parted = entries.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    # Only n-grams that still hold several components are joined with themselves.
+    split = parted.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("s")
+    rest = _across(written(parted, "entries-parted").join(split, "s")).join(first, ["a", "b"], "left_anti")
     links = links.union(verified(written(rest, "rest"), docs, key, text, classes, order))
     parts = written(components(links), "components")
     member = classes.join(parts, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component_id", "cls").alias("part"))
     least = member.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    ids = written(member.join(least, "part").select("cls", "component_id"), "member")
+    ids = written(member.join(least, "part").select("cls", "component_id", "part"), "member")
     out = rows.join(ids, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    more = [F.col("carried").alias(carried), "part"] if carried else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *more)
 
 
 def _across(left: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that share enough early n-grams of large groups.
-
-    Pairs that also share n-grams of small groups are known from there.
-    """
+    """Pairs of classes in different components that may have their first common n-gram here."""
     # Of two different components, one at least is not the n-gram's largest: only its sets start a pair.
     held = left.groupBy("s", "part").agg(F.count(F.lit(1)).alias("k"))
     largest = held.groupBy("s").agg(F.max(F.struct("k", "part"))["part"].alias("largest"))
     rows = written(left.join(largest, "s").withColumn("main", F.col("part") == F.col("largest")).drop("largest"), "headed")
     side = lambda some, names: some.select(*[F.col(x).alias(y) for x, y in zip(("s", "cls", "n", "p", "part", "main"), names)])
     x, y = side(rows.filter("not main"), ("s", "a", "na", "i", "pa", "ma")), side(rows, ("t", "b", "nb", "j", "pb", "mb"))
-    near = close_enough(F.col("na"), F.col("nb"), F.col("i"), F.col("j"), F.least, F.greatest)
+    near = first_in_common(F.col("na"), F.col("nb"), F.col("i"), F.col("j"), F.least, F.greatest)
     once = F.col("mb") | (F.col("a") < F.col("b"))
     met = x.join(y, (F.col("s") == F.col("t")) & (F.col("pa") != F.col("pb")) & once & near)
-    # Which end starts a pair can differ from n-gram to n-gram, so the ends are ordered before they are counted.
-    small = F.col("a") < F.col("b")
-    met = met.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.when(small, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(small, F.col("nb")).otherwise(F.col("na")).alias("nb"),
-    ).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"))
-    return met.filter(F.col("k") >= shared_needed(F.col("na"), F.col("nb"), F.least)[1]).select("a", "b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -56,3 +56,21 @@ def test_empty_and_all_alike(spark):
     assert exact_duplicates(frame(spark, [])).collect() == [] and keep_first(frame(spark, [])).collect() == []
     got = exact_duplicates(frame(spark, [(i, "same") for i in range(50)])).collect()
     assert {(r.keep_id, r.group_size) for r in got} == {(0, 50)} and [r.doc_id for r in got if r.kept] == [0]
+
+
+CLASHES = ["_at", "_gone", "_hit", "_mark", "_id", "_id2", "_digest", "_digest2", "_row", "_word", "_bits", "hash", "gone", "sha", "id", "norm", "fp", "row", "n"]
+
+
+def clashing(spark, rows):
+    """Documents with a column of every name used inside."""
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in CLASHES)
+    return spark.createDataFrame([(i, t, *range(len(CLASHES))) for i, t in rows], schema).repartition(3)
+
+
+def test_clashing_names(spark):
+    rows = [(i, f"t{i % 4}") for i in range(20)] + [(0, "t0"), (None, "u"), (None, "u")]
+    left = keep_first(clashing(spark, rows))
+    got = left.collect()
+    assert left.columns == ["doc_id", "text", *CLASHES]
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in got) == [(False, i, f"t{i}") for i in range(4)] + [(True, 0, "u")]
+    assert all(tuple(r)[2:] == tuple(range(len(CLASHES))) for r in got)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from accordant.llm import jaccard
@@ -52,13 +53,11 @@ def corpus(seed, families=12, largest=40):
     return rows
 
 
-@pytest.mark.parametrize("small,block", [(32, 400_000), (3, 500)])
-def test_against_brute_force(spark, monkeypatch, small, block):
-    monkeypatch.setattr(jaccard, "SMALL", small)
+@pytest.mark.parametrize("seed,hot,block", [(32, 200_000, 400_000), (3, 5, 500)])
+def test_against_brute_force(spark, monkeypatch, seed, hot, block):
     monkeypatch.setattr(jaccard, "BLOCK_ENTRIES", block)
-    if small == 3:
-        monkeypatch.setattr(jaccard, "HOT_ENTRIES", 5)
-    rows = corpus(small)
+    monkeypatch.setattr(jaccard, "HOT_ENTRIES", hot)
+    rows = corpus(seed)
     got = near_duplicates(frame(spark, rows)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == expected(rows)[0]
 
@@ -82,3 +81,41 @@ def test_empty_table(spark):
     assert near_duplicates(frame(spark, [])).collect() == [] and keep_one(frame(spark, [])).collect() == []
     got = near_duplicates(frame(spark, [(1, None), (1, None)])).collect()
     assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == [(1, 0, 1)] * 2
+
+
+def test_keep_one_with_clashing_names(spark):
+    from test_exact_dedup import CLASHES, clashing
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, text), (2, text + " more"), (2, text), (7, "a b c"), (7, "A B C"), (None, "z"), (None, None), (8, ""), (9, ""), (2, text)]
+    left = keep_one(clashing(spark, rows))
+    got = left.collect()
+    assert left.columns == ["doc_id", "text", *CLASHES]
+    assert all(tuple(r)[2:] == tuple(range(len(CLASHES))) for r in got)
+    kept = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got)
+    assert [k[:2] for k in kept] == [(False, 2), (False, 7), (False, 8), (False, 9), (True, 0), (True, 0)]
+    assert kept[0][2] in (text, text + " more") and kept[1][2] in ("a b c", "A B C")
+
+
+def test_same_id_in_different_components(spark):
+    """Two components with the same smallest id are not one."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a), (5, b), (6, a + " x"), (7, b + " y")]
+    assert sorted((r.doc_id, r.text) for r in keep_one(frame(spark, rows)).collect()) == [(5, a), (5, b)]
+
+
+def test_entries_that_may_meet():
+    """An entry is left out only if it can be the first common n-gram with no other of its group."""
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        k = int(rng.integers(1, 40))
+        group, n = np.sort(rng.integers(0, 6, k)), rng.integers(1, 60, k).astype(np.int64)
+        place = (rng.random(k) * (n - (4 * n + 4) // 5 + 1)).astype(np.int64)
+        got = jaccard.may_meet(group, n, place)
+        for x in range(k):
+            pairs = [
+                y for y in range(k) if y != x and group[x] == group[y]
+                and jaccard.first_in_common(n[x:x + 1], n[y:y + 1], place[x:x + 1], place[y:y + 1], np.minimum, np.maximum)[0]
+            ]
+            assert got[x] or not pairs
+    assert not jaccard.may_meet(np.array([0, 0]), np.array([10, 100]), np.array([0, 0])).any()

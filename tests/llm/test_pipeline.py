@@ -75,5 +75,5 @@ def test_queries_with_sql(spark, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
-    assert set(SQL) == {n for n in QUERIES if n.split("_")[0] in ("op3", "op6", "op9", "op10")}
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+    assert set(SQL) == {n for n in QUERIES if n.split("_")[0] in ("op3", "op6", "op9", "op10", "op11", "op12")}
