@@ -32,6 +32,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, name)
 
 
+def discarded(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more.
+
+    Shuffle files of plans that nobody holds go when the driver collects its garbage, so that is asked
+    for as well: the disk that rounds of a long job take is then that of one round.
+    """
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(conf).delete(at, True)
+        jvm.System.gc()
+
+
 def fold(key: Column) -> Column:
     """A remainder of the id's text by CRC-32; a null id counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))

@@ -9,11 +9,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.common import fold, written
+from accordant.llm.common import discarded, fold, written
 from accordant.llm.hashing import WordHasher, mixed
+from accordant.session import bucket_count, in_buckets
 
 FOLDS = 10
 CONTEXTS = 1 << 16  # context restaurants whose totals one task adds up, about; there are as many as distinct preceding words
@@ -355,7 +357,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             "requests": pa.array([packed(chunks=t.column("chunk").to_numpy(), sizes=np.array([len(p["contexts"]) for p in parts]), steps=np.diff(place, prepend=0))], pa.binary()),
         })
 
-    asked = written(rows.mapInArrow(ask, "shard long, chunk long, body binary").groupBy("shard").applyInArrow(gather, "shard long, seats binary, requests binary"), "requests")
+    asked = _by_shard(rows.mapInArrow(ask, "shard long, chunk long, body binary").groupBy("shard").applyInArrow(gather, "shard long, seats binary, requests binary"), "requests")
     scored_pairs, sums = _seated(asked.select("shard", "seats"), shards, homes, hot)
     answer = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("scores", pa.binary()), ("known", pa.binary())])
 
@@ -367,7 +369,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         for number, lo, hi in zip(request["chunks"], at[:-1], at[1:]):
             word = word_of[place[lo:hi]]
             seen = pairs["known"][word[np.r_[True, word[1:] != word[:-1]]]]
-            out.append({"chunk": int(number), "shard": left.column("shard")[0].as_py(), "scores": pairs["logs"][place[lo:hi]].tobytes(), "known": seen.tobytes()})
+            out.append({"chunk": int(number), "shard": left.column("shard")[0].as_py(), "scores": pairs["logs"][place[lo:hi]].tobytes(), "known": packed(known=seen)})
         return pa.Table.from_pylist(out, schema=answer)
 
     replies = asked.select("shard", "requests").groupBy("shard").cogroup(scored_pairs.groupBy("shard")).applyInArrow(
@@ -385,6 +387,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             )
 
     sheets = rows.mapInArrow(keep, "chunk long, docs array<long>, sizes binary, low binary, high binary, runs binary, runs_high binary")
+    sheets = in_buckets(sheets, "sheets", ["chunk"], bucket_count(spark))
     n, floor = sums.tokens, sums.tokens + 0.1 * (sums.words + 1)
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -394,7 +397,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         row = row[0]
         right = right.sort_by("shard")
         logs = np.frombuffer(b"".join(right.column("scores").to_pylist()), np.float32).astype(np.float64)
-        known = np.frombuffer(b"".join(right.column("known").to_pylist()), np.int64)
+        known = np.concatenate([np.zeros(0, np.int64), *(unpacked(x)["known"] for x in right.column("known").to_pylist())])
         runs, index = _wide(row["runs"], row["runs_high"]), _wide(row["low"], row["high"])
         sizes = np.frombuffer(row["sizes"], np.int64)
         if len(known) != len(runs) or len(logs) != runs.sum() or sizes.sum() != len(index):
@@ -416,6 +419,11 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     )
 
 
+def _by_shard(rows: DataFrame, name: str) -> DataFrame:
+    """A table in buckets by shard: what brings a shard's rows together later need not move them."""
+    return in_buckets(rows, name, ["shard"], bucket_count(rows.sparkSession))
+
+
 def frequent_words(rows: DataFrame, n: int, shards: int) -> np.ndarray:
     """Hashes of words that alone would fill a good part of a shard, guessed from a sample.
 
@@ -575,20 +583,22 @@ def _seated(asked: DataFrame, shards: int, homes: int, hot: np.ndarray) -> tuple
     message = "home long, shard long, body binary"
     first = totalled(asked.mapInArrow(tell_fixed(False), message))
     both = asked.mapInArrow(busy, "shard long, state binary").groupBy("shard").cogroup(first.groupBy("shard"))
-    state = written(both.applyInArrow(start, "shard long, state binary, part binary"), "seats")
+    state = _by_shard(both.applyInArrow(start, "shard long, state binary, part binary"), "seats")
     sums = summed(added(state), hot, None, -1)
     for number in range(last):
         told = totalled(state.select("shard", "state").mapInArrow(tell_busy(False), message))
         both = state.select("shard", "state").groupBy("shard").cogroup(told.groupBy("shard"))
-        state = written(both.applyInArrow(sweep(number, sums), "shard long, state binary, part binary"), "seats")
+        before, state = state, _by_shard(both.applyInArrow(sweep(number, sums), "shard long, state binary, part binary"), "seats")
         sums = summed(added(state), hot, sums, number)
+        del told, both
+        discarded(before)
         if number in sampled:
             kept.append(sums)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = {r["home"]: r["body"] for r in left.to_pylist()}
-        seats, x = opened(row[-1])
-        s = unpacked(row[-2])
+        seats, x = opened(left.column("seats")[0].as_py())
+        mine = pc.equal(right.column("home"), -1)
+        s, right = unpacked(right.filter(mine).column("body")[0].as_py()), right.filter(pc.invert(mine))
         customers, base, *busy_tables = heard(right, len(x.ids), "customers", "base", *(f"tables{k}" for k in sampled))
         known, tables, top = np.bincount(x.word_of, x.counts, len(x.words)) > 0, [], []
         for k in sampled:
@@ -601,10 +611,9 @@ def _seated(asked: DataFrame, shards: int, homes: int, hot: np.ndarray) -> tuple
         return pa.table({"shard": left.column("shard")[:1], "scores": pa.array([out], pa.binary())})
 
     told = totalled(asked.mapInArrow(tell_fixed(True), message).unionByName(state.select("shard", "state").mapInArrow(tell_busy(True), message)))
-    own = asked.select("shard", F.lit(-1).alias("home"), F.col("seats").alias("body")).unionByName(
-        state.select("shard", F.lit(-2).alias("home"), F.col("state").alias("body"))
-    )
-    return own.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(finish, "shard long, scores binary"), sums
+    # What a shard holds lies in its bucket; only the last seating and the totals move.
+    moved = told.unionByName(state.select("shard", F.lit(-1).cast("long").alias("home"), F.col("state").alias("body")))
+    return asked.select("shard", "seats").groupBy("shard").cogroup(moved.groupBy("shard")).applyInArrow(finish, "shard long, scores binary"), sums
 
 
 def _predictive(s: Seating, t: Totals) -> tuple[np.ndarray, np.ndarray]:
