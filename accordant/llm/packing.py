@@ -20,7 +20,7 @@ from accordant.llm.common import whole, written
 LENGTH = 4096
 END_ID = 2
 GROUP_PIECES = 16_384  # pieces that are packed together, about
-BATCH_BYTES = 1 << 23  # text encoded at once
+BATCH_BYTES = 1 << 22  # text encoded at once
 WORD_END = "</w>"  # what the vocabulary puts behind the last token of a word
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -205,6 +205,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                         out.append((doc, start, len(part), zlib.crc32(part.tobytes()), len(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
                 lo = hi
+        pa.default_memory_pool().release_unused()  # the worker lives on, its next task may be another's
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), whole(text).alias("text")).mapInArrow(cut, PIECES)
 
