@@ -19,6 +19,7 @@ from accordant.plans.catalog import SQL, query, with_ctes
 from accordant.plans.result_queries import MODELS
 from accordant.session import scratch_path
 from accordant.sources import readers, tables, writers
+from accordant.sources.named_files import write_answer_files
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 P = tables.PRIORITIES
@@ -82,6 +83,18 @@ def answer_files(spark, root):
     )
 
 
+@query("named_answer_files", SQL["answer_files"])
+def named_answer_files(spark, root):
+    """One JSON file per key under the names that readers expect, each read back by several tasks."""
+    path = scratch_path(spark, "named-answers")
+    write_answer_files(tables.answers(spark, root), path)
+    back = readers.read_answers(spark, path, P, in_parts=True, datasets=SEGMENTS)
+    return back.select(
+        "q_id", "q_serie", "action", "task", "dataset", "lang", "llm",
+        F.array_join(F.array_sort("answer"), ",").alias("answer"),
+    )
+
+
 @query("answer_table", with_ctes(
     [LINES, ELEMENTS, ANSWERS],
     """SELECT q_id, llm, array_to_string(answer, ',') AS answer FROM answers

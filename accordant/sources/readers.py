@@ -15,6 +15,7 @@ from accordant.functions import sets
 from accordant.functions.labels import classified_label
 from accordant.functions.numbers import to_number
 from accordant.operators.relations import with_canonical_labels
+from accordant.sources.members import read_members
 from accordant.sources.paths import decoded, file_name, name_parts, path_keys
 from accordant.sources.records import numbered_records, read_lines
 
@@ -30,14 +31,18 @@ MODEL_TYPE = "map<string,struct<ID:int,score:double,release_date:string,company:
 
 
 def read_documents(
-    spark: SparkSession, path: str | list[str], glob: str = "*.json", one_per_line: bool = False
+    spark: SparkSession, path: str | list[str], glob: str = "*.json", one_per_line: bool = False, in_parts: bool = False
 ) -> DataFrame:
     """One row per file below ``path``: ``file_path``, ``value`` (the whole text).
 
     ``one_per_line`` reads files in which every line is a document; such files can be split.
+    ``in_parts`` reads files that hold one object ``{id: value}`` of any size each, a row per member
+    (``file_path``, ``q_id``, ``raw``; see :mod:`accordant.sources.members`); the parsers take those rows too.
     The options make the local file system accept names with a colon; other file systems ignore
     them.
     """
+    if in_parts:
+        return read_members(spark, path, glob)
     return (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
@@ -59,6 +64,8 @@ def parsed(kind: str, value: str = "value") -> Column:
 
 def entries(documents: DataFrame) -> DataFrame:
     """Explode ``{id: value}`` documents: ``file_path``, ``q_id``, ``raw`` (value as JSON text)."""
+    if "raw" in documents.columns:
+        return documents.select("file_path", "q_id", "raw")
     return documents.select("file_path", F.explode(parsed("map<string,string>")).alias("q_id", "raw"))
 
 
@@ -74,11 +81,10 @@ def _keyed(
     Paths are checked before any text is parsed.
     """
     keys = path_keys(F.col("file_path"), vocabularies, required, defaults, ignore_case)
-    return (
-        documents.withColumn("k", keys).filter(F.col("k").isNotNull())
-        .select("file_path", "k", F.explode(parsed("map<string,string>")).alias("q_id", "raw"))
-        .select("file_path", "k.*", "q_id", "raw")
-    )
+    keyed = documents.withColumn("k", keys).filter(F.col("k").isNotNull())
+    if "raw" not in documents.columns:
+        keyed = keyed.select("file_path", "k", F.explode(parsed("map<string,string>")).alias("q_id", "raw"))
+    return keyed.select("file_path", "k.*", "q_id", "raw")
 
 
 # -- answers ---------------------------------------------------------------------------------
@@ -127,10 +133,11 @@ def parse_answers(
 
 
 def read_answers(
-    spark: SparkSession, path: str | list[str], llms: list[str], glob: str = "*.json", one_per_line: bool = False, **vocabulary
+    spark: SparkSession, path: str | list[str], llms: list[str], glob: str = "*.json", one_per_line: bool = False,
+    in_parts: bool = False, **vocabulary
 ) -> DataFrame:
-    """Scan a directory tree of answer files."""
-    return parse_answers(read_documents(spark, path, glob, one_per_line), llms, **vocabulary)
+    """Scan a directory tree of answer files; ``in_parts`` reads each file by many tasks."""
+    return parse_answers(read_documents(spark, path, glob, one_per_line, in_parts), llms, **vocabulary)
 
 
 def read_answer_documents(spark: SparkSession, path: str | list[str], llms: list[str], **vocabulary) -> DataFrame:
@@ -160,9 +167,10 @@ def parse_relations(
 
 
 def read_relations(
-    spark: SparkSession, path: str | list[str], llms: list[str], glob: str = "Relation*.json", one_per_line: bool = False, **vocabulary
+    spark: SparkSession, path: str | list[str], llms: list[str], glob: str = "Relation*.json", one_per_line: bool = False,
+    in_parts: bool = False, **vocabulary
 ) -> DataFrame:
-    return parse_relations(read_documents(spark, path, glob, one_per_line), llms, **vocabulary)
+    return parse_relations(read_documents(spark, path, glob, one_per_line, in_parts), llms, **vocabulary)
 
 
 # The relation column that each task's classification fills.
@@ -195,9 +203,10 @@ def parse_classified_relations(
 
 
 def read_classified_relations(
-    spark: SparkSession, path: str | list[str], llms: list[str], glob: str = "*.json", one_per_line: bool = False, **vocabulary
+    spark: SparkSession, path: str | list[str], llms: list[str], glob: str = "*.json", one_per_line: bool = False,
+    in_parts: bool = False, **vocabulary
 ) -> DataFrame:
-    return parse_classified_relations(read_documents(spark, path, glob, one_per_line), llms, **vocabulary)
+    return parse_classified_relations(read_documents(spark, path, glob, one_per_line, in_parts), llms, **vocabulary)
 
 
 # -- scores ----------------------------------------------------------------------------------
@@ -210,8 +219,8 @@ def parse_scores(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_scores(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return parse_scores(read_documents(spark, path))
+def read_scores(spark: SparkSession, path: str | list[str], in_parts: bool = False) -> DataFrame:
+    return parse_scores(read_documents(spark, path, in_parts=in_parts))
 
 
 def read_score_tables(spark: SparkSession, path: str | list[str], glob: str = "*.tsv") -> DataFrame:

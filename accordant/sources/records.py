@@ -18,10 +18,10 @@ _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
-def read_lines(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
-    """Physical lines with ``file_path``, ``block`` (start of the split) and ``pos`` (their order in a split)."""
+def read_lines(spark: SparkSession, path: str | list[str], glob: str, separator: str = "\n") -> DataFrame:
+    """What a separator parts, with ``file_path``, ``block`` (start of the split) and ``pos`` (the order in a split)."""
     return (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n")
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", separator)
         .option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
         .option("fs.file.impl.disable.cache", "true")
         .text(path)
@@ -68,7 +68,7 @@ def _resolved(last: Column, upto: Column, start: Column) -> Column:
     return F.coalesce(last["state"], start) != (since % 2 == 1)
 
 
-def _prefix(rows: DataFrame, group: list[str], order: list[str], outside: str, inside: str) -> DataFrame:
+def prefix_states(rows: DataFrame, group: list[str], order: list[str], outside: str, inside: str) -> DataFrame:
     """Add ``from_outside`` and ``from_inside``: the state before each row of a group, by the state before the group."""
     by = Window.partitionBy(*group).orderBy(*order)
     upto, function = _state(by, _BEFORE, F.col(outside), F.col(inside))
@@ -94,7 +94,7 @@ def numbered_records(lines: DataFrame, sep: str = "\t") -> DataFrame:
         "blank": F.trim(F.replace("value", F.lit("\r"), F.lit(""))) == "",
     })
     split = ["file_path", "block"]
-    inside = _prefix(marked, split, ["pos"], "open_outside", "open_inside")
+    inside = prefix_states(marked, split, ["pos"], "open_outside", "open_inside")
     upto = Window.partitionBy(*split).orderBy("pos").rowsBetween(*_UP_TO_HERE)
     counted = inside.withColumns({
         f"begun_{s}": F.sum(F.when(~c(f"from_{s}") & ~c("blank"), 1).otherwise(0)).over(upto) for s in ("outside", "inside")
@@ -103,7 +103,7 @@ def numbered_records(lines: DataFrame, sep: str = "\t") -> DataFrame:
         s: F.max_by(F.when(c(f"from_{s}"), c("open_inside")).otherwise(c("open_outside")), "pos").alias(f"end_{s}")
         for s in ("outside", "inside")
     }
-    splits = _prefix(
+    splits = prefix_states(
         counted.groupBy(*split).agg(
             *after.values(), F.max("begun_outside").alias("n_outside"), F.max("begun_inside").alias("n_inside")
         ),
