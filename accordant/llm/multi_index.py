@@ -20,6 +20,7 @@ SAMPLE = 8_192  # distinct vectors the codebooks are fitted on, at most about so
 CELL_ROWS = 64  # vectors a cell of the product grid should hold
 MAX_WORDS = 512  # codewords of one codebook at most, so codebooks and cell counts are bounded
 TARGET_RECALL = 0.995
+LENGTHS = 64  # lengths of vectors that get an index however few vectors they have
 BLOCK_ROWS = 4_000  # indexed vectors of one block; a fuller cell is cut into blocks, its queries into as many parts
 
 
@@ -160,7 +161,8 @@ def near_vectors(
     vectors and those with null or non-finite components link with nothing; so do vectors of
     different lengths.  Equal vectors are one entry of the index that counts with its copies (they
     link with each other).  A null id takes part; its component is the smallest id of the others
-    (null when alone).  Rows that repeat an id are vectors of their own.  An empty table gives no rows.
+    (null when alone).  Rows that repeat an id are vectors of their own.  There may be any number of
+    different lengths.  An empty table gives no rows.
 
     Every distinct vector is indexed in its cell of the product grid of two codebooks, and is a query:
     it visits the nearest cells in multi-sequence order, as many as the target recall needs, and is
@@ -179,10 +181,14 @@ def near_vectors(
     )
     known = rows.filter("id is not null").withColumn("width", F.size("vector"))
     distinct = written(known.groupBy("id", "width", "vector").agg(F.count(F.lit(1)).alias("copies")), "distinct")
-    widths = [r.width for r in distinct.select("width").distinct().orderBy("width").limit(65).collect()]
-    if len(widths) > 64:
-        raise ValueError("vectors of more than 64 different lengths")
+    # A length of many vectors has an index of its own, and so have the most frequent ones; of any other
+    # length all vectors fit a block, and the blocks of all these lengths are compared in one pass.
+    lengths = distinct.groupBy("width").agg(F.count(F.lit(1)).alias("n"))
+    some = lengths.orderBy(F.desc("n"), "width").limit(LENGTHS).union(lengths.filter(F.col("n") > BLOCK_ROWS))
+    widths = sorted({r.width for r in some.collect()})
     found = [_links(distinct.filter(F.col("width") == w), similarity) for w in widths]
+    if len(widths) >= LENGTHS:
+        found.append(_links_of_blocks(distinct.filter(~F.col("width").isin(widths)), similarity))
     if not found:
         none = F.lit(0).cast("long").alias("n_links")
         return rows.select("vec_id", none, F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -200,6 +206,34 @@ def near_vectors(
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def _links_of_blocks(distinct: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """What :func:`_links` gives, for lengths of at most a block of vectors each."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        x = _unit(t.column("vector").combine_chunks())
+        ids, copies = t.column("id").to_numpy(), t.column("copies").to_numpy()
+        linked = x @ x.T >= similarity
+        np.fill_diagonal(linked, False)
+        total = linked @ copies
+        a, b = _forest(len(ids), *np.nonzero(linked))
+        some = np.flatnonzero(total)
+        none = np.r_[np.ones(len(some), bool), np.zeros(len(a), bool)]
+        return pa.table({
+            "id": np.r_[ids[some], ids[a]], "other": pa.array(np.r_[np.zeros(len(some), np.int64), ids[b]], mask=none),
+            "n": np.r_[total[some], np.zeros(len(a), np.int64)].astype(np.int64),
+        })
+
+    compared = written(distinct.groupBy("width").applyInArrow(compare, "id long, other long, n long"), "compared")
+    return _counted(distinct, compared)
+
+
+def _counted(vectors: DataFrame, compared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links per vector, its copies counted, and the links that were kept."""
+    found = compared.filter("other is null").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = vectors.select("id", "copies").join(found, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return counts, compared.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
+
+
 def _links(distinct: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """``(id, n_links)`` with copies counted, and links ``(a, b)`` that join the same vectors as all links."""
     spark = distinct.sparkSession
@@ -278,6 +312,4 @@ def _links(distinct: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
         })
 
     compared = written(dealt.groupBy("cell", "block").applyInArrow(compare, "id long, other long, n long"), "compared")
-    found = compared.filter("other is null").groupBy("id").agg(F.sum("n").alias("n"))
-    counts = placed.select("id", "copies").join(found, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return counts, compared.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    return _counted(placed, compared)

@@ -68,3 +68,18 @@ def test_empty_and_unlinked(spark):
     assert near_vectors(frame(spark, [])).collect() == []
     got = near_vectors(frame(spark, [(1, None), (1, [0.0])])).collect()
     assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in got] == [(1, 0, 1, True)] * 2
+
+
+def test_many_lengths(spark, monkeypatch):
+    """The most frequent lengths have an index; the others are compared in one pass."""
+    from accordant.llm import multi_index
+
+    monkeypatch.setattr(multi_index, "LENGTHS", 2)
+    rng = np.random.default_rng(11)
+    rows = []
+    for n in range(1, 80):
+        centre = rng.normal(size=n)
+        rows += [(len(rows) + k, (centre + rng.normal(size=n) * 0.1 * k).tolist()) for k in range(int(rng.integers(1, 5)))]
+    rows += [(500 + i, [1.0, 2.0, 0.1 * i]) for i in range(12)] + [(600, rows[10][1]), (601, rows[10][1])]
+    got = near_vectors(frame(spark, rows)).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == expected(rows)
