@@ -104,13 +104,14 @@ _ORDER = "(VALUES " + ", ".join(f"({i + 1}, '{m}')" for i, m in enumerate([*P, "
 
 @query("mean_over_actions", with_ctes(
     SUMMARY_CTES,
-    f"""SELECT CAST(pos AS INTEGER) AS pos, o.llm, m.eq_a1_a2, m.jac_a1_a34 FROM {_ORDER} LEFT JOIN (
-          SELECT llm, avg(eq_a1_a2) AS eq_a1_a2, avg(jac_a1_a34) AS jac_a1_a34 FROM summary
+    f"""SELECT CAST(pos AS INTEGER) AS pos, o.llm, {', '.join(f'm.{m}' for m in _PER_MODEL)} FROM {_ORDER} LEFT JOIN (
+          SELECT llm, {', '.join(f'round(avg({m}), 8) AS {m}' for m in _PER_MODEL)} FROM summary
           WHERE dataset = 'overall' AND action IN ('fixing', 'classification') GROUP BY llm) m USING (llm)""",
 ))
 def mean_over_actions(spark, root):
-    s = line_summary(spark, root, ["eq_a1_a2", "jac_a1_a34"])
-    return reshape.mean_over_actions(s, ["eq_a1_a2", "jac_a1_a34"], "overall", ["fixing", "classification"], [*P, "absent"])
+    s = line_summary(spark, root, _PER_MODEL)
+    means = reshape.mean_over_actions(s, _PER_MODEL, "overall", ["fixing", "classification"], [*P, "absent"])
+    return means.select("pos", "llm", *[F.round(m, 8).alias(m) for m in _PER_MODEL])
 
 
 @query("aligned_values", with_ctes(
@@ -240,25 +241,27 @@ def full_grid(spark, root):
     return reshape.fill_grid(one, [*P, "absent"])
 
 
+_CHARTED = [*_PER_MODEL, "eq_a1_ave", "jac_a1_ave", "idk"]
+
+
 @query("chart_series", with_ctes(
     [*SUMMARY_CTES, MODELS],
     """SELECT dataset, action, llm, metric, value, id, coalesce(company, 'Other') AS company, CAST(release_date AS DATE) AS released
-       FROM (SELECT dataset, action, llm, 'eq_a1_a2' AS metric, eq_a1_a2 AS value FROM summary
-             UNION ALL SELECT dataset, action, llm, 'idk', idk FROM summary
-             UNION ALL SELECT dataset, action, llm, 'jac_a3_a4', jac_a3_a4 FROM summary) LEFT JOIN model_rows USING (llm)""",
+       FROM (""" + " UNION ALL ".join(f"SELECT dataset, action, llm, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM summary" for m in _CHARTED)
+    + ") LEFT JOIN model_rows USING (llm)",
 ))
 def chart_series(spark, root):
-    s = line_summary(spark, root)
-    return reshape.chart_series(s, ["eq_a1_a2", "idk", "jac_a3_a4"], tables.models(spark, root))
+    """All metrics of the summary."""
+    return reshape.chart_series(line_summary(spark, root), _CHARTED, tables.models(spark, root))
 
 
 @query("overall_by_action", with_ctes(
     [*SUMMARY_CTES, MODELS],
-    """SELECT id AS "ID", dataset, action, llm, eq_a1_a2, jac_a1_a2 FROM summary JOIN model_rows USING (llm)
+    f"""SELECT id AS "ID", dataset, action, llm, {', '.join(_CHARTED)} FROM summary JOIN model_rows USING (llm)
        WHERE dataset = 'overall' AND action IN ('zero-shot', 'fixing')""",
 ))
 def overall_by_action(spark, root):
-    s = line_summary(spark, root).select("dataset", "action", "llm", "eq_a1_a2", "jac_a1_a2")
+    s = line_summary(spark, root).select("dataset", "action", "llm", *_CHARTED)
     return reshape.split_by_action(s, tables.models(spark, root), ["zero-shot", "fixing"])
 
 
