@@ -12,9 +12,63 @@ from pyspark.sql import functions as F
 
 from accordant.llm.common import SPACES, Membership, whole, without_rows, written
 
-# Fingerprints per block of the merged filter, and bits of the quotient inside a block.
-BLOCK_ROWS, SLOT_BITS = 1 << 16, 16
-FILTER_SCHEMA = "block long, slots binary, remainders binary, counts binary"
+# Fingerprints per block of the merged filter, and the share of a filter's slots that are filled.
+BLOCK_ROWS, LOAD = 1 << 16, 0.95
+FILTER_SCHEMA = "block long, slots int, width long, marks binary, remainders binary, repeated binary, counts binary"
+
+
+def _bits(values: np.ndarray, width: int) -> bytes:
+    """Numbers of ``width`` bits each, packed without gaps."""
+    planes = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
+    return np.packbits(planes.astype(np.uint8)).tobytes()
+
+
+def _numbers(raw: bytes, n: int, width: int) -> np.ndarray:
+    planes = np.unpackbits(np.frombuffer(raw, np.uint8), count=n * width).reshape(n, width)
+    out = np.zeros(n, np.uint64)
+    for i in range(width):
+        out |= planes[:, i].astype(np.uint64) << np.uint64(i)
+    return out
+
+
+def encoded(values: np.ndarray, n: np.ndarray, bits: int) -> dict:
+    """A counting quotient filter of sorted distinct ``values`` below ``2^bits`` with their counts.
+
+    A value's quotient by the slots' width is the slot it wants; only its remainder is stored.  A slot
+    that is taken shifts the value to the next, and three marks per slot (occupied: some value wants
+    it; continuation: the run of a quotient goes on; shifted: the value wants another slot) say
+    which remainder belongs to which quotient.  Counts above one are kept apart.
+    """
+    slots = max(4, int(np.ceil(len(values) / LOAD)))
+    width = -(-(1 << bits) // slots)
+    want = (values // np.uint64(width)).astype(np.int64)
+    at = np.arange(len(values))
+    at = np.maximum.accumulate(want - at) + at
+    slots = max(slots, int(at[-1]) + 1)
+    marks = np.zeros((3, slots), bool)
+    marks[0, want] = True
+    marks[1, at[1:]] = want[1:] == want[:-1]
+    marks[2, at] = at != want
+    remainders = np.zeros(slots, np.uint64)
+    remainders[at] = values % np.uint64(width)
+    several = np.flatnonzero(n > 1)
+    return {
+        "slots": slots, "width": width, "marks": np.packbits(marks).tobytes(), "remainders": _bits(remainders, (width - 1).bit_length()),
+        "repeated": several.astype("<u4").tobytes(), "counts": n[several].astype("<u8").tobytes(),
+    }
+
+
+def decoded(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a filter in order, and their counts; nothing is lost."""
+    slots, width = row["slots"], row["width"]
+    occupied, goes_on, shifted = np.unpackbits(np.frombuffer(row["marks"], np.uint8), count=3 * slots).reshape(3, slots).astype(bool)
+    filled = np.flatnonzero(occupied | goes_on | shifted)
+    # Runs lie in the order of their quotients, so the k-th run belongs to the k-th occupied slot.
+    quotient = np.flatnonzero(occupied)[np.cumsum(~goes_on[filled]) - 1].astype(np.uint64)
+    remainders = _numbers(row["remainders"], slots, (width - 1).bit_length())[filled]
+    n = np.ones(len(filled), np.uint64)
+    n[np.frombuffer(row["repeated"], "<u4")] = np.frombuffer(row["counts"], "<u8")
+    return quotient * np.uint64(width) + remainders, n
 
 
 def _packed(fp: np.ndarray, n: np.ndarray, block_bits: int) -> Iterator[dict]:
@@ -22,14 +76,9 @@ def _packed(fp: np.ndarray, n: np.ndarray, block_bits: int) -> Iterator[dict]:
     rest = 64 - block_bits
     block = fp >> np.uint64(rest) if block_bits else np.zeros(len(fp), np.uint64)
     inside = fp & np.uint64((1 << rest) - 1)
-    slot = (inside >> np.uint64(rest - SLOT_BITS)).astype(np.uint16)
-    remainder = inside & np.uint64((1 << (rest - SLOT_BITS)) - 1)
     starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(fp) else []
     for lo, hi in zip(starts, np.r_[starts[1:], len(fp)] if len(fp) else []):
-        yield {
-            "block": int(block[lo]), "slots": slot[lo:hi].tobytes(),
-            "remainders": remainder[lo:hi].tobytes(), "counts": n[lo:hi].astype(np.uint64).tobytes(),
-        }
+        yield {"block": int(block[lo]), **encoded(inside[lo:hi], n[lo:hi], rest)}
 
 
 def _summed(fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,12 +90,10 @@ def _summed(fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def quotient_filters(prints: DataFrame, col: str, block_bits: int) -> DataFrame:
-    """One counting quotient filter per partition, as rows of blocks.
-
-    A fingerprint's high bits choose block and slot (the quotient); only its remainder is stored,
-    sorted within the slot, with a count.
-    """
-    arrow = pa.schema([("block", pa.int64()), ("slots", pa.binary()), ("remainders", pa.binary()), ("counts", pa.binary())])
+    """One counting quotient filter per partition, as rows of blocks by the fingerprints' high bits (see :func:`encoded`)."""
+    arrow = pa.schema([
+        ("block", pa.int64()), ("slots", pa.int32()), ("width", pa.int64()), *[(c, pa.binary()) for c in ("marks", "remainders", "repeated", "counts")],
+    ])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp, n = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -80,9 +127,8 @@ def repeated_prints(filters: DataFrame, block_bits: int) -> DataFrame:
 
     def merge(t: pa.Table) -> pa.Table:
         block = np.uint64(t.column("block")[0].as_py())
-        read = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        inside = (read("slots", np.uint16).astype(np.uint64) << np.uint64(rest - SLOT_BITS)) | read("remainders", np.uint64)
-        fp, n = _summed(inside, read("counts", np.uint64))
+        parts = [decoded(r) for r in t.to_pylist()]
+        fp, n = _summed(np.concatenate([v for v, _ in parts]), np.concatenate([k for _, k in parts]))
         many = n > 1
         fp = fp[many] | (block << np.uint64(rest) if block_bits else np.uint64(0))
         return pa.table({"fp": fp.view(np.int64), "n": n[many].astype(np.int64)})

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from accordant.llm.exact_dedup import exact_duplicates, keep_first, quotient_filters, repeated_prints
+from accordant.llm.exact_dedup import decoded, encoded, exact_duplicates, keep_first, quotient_filters, repeated_prints
 
 SCHEMA = "doc_id long, text string, fp long, kept string, text_sha256 string"
 
@@ -74,3 +74,19 @@ def test_clashing_names(spark):
     assert left.columns == ["doc_id", "text", *CLASHES]
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in got) == [(False, i, f"t{i}") for i in range(4)] + [(True, 0, "u")]
     assert all(tuple(r)[2:] == tuple(range(len(CLASHES))) for r in got)
+
+
+def test_a_filter_gives_back_all_values_and_is_smaller_than_they_are():
+    rng = np.random.default_rng(3)
+    for bits, size in ((64, 1), (64, 3), (64, 50_000), (40, 20_000), (6, 40), (3, 8)):
+        values = np.unique(rng.integers(0, 2**bits - 1, size, dtype=np.uint64, endpoint=True))
+        values = np.unique(np.r_[values, values[:1] + np.uint64(1) if values[0] < 2**bits - 1 else values[:1]])
+        n = np.where(rng.random(len(values)) < 0.1, 7, 1).astype(np.uint64)
+        row = encoded(values, n, bits)
+        got, counts = decoded(row)
+        assert (got == values).all() and (counts == n).all()
+    values = np.sort(rng.integers(0, 2**63, 60_000).astype(np.uint64) * np.uint64(2))
+    row = encoded(np.unique(values), np.ones(len(np.unique(values)), np.uint64), 64)
+    assert len(row["marks"]) + len(row["remainders"]) < 0.9 * values.nbytes
+    run = np.arange(5000, dtype=np.uint64)  # all want one slot and shift each other
+    assert (decoded(encoded(run, np.ones(5000, np.uint64), 64))[0] == run).all()
