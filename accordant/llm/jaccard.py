@@ -23,6 +23,7 @@ FRAGMENTS = 8
 BLOCK_ENTRIES = 400_000  # prefix entries of a task's block
 EARLY = 6  # shared n-grams asked of two sets at the beginning of the order
 HOT_ENTRIES = 200_000  # entries of one n-gram beyond which it is dealt to several blocks
+HOT_PAIRS, SALTS = 256, 32  # pairs of one class beyond which its set goes to several tasks, and to how many
 
 
 @dataclass(frozen=True)
@@ -324,8 +325,20 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes: Da
     }).withColumn("fragment", (F.array_position("least", F.array_max("least")) - 1).cast("int"))
     sized = sized.filter(F.expr(f"{p + q} * aggregate(least, 0L, (x, y) -> x + y) >= {p} * both")).drop("sa", "sb")
 
+    often = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    often = written(often.filter(F.col("n") > HOT_PAIRS).select("cls"), "often")
+
+    def with_part(some: DataFrame, c: str, name: str) -> DataFrame:
+        """Pairs with a set's fragment; the set of a class in very many pairs is copied, and its pairs are dealt over the copies."""
+        marked = some.join(often.select(F.col("cls").alias(c), F.lit(True).alias("often")), c, "left")
+        usual = marked.filter("often is null").drop("often").join(parts(c, name), [c, "fragment"])
+        copies = sets.join(often, "cls", "left_semi").select(F.col("cls").alias(c), "fragment", F.col("part").alias(name))
+        copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = marked.filter("often").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int"))
+        return usual.unionByName(salted.join(copies, [c, "fragment", "salt"]).drop("often", "salt"))
+
     def counted(some: DataFrame) -> DataFrame:
-        two = some.join(parts("a", "pa"), ["a", "fragment"]).join(parts("b", "pb"), ["b", "fragment"])
+        two = with_part(with_part(some, "a", "pa"), "b", "pb")
         return two.withColumn("k", F.size(F.array_intersect("pa", "pb")).cast("long")).drop("pa", "pb")
 
     room = F.expr(f"{p + q} * (k + aggregate(least, 0L, (x, y) -> x + y) - least[fragment]) >= {p} * both")

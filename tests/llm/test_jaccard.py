@@ -53,9 +53,10 @@ def corpus(seed, families=12, largest=40):
     return rows
 
 
-@pytest.mark.parametrize("seed,hot,block", [(32, 200_000, 400_000), (3, 5, 500)])
-def test_against_brute_force(spark, monkeypatch, seed, hot, block):
+@pytest.mark.parametrize("seed,hot,block,pairs", [(32, 200_000, 400_000, 256), (3, 5, 500, 2)])
+def test_against_brute_force(spark, monkeypatch, seed, hot, block, pairs):
     monkeypatch.setattr(jaccard, "BLOCK_ENTRIES", block)
+    monkeypatch.setattr(jaccard, "HOT_PAIRS", pairs)
     monkeypatch.setattr(jaccard, "HOT_ENTRIES", hot)
     rows = corpus(seed)
     got = near_duplicates(frame(spark, rows)).collect()
