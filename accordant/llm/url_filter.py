@@ -60,10 +60,10 @@ def lexical(df: DataFrame) -> DataFrame:
     )
 
 
-def _odds(train: DataFrame, by: str, name: str) -> DataFrame:
+def _odds(train: DataFrame, by: list[str], name: str) -> DataFrame:
     """Smoothed log-odds of blocking per value; the training rows bound its size."""
-    g = train.groupBy(F.col(by).alias(f"{by}_")).agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n"))
-    return g.select(f"{by}_", F.log((F.col("b") + 1) / (F.col("n") - F.col("b") + 1)).alias(name))
+    g = train.groupBy(*[F.col(c).alias(f"{c}_") for c in by]).agg(F.sum("label").alias("b"), F.count(F.lit(1)).alias("n"))
+    return g.select(*[f"{c}_" for c in by], F.log((F.col("b") + 1) / (F.col("n") - F.col("b") + 1)).alias(name))
 
 
 def judge_urls(
@@ -73,10 +73,11 @@ def judge_urls(
     """One row per row of ``pages``: page_id, host, path, rule, verdict ("allow" or "block").
 
     URLs that a rule fits take its verdict and are the labelled rows; boosted trees trained on them
-    judge the rest.  A null URL, or one without ``://``, has empty host and path, fits no rule and is
+    judge the rest.  What a suffix or a domain says of blocking is a feature; in training it is counted on
+    the other half of the labelled URLs, in judging on all of them.  A null URL, or one without ``://``, has empty host and path, fits no rule and is
     judged by the trees.  Without labelled rows every other URL is allowed; with labels of one kind
     only, it takes that kind.  Rows that repeat an id are judged apart; other columns are not read;
-    an empty table gives no rows.
+    URLs of any length are read whole; an empty table gives no rows.
     """
     rules = RULES if rules is None else rules
     parts = url_parts(F.col(url))
@@ -91,18 +92,23 @@ def judge_urls(
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(only)).alias("verdict"))
     share = min(1.0, TRAIN_ROWS / sum(kinds.values()))
     chosen = labelled if share == 1.0 else labelled.filter(F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    train = written(lexical(chosen), "urls")
-    stats = [("suffix", "suffix_odds", written(_odds(train, "suffix", "suffix_odds"), "suffixes")),
-             ("domain", "domain_odds", written(_odds(train, "domain", "domain_odds"), "domains"))]
-
-    def vectors(df: DataFrame) -> DataFrame:
-        for by, name, table in stats:
-            df = df.join(F.broadcast(table), F.col(by) == F.col(f"{by}_"), "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    half = F.pmod(F.xxhash64("url", F.lit(seed + 1)), F.lit(2))
+    train = written(lexical(chosen).withColumn("half", half), "urls")
+    stats = [(by, f"{by}_odds", written(_odds(train, [by], f"{by}_odds"), by)) for by in ("suffix", "domain")]
+    # The trees learn from odds of the other half of the URLs, so none of them sees its own label in a feature.
+    apart = [(by, f"{by}_odds", written(_odds(train, [by, "half"], f"{by}_odds"), by)) for by in ("suffix", "domain")]
+
+    def vectors(df: DataFrame, tables: list[tuple[str, str, DataFrame]], other_half: bool = False) -> DataFrame:
+        for by, name, table in tables:
+            on = F.col(by) == F.col(f"{by}_")
+            if other_half:
+                on &= F.col("half") == 1 - F.col("half_")
+            df = df.join(F.broadcast(table), on, "left").withColumn(name, F.coalesce(name, F.lit(0.0))).drop(f"{by}_", "half_")
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
 
     trees = GBTClassifier(maxIter=rounds, maxDepth=depth, maxBins=32, seed=seed, featuresCol="features", labelCol="label")
-    model = trees.fit(vectors(train).select("features", "label"))
+    model = trees.fit(vectors(train, apart, other_half=True).select("features", "label"))
     known = rows.filter("ruled is not null").select("page_id", "host", "path", "rule", F.col("ruled").alias("verdict"))
-    judged = model.transform(vectors(lexical(rows.filter("ruled is null"))))
+    judged = model.transform(vectors(lexical(rows.filter("ruled is null")), stats))
     verdict = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
     return known.unionByName(judged.select("page_id", "host", "path", "rule", verdict.alias("verdict")))

@@ -49,3 +49,13 @@ def test_without_labels(spark):
     assert {r.verdict for r in judge_urls(frame(spark, [(1, "http://a.b/"), (2, None)])).collect()} == {"allow"}
     got = judge_urls(frame(spark, [(1, "http://a.net/"), (2, "http://b/")])).collect()
     assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "block"}
+
+
+def test_odds_do_not_tell_a_label(spark):
+    """Labelled domains that occur once are unknown in training, as others are in judging; so only the path helps."""
+    hosts = [f"h{i}.com" for i in range(24)]
+    rules = {f"{h}/": "block" if i % 2 else "allow" for i, h in enumerate(hosts)}
+    rows = [(i, f"http://{h}/{('9' * 12 if i % 2 else 'abcd' * 3)}{i}") for i, h in enumerate(hosts)]
+    rows += [(300 + i, f"http://other{i}.com/{'9' * 12}{i}") for i in range(5)] + [(400 + i, f"http://other{i}.com/{'abcd' * 3}{i}") for i in range(5)]
+    got = {r.page_id: r.verdict for r in judge_urls(frame(spark, rows), rules=rules, rounds=3).collect()}
+    assert all(got[300 + i] == "block" and got[400 + i] == "allow" for i in range(5))
