@@ -333,7 +333,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             got = []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 a, b = pairs[lo], pairs[hi]
-                got.append({"shard": int(c.shard[lo]), "chunk": number, "body": packed(words=c.words[lo:hi], runs=c.runs[lo:hi], contexts=c.contexts[a:b], counts=c.counts[a:b])})
+                got.append({"shard": int(c.shard[lo]), "chunk": number, "body": _asked(c.words[lo:hi], c.runs[lo:hi], c.contexts[a:b], c.counts[a:b])})
                 if len(got) == 64:
                     yield pa.RecordBatch.from_pylist(got, schema=request)
                     got = []
@@ -342,7 +342,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def gather(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
-        parts = [unpacked(x) for x in t.column("body").to_pylist()]
+        parts = [_heard(x) for x in t.column("body").to_pylist()]
         whole = {k: np.concatenate([p[k] for p in parts]) for k in ("words", "runs", "contexts", "counts")}
         pw, pc, place = distinct_pairs(np.repeat(whole["words"], whole["runs"]), whole["contexts"])
         counts = np.bincount(place, whole["counts"], len(pw)).astype(np.int64)
@@ -419,6 +419,17 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     )
 
 
+def _asked(words: np.ndarray, runs: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> bytes:
+    """A request: every context is written once, in order, and the pairs name it by its place."""
+    ids, at = np.unique(contexts, return_inverse=True)
+    return packed(words=words, runs=runs, ids=ids, at=at.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), counts=counts)
+
+
+def _heard(body: bytes) -> dict[str, np.ndarray]:
+    p = unpacked(body)
+    return {"words": p["words"], "runs": p["runs"], "contexts": p["ids"][p["at"]], "counts": p["counts"]}
+
+
 def _by_shard(rows: DataFrame, name: str) -> DataFrame:
     """A table in buckets by shard: what brings a shard's rows together later need not move them."""
     return in_buckets(rows, name, ["shard"], bucket_count(rows.sparkSession))
