@@ -17,9 +17,10 @@ from accordant.plans.answer_queries import (
 from accordant.plans import label_queries  # noqa: F401  (its SQL is used below)
 from accordant.plans.catalog import SQL, query, with_ctes
 from accordant.plans.result_queries import MODELS
-from accordant.session import scratch_path
+from accordant.session import laid_out, scratch_path
 from accordant.sources import readers, tables, writers
 from accordant.sources.named_files import write_answer_files
+from accordant.streaming import summary_store
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 P = tables.PRIORITIES
@@ -240,6 +241,16 @@ def summary_files(spark, root):
     return to_ascii(readers.read_result_table(spark, path, out.schema))
 
 
+@query("summary_of_batches", with_ctes(SUMMARY_CTES, f"SELECT {', '.join(_SUMMARY_OUT)} FROM summary"))
+def summary_of_batches(spark, root):
+    """The summary from a store of three batches, one of which comes twice."""
+    analysis = laid_out(line_analysis(spark, root), "analysis", ["dataset", "q_id"])
+    store = scratch_path(spark, "summary-store")
+    for batch in (0, 1, 2, 1):
+        summary_store.add_batch(analysis.filter(F.pmod(F.col("q_id").cast("long"), F.lit(3)) == batch), store, batch)
+    return summary_store.read_summary(spark, store).select(*_SUMMARY_OUT)
+
+
 @query("appended_files", """
 SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 1""")
 def appended_files(spark, root):
