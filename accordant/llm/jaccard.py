@@ -328,14 +328,21 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes: Da
     often = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
     often = written(often.filter(F.col("n") > HOT_PAIRS).select("cls"), "often")
 
+    copies = written(
+        sets.join(often, "cls", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("cls", "fragment", "part", "salt"),
+        "copies",
+    )
+    for c in ("a", "b"):
+        sized = sized.join(often.select(F.col("cls").alias(c), F.lit(True).alias(f"often_{c}")), c, "left")
+    flags = {f"often_{c}": F.coalesce(f"often_{c}", F.lit(False)) for c in ("a", "b")}
+    sized = written(sized.withColumns(flags), "sized")
+
     def with_part(some: DataFrame, c: str, name: str) -> DataFrame:
         """Pairs with a set's fragment; the set of a class in very many pairs is copied, and its pairs are dealt over the copies."""
-        marked = some.join(often.select(F.col("cls").alias(c), F.lit(True).alias("often")), c, "left")
-        usual = marked.filter("often is null").drop("often").join(parts(c, name), [c, "fragment"])
-        copies = sets.join(often, "cls", "left_semi").select(F.col("cls").alias(c), "fragment", F.col("part").alias(name))
-        copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = marked.filter("often").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int"))
-        return usual.unionByName(salted.join(copies, [c, "fragment", "salt"]).drop("often", "salt"))
+        usual = some.filter(f"not often_{c}").join(parts(c, name), [c, "fragment"])
+        salted = some.filter(f"often_{c}").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int"))
+        own = copies.select(F.col("cls").alias(c), "fragment", F.col("part").alias(name), "salt")
+        return usual.unionByName(salted.join(own, [c, "fragment", "salt"]).drop("salt"))
 
     def counted(some: DataFrame) -> DataFrame:
         two = with_part(with_part(some, "a", "pa"), "b", "pb")
@@ -343,8 +350,8 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes: Da
 
     room = F.expr(f"{p + q} * (k + aggregate(least, 0L, (x, y) -> x + y) - least[fragment]) >= {p} * both")
     lead = written(counted(sized).filter(room), "lead")
-    others = lead.select("a", "b", F.posexplode("least").alias("at", "n"), F.col("fragment").alias("counted_at")).filter("n > 0 and at <> counted_at")
-    others = counted(others.select("a", "b", F.col("at").alias("fragment"))).groupBy("a", "b").agg(F.sum("k").alias("more"))
+    others = lead.select("a", "b", "often_a", "often_b", F.posexplode("least").alias("at", "n"), F.col("fragment").alias("counted_at")).filter("n > 0 and at <> counted_at")
+    others = counted(others.select("a", "b", "often_a", "often_b", F.col("at").alias("fragment"))).groupBy("a", "b").agg(F.sum("k").alias("more"))
     total = lead.join(others, ["a", "b"], "left")
     return written(total.filter(F.expr(f"{p + q} * (k + coalesce(more, 0L)) >= {p} * both")).select("a", "b"), "links")
 

@@ -624,7 +624,10 @@ def _seated(asked: DataFrame, shards: int, homes: int, hot: np.ndarray) -> tuple
     told = totalled(asked.mapInArrow(tell_fixed(True), message).unionByName(state.select("shard", "state").mapInArrow(tell_busy(True), message)))
     # What a shard holds lies in its bucket; only the last seating and the totals move.
     moved = told.unionByName(state.select("shard", F.lit(-1).cast("long").alias("home"), F.col("state").alias("body")))
-    return asked.select("shard", "seats").groupBy("shard").cogroup(moved.groupBy("shard")).applyInArrow(finish, "shard long, scores binary"), sums
+    done = _by_shard(asked.select("shard", "seats").groupBy("shard").cogroup(moved.groupBy("shard")).applyInArrow(finish, "shard long, scores binary"), "scored")
+    del told, moved
+    discarded(state)
+    return done, sums
 
 
 def _predictive(s: Seating, t: Totals) -> tuple[np.ndarray, np.ndarray]:
