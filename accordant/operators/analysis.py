@@ -27,6 +27,7 @@ from accordant.operators.answers import (
     roles,
     slot_condition,
 )
+from accordant.session import materialise
 
 
 def analyse(
@@ -98,8 +99,9 @@ def first_rows(elements: DataFrame) -> DataFrame:
     """Element rows of the answer that counts: the one with the lowest file path per answer key.
 
     Star answers of a group are one key, whatever their series: the lowest (series, path) counts.
-    The paths of a key are reduced to distinct ones before they are compared, so only keys are
-    shuffled for it, and the join's large keys are split by adaptive execution.
+    The paths of a key are counted first, which a hash aggregation does before the shuffle, and the
+    lowest ones are written.  So Spark knows their size when it plans the join: few are broadcast, and the
+    element rows stay where they are; many are joined by sorting, with large keys split.
     """
     star = F.col("action") == "star"
     key = {"__serie": F.when(~star, F.col("q_serie")), "__task": F.when(~star, F.col("task"))}
@@ -108,7 +110,9 @@ def first_rows(elements: DataFrame) -> DataFrame:
         "__rank": F.concat_ws("\u0001", F.coalesce("q_serie", F.lit("")), F.coalesce("file_path", F.lit(""))),
     })
     keys = ["q_id", "action", "dataset", "llm", "__serie", "__task"]
-    least = rows.select(*keys, "__rank").distinct().groupBy(*keys).agg(F.min("__rank").alias("__rank"))
+    # The count is asked for because the optimizer drops a mere distinct below a minimum.
+    paths = rows.groupBy(*keys, "__rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+    least = materialise(paths.groupBy(*keys).agg(F.min("__rank").alias("__rank")), "first-paths")
     return rows.join(least, [*keys, "__rank"], "left_semi").drop("__serie", "__task", "__rank")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from accordant import names
 from accordant.functions import sets
@@ -27,33 +28,48 @@ REPEAT_ACTIONS = ["classification", "fixing"]
 
 
 def first_by_path(df: DataFrame, keys: list[str], order: str = "file_path") -> DataFrame:
-    """Keep one row per key, the one with the lowest ``order`` value."""
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("row"))
-    return picked.select(*keys, "row.*")
+    """Keep one row per key, the one with the lowest ``order`` value.
 
+    Rows are dealt by key and then sorted once, so no task sorts them before the shuffle too.  Where
+    all orders of a key are null, the other columns are null.
+    """
+    return _lowest(df.repartition(*keys), keys, order)
 
-def question_texts(questions: DataFrame) -> DataFrame:
-    """Wide question table to (dataset, q_index, q_serie, question), first row per key."""
-    series = [c for c in names.SERIES if c in questions.columns]
-    order = [c for c in ("lang", "file_path") if c in questions.columns]
-    rank = F.struct(*order) if order else F.lit(0)
-    long = questions.withColumn("rank", rank).unpivot(["dataset", "q_index", "rank"], series, "q_serie", "question")
-    return long.groupBy("dataset", "q_index", "q_serie").agg(F.min_by("question", "rank").alias("question"))
+
+def _lowest(dealt: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """:func:`first_by_path` of rows that lie together by some of ``keys``; they stay there, in the order of ``keys``."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last()))
+    first = dealt.withColumn("__rank", rank).filter("__rank = 1")
+    rest = [c for c in dealt.columns if c not in keys]
+    return first.select(*keys, *[F.when(F.col(order).isNotNull(), F.col(c)).alias(c) for c in rest])
+
+
+def one_answer(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, answer``: of repeated keys the row with the lowest file path, or the smallest answer where there is none."""
+    order = [c for c in ("file_path", "answer") if c in answers.columns]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    dealt = answers.select(*dict.fromkeys([*keys, *order])).repartition(*keys)
+    return dealt.withColumn("__rank", rank).filter("__rank = 1").select(*keys, "answer")
 
 
 def enrich_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     """Attach question texts to answer rows; repeated answers keep the lowest file path.
 
-    Neither side is hinted: Spark broadcasts the question table while its measured size is below
-    the session's threshold, and beyond it joins by sorting, with skewed keys split.
+    Answers are dealt and sorted once, by dataset and id first, which serves both the repeats and
+    the join; the question table has one row per id, with a text per series.  Neither side is
+    hinted: Spark broadcasts the question table while its measured size is below the session's threshold.
     """
-    first = first_by_path(answers, ANSWER_KEYS)
-    texts = question_texts(questions).withColumnRenamed("q_index", "join_id")
+    dealt = answers.withColumn("join_id", F.col("q_id").cast("long")).repartition("dataset", "join_id")
+    first = _lowest(dealt, ["dataset", "join_id", *[k for k in ANSWER_KEYS if k != "dataset"]], "file_path")
+    texts = question_columns(questions).withColumnRenamed("q_index", "join_id")
+    series = [c for c in names.SERIES if c in questions.columns]
+    question = F.lit(None).cast("string")
+    for c in series:
+        question = F.when(F.col("q_serie") == c, F.col(c.lower())).otherwise(question)
+    rest = [c for c in answers.columns if c not in ANSWER_KEYS]
     return (
-        first.withColumn("join_id", F.col("q_id").cast("long"))
-        .join(texts, ["dataset", "join_id", "q_serie"], "left")
-        .drop("join_id")
+        first.join(texts, ["dataset", "join_id"], "left")
+        .select("dataset", "q_serie", *[k for k in ANSWER_KEYS if k not in ("dataset", "q_serie")], *rest, question.alias("question"))
         .withColumn("answer", sets.or_empty(F.col("answer")))
     )
 
@@ -166,7 +182,7 @@ def question_columns(questions: DataFrame) -> DataFrame:
     order = [c for c in ("lang", "file_path") if c in questions.columns]
     rank = F.struct(*order) if order else F.lit(0)
     return questions.groupBy("dataset", "q_index").agg(
-        *[F.min_by(c, rank).alias(c.lower()) for c in names.SERIES]
+        *[F.min_by(c, rank).alias(c.lower()) for c in names.SERIES if c in questions.columns]
     )
 
 

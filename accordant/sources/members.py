@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from accordant.session import materialise
 from accordant.sources.records import prefix_states, read_lines
 
 _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
@@ -45,13 +46,15 @@ def members(pieces: DataFrame) -> DataFrame:
     marked = pieces.withColumns({
         "open_outside": F.lit(True), "open_inside": escaped, "signs": F.regexp_replace("value", _SIGNS, ""),
     }).withColumn("change", _depth_change(c("signs")))
+    # Written, as is what follows from it, so each piece is looked at once and not per use.
+    marked = materialise(marked, "pieces")
     states = prefix_states(marked, split, ["pos"], "open_outside", "open_inside")
     here = Window.partitionBy(*split).orderBy("pos")
     counted = states.withColumns({
         f"depth_{s}": F.coalesce(F.sum(F.when(~c(f"from_{s}"), c("change")).otherwise(0)).over(here.rowsBetween(*_BEFORE)), F.lit(0))
         for s in ("outside", "inside")
     })
-    whole = Window.partitionBy(*split)
+    counted = materialise(counted, "counted-pieces")
     ends = {s: F.max_by(F.when(c(f"from_{s}"), c("open_inside")).otherwise(c("open_outside")), "pos") for s in ("outside", "inside")}
     totals = {s: F.sum(F.when(~c(f"from_{s}"), c("change")).otherwise(0)) for s in ("outside", "inside")}
     splits = counted.groupBy(*split).agg(
@@ -71,6 +74,7 @@ def members(pieces: DataFrame) -> DataFrame:
     placed = placed.select(
         *split, "pos", "value", "signs", either("from").alias("inside"), (c("base") + either("depth")).alias("depth"),
     ).withColumn("cut", F.when(~c("inside"), _place_of_comma(c("value"), c("signs"), c("depth"))).otherwise(F.lit(0)))
+    placed = materialise(placed, "placed-pieces")
     # Members are numbered by the commas before them, in the split and in the splits before it.
     commas = F.when(c("cut") > 0, 1).otherwise(0)
     numbered = placed.withColumn("in_split", F.coalesce(F.sum(commas).over(here.rowsBetween(*_BEFORE)), F.lit(0)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from accordant.functions.text import file_safe_predicate
+from accordant.operators.answers import one_answer
 from accordant.operators.reshape import heatmap_cells, index_map, split_by_action
 
 _FILE = "__file"
@@ -113,8 +114,7 @@ def write_answer_files(answers: DataFrame, path: str, language: str = "en") -> l
     A repeated id keeps the row with the lowest file path, or the smallest answer where there is none.
     """
     keys = ["action", "dataset", "task", "q_serie", "llm", "q_id"]
-    order = F.struct(*[c for c in ("file_path", "answer") if c in answers.columns])
-    rows = answers.groupBy(*keys).agg(F.min_by("answer", order).alias("answer"))
+    rows = one_answer(answers, keys)
     pair = F.to_json(F.create_map(F.col("q_id"), F.coalesce("answer", F.array().cast("array<string>"))))
     inside = F.concat(F.lit("    "), F.substr(pair, F.lit(2), F.length(pair) - 2))
     number = F.col("q_id").try_cast("long")

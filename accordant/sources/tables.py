@@ -47,24 +47,27 @@ WIDE = ("c_nationkey", "CASE WHEN l_partkey % 50 = 0 THEN 'idk' ELSE CAST(l_part
 
 
 def order_lines(spark: SparkSession, root: str, kind: tuple[str, str] = NARROW) -> DataFrame:
-    """Order lines as question, dataset, model, action and element, with the rule columns."""
+    """Order lines as question, dataset, model, action and element, with the rule columns (false where unknown).
+
+    Orders meet their customers first, so the lines are shuffled once at most, and their rules are
+    the bits of one number by then.
+    """
     lines = load(spark, root, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag",
-        "l_linestatus", "l_extendedprice", "l_linenumber",
+        "l_orderkey",
+        F.when(F.col("l_linestatus") == "O", "zero-shot").when(F.col("l_suppkey") % 2 == 0, "fixing")
+        .otherwise("classification").alias("action"),
+        F.expr(kind[1]).alias("element"),
+        slot_mask({slot: F.expr(rule) for slot, rule in SLOT_RULES.items()}).alias("rules"),
     )
     orders = load(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customers = load(spark, root, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(
-        customers, orders.o_custkey == customers.c_custkey
-    )
-    return joined.select(
-        F.col(kind[0]).cast("string").alias("q_id"),
-        F.when(F.col("l_linestatus") == "O", "zero-shot").when(F.col("l_suppkey") % 2 == 0, "fixing")
-        .otherwise("classification").alias("action"),
-        F.col("c_mktsegment").alias("dataset"),
+    asked = orders.join(customers, orders.o_custkey == customers.c_custkey).select(
+        "o_orderkey", F.col(kind[0]).cast("string").alias("q_id"), F.col("c_mktsegment").alias("dataset"),
         F.col("o_orderpriority").alias("llm"),
-        F.expr(kind[1]).alias("element"),
-        *[F.expr(rule).alias(slot) for slot, rule in SLOT_RULES.items()],
+    )
+    return lines.join(asked, lines.l_orderkey == asked.o_orderkey).select(
+        "q_id", "action", "dataset", "llm", "element",
+        *[(F.col("rules").bitwiseAND(slot_mask({slot: F.lit(True)})) != 0).alias(slot) for slot in SLOT_RULES],
     )
 
 
@@ -150,12 +153,21 @@ def answers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def wide_answers(spark: SparkSession, root: str) -> DataFrame:
-    """Array-valued answers of the nations, with the parts ordered as elements: large sets, in no order."""
-    rows = answer_elements(spark, root, WIDE)
-    keys = ["q_id", "dataset", "llm", "q_serie", "action", "task"]
-    return _as_files(rows.groupBy(*keys).agg(F.collect_list("element").alias("answer")).select(
-        "q_id", "dataset", "llm", F.struct("q_serie", "action", "task", "answer").alias("c")
-    ))
+    """Array-valued answers of the nations, with the parts ordered as elements: large sets, in no order.
+
+    Lines are dealt by question, dataset and model once; elements, sets and whatever groups the
+    answers by these columns and others then need no shuffle of their own.
+    """
+    lines = order_lines(spark, root, WIDE).select(*GROUP, "element", slot_mask(membership()).alias("mask"))
+    masks = lines.repartition("q_id", "dataset", "llm").groupBy(*GROUP, "element").agg(F.bit_or("mask").alias("mask"))
+
+    def has(i: int) -> Column:
+        return F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+
+    sets = masks.groupBy(*GROUP).agg(
+        F.bit_or("mask").alias("mask"), *[F.collect_list(F.when(has(i), F.col("element"))).alias(f"in_{s}") for i, s in enumerate(CELLS)]
+    )
+    return _as_files(sets.select("q_id", "dataset", "llm", _cells(lambda i, s: has(i), answer=lambda i, s: F.col(f"in_{s}"))))
 
 
 def questions(spark: SparkSession, root: str, where: str = "true") -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordant.functions.text import file_safe_predicate
+from accordant.operators.answers import one_answer
 from accordant.operators.reshape import heatmap_cells, index_map, split_by_action
+from accordant.session import materialise
 
 
 def write_table(
@@ -56,8 +58,8 @@ def answer_documents(answers: DataFrame, ids_per_file: int = 1000) -> DataFrame:
     directory together.
     """
     keys = ["action", "dataset", "task", "q_serie", "llm"]
-    order = F.struct(*[c for c in ("file_path", "answer") if c in answers.columns])
-    first = answers.groupBy(*keys, "q_id").agg(F.min_by("answer", order).alias("answer"))
+    # Written once: the count of ids and the documents both read it.
+    first = materialise(one_answer(answers, [*keys, "q_id"]), "first-answers")
     shards = first.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ids_per_file).cast("int").alias("shards"))
     dealt = first.join(shards, keys).withColumn("shard", F.pmod(F.xxhash64("q_id"), F.col("shards")))
     return dealt.groupBy(*keys, "shard").agg(
