@@ -61,6 +61,8 @@ def answer_documents(answers: DataFrame, ids_per_file: int = 1000) -> DataFrame:
     # Written once: the count of ids and the documents both read it.
     first = materialise(one_answer(answers, [*keys, "q_id"]), "first-answers")
     shards = first.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ids_per_file).cast("int").alias("shards"))
+    # So is this, one row per directory, whose size Spark then knows: the answers are not shuffled for it.
+    shards = materialise(shards, "document-counts")
     dealt = first.join(shards, keys).withColumn("shard", F.pmod(F.xxhash64("q_id"), F.col("shards")))
     return dealt.groupBy(*keys, "shard").agg(
         F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("q_id", "answer"))))).alias("value"),
