@@ -91,7 +91,7 @@ def slot_mask(conditions: dict[str, Column]) -> Column:
     """Membership bits of one element row: one bit per slot whose condition holds."""
     out = F.lit(0)
     for slot, cond in conditions.items():
-        out = out + F.when(cond, F.lit(_SLOT_BITS[slot])).otherwise(F.lit(0))
+        out = out.bitwiseOR(F.when(cond, F.lit(_SLOT_BITS[slot])).otherwise(F.lit(0)))  # a sum would be checked for overflow
     return out
 
 

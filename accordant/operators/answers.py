@@ -27,13 +27,14 @@ SINGLE_ACTIONS = ["zero-shot", "wikidata"]
 REPEAT_ACTIONS = ["classification", "fixing"]
 
 
-def first_by_path(df: DataFrame, keys: list[str], order: str = "file_path") -> DataFrame:
+def first_by_path(df: DataFrame, keys: list[str], order: str = "file_path", dealt: bool = False) -> DataFrame:
     """Keep one row per key, the one with the lowest ``order`` value.
 
-    Rows are dealt by key and then sorted once, so no task sorts them before the shuffle too.  Where
-    all orders of a key are null, the other columns are null.
+    Rows are dealt by key and then sorted once, so no task sorts them before the shuffle too.  Rows that lie
+    together by some of the keys (``dealt``) stay where they are.  Where all orders of a key are null, the
+    other columns are null.
     """
-    return _lowest(df.repartition(*keys), keys, order)
+    return _lowest(df if dealt else df.repartition(*keys), keys, order)
 
 
 def _lowest(dealt: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -44,16 +45,17 @@ def _lowest(dealt: DataFrame, keys: list[str], order: str) -> DataFrame:
     return first.select(*keys, *[F.when(F.col(order).isNotNull(), F.col(c)).alias(c) for c in rest])
 
 
-def one_answer(answers: DataFrame, keys: list[str]) -> DataFrame:
+def one_answer(answers: DataFrame, keys: list[str], dealt: bool = False) -> DataFrame:
     """``keys, answer``: of repeated keys the row with the lowest file path, or the smallest answer where there is none.
 
-    The keys hold ``dataset`` and ``q_id``.
+    The keys hold ``dataset`` and ``q_id``.  Answers that lie together by some of them (``dealt``) stay where they are.
     """
     order = [c for c in ("file_path", "answer") if c in answers.columns]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    rows = answers.select(*dict.fromkeys([*keys, *order]))
     # Dealt by id, the answers of a group stay side by side, which halves the shuffle.
-    dealt = answers.select(*dict.fromkeys([*keys, *order])).repartition("dataset", "q_id")
-    return dealt.withColumn("__rank", rank).filter("__rank = 1").select(*keys, "answer")
+    rows = rows if dealt else rows.repartition("dataset", "q_id")
+    return rows.withColumn("__rank", rank).filter("__rank = 1").select(*keys, "answer")
 
 
 def enrich_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:

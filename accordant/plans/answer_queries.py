@@ -262,7 +262,7 @@ def answer_slots(spark, root):
 def answer_dedup(spark, root):
     """Repeats of a key keep the row with the lowest file path."""
     rows = tables.answers(spark, root).select("q_id", "q_serie", "dataset", "llm", "answer", "file_path")
-    first = ans.first_by_path(rows, ["q_id", "q_serie", "dataset", "llm"])
+    first = ans.first_by_path(rows, ["q_id", "q_serie", "dataset", "llm"], dealt=True)
     return first.withColumn("answer", F.array_join("answer", ","))
 
 

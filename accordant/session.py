@@ -88,6 +88,19 @@ def bucket_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(spark: SparkSession, paths: list[str], megabytes: int) -> int:
+    """Number of parts to deal rows to that are made from the files below ``paths``: one per so many megabytes of them.
+
+    At least that of the session's shuffle partitions.  Adaptive execution leaves such parts as they are; it would
+    merge them by their shuffled size, which says little where few bytes become many rows.
+    """
+    size = 0
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        size += at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return max(bucket_count(spark), -(-size // (megabytes << 20)))
+
+
 def in_buckets(df: DataFrame, name: str, by: list[str], buckets: int) -> DataFrame:
     """Write ``df``, whose rows are dealt by ``by`` to so many partitions already, as a bucketed table; a scan of it."""
     spark = df.sparkSession

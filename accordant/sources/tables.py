@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from accordant.operators.analysis import slot_mask
 from accordant.operators.answers import SLOTS
+from accordant.session import parts_for
 
 
 _SCHEMAS: dict[str, StructType] = {}
@@ -40,33 +41,44 @@ SLOT_RULES = {
 }
 
 
-# Question and element of an order line: one question per customer with three possible elements, or
-# one per nation with a part as element, so that sets grow with the data.
-NARROW = ("o_custkey", "CASE WHEN l_partkey % 3 = 0 THEN 'idk' ELSE CAST(l_partkey % 3 AS STRING) END")
-WIDE = ("c_nationkey", "CASE WHEN l_partkey % 50 = 0 THEN 'idk' ELSE CAST(l_partkey AS STRING) END")
+# Question of an order line, the number that tells its element, and that element: one question per customer with
+# three possible elements, or one per nation with a part as element, so that sets grow with the data.
+NARROW = ("o_custkey", "l_partkey % 3", "CASE WHEN key = 0 THEN 'idk' ELSE CAST(key AS STRING) END")
+WIDE = ("c_nationkey", "l_partkey", "CASE WHEN key % 50 = 0 THEN 'idk' ELSE CAST(key AS STRING) END")
 
+ACTIONS = ["zero-shot", "fixing", "classification"]
+# The actions' places above the rule bits of a line.
+_ACTION_BITS = {a: i << (len(SLOTS) + 1) for i, a in enumerate(ACTIONS)}
+
+
+def _by_action(values: dict[str, int]) -> Column:
+    """The value of an order line's action."""
+    zero_shot, fixing, other = (F.lit(values[a]) for a in ACTIONS)
+    return F.when(F.col("l_linestatus") == "O", zero_shot).when(F.col("l_suppkey") % 2 == 0, fixing).otherwise(other)
 
-def order_lines(spark: SparkSession, root: str, kind: tuple[str, str] = NARROW) -> DataFrame:
+
+def order_lines(spark: SparkSession, root: str, kind: tuple[str, str, str] = NARROW) -> DataFrame:
     """Order lines as question, dataset, model, action and element, with the rule columns (false where unknown).
 
-    Orders meet their customers first, so the lines are shuffled once at most, and their rules are
-    the bits of one number by then.
+    Orders meet their customers first, so the lines are shuffled once at most, as three numbers: the
+    order, what tells the element, and the rules with the action.
     """
+    question, key, element = kind
+    rules = slot_mask({slot: F.expr(rule) for slot, rule in SLOT_RULES.items()})
     lines = load(spark, root, "lineitem").select(
-        "l_orderkey",
-        F.when(F.col("l_linestatus") == "O", "zero-shot").when(F.col("l_suppkey") % 2 == 0, "fixing")
-        .otherwise("classification").alias("action"),
-        F.expr(kind[1]).alias("element"),
-        slot_mask({slot: F.expr(rule) for slot, rule in SLOT_RULES.items()}).alias("rules"),
+        "l_orderkey", F.expr(key).alias("key"), rules.bitwiseOR(_by_action(_ACTION_BITS)).alias("rules")
     )
     orders = load(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customers = load(spark, root, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     asked = orders.join(customers, orders.o_custkey == customers.c_custkey).select(
-        "o_orderkey", F.col(kind[0]).cast("string").alias("q_id"), F.col("c_mktsegment").alias("dataset"),
+        "o_orderkey", F.col(question).cast("string").alias("q_id"), F.col("c_mktsegment").alias("dataset"),
         F.col("o_orderpriority").alias("llm"),
     )
+    action = F.lit(None).cast("string")
+    for a, bits in _ACTION_BITS.items():
+        action = F.when(F.col("rules") >= bits, a).otherwise(action)
     return lines.join(asked, lines.l_orderkey == asked.o_orderkey).select(
-        "q_id", "action", "dataset", "llm", "element",
+        "q_id", action.alias("action"), "dataset", "llm", F.expr(element).alias("element"),
         *[(F.col("rules").bitwiseAND(slot_mask({slot: F.lit(True)})) != 0).alias(slot) for slot in SLOT_RULES],
     )
 
@@ -128,28 +140,54 @@ def _as_files(rows: DataFrame) -> DataFrame:
     ).withColumn("file_path", F.concat_ws("/", F.lit("/data/answers"), "action", "dataset", "task", "q_serie", "llm"))
 
 
+def _dealt_parts(spark: SparkSession, root: str, megabytes: int) -> int:
+    return parts_for(spark, [f"{root}/{t}.parquet" for t in ("lineitem", "orders", "customer")], megabytes)
+
+
 def answers(spark: SparkSession, root: str) -> DataFrame:
-    """Array-valued answers with a file path; a set has at most the three possible elements.
+    """Array-valued answers with a file path; a set has at most the three possible elements.  They lie together by ``q_id``.
 
-    The sets of a group are three bits each of one number, which hash aggregation combines before
-    the shuffle; they become arrays at the end.
+    The sets of a question, dataset and model are three bits each of one number, seven sets an action.  The
+    lines of an order are such a number before they are shuffled, and the orders of a customer before
+    the sets become rows with arrays.  So nothing wider than a number is shuffled; whatever groups the
+    answers by ``q_id`` and others needs no shuffle of its own.
     """
     domain = ("1", "2", "idk")
-    place = F.lit(0)
-    for i, e in enumerate(domain):
-        place = F.when(F.col("element") == e, F.lit(i * len(CELLS))).otherwise(place)
-    bits = F.call_function("shiftleft", slot_mask(membership()).cast("long"), place)
-    sets = order_lines(spark, root).select(*GROUP, bits.alias("bits")).groupBy(*GROUP).agg(F.bit_or("bits").alias("bits"))
-
-    def of(i: int) -> int:
-        return sum(1 << (i + k * len(CELLS)) for k in range(len(domain)))
-
-    return _as_files(sets.select("q_id", "dataset", "llm", _cells(
-        lambda i, s: F.col("bits").bitwiseAND(F.lit(of(i))) != 0,
-        answer=lambda i, s: F.filter(
-            F.array(*map(F.lit, domain)), lambda e, k: F.getbit(F.col("bits"), k * len(CELLS) + i) == 1
-        ),
-    )))
+    width = len(SLOTS) * len(domain)
+    places = {s: i * len(domain) for i, s in enumerate(SLOTS)}
+    places["star"] = places["c1"]  # One of the two is asked of an action.
+    element = F.lit(0)
+    for k, e in enumerate(domain):
+        element = F.when(F.col("element") == e, F.lit(k)).otherwise(element)
+    lines = load(spark, root, "lineitem").withColumn("key", F.expr(NARROW[1])).select(
+        "l_orderkey", _by_action({a: i * width for i, a in enumerate(ACTIONS)}).alias("at"),
+        F.when(F.col("l_linestatus") == "O", "zero-shot").otherwise("").alias("action"), F.expr(NARROW[2]).alias("element"),
+        *[F.expr(rule).alias(slot) for slot, rule in SLOT_RULES.items()],
+    )
+    asked = F.lit(0)
+    for s, condition in membership().items():
+        asked = asked.bitwiseOR(F.when(condition, F.lit(1 << places[s])).otherwise(F.lit(0)))
+    bits = F.call_function("shiftleft", asked.cast("long"), F.col("at") + element)
+    per_order = lines.select("l_orderkey", bits.alias("bits")).groupBy("l_orderkey").agg(F.bit_or("bits").alias("bits"))
+    orders = load(spark, root, "orders").select("o_orderkey", F.col(NARROW[0]).cast("string").alias("q_id"), F.col("o_orderpriority").alias("llm"))
+    customers = load(spark, root, "customer").select(F.col("c_custkey").cast("string").alias("q_id"), F.col("c_mktsegment").alias("dataset"))
+    ordered = per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("q_id", "llm", "bits")
+    dealt = ordered.repartition(_dealt_parts(spark, root, 8), "q_id").join(customers, "q_id")
+    sets = dealt.groupBy("q_id", "dataset", "llm").agg(F.bit_or("bits").alias("bits"))
+    subsets = F.array(*[F.array(*[F.lit(e) for k, e in enumerate(domain) if v >> k & 1]).cast("array<string>") for v in range(1 << len(domain))])
+    # A table of all sets that can be asked for: their code is short, however many they are.
+    cells = F.array(*[
+        F.struct(*[F.lit(v).alias(n) for n, v in (
+            ("q_serie", serie), ("task", task), ("action", other or action), ("place", i * width + places[s]),
+        )])
+        for i, action in enumerate(ACTIONS) for s, (serie, task, other) in CELLS.items()
+        if s in (("e1", "e2", "c3", "m4", "star") if action == "zero-shot" else SLOTS)
+    ])
+    found = F.call_function("shiftright", F.col("bits"), F.col("c.place")).bitwiseAND(F.lit((1 << len(domain)) - 1)).cast("int")
+    rows = sets.select("q_id", "dataset", "llm", "bits", F.explode(cells).alias("c")).withColumn("found", found).filter("found != 0")
+    return _as_files(rows.select("q_id", "dataset", "llm", F.struct(
+        "c.q_serie", "c.task", "c.action", F.element_at(subsets, F.col("found") + 1).alias("answer")
+    ).alias("c")))
 
 
 def wide_answers(spark: SparkSession, root: str) -> DataFrame:
@@ -227,7 +265,6 @@ def order_relations(spark: SparkSession, root: str, shift: int = 0) -> DataFrame
 
 # Model names of the order tables, in a fixed order.
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-ACTIONS = ["zero-shot", "fixing", "classification"]
 
 
 def models(spark: SparkSession, root: str) -> DataFrame:

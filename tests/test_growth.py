@@ -108,3 +108,52 @@ def test_pieces_of_members_are_looked_at_once(spark):
     df = members(pieces)
     assert "regexp_replace(value" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, df.select("q_id", "raw").collect())) == [("a", '["x, y","{"]'), ("b", None)]
+
+
+def test_sets_are_shuffled_as_numbers_and_repeats_stay_where_they_lie(spark, tmp_path):
+    _lines(spark, str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = tables.answers(spark, str(tmp_path))
+        first = ans.first_by_path(rows, ["q_id", "q_serie", "dataset", "llm"], dealt=True)
+        plan = _plan(first)
+        # Lines and orders by order, then orders and customers by question: nothing of the sets.
+        assert plan.count("Exchange hashpartitioning") == 4 and plan.count("REPARTITION_BY_NUM") == 1
+        below = plan.split("REPARTITION_BY_NUM")[1]
+        assert "answer" not in below and "file_path" not in below
+        assert first.count() == rows.select("q_id", "q_serie", "dataset", "llm").distinct().count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_answers_of_repeated_keys_and_unknown_parts_are_the_sets_of_their_lines(spark, tmp_path):
+    path = str(tmp_path)
+    _lines(spark, path)
+    for t in ("customer", "orders"):  # every key twice
+        df = spark.read.parquet(f"{path}/{t}.parquet")
+        spark.createDataFrame(df.collect() * 2, df.schema).write.parquet(f"{path}/twice/{t}.parquet")
+    spark.read.parquet(f"{path}/lineitem.parquet").write.parquet(f"{path}/twice/lineitem.parquet")
+    lines = [r.asDict() for r in tables.order_lines(spark, path).collect()]
+    want = {}
+    for r in lines:
+        once = r["action"] == "zero-shot"
+        for s, (serie, task, other) in tables.CELLS.items():
+            asked = once if s == "star" else not once or s in ("e1", "e2", "c3", "m4")
+            if r[s] and asked:
+                key = (r["q_id"], serie, other or r["action"], task, r["dataset"], r["llm"])
+                want.setdefault(key, set()).add(r["element"] or "1")
+    for root in (path, f"{path}/twice"):
+        rows = tables.answers(spark, root).collect()
+        assert {tuple(r[c] for c in ans.ANSWER_KEYS): set(r.answer) for r in rows} == want
+        assert len(rows) == len(want) and all(len(set(r.answer)) == len(r.answer) for r in rows)
+
+
+def test_parts_grow_with_the_files(spark, tmp_path):
+    from accordant.session import bucket_count, parts_for
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x").write_bytes(b"0" * (9 << 20))
+    assert parts_for(spark, [str(tmp_path / "a")], 64) == bucket_count(spark)
+    assert parts_for(spark, [str(tmp_path / "a"), str(tmp_path / "a" / "x")], 1) == max(18, bucket_count(spark))
