@@ -193,19 +193,26 @@ def answers(spark: SparkSession, root: str) -> DataFrame:
 def wide_answers(spark: SparkSession, root: str) -> DataFrame:
     """Array-valued answers of the nations, with the parts ordered as elements: large sets, in no order.
 
-    Lines are dealt by question, dataset and model once; elements, sets and whatever groups the
-    answers by these columns and others then need no shuffle of their own.
+    Lines are dealt by question, dataset and model once, to parts that grow in number with the tables; sets
+    and whatever groups the answers by these columns and others then need no shuffle of their own.  A
+    group's lines are one list, from which its sets are taken, so that no line is sorted or hashed by its element.
     """
     lines = order_lines(spark, root, WIDE).select(*GROUP, "element", slot_mask(membership()).alias("mask"))
-    masks = lines.repartition("q_id", "dataset", "llm").groupBy(*GROUP, "element").agg(F.bit_or("mask").alias("mask"))
+    dealt = lines.repartition(_dealt_parts(spark, root, 32), "q_id", "dataset", "llm")
 
-    def has(i: int) -> Column:
-        return F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+    def has(mask: Column, i: int) -> Column:
+        return mask.bitwiseAND(F.lit(1 << i)) != 0
 
-    sets = masks.groupBy(*GROUP).agg(
-        F.bit_or("mask").alias("mask"), *[F.collect_list(F.when(has(i), F.col("element"))).alias(f"in_{s}") for i, s in enumerate(CELLS)]
-    )
-    return _as_files(sets.select("q_id", "dataset", "llm", _cells(lambda i, s: has(i), answer=lambda i, s: F.col(f"in_{s}"))))
+    known = F.when(F.col("element").isNotNull(), F.struct("element", "mask"))
+    groups = dealt.groupBy(*GROUP).agg(F.bit_or("mask").alias("mask"), F.collect_list(known).alias("lines"))
+
+    def members(i: int) -> Column:
+        inside = F.filter("lines", lambda x: has(x["mask"], i))
+        return F.array_distinct(F.transform(inside, lambda x: x["element"]))
+
+    return _as_files(groups.select("q_id", "dataset", "llm", _cells(
+        lambda i, s: has(F.col("mask"), i), answer=lambda i, s: members(i)
+    )))
 
 
 def questions(spark: SparkSession, root: str, where: str = "true") -> DataFrame:

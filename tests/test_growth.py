@@ -157,3 +157,16 @@ def test_parts_grow_with_the_files(spark, tmp_path):
     (tmp_path / "a" / "x").write_bytes(b"0" * (9 << 20))
     assert parts_for(spark, [str(tmp_path / "a")], 64) == bucket_count(spark)
     assert parts_for(spark, [str(tmp_path / "a"), str(tmp_path / "a" / "x")], 1) == max(18, bucket_count(spark))
+
+
+def test_wide_answers_hash_and_sort_no_line_by_its_element(spark, tmp_path):
+    _lines(spark, str(tmp_path))
+    df = tables.wide_answers(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "element" not in "".join(x.split("functions=")[0] for x in plan.split("\n") if "Aggregate(key" in x)
+    got = {tuple(r[c] for c in ans.ANSWER_KEYS): sorted(r.answer) for r in df.collect()}
+    want = {}
+    for r in tables.answer_elements(spark, str(tmp_path), tables.WIDE).collect():
+        found = want.setdefault(tuple(r[c] for c in ans.ANSWER_KEYS), [])
+        found += [r.element] if r.element is not None else []
+    assert got == {k: sorted(v) for k, v in want.items()}
