@@ -76,7 +76,7 @@ def question_texts_files(spark, root):
 def answer_files(spark, root):
     """Answer documents in a directory tree, scanned by path keys."""
     path = scratch_path(spark, "answers")
-    writers.write_answer_documents(tables.answers(spark, root), path, ids_per_file=500)
+    writers.write_answer_documents(tables.answers(spark, root), path, ids_per_file=500, dealt=True)
     back = readers.read_answer_documents(spark, path, P, datasets=SEGMENTS)
     return back.select(
         "q_id", "q_serie", "action", "task", "dataset", "lang", "llm",
@@ -88,7 +88,7 @@ def answer_files(spark, root):
 def named_answer_files(spark, root):
     """One JSON file per key under the names that readers expect, each read back by several tasks."""
     path = scratch_path(spark, "named-answers")
-    write_answer_files(tables.answers(spark, root), path)
+    write_answer_files(tables.answers(spark, root), path, dealt=True)
     back = readers.read_answers(spark, path, P, in_parts=True, datasets=SEGMENTS)
     return back.select(
         "q_id", "q_serie", "action", "task", "dataset", "lang", "llm",

@@ -221,7 +221,7 @@ def answers_of_documents(spark, root):
     """Answers packed into JSON documents of 100 ids and parsed back."""
     from accordant.sources.writers import answer_documents
 
-    docs = answer_documents(tables.answers(spark, root), ids_per_file=100)
+    docs = answer_documents(tables.answers(spark, root), ids_per_file=100, dealt=True)
     path = F.concat_ws("/", F.lit("/data/answers"), "action", "dataset", "task", F.concat_ws("_", "q_serie", "task", "llm", "n_ids"))
     packed = docs.select(F.concat(path, F.lit(".json")).alias("file_path"), "value")
     segments = [*_SEGMENTS, "MACHINERY"]

@@ -108,13 +108,14 @@ def answer_file(language: str = "en") -> Column:
     )
 
 
-def write_answer_files(answers: DataFrame, path: str, language: str = "en") -> list[str]:
+def write_answer_files(answers: DataFrame, path: str, language: str = "en", dealt: bool = False) -> list[str]:
     """One JSON object ``{q_id: [answer, ...]}`` per (action, dataset, task, series, model), ids in order.
 
-    A repeated id keeps the row with the lowest file path, or the smallest answer where there is none.
+    A repeated id keeps the row with the lowest file path, or the smallest answer where there is none; ``dealt``
+    is that of :func:`one_answer`.
     """
     keys = ["action", "dataset", "task", "q_serie", "llm", "q_id"]
-    rows = one_answer(answers, keys)
+    rows = one_answer(answers, keys, dealt)
     pair = F.to_json(F.create_map(F.col("q_id"), F.coalesce("answer", F.array().cast("array<string>"))))
     inside = F.concat(F.lit("    "), F.substr(pair, F.lit(2), F.length(pair) - 2))
     number = F.col("q_id").try_cast("long")

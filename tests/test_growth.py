@@ -170,3 +170,20 @@ def test_wide_answers_hash_and_sort_no_line_by_its_element(spark, tmp_path):
         found = want.setdefault(tuple(r[c] for c in ans.ANSWER_KEYS), [])
         found += [r.element] if r.element is not None else []
     assert got == {k: sorted(v) for k, v in want.items()}
+
+
+def test_answer_documents_deal_rows_once_by_directory_and_run(spark):
+    from accordant.sources import writers
+
+    rows = [(str(i), "Q1", "fixing", "equal", "d", f"m{i % 2}", ["b"], "/b") for i in range(400)]
+    docs = writers.answer_documents(spark.createDataFrame(rows, KEYS), ids_per_file=2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        exchanges = [x for x in _plan(docs).split("\n") if "Exchange hashpartitioning" in x]
+        assert len(exchanges) == 1 and "run" in exchanges[0] and "llm" not in exchanges[0]
+        # A directory of 100 documents is two runs of at most 64, so a large one is dealt to several tasks.
+        assert docs.groupBy("llm").agg({"n_ids": "sum"}).count() == 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    found = docs.collect()
+    assert sum(r.n_ids for r in found) == 400 and max(r.shard for r in found) >= writers._TOGETHER
