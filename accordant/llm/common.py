@@ -43,7 +43,8 @@ def discarded(*tables: DataFrame) -> None:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             at = jvm.org.apache.hadoop.fs.Path(folder)
             at.getFileSystem(conf).delete(at, True)
-        jvm.System.gc()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def fold(key: Column) -> Column:

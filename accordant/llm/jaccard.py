@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.common import Membership, written
+from accordant.llm.common import Membership, discarded, written
 from accordant.llm.components import components
 from accordant.llm.hashing import WordHasher, mixed, set_hash
 from accordant.session import bucket_count, in_buckets
@@ -21,6 +21,8 @@ SLOTS = 1 << 20  # counters of the n-gram frequencies, whatever the size of the
 SLICE = 1 << 16
 FRAGMENTS = 8
 BLOCK_ENTRIES = 400_000  # prefix entries of a task's block
+ROWS = 250  # texts hashed at once
+PACK_ENTRIES, SEEN = 250_000, 200_000  # prefix entries dealt at once, and classes a task remembers having dealt
 EARLY = 6  # shared n-grams asked of two sets at the beginning of the order
 HOT_ENTRIES = 200_000  # entries of one n-gram beyond which it is dealt to several blocks
 HOT_PAIRS, SALTS = 256, 32  # pairs of one class beyond which its set goes to several tasks, and to how many
@@ -75,8 +77,8 @@ def shingle_classes(docs: DataFrame, key: str, text: str, carried: str | None =
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = WordHasher(), np.zeros(SLOTS, np.int64)
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
                 n, cls, held = [], [], []
                 for s in hasher.shingle_sets(part.column(1), SHINGLE):
                     n.append(len(s))
@@ -117,7 +119,7 @@ def prefix_entries(docs: DataFrame, text: str, order: Order) -> DataFrame:
     """Rows ``(block, hot, s, c, n, p)`` of packed arrays: the prefix n-grams of each set and their places, dealt by n-gram.
 
     Sets of similarity t share an n-gram among the first n - ceil(t n) + 1 of the global order.  Copies
-    in a batch are packed once; an n-gram with very many sets is dealt to several blocks.
+    that a task still remembers are packed once; an n-gram with very many sets is dealt to several blocks.
     """
     p, q = SIMILARITY
     entries = int(order.counts.sum() * (q - p) / q) + 1
@@ -153,8 +155,8 @@ def prefix_entries(docs: DataFrame, text: str, order: Order) -> DataFrame:
 
         size, seen = 0, set()
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                for s in hasher.shingle_sets(b.slice(lo, 1000).column(0), SHINGLE):
+            for lo in range(0, b.num_rows, ROWS):
+                for s in hasher.shingle_sets(b.slice(lo, ROWS).column(0), SHINGLE):
                     if not len(s):
                         continue
                     c = set_hash(s)
@@ -165,9 +167,11 @@ def prefix_entries(docs: DataFrame, text: str, order: Order) -> DataFrame:
                     first = s[np.lexsort((s, levels[_slots(s)]))[:take]]
                     parts.append((first, c, len(s)))
                     size += take
-                if size > 1_000_000:
-                    yield from rows()
-                    size, seen = 0, set()
+                    if size > PACK_ENTRIES:
+                        yield from rows()
+                        size = 0
+                    if len(seen) > SEEN:
+                        seen.clear()
         if parts:
             yield from rows()
 
@@ -254,14 +258,15 @@ def shared_entries(packed: DataFrame) -> DataFrame:
         size = np.repeat(np.diff(cuts), np.diff(cuts))
         shared = np.flatnonzero((size > 1) | hot)
         met = shared if hot else shared[may_meet(np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))[shared], n[shared], place[shared])]
-        entries = np.stack([np.zeros(len(met), np.int64), _signed(s[met]), c[met], n[met], place[met]], 1)
         head = np.repeat(cuts[:-1], np.diff(cuts))[shared]
         x, y = head[head != shared], shared[head != shared]
         near = close_enough(n[x], n[y], place[x], place[y], np.minimum, np.maximum)
         a, b = c[x[near]], c[y[near]]
         pair, times = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_counts=True)
-        rows = np.concatenate([entries, np.c_[np.full(len(pair), 2), pair, times, np.zeros(len(pair), np.int64)]])
-        return pa.table({"kind": rows[:, 0].astype(np.int32), "a": rows[:, 1], "b": rows[:, 2], "n": rows[:, 3], "p": rows[:, 4]})
+        return pa.table({
+            "kind": np.repeat(np.array([0, 2], np.int32), [len(met), len(pair)]), "a": np.r_[_signed(s[met]), pair[:, 0]],
+            "b": np.r_[c[met], pair[:, 1]], "n": np.r_[n[met], times], "p": np.r_[place[met], np.zeros(len(pair), np.int64)],
+        })
 
     return packed.groupBy("block", "hot").applyInArrow(block, "kind int, a long, b long, n long, p long")
 
@@ -280,9 +285,9 @@ def segments(docs: DataFrame, key: str, text: str, wanted: DataFrame, order: Ord
         hasher, held = WordHasher(), Order(broadcast.value)
         levels, (below, mass) = held.levels(), held.fragments()
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
+            for lo in range(0, b.num_rows, ROWS):
                 cls, fragment, part, sizes = [], [], [], []
-                for s in hasher.shingle_sets(b.slice(lo, 500).column(0), SHINGLE):
+                for s in hasher.shingle_sets(b.slice(lo, ROWS).column(0), SHINGLE):
                     if len(s):
                         f = _fragment(s, levels[_slots(s)], below, mass)
                         c, n = set_hash(s), np.bincount(f, minlength=FRAGMENTS)
@@ -353,7 +358,9 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, classes: Da
     others = lead.select("a", "b", "often_a", "often_b", F.posexplode("least").alias("at", "n"), F.col("fragment").alias("counted_at")).filter("n > 0 and at <> counted_at")
     others = counted(others.select("a", "b", "often_a", "often_b", F.col("at").alias("fragment"))).groupBy("a", "b").agg(F.sum("k").alias("more"))
     total = lead.join(others, ["a", "b"], "left")
-    return written(total.filter(F.expr(f"{p + q} * (k + coalesce(more, 0L)) >= {p} * both")).select("a", "b"), "links")
+    links = written(total.filter(F.expr(f"{p + q} * (k + coalesce(more, 0L)) >= {p} * both")).select("a", "b"), "links")
+    discarded(sets, copies, ends, often, sized, lead)
+    return links
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", carried: str | None = None) -> DataFrame:
@@ -386,13 +393,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ca
     best = ways.groupBy("w.of").agg(F.max(F.struct("n", F.negative("w.with").alias("with"))).alias("m"))
     with_ = F.negative(F.col("m.with"))
     first = written(best.select(F.least("of", with_).alias("a"), F.greatest("of", with_).alias("b")).distinct(), "first")
+    discarded(pairs)
     links = verified(first, docs, key, text, classes, order)
     parts = written(components(links).select(F.col("node").alias("cls"), F.col("component_id").alias("part")), "parts")
-    parted = entries.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    parted = written(entries.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls")), "entries-parted")
+    discarded(shared)
     # Only n-grams that still hold several components are joined with themselves.
     split = parted.groupBy("s").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("s")
-    rest = _across(written(parted, "entries-parted").join(split, "s")).join(first, ["a", "b"], "left_anti")
-    links = links.union(verified(written(rest, "rest"), docs, key, text, classes, order))
+    held = written(parted.join(split, "s"), "entries-split")
+    rest = written(_across(held).join(first, ["a", "b"], "left_anti"), "rest")
+    discarded(parted, held, first)
+    links = links.union(verified(rest, docs, key, text, classes, order))
     parts = written(components(links), "components")
     member = classes.join(parts, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component_id", "cls").alias("part"))
     least = member.groupBy("part").agg(F.min("doc_id").alias("component_id"))

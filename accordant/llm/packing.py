@@ -190,13 +190,13 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of_worker(tokenizer)
         for b in batches:
-            texts = b.column(1).cast(pa.large_string())
-            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            texts = b.column(1)
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
             lo = 0
             while lo < len(texts):  # as many texts as fit the batch, one at least
                 done = sizes[lo - 1] if lo else 0
                 hi = max(lo + 1, int(np.searchsorted(sizes, done + BATCH_BYTES, side="right")))
-                ids, at = encoder.texts(texts.slice(lo, hi - lo))
+                ids, at = encoder.texts(texts.slice(lo, hi - lo).cast(pa.large_string()))  # not all at once
                 out: list[tuple[int | None, int, int, int, int]] = []
                 for doc, a, z in zip(b.column(0).slice(lo, hi - lo).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                     own = np.append(ids[a:z], np.uint32(end_id)).astype("<u4")

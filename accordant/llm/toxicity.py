@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.common import whole, written
+from accordant.llm.common import discarded, whole, written
 from accordant.llm.training import labelled_texts
 
 TRAIN_DOCS = 100_000  # labelled documents that the model is fitted on, at most about so many
@@ -205,6 +205,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     odds, chances = _odds(_token_counts(train))
     if not odds:
         r = train.agg(F.avg("label").alias("p")).first()
+        discarded(train)
         p = min(0.95, max(0.05, r.p if r.p is not None else 0.05))
         return ToxicModel({}, 1.0, 1.0, math.log(p / (1 - p)), 0.0)
     rate = chance_rate(chances)
@@ -226,6 +227,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     scale = clean.d / clean.w if clean.d else 1.0  # maximum likelihood of K in exp(-K n exp(-rate s))
     x = F.expr(f"least(60D, aggregate(segments, 0D, (a, e) -> a + if(e * {scale!r}D < {SIGNIFICANT}D, -ln(greatest(e * {scale!r}D, 1e-300D)), 0D)))")
     points = seen.groupBy(F.round(x, 0).alias("x")).agg(F.sum("label").alias("k"), F.count(F.lit(1)).alias("n")).collect()
+    discarded(train, seen)
     intercept, slope = _logistic([(r.x, float(r.k), float(r.n)) for r in points])
     return ToxicModel(odds, rate, scale, intercept, max(slope, 0.0))
 

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -120,3 +121,47 @@ def test_entries_that_may_meet():
             ]
             assert got[x] or not pairs
     assert not jaccard.may_meet(np.array([0, 0]), np.array([10, 100]), np.array([0, 0])).any()
+
+
+def test_disk_between_the_steps(spark, monkeypatch):
+    """Sets that were compared go before others are cut, entries before they are joined, and all of them in the end."""
+    from accordant import session
+    from accordant.llm import components as other
+
+    made = {}
+    put, cut = session.materialise, session.in_buckets
+
+    def there(name):
+        return [x for x, df in made.get(name, []) if df.inputFiles() and os.path.exists(df.inputFiles()[0].removeprefix("file:"))]
+
+    def watched(df, name, *more, write=put):
+        if name == "segments":
+            assert not there("segments") and not there("pairs")
+        if name == "rest":
+            assert not there("entries")
+        out = write(df, name, *more)
+        made.setdefault(name, []).append((name, out))
+        return out
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    monkeypatch.setattr(other, "written", watched)
+    monkeypatch.setattr(jaccard, "in_buckets", lambda df, name, *more: watched(df, name, *more, write=cut))
+    rows = corpus(5, families=6, largest=12)
+    got = near_duplicates(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == expected(rows)[0]
+    assert len(made["segments"]) == 2
+    assert not any(there(n) for n in ("segments", "copies", "sized", "lead", "wanted", "entries", "entries-parted", "entries-split", "pairs", "first"))
+
+
+def test_parts_dealt_at_once_do_not_matter(spark, monkeypatch):
+    """Small buffers, forgotten classes and copies in several of them give the same rows; a class that is remembered is dealt once."""
+    monkeypatch.setattr(jaccard, "PACK_ENTRIES", 40)
+    monkeypatch.setattr(jaccard, "ROWS", 3)
+    rows = corpus(8, families=6, largest=12)
+    counts = np.ones(jaccard.SLOTS, np.int64)
+    copies = frame(spark, [(i, " ".join(f"w{k}" for k in range(400))) for i in range(20)], 1)
+    packed = jaccard.prefix_entries(copies, "text", jaccard.Order(counts)).collect()
+    assert sum(len(r.s) for r in packed) == 8 * (396 - (4 * 396 + 4) // 5 + 1)
+    monkeypatch.setattr(jaccard, "SEEN", 2)
+    got = near_duplicates(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == expected(rows)[0]
