@@ -114,7 +114,8 @@ def write_answer_files(answers: DataFrame, path: str, language: str = "en", deal
     A repeated id keeps the row with the lowest file path, or the smallest answer where there is none; ``dealt``
     is that of :func:`one_answer`.
     """
-    keys = ["action", "dataset", "task", "q_serie", "llm", "q_id"]
+    # Rows are sorted by the id first, whose first characters tell most of them apart.
+    keys = ["q_id", "action", "dataset", "task", "q_serie", "llm"]
     rows = one_answer(answers, keys, dealt)
     pair = F.to_json(F.create_map(F.col("q_id"), F.coalesce("answer", F.array().cast("array<string>"))))
     inside = F.concat(F.lit("    "), F.substr(pair, F.lit(2), F.length(pair) - 2))

@@ -15,7 +15,7 @@ from accordant.functions import sets
 from accordant.functions.labels import classified_label
 from accordant.functions.numbers import to_number
 from accordant.operators.relations import with_canonical_labels
-from accordant.sources.members import read_members
+from accordant.sources.members import member_map, read_member_documents, read_members
 from accordant.sources.paths import decoded, file_name, name_parts, path_keys
 from accordant.sources.records import numbered_records, read_lines
 
@@ -53,6 +53,11 @@ def read_documents(
     )
 
 
+def _scanned(spark: SparkSession, path: str | list[str], glob: str, one_per_line: bool = False, in_parts: bool = False) -> DataFrame:
+    """:func:`read_documents`; ``in_parts``, members stay together in documents, so that a path is looked at once for many."""
+    return read_member_documents(spark, path, glob) if in_parts else read_documents(spark, path, glob, one_per_line)
+
+
 def parsed(kind: str, value: str = "value") -> Column:
     """The JSON document in ``value``; a malformed one stops the job and names its file.
 
@@ -62,11 +67,18 @@ def parsed(kind: str, value: str = "value") -> Column:
     return F.coalesce(found, F.raise_error(F.concat(F.lit("no JSON document of the expected form in "), F.col("file_path"))))
 
 
+def _values(documents: DataFrame) -> Column:
+    """The ``{id: value}`` document of a row as a map; one that is part of a file must hold as many members as were found there."""
+    if "__members" not in documents.columns:
+        return parsed("map<string,string>")
+    return member_map(F.concat(F.lit("no JSON document of the expected form in "), F.col("file_path")))
+
+
 def entries(documents: DataFrame) -> DataFrame:
     """Explode ``{id: value}`` documents: ``file_path``, ``q_id``, ``raw`` (value as JSON text)."""
     if "raw" in documents.columns:
         return documents.select("file_path", "q_id", "raw")
-    return documents.select("file_path", F.explode(parsed("map<string,string>")).alias("q_id", "raw"))
+    return documents.select("file_path", F.explode(_values(documents)).alias("q_id", "raw"))
 
 
 def _keyed(
@@ -83,7 +95,7 @@ def _keyed(
     keys = path_keys(F.col("file_path"), vocabularies, required, defaults, ignore_case)
     keyed = documents.withColumn("k", keys).filter(F.col("k").isNotNull())
     if "raw" not in documents.columns:
-        keyed = keyed.select("file_path", "k", F.explode(parsed("map<string,string>")).alias("q_id", "raw"))
+        keyed = keyed.select("file_path", "k", F.explode(_values(documents)).alias("q_id", "raw"))
     return keyed.select("file_path", "k.*", "q_id", "raw")
 
 
@@ -137,7 +149,7 @@ def read_answers(
     in_parts: bool = False, **vocabulary
 ) -> DataFrame:
     """Scan a directory tree of answer files; ``in_parts`` reads each file by many tasks."""
-    return parse_answers(read_documents(spark, path, glob, one_per_line, in_parts), llms, **vocabulary)
+    return parse_answers(_scanned(spark, path, glob, one_per_line, in_parts), llms, **vocabulary)
 
 
 def read_answer_documents(spark: SparkSession, path: str | list[str], llms: list[str], **vocabulary) -> DataFrame:
@@ -170,7 +182,7 @@ def read_relations(
     spark: SparkSession, path: str | list[str], llms: list[str], glob: str = "Relation*.json", one_per_line: bool = False,
     in_parts: bool = False, **vocabulary
 ) -> DataFrame:
-    return parse_relations(read_documents(spark, path, glob, one_per_line, in_parts), llms, **vocabulary)
+    return parse_relations(_scanned(spark, path, glob, one_per_line, in_parts), llms, **vocabulary)
 
 
 # The relation column that each task's classification fills.
@@ -206,7 +218,7 @@ def read_classified_relations(
     spark: SparkSession, path: str | list[str], llms: list[str], glob: str = "*.json", one_per_line: bool = False,
     in_parts: bool = False, **vocabulary
 ) -> DataFrame:
-    return parse_classified_relations(read_documents(spark, path, glob, one_per_line, in_parts), llms, **vocabulary)
+    return parse_classified_relations(_scanned(spark, path, glob, one_per_line, in_parts), llms, **vocabulary)
 
 
 # -- scores ----------------------------------------------------------------------------------
@@ -220,7 +232,7 @@ def parse_scores(documents: DataFrame) -> DataFrame:
 
 
 def read_scores(spark: SparkSession, path: str | list[str], in_parts: bool = False) -> DataFrame:
-    return parse_scores(read_documents(spark, path, in_parts=in_parts))
+    return parse_scores(_scanned(spark, path, "*.json", in_parts=in_parts))
 
 
 def read_score_tables(spark: SparkSession, path: str | list[str], glob: str = "*.tsv") -> DataFrame:

@@ -18,15 +18,19 @@ _UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
-def read_lines(spark: SparkSession, path: str | list[str], glob: str, separator: str = "\n") -> DataFrame:
-    """What a separator parts, with ``file_path``, ``block`` (start of the split) and ``pos`` (the order in a split)."""
+def read_lines(spark: SparkSession, path: str | list[str], glob: str, separator: str = "\n", encoded: bool = False) -> DataFrame:
+    """What a separator parts, with ``file_path``, ``block`` (start of the split) and ``pos`` (the order in a split).
+
+    An ``encoded`` path is left as Spark gives it, to be decoded where there are fewer rows.
+    """
+    file = F.col("_metadata.file_path")
     return (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", separator)
         .option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
         .option("fs.file.impl.disable.cache", "true")
         .text(path)
         .select(
-            decoded(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
+            (file if encoded else decoded(file)).alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("pos"), "value",
         )
     )

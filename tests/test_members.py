@@ -67,3 +67,46 @@ def test_answer_files_in_parts(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     (tmp_path / "zero-shot/spinach/equal/Q9_other_answers_nobody.json").unlink()
     assert parts == sorted(map(str, readers.read_answers(spark, str(tmp_path), LLMS).collect())) and len(parts) > 300
+
+
+def test_members_larger_than_a_chunk(spark, tmp_path, monkeypatch):
+    """Members that begin, end and lie whole in chunks, some over many chunks; pieces that come in any order."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from accordant.sources import members
+
+    monkeypatch.setattr(members, "_CHUNK", 16)
+    rng = random.Random(1)
+    data = {f"k{i}": value(rng) for i in range(40)} | {"big": ["é\\\\\"\\" * 30, list(range(50)), "a:b,c" * 20]} | {f"m{i}": value(rng) for i in range(40)}
+    text = json.dumps(data, ensure_ascii=False)
+    for separator in '":':
+        rows = [("f", 0, i, v) for i, v in enumerate(text.split(separator))]
+        pieces = spark.createDataFrame(rows, "file_path string, block long, pos long, value string").repartition(3, F.col("pos") % 7)
+        found = {r.q_id: r.raw for r in members.members(pieces, separator).collect()}
+        assert list(found) != [] and found.keys() == data.keys()
+        assert all((r if isinstance(data[k], str) else None if r is None else json.loads(r)) == data[k] for k, r in found.items())
+
+
+@pytest.mark.parametrize("text", ['{"a":1,,"b":[2],\n, "c":{},}', '{ ,"a":1,"b":[2],"c":{}}'])
+def test_blank_members_are_left_out(spark, tmp_path, text):
+    (tmp_path / "f.json").write_text(text)
+    assert sorted(map(tuple, read_members(spark, str(tmp_path)).select("q_id", "raw").collect())) == [("a", "1"), ("b", "[2]"), ("c", "{}")]
+
+
+def test_a_member_that_closes_its_object_is_no_reason_to_lose_the_next(spark, tmp_path):
+    (tmp_path / "f.json").write_text('{"z":0,"a":1,"b":2} {"c":3,"d":4,"e":5,"f":6}')
+    assert {r.q_id for r in read_members(spark, str(tmp_path)).collect()} == {"z", "a", "b", "d", "e", "f"}
+
+
+def test_whole_members_are_not_shuffled_piece_by_piece(spark, tmp_path):
+    """A file's members stay documents of many, whose path is looked at once; a repeated id stays repeated."""
+    from accordant.sources.members import read_member_documents
+
+    (tmp_path / "f.json").write_text("{" + ",".join(f'"{i % 900}":["{i}:x"]' for i in range(1000)) + "}")
+    documents = read_member_documents(spark, str(tmp_path))
+    found = documents.collect()
+    assert sum(r["__members"] for r in found) == 1000 and len(found) < 20
+    rows = read_members(spark, str(tmp_path)).collect()
+    assert len(rows) == 1000 and {(r.q_id, r.raw) for r in rows} == {(str(i % 900), f'["{i}:x"]') for i in range(1000)}
